@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpusloom as cl
 from corpusloom.plans import panels as pn
 
-from .registry import query, sql_words, table
+from .registry import query, sql_words, table, texts
 from .texts import LONG_WORD, SCORED, corpus_sentiment, sql_terms
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -27,7 +27,7 @@ SQL_CLOUD = f"""
 
 @query("tag_cloud_top20", SQL_CLOUD)
 def tag_cloud_top20(spark, sf):
-    return pn.tag_cloud(table(spark, sf, "documents"), cl.TagCloud("text"))
+    return pn.tag_cloud(texts(spark, sf), cl.TagCloud("text"))
 
 
 @query(
@@ -57,7 +57,7 @@ def terms_bar_scalar(spark, sf):
     """,
 )
 def terms_bar_array(spark, sf):
-    tagged = cl.RegexTag(LONG_WORD, "text", "long_words", dialect="java").transform(table(spark, sf, "documents"))
+    tagged = cl.RegexTag(LONG_WORD, "text", "long_words", dialect="java").transform(texts(spark, sf))
     return pn.terms(tagged, cl.HorizontalBar("long_words"))
 
 
@@ -201,7 +201,7 @@ def dashboard_corpus(spark, sf):
     p = cl.Pipeline("corpus", text_cols=["text"], tag_cols=["lang"], id_col="doc_id")
     p += cl.RegexTag(LONG_WORD, "text", "long", dialect="java")
     p += corpus_sentiment()
-    return _flat(p.dashboard_table(p.transform(table(spark, sf, "documents")))).drop("ts")
+    return _flat(p.dashboard_table(p.transform(texts(spark, sf)))).drop("ts")
 
 
 @query(

@@ -8,7 +8,7 @@ import corpusloom as cl
 from corpusloom.operators import search
 
 from .aggregates import SQL_STAMP, stamp
-from .registry import query, sql_words, table
+from .registry import query, sql_words, table, texts
 from .texts import sql_terms
 
 
@@ -60,7 +60,7 @@ def suggest_prefix(spark, sf):
 )
 def term_match(spark, sf):
     """All of the terms; taking the marks off again gives the text back."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     hits = search.match_terms(docs, "text", ["der", "und"], "and", mark="marked")
     plain = F.replace(F.replace("marked", F.lit("<em>")), F.lit("</em>"))
     return hits.select("doc_id", plain.alias("marked"))
@@ -74,7 +74,7 @@ def term_match(spark, sf):
     """,
 )
 def term_match_any(spark, sf):
-    return search.match_terms(table(spark, sf, "documents"), "text", ["thon", "los"]).select("doc_id")
+    return search.match_terms(texts(spark, sf), "text", ["thon", "los"]).select("doc_id")
 
 
 @query(
@@ -87,7 +87,7 @@ def term_match_any(spark, sf):
 def term_highlight(spark, sf):
     """Marks on texts reduced to plain letters, where SQL knows word boundaries too."""
     plain = F.translate("text", "éèêçñóíáüäößÉÈÊÇÑÓÍÁÜÄÖ’", "eeecnoiauaosEEECNOIAUAO ")
-    docs = table(spark, sf, "documents").select("doc_id", plain.alias("text"))
+    docs = texts(spark, sf).select("doc_id", plain.alias("text"))
     return docs.select("doc_id", search.highlight(F.col("text"), ["der", "und"]).alias("marked"))
 
 
@@ -99,10 +99,10 @@ def term_highlight(spark, sf):
     """,
 )
 def term_postings(spark, sf):
-    return search.postings(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "term", "tf")
+    return search.postings(texts(spark, sf), "doc_id", "text").select("doc_id", "term", "tf")
 
 
 @query("head_rows", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
 def head_rows(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    docs = texts(spark, sf).select("doc_id", "n_chars")
     return cl.head(docs, 50, [F.desc("n_chars"), "doc_id"])

@@ -9,7 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.languages import stop_words
 from corpusloom.operators.linguistics import POS_TAGS, pos_value_counts, widen
 
-from .registry import query, quoted, sql_list, sql_sentences, sql_tokens, sql_values, sql_words, table
+from .registry import query, quoted, sql_list, sql_sentences, sql_tokens, sql_values, sql_words, table, texts
 
 MATH = r"\$([^$]+)\$"
 EMAIL = r"[\w.+-]+@[\w-]+\.\w+"
@@ -31,7 +31,7 @@ def joined(col, sep="|"):
     """,
 )
 def regex_tags_math(spark, sf):
-    docs = cl.RegexTag(MATH, ["text"], "m").transform(table(spark, sf, "documents"))
+    docs = cl.RegexTag(MATH, ["text"], "m").transform(texts(spark, sf))
     return docs.select("doc_id", joined("m").alias("math"), F.size("m").cast("long").alias("n"))
 
 
@@ -44,7 +44,7 @@ def regex_tags_math(spark, sf):
     """,
 )
 def regex_tags_email(spark, sf):
-    docs = cl.RegexTag(EMAIL, "text", "m").transform(table(spark, sf, "documents"))
+    docs = cl.RegexTag(EMAIL, "text", "m").transform(texts(spark, sf))
     return docs.select("doc_id", joined("m").alias("email"))
 
 
@@ -87,7 +87,7 @@ def map_to_tags_columns(spark, sf):
     """,
 )
 def regex_tags_groups(spark, sf):
-    docs = cl.RegexTag(r"([a-z]+)@([a-z]+)", "text", "m").transform(table(spark, sf, "documents"))
+    docs = cl.RegexTag(r"([a-z]+)@([a-z]+)", "text", "m").transform(texts(spark, sf))
     return docs.select("doc_id", F.inline("m"))
 
 
@@ -123,7 +123,7 @@ class DistinctSigns(cl.MapToSingle):
     "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '(?s).'))) AS BIGINT) AS signs FROM documents",
 )
 def custom_stage(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     return DistinctSigns("text", "signs").transform(docs).select("doc_id", "signs")
 
 
@@ -143,7 +143,7 @@ class Sizes(cl.MapToNamedTags):
     """,
 )
 def null_coercion(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("text", F.when(F.col("lang") != "en", F.col("text")))
+    docs = texts(spark, sf).withColumn("text", F.when(F.col("lang") != "en", F.col("text")))
     return Sizes("text").transform(docs).select("doc_id", "text_chars", "text_words")
 
 
@@ -175,7 +175,7 @@ def sql_terms(words: str) -> str:
     """,
 )
 def analyzed_terms(spark, sf):
-    docs = cl.AnalyzeText("text", "t").transform(table(spark, sf, "documents"))
+    docs = cl.AnalyzeText("text", "t").transform(texts(spark, sf))
     return docs.select("doc_id", F.size("t").cast("long").alias("n"), joined("t", " ").alias("terms"))
 
 
@@ -188,7 +188,7 @@ def analyzed_terms(spark, sf):
     """,
 )
 def possessive_terms(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit(" of "), F.lit("'s of ")))
+    docs = texts(spark, sf).withColumn("text", F.replace("text", F.lit(" of "), F.lit("'s of ")))
     return cl.AnalyzeText("text", "t").transform(docs).select("doc_id", joined("t", " ").alias("terms"))
 
 
@@ -209,7 +209,7 @@ CORPUS_LANGUAGES = [("fr", "french"), ("de", "german"), ("es", "spanish")]
 )
 def stop_by_language(spark, sf):
     stage = cl.AnalyzeText("text", "t", cl.Analyzer(lang_col="lang"))
-    return stage.transform(table(spark, sf, "documents")).select("doc_id", joined("t", " ").alias("terms"))
+    return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
 @query(
@@ -241,19 +241,19 @@ SYNONYMS = {"thon": "then", "er": "he", "tion": "motion", "anan": "ananas", "der
 )
 def synonym_terms(spark, sf):
     stage = cl.AnalyzeText("text", "t", cl.Analyzer(synonyms=SYNONYMS))
-    return stage.transform(table(spark, sf, "documents")).select("doc_id", joined("t", " ").alias("terms"))
+    return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
 @query("stem_terms")
 def stem_terms(spark, sf):
     stage = cl.AnalyzeText("text", "t", cl.Analyzer(stem=True))
-    return stage.transform(table(spark, sf, "documents")).select("doc_id", joined("t", " ").alias("terms"))
+    return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
 @query("synonym_tags")
 def synonym_tags(spark, sf):
     """Seed words and their neighbours, by vectors of how words spread over the languages."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     stage = cl.SynonymTags(["und", "los"], word_vectors(docs), "text", "tags", topn=3)
     tagged = stage.transform(docs)
     return tagged.select("doc_id", joined("tags").alias("tags"))
@@ -300,7 +300,7 @@ def corpus_sentiment(**options):
     """,
 )
 def sentiment_compound(spark, sf):
-    docs = corpus_sentiment().transform(table(spark, sf, "documents"))
+    docs = corpus_sentiment().transform(texts(spark, sf))
     return docs.select("doc_id", F.round("sentiment", 6).alias("sentiment"))
 
 
@@ -321,7 +321,7 @@ def sentiment_compound(spark, sf):
     """,
 )
 def sentiment_shares(spark, sf):
-    docs = corpus_sentiment(shares=True).transform(table(spark, sf, "documents"))
+    docs = corpus_sentiment(shares=True).transform(texts(spark, sf))
     share = lambda s: F.round(f"sentiment_{s}", 6).alias(s)
     return docs.select("doc_id", share("pos"), share("neg"), share("neu"))
 
@@ -349,7 +349,7 @@ def corpus_annotator():
 
 
 def enriched(spark, sf, **options):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     return cl.LinguisticEnrichment(corpus_annotator(), "text", **options).transform(docs)
 
 
@@ -365,26 +365,32 @@ def enriched(spark, sf, **options):
 def nlp_counts(spark, sf):
     """With null texts (one blank token) and empty ones (no token) among them."""
     text = F.when(F.col("lang") != "fr", F.col("text")).when(F.col("doc_id") > 100, F.lit(""))
-    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    docs = texts(spark, sf).select("doc_id", text.alias("text"))
     out = cl.LinguisticEnrichment(None, "text", tags=[], pos_stats=False).transform(docs)
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("text_wc", "text_sentence_count")))
 
 
 ENTITY_SQL = f"""
-    WITH t AS (SELECT doc_id, {sql_tokens()} AS tok FROM documents),
-    low AS (SELECT doc_id, tok, list_transform(tok, lambda x: lower(x)) AS w FROM t),
-    m AS (SELECT MAP({sql_list(PHRASES)}, {sql_list(PHRASES.values())}) AS m),
+    WITH t AS (
+      SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i
+      FROM (SELECT doc_id, {sql_tokens()} AS w FROM documents)),
+    g AS (
+      SELECT doc_id, i, t, t || ' ' || lead(t, 1) OVER p AS t2, t || ' ' || lead(t, 1) OVER p || ' ' || lead(t, 2) OVER p AS t3
+      FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    ph AS (SELECT * FROM {sql_values(PHRASES.items(), "phrase, label")}),
     cand AS (
-      SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i:
-        CASE WHEN i + 2 <= len(w) AND m[array_to_string(w[i:i+2], ' ')] IS NOT NULL
-               THEN {{'s': i, 'e': i + 3, 'k': [{{'label': m[array_to_string(w[i:i+2], ' ')], 'text': array_to_string(tok[i:i+2], ' ')}}]}}
-             WHEN i + 1 <= len(w) AND m[array_to_string(w[i:i+1], ' ')] IS NOT NULL
-               THEN {{'s': i, 'e': i + 2, 'k': [{{'label': m[array_to_string(w[i:i+1], ' ')], 'text': array_to_string(tok[i:i+1], ' ')}}]}}
-             WHEN m[w[i]] IS NOT NULL THEN {{'s': i, 'e': i + 1, 'k': [{{'label': m[w[i]], 'text': tok[i]}}]}} END),
-        lambda x: x IS NOT NULL) AS c FROM low, m),
+      SELECT doc_id, i,
+        CASE WHEN p3.label IS NOT NULL THEN {{'s': i, 'e': i + 3, 'k': [{{'label': p3.label, 'text': t3}}]}}
+             WHEN p2.label IS NOT NULL THEN {{'s': i, 'e': i + 2, 'k': [{{'label': p2.label, 'text': t2}}]}}
+             ELSE {{'s': i, 'e': i + 1, 'k': [{{'label': p1.label, 'text': t}}]}} END AS c
+      FROM g LEFT JOIN ph p1 ON lower(t) = p1.phrase LEFT JOIN ph p2 ON lower(t2) = p2.phrase
+        LEFT JOIN ph p3 ON lower(t3) = p3.phrase
+      WHERE coalesce(p1.label, p2.label, p3.label) IS NOT NULL),
+    lists AS (SELECT doc_id, list(c ORDER BY i) AS c FROM cand GROUP BY doc_id),
     ents AS (
-      SELECT doc_id, CASE WHEN len(c) = 0 THEN [] ELSE list_reduce(c, lambda a, x:
-        CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'k': a.k || x.k}} ELSE a END).k END AS ents FROM cand)
+      SELECT doc_id, list_reduce(c, lambda a, x:
+        CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'k': a.k || x.k}} ELSE a END).k AS ents
+      FROM documents LEFT JOIN lists USING (doc_id))
 """
 
 
@@ -505,7 +511,7 @@ SQL_VECTORS = f"""
     + " FROM n",
 )
 def doc_vector(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     stage = cl.LinguisticEnrichment(
         None, "text", tags=[], pos_stats=False, vec=True, word_vectors=cl.WordVectors(word_vectors(docs))
     )

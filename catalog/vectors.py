@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 import corpusloom as cl
 from corpusloom.functions import arrays
 from corpusloom.operators.vectors import vector_dims
+from corpusloom.session import cut_lineage
+from corpusloom.sources.tables import spread
 
 from .registry import query, table
 
@@ -17,7 +19,7 @@ SQL_CENTROID = """
 
 
 def centroids(spark, sf):
-    return cl.group_centroids(table(spark, sf, "embeddings"), "label", "embedding")
+    return cl.group_centroids(spread(table(spark, sf, "embeddings")), "label", "embedding")
 
 
 @query(
@@ -53,7 +55,7 @@ def group_centroid(spark, sf):
     FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label""",
 )
 def centroid_distance(spark, sf):
-    out = cl.pairwise_distances(centroids(spark, sf), "label", "centroid")
+    out = cl.pairwise_distances(cut_lineage(centroids(spark, sf)), "label", "centroid")
     return out.withColumn("distance", F.round("distance", 6))
 
 
@@ -68,6 +70,6 @@ def centroid_distance(spark, sf):
 def knn_cosine(spark, sf):
     """The ten vectors closest to the centre of each label."""
     found = cl.nearest_neighbours(
-        centroids(spark, sf), table(spark, sf, "embeddings"), 10, "label", "centroid", "vec_id", "embedding"
+        cut_lineage(centroids(spark, sf)), table(spark, sf, "embeddings"), 10, "label", "centroid", "vec_id", "embedding"
     )
     return found.select("label", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

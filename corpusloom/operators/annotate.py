@@ -89,7 +89,7 @@ class DictionaryAnnotator(Annotator):
         annotation = F.struct(
             F.col(tok).alias("tokens"), ents.alias("ents"), F.lit(None).cast("array<float>").alias("vector")
         )
-        return df.withColumn(out_col, annotation.cast(ANNOTATION)).drop(*helpers)
+        return df.withColumn(out_col, annotation).drop(*helpers)
 
     def _with_candidates(self, df, tok, low, cand, id_col):
         """The longest phrase starting at each token, as a possible entity."""
@@ -129,9 +129,10 @@ def _tokens(raw: Column, low: Column, entry: Callable[[Column], Column]) -> Colu
 
     def token(x: Column, i: Column) -> Column:
         shape = (
-            F.when(x["w"].rlike(r"^\p{N}+$"), "NUM")
-            .when(x["w"].rlike(r"^[\p{L}\p{N}]"), "X")
-            .when(F.trim(F.translate(x["w"], "\t\r\n\f", "    ")) == "", "SPACE")
+            F.when(x["w"].rlike(r"^\p{L}"), "X")
+            .when(x["w"].rlike(r"^\p{N}+$"), "NUM")
+            .when(x["w"].rlike(r"^\p{N}"), "X")
+            .when(F.substring(x["w"], 1, 1).isin(" ", "\t", "\r", "\n", "\f"), "SPACE")
             .otherwise("PUNCT")
         )
         return F.struct(

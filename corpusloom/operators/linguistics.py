@@ -86,14 +86,20 @@ class LinguisticEnrichment(Stage):
             text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" "))
             note = f"{c}_doc"
             df = self.annotator.annotate(df, text, note, id_col)
-            df = df.withColumns({f"{c}_{k}": v for k, v in self.features(F.col(note)).items()})
+            # Counted once per text and then only picked from.
+            classes, counts = f"_{c}_classes", f"_{c}_counts"
+            if self.pos:
+                df = df.withColumn(classes, F.col(note)["tokens"]["pos"])
+                df = df.withColumn(counts, F.array(*[occurrences(F.col(classes), p) for p in self.pos]))
+            features = self.features(F.col(note), F.col(counts))
+            df = df.withColumns({f"{c}_{k}": v for k, v in features.items()}).drop(classes, counts)
             if self.raw_vec or self.unit_vec:
                 df = self._with_vectors(df, c, note, id_col)
             if not self.return_doc:
                 df = df.drop(note)
         return df
 
-    def features(self, a: Column) -> dict[str, Column]:
+    def features(self, a: Column, counts: Column) -> dict[str, Column]:
         toks, ents = a["tokens"], a["ents"]
         filled = F.size(toks) > 0
         known = lambda value: F.when(filled, value)
@@ -110,10 +116,9 @@ class LinguisticEnrichment(Stage):
             out["subj"] = known(lemmas(toks, lambda t: t["dep"].isin(SUBJECT_DEPS)))
         if "verb" in self.tags:
             out["verb"] = known(lemmas(toks, lambda t: t["pos"] == "VERB"))
-        classes = toks["pos"]
-        for p in self.pos:
-            n = F.size(classes) - F.size(F.array_remove(classes, F.lit(p)))
-            out[f"num_{p}"] = known(n if self.fill_zero else F.nullif(n, F.lit(0)))
+        for i, p in enumerate(self.pos):
+            n = F.get(counts, F.lit(i))
+            out[f"num_{p}"] = known(n) if self.fill_zero else F.when(n > 0, n)
         return out
 
     def _with_vectors(self, df: DataFrame, c: str, note: str, id_col: str | None) -> DataFrame:
@@ -130,6 +135,11 @@ class LinguisticEnrichment(Stage):
         return df if self.raw_vec else df.drop(vec)
 
 
+def occurrences(values: Column, value: str) -> Column:
+    """How often a value is in an array."""
+    return F.size(values) - F.size(F.array_remove(values, F.lit(value)))
+
+
 def sentence_count(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.array_max(tokens["sent"]) + 1).otherwise(0)
 

@@ -114,7 +114,10 @@ def pairwise_distances(centroids: DataFrame, group: str, vec: str, block_rows: i
     )
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = keyed.select("g", "v", "b", F.explode(every).alias("other")).where("b <= other")
-    right = keyed.select("g", "v", F.col("b").alias("other"), F.explode(every).alias("b")).where("b <= other")
+    # Other names than on the left: both sides come from one table.
+    right = keyed.select(
+        F.col("g").alias("h"), F.col("v").alias("w"), F.col("b").alias("later"), F.explode(every).alias("first")
+    ).where("first <= later")
     group_type = centroids.schema[group].dataType.simpleString()
 
     kind = to_arrow_type(centroids.schema[group].dataType)
@@ -122,9 +125,9 @@ def pairwise_distances(centroids: DataFrame, group: str, vec: str, block_rows: i
     def distances(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if len(a) and len(b):  # a block may be empty
-            va, vb = _matrix(a.column("v")), _matrix(b.column("v"))
-            ga, gb = (np.asarray(t.column("g").to_pylist(), dtype=object) for t in (a, b))
-            same = a.column("b")[0] == b.column("other")[0]
+            va, vb = _matrix(a.column("v")), _matrix(b.column("w"))
+            ga, gb = (np.asarray(x.to_pylist(), dtype=object) for x in (a.column("g"), b.column("h")))
+            same = a.column("b")[0].as_py() == b.column("later")[0].as_py()
             for i in range(len(ga)):
                 gaps = np.sqrt(((vb - va[i]) ** 2).sum(axis=1))
                 keep = np.flatnonzero(gb > ga[i]) if same else np.arange(len(gb))
@@ -140,7 +143,7 @@ def pairwise_distances(centroids: DataFrame, group: str, vec: str, block_rows: i
 
     return (
         left.groupBy("b", "other")
-        .cogroup(right.groupBy("b", "other"))
+        .cogroup(right.groupBy("first", "later"))
         .applyInArrow(distances, f"group_a {group_type}, group_b {group_type}, distance double")
     )
 

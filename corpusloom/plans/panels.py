@@ -9,7 +9,7 @@ no heavier than another.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -113,8 +113,8 @@ class Panel:
     """
 
     field: str
-    metric: str = "count"
-    metric_col: str | None = None
+    metric: str = field(default="count", kw_only=True)
+    metric_col: str | None = field(default=None, kw_only=True)
 
 
 @dataclass(frozen=True)
@@ -223,7 +223,7 @@ def date_histogram(df: DataFrame, panel: DateHistogram, span: tuple | None = Non
 
 def metric_by(df: DataFrame, field: str, metric: str, metric_col: str) -> DataFrame:
     """A metric per value of a column."""
-    return _buckets(df, Panel(field, metric, metric_col), F.col(f"`{field}`"))
+    return _buckets(df, Panel(field, metric=metric, metric_col=metric_col), F.col(f"`{field}`"))
 
 
 # --- the default dashboard -------------------------------------------------

@@ -20,6 +20,18 @@ def read_texts(spark: SparkSession, path: str, format: str | None = None, schema
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when the input has fewer parts than the cluster has cores.
+
+    A file of one row group is one task however long its texts are. With
+    enough parts nothing is moved.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def head(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
     """The first ``n`` rows in a stated order."""
     return df.orderBy(order_by).limit(n)

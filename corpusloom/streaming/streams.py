@@ -14,10 +14,16 @@ from ..sources.index import prepared
 
 
 def stream_table(spark: SparkSession, path: str, schema=None, format: str = "parquet", **options) -> DataFrame:
-    """A stream over the files of a table, present and to come."""
+    """A stream over the files of a table folder, present and to come, or over one file."""
     if schema is None:
         schema = spark.read.format(format).load(path).schema
-    return spark.readStream.format(format).schema(schema).options(**options).load(path)
+    reader = spark.readStream.format(format).schema(schema).options(**options)
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(location).isFile():
+        # A stream watches folders: watch the file's own, for this name only.
+        return reader.option("pathGlobFilter", location.getName()).load(location.getParent().toString())
+    return reader.load(path)
 
 
 def enrich_stream(
