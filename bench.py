@@ -59,6 +59,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     result = {"metric": "total_query_time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took}
     if "enriched_index" in took:
         n = table(spark, sf_dir, "documents").count()

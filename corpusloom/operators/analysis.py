@@ -19,7 +19,7 @@ from .stages import Stage
 
 def without_possessive(term: Column) -> Column:
     """Drop a trailing ``'s`` from a lowercase term."""
-    ending = F.substring(term, -2, 2).isin("'s", "’s")
+    ending = F.endswith(term, F.lit("'s")) | F.endswith(term, F.lit("’s"))
     return F.when(ending, F.substring(term, F.lit(1), F.length(term) - 2)).otherwise(term)
 
 

@@ -84,23 +84,30 @@ class LinguisticEnrichment(Stage):
         id_col = roles.id if roles else None
         for c in self.cols:
             text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" "))
-            note = f"{c}_doc"
+            note, toks, ents, vector = f"{c}_doc", f"_{c}_toks", f"_{c}_ents", f"_{c}_vector"
             df = self.annotator.annotate(df, text, note, id_col)
-            # Counted once per text and then only picked from.
-            classes, counts = f"_{c}_classes", f"_{c}_counts"
+            # The parts as columns of their own, so that unused ones are never made.
+            parts = {toks: "tokens", ents: "ents", vector: "vector"}
+            df = df.withColumns({name: F.col(note)[part] for name, part in parts.items()}).drop(note)
+            counts = f"_{c}_counts"
             if self.pos:
-                df = df.withColumn(classes, F.col(note)["tokens"]["pos"])
-                df = df.withColumn(counts, F.array(*[occurrences(F.col(classes), p) for p in self.pos]))
-            features = self.features(F.col(note), F.col(counts))
-            df = df.withColumns({f"{c}_{k}": v for k, v in features.items()}).drop(classes, counts)
+                # Counted once per text and then only picked from. Both steps
+                # are lambdas on purpose: the optimizer would repeat a field
+                # access or an array of expressions at every use.
+                classes = f"_{c}_classes"
+                df = df.withColumn(classes, F.transform(F.col(toks), lambda t: t["pos"]))
+                wanted = F.array(*[F.lit(p) for p in self.pos])
+                df = df.withColumn(counts, F.transform(wanted, _occurrences_in(classes))).drop(classes)
+            features = self.features(F.col(toks), F.col(ents), F.col(counts))
+            df = df.withColumns({f"{c}_{k}": v for k, v in features.items()})
             if self.raw_vec or self.unit_vec:
-                df = self._with_vectors(df, c, note, id_col)
-            if not self.return_doc:
-                df = df.drop(note)
+                df = self._with_vectors(df, c, F.col(toks), F.col(vector), id_col)
+            if self.return_doc:
+                df = df.withColumn(note, F.struct(*[F.col(name).alias(part) for name, part in parts.items()]))
+            df = df.drop(counts, *parts)
         return df
 
-    def features(self, a: Column, counts: Column) -> dict[str, Column]:
-        toks, ents = a["tokens"], a["ents"]
+    def features(self, toks: Column, ents: Column, counts: Column) -> dict[str, Column]:
         filled = F.size(toks) > 0
         known = lambda value: F.when(filled, value)
         out = {"wc": F.size(toks), "sentence_count": sentence_count(toks)}
@@ -121,23 +128,21 @@ class LinguisticEnrichment(Stage):
             out[f"num_{p}"] = known(n) if self.fill_zero else F.when(n > 0, n)
         return out
 
-    def _with_vectors(self, df: DataFrame, c: str, note: str, id_col: str | None) -> DataFrame:
+    def _with_vectors(self, df: DataFrame, c: str, toks: Column, vector: Column, id_col: str | None) -> DataFrame:
         vec = f"{c}_vec"
         if self.word_vectors is not None:
-            lowered = F.transform(F.col(note)["tokens"], lambda t: F.lower(t["text"]))
-            df = self.word_vectors.add_document_vector(df, lowered, vec, id_col)
+            df = self.word_vectors.add_document_vector(df, F.transform(toks["text"], F.lower), vec, id_col)
         else:
-            df = df.withColumn(vec, F.col(note)["vector"].cast("array<double>"))
-        empty = F.size(F.col(note)["tokens"]) == 0
-        df = df.withColumn(vec, F.when(~empty, F.col(vec)))
+            df = df.withColumn(vec, vector.cast("array<double>"))
+        df = df.withColumn(vec, F.when(F.size(toks) > 0, F.col(vec)))
         if self.unit_vec:
             df = df.withColumn(f"{c}_vec_normalized", arrays.unit(F.col(vec)))
         return df if self.raw_vec else df.drop(vec)
 
 
-def occurrences(values: Column, value: str) -> Column:
-    """How often a value is in an array."""
-    return F.size(values) - F.size(F.array_remove(values, F.lit(value)))
+def _occurrences_in(values: str) -> Callable[[Column], Column]:
+    """How often a value is in an array column."""
+    return lambda value: F.size(values) - F.size(F.array_remove(F.col(values), value))
 
 
 def sentence_count(tokens: Column) -> Column:

@@ -26,9 +26,6 @@ def local_session(cores: int | str = 8, app: str = "corpusloom", **settings: str
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
-        # One input file still has to feed every core.
-        .config("spark.sql.files.maxPartitionBytes", str(4 << 20))
-        .config("spark.sql.files.openCostInBytes", "0")
     )
     for key, value in {**LOCAL_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
