@@ -26,4 +26,12 @@ from .sources.tables import head, html_files, read_texts, union_by_name
 
 __version__ = "0.1.0"
 
+# Functions run by Python workers travel with the job: nothing has to be
+# installed on the executors.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -7,7 +7,7 @@ encoded first and only its distinct words are stemmed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,6 +23,10 @@ STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+# Stems a task remembers.
+MEMO = 200_000
+
+
 def _rules(table: str) -> list[tuple[str, str]]:
     pairs = [tuple(rule.split(":")) for rule in table.split()]
     return sorted(pairs, key=lambda p: -len(p[0]))
@@ -100,7 +104,6 @@ def _step_5(w: str) -> str:
     return w
 
 
-@lru_cache(maxsize=200_000)
 def porter(word: str) -> str:
     """Stem one lowercase English word."""
     if len(word) <= 2 or not word.isascii():
@@ -117,12 +120,14 @@ def stemmed(terms: Column, stemmer: Callable[[str], str] = porter) -> Column:
     """Stem every word of an ``array<string>`` column, in place and in order."""
 
     @F.arrow_udf("array<string>")
-    def stem_batch(arrays: pa.Array) -> pa.Array:
-        flat = arrays.flatten().dictionary_encode()
-        stems = pa.array([stemmer(w) for w in flat.dictionary.to_pylist()], pa.string())
-        values = pc.take(stems, flat.indices)
-        lengths = pc.fill_null(pc.list_value_length(arrays), 0)
-        offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths.cast(pa.int64()))])
-        return pa.ListArray.from_arrays(offsets.cast(pa.int32()), values, mask=arrays.is_null())
+    def stem_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        stem = lru_cache(maxsize=MEMO)(stemmer)
+        for arrays in batches:
+            flat = arrays.flatten().dictionary_encode()
+            stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+            values = pc.take(stems, flat.indices)
+            lengths = pc.fill_null(pc.list_value_length(arrays), 0)
+            offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths.cast(pa.int64()))])
+            yield pa.ListArray.from_arrays(offsets.cast(pa.int32()), values, mask=arrays.is_null())
 
     return stem_batch(terms)

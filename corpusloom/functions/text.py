@@ -77,7 +77,7 @@ def find_all(text: Column, regex: str, dialect: str = "python") -> Column:
 def split_clean(text: Column, separator: str) -> Column:
     """Pieces between occurrences of ``separator``, trimmed, empties dropped; null gives none."""
     pieces = F.split(F.coalesce(text.cast("string"), F.lit("")), re.escape(separator))
-    return F.filter(F.transform(pieces, F.trim), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def highlight(text: Column, terms: list[str], before: str = "<em>", after: str = "</em>") -> Column:
