@@ -11,7 +11,7 @@ from ..operators.stages import Stage, TableStage
 from ..operators.vectors import vector_dims
 from ..roles import Roles
 from ..session import shared_folder
-from ..sources.index import Index
+from ..sources.index import Index, prepared
 from . import panels as pn
 
 
@@ -121,7 +121,8 @@ class Pipeline:
     def _write(self, index: Index, enriched: DataFrame, if_exists: str | None) -> None:
         seen = Observation(f"write {self.index_name}")
         cols = self._ranged()
-        watched = enriched.observe(seen, F.count(F.lit(1)).alias("rows"), *pn.range_columns(enriched, cols))
+        rows = prepared(enriched, self.roles)
+        watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *pn.range_columns(rows, cols))
         index.write(watched, self.roles, if_exists, self.partition_by)
         values = seen.get
         self.rows_written = values["rows"]
@@ -145,5 +146,5 @@ class Pipeline:
 
     def _source(self, df: DataFrame | None):
         if df is not None:
-            return df, None
+            return self.roles.typed(df), None
         return self.index(SparkSession.getActiveSession()).read(), self.spans
