@@ -19,7 +19,12 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; the zero vector stays as it is."""
-    return F.when(norm(a) == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / norm(a)))
+
+    def divided(n: Column) -> Column:
+        return F.transform(doubles(a), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+
+    # The norm is an element of a list of one, so that it is computed once.
+    return F.get(F.transform(F.array(norm(a)), divided), F.lit(0))
 
 
 def rounded(a: Column, digits: int = 6) -> Column:

@@ -11,6 +11,7 @@ expressions. :class:`ModelAnnotator` runs a user's model in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, fields
 from typing import Any
 
 import pandas as pd
@@ -26,12 +27,54 @@ ANNOTATION = f"struct<tokens:array<{TOKEN}>,ents:array<{ENTITY}>,vector:array<fl
 WORD_ENTRY = "struct<lemma:string,pos:string,dep:string>"
 
 
+@dataclass(frozen=True)
+class Parts:
+    """Names of the columns an annotation is made of: parallel arrays of the
+    tokens' texts, sentence numbers, lemmas, classes and roles; entities; vector.
+
+    Features read these rather than an array of structs: what no feature asks
+    for is then never computed.
+    """
+
+    texts: str
+    sents: str
+    lemmas: str
+    pos: str
+    deps: str
+    ents: str
+    vector: str
+
+    @classmethod
+    def named(cls, prefix: str) -> "Parts":
+        return cls(*(f"{prefix}_{f.name}" for f in fields(cls)))
+
+    def columns(self) -> list[str]:
+        return [getattr(self, f.name) for f in fields(self)]
+
+    def annotation(self) -> Column:
+        """All parts as one nested value."""
+        names = {"text": self.texts, "sent": self.sents, "lemma": self.lemmas, "pos": self.pos, "dep": self.deps}
+        zipped = F.arrays_zip(*names.values())
+
+        def token(t: Column, i: Column) -> Column:
+            return F.struct(i.alias("i"), *[t[names[k]].alias(k) for k in ("sent", "text", "lemma", "pos", "dep")])
+
+        return F.struct(
+            F.transform(zipped, token).alias("tokens"), F.col(self.ents).alias("ents"), F.col(self.vector).alias("vector")
+        )
+
+
 class Annotator:
-    """Adds an annotation column to a table."""
+    """Adds annotations to a table, as parts or as one nested column."""
 
-    def annotate(self, df: DataFrame, text: Column, out_col: str, id_col: str | None = None) -> DataFrame:
+    def add_parts(self, df: DataFrame, text: Column, parts: Parts, id_col: str | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def annotate(self, df: DataFrame, text: Column, out_col: str, id_col: str | None = None) -> DataFrame:
+        parts = Parts.named(f"_{out_col}")
+        df = self.add_parts(df, text, parts, id_col)
+        return df.withColumn(out_col, parts.annotation()).drop(*parts.columns())
+
 
 class DictionaryAnnotator(Annotator):
     """Word classes by dictionary, entities by phrase list and token pattern.
@@ -65,33 +108,40 @@ class DictionaryAnnotator(Annotator):
             max_phrase = max((len(p.split(" ")) for p in self.phrases.keys()), default=0)
         self.max_phrase = max_phrase
 
-    def annotate(self, df, text, out_col, id_col=None):
-        raw, low, tok, cand = (f"_{out_col}_{x}" for x in ("raw", "low", "tokens", "candidates"))
-        per_sentence = F.transform(
-            tx.sentences(text),
-            lambda s, k: F.transform(tx.tokens(s), lambda t: F.struct(k.alias("sent"), t.alias("text"))),
-        )
-        df = df.withColumn(raw, F.flatten(per_sentence))
-        df = df.withColumn(low, F.transform(F.col(raw), lambda t: F.lower(t["text"])))
-        helpers = [raw, low]
+    def add_parts(self, df, text, parts, id_col=None):
+        nested, low, entries, cand = (f"{parts.texts}_{x}" for x in ("nested", "low", "entries", "candidates"))
+        df = df.withColumn(nested, F.transform(tx.sentences(text), lambda s: tx.tokens(s)))
+        numbered = F.transform(F.col(nested), lambda s, k: F.array_repeat(k, F.size(s)))
+        df = df.withColumns({parts.texts: F.flatten(nested), parts.sents: F.flatten(numbered)})
+        df = df.withColumn(low, F.transform(F.col(parts.texts), lambda t: F.lower(t)))
+        helpers = [nested, low]
+        # Parallel arrays meet in zip_with, never through a lambda that refers
+        # to another column: the optimizer may put that column's whole
+        # expression into the lambda, to be computed for every token.
         if self.words is not None:
             df, entry, extra = self.words.bind(df, F.col(low), id_col)
-            helpers += extra
+            df = df.withColumn(entries, F.transform(F.col(low), lambda w: entry(w)))
+            helpers += [entries, *extra]
+            merged = {
+                parts.lemmas: F.zip_with(entries, low, lambda e, w: F.coalesce(e["lemma"], w)),
+                parts.pos: F.zip_with(entries, low, lambda e, w: F.coalesce(e["pos"], _shape(w))),
+                parts.deps: F.transform(entries, lambda e: e["dep"]),
+            }
         else:
-            entry = lambda _: F.lit(None).cast(WORD_ENTRY)
-        df = df.withColumn(tok, _tokens(F.col(raw), F.col(low), entry))
-        helpers.append(tok)
+            merged = {
+                parts.lemmas: F.col(low),
+                parts.pos: F.transform(low, lambda w: _shape(w)),
+                parts.deps: F.transform(low, lambda w: F.lit(None).cast("string")),
+            }
+        df = df.withColumns({**merged, parts.vector: F.lit(None).cast("array<float>")})
         ents = F.array().cast(f"array<{ENTITY}>")
         if (self.phrases is not None and self.max_phrase) or self.patterns:
-            df, extra = self._with_candidates(df, tok, low, cand, id_col)
+            df, extra = self._with_candidates(df, parts.texts, low, cand, id_col)
             helpers += extra
             ents = _leftmost(F.col(cand))
-        annotation = F.struct(
-            F.col(tok).alias("tokens"), ents.alias("ents"), F.lit(None).cast("array<float>").alias("vector")
-        )
-        return df.withColumn(out_col, annotation).drop(*helpers)
+        return df.withColumn(parts.ents, ents).drop(*helpers)
 
-    def _with_candidates(self, df, tok, low, cand, id_col):
+    def _with_candidates(self, df, texts, low, cand, id_col):
         """The longest phrase starting at each token, as a possible entity."""
         helpers = [cand]
         sizes = range(self.max_phrase, 0, -1) if self.phrases is not None else []
@@ -114,46 +164,35 @@ class DictionaryAnnotator(Annotator):
             for n in sizes:
                 hit = (i + n <= F.size(low)) & label(phrase(i, n)).isNotNull()
                 hit = opens(i) & hit if n == self.max_phrase else hit
-                found = found.when(hit, _entity(tok, i, n, label(phrase(i, n))))
+                found = found.when(hit, _entity(texts, i, n, label(phrase(i, n))))
             for name, pattern in self.patterns.items():
-                found = found.when(F.get(F.col(tok), i)["text"].rlike(pattern), _entity(tok, i, 1, F.lit(name)))
+                found = found.when(F.get(F.col(texts), i).rlike(pattern), _entity(texts, i, 1, F.lit(name)))
             return found.otherwise(F.lit(None).cast(ENTITY))
 
         if label is not None and not self.patterns:
             starts = F.filter(starts, opens)
-        return df.withColumn(cand, F.filter(F.transform(starts, entity), lambda e: e.isNotNull())), helpers
-
-
-def _tokens(raw: Column, low: Column, entry: Callable[[Column], Column]) -> Column:
-    looked_up = F.zip_with(raw, low, lambda t, w: F.struct(t.alias("t"), w.alias("w"), entry(w).alias("d")))
-
-    def token(x: Column, i: Column) -> Column:
-        shape = (
-            F.when(x["w"].rlike(r"^\p{L}"), "X")
-            .when(x["w"].rlike(r"^\p{N}+$"), "NUM")
-            .when(x["w"].rlike(r"^\p{N}"), "X")
-            .when(F.substring(x["w"], 1, 1).isin(" ", "\t", "\r", "\n", "\f"), "SPACE")
-            .otherwise("PUNCT")
-        )
-        return F.struct(
-            i.alias("i"),
-            x["t"]["sent"].alias("sent"),
-            x["t"]["text"].alias("text"),
-            F.coalesce(x["d"]["lemma"], x["w"]).alias("lemma"),
-            F.coalesce(x["d"]["pos"], shape).alias("pos"),
-            x["d"]["dep"].alias("dep"),
-        )
-
-    return F.transform(looked_up, token)
+        # The size test also keeps the token array a column of its own (see add_parts).
+        found = F.when(F.size(texts) > 0, F.filter(F.transform(starts, entity), lambda e: e.isNotNull()))
+        return df.withColumn(cand, F.coalesce(found, F.array().cast(f"array<{ENTITY}>"))), helpers
+
+
+def _shape(word: Column) -> Column:
+    """The class of a word no dictionary knows."""
+    return (
+        F.when(word.rlike(r"^\p{L}"), "X")
+        .when(word.rlike(r"^\p{N}+$"), "NUM")
+        .when(word.rlike(r"^\p{N}"), "X")
+        .when(F.substring(word, 1, 1).isin(" ", "\t", "\r", "\n", "\f"), "SPACE")
+        .otherwise("PUNCT")
+    )
 
 
-def _entity(tok: str, i: Column, n: int, label: Column) -> Column:
-    words = F.transform(F.slice(F.col(tok), i + 1, F.lit(n)), lambda t: t["text"])
+def _entity(texts: str, i: Column, n: int, label: Column) -> Column:
     return F.struct(
-        F.array_join(words, " ").alias("text"),
+        F.array_join(F.slice(F.col(texts), i + 1, F.lit(n)), " ").alias("text"),
         label.cast("string").alias("label"),
-        i.cast("int").alias("start"),
-        (i + n).cast("int").alias("end"),
+        i.alias("start"),
+        (i + n).alias("end"),
     )
 
 
@@ -183,6 +222,15 @@ class ModelAnnotator(Annotator):
     def __init__(self, factory: Callable[[], Callable[[list[str]], Iterable[dict[str, Any]]]]):
         self.factory = factory
 
+    def add_parts(self, df, text, parts, id_col=None):
+        note = f"{parts.texts}_note"
+        df = self.annotate(df, text, note)
+        field = lambda name: F.transform(F.col(note)["tokens"], lambda t: t[name])
+        names = {parts.texts: "text", parts.sents: "sent", parts.lemmas: "lemma", parts.pos: "pos", parts.deps: "dep"}
+        columns = {out: field(name) for out, name in names.items()}
+        columns |= {parts.ents: F.col(note)["ents"], parts.vector: F.col(note)["vector"]}
+        return df.withColumns(columns).drop(note)
+
     def annotate(self, df, text, out_col, id_col=None):
         factory = self.factory
 

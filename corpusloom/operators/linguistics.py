@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays
-from .annotate import Annotator, annotator
+from .annotate import Annotator, Parts, annotator
 from .stages import Stage, as_list
 from .vectors import WordVectors
 
@@ -84,33 +84,30 @@ class LinguisticEnrichment(Stage):
         id_col = roles.id if roles else None
         for c in self.cols:
             text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" "))
-            note, toks, ents, vector = f"{c}_doc", f"_{c}_toks", f"_{c}_ents", f"_{c}_vector"
-            df = self.annotator.annotate(df, text, note, id_col)
-            # The parts as columns of their own, so that unused ones are never made.
-            parts = {toks: "tokens", ents: "ents", vector: "vector"}
-            df = df.withColumns({name: F.col(note)[part] for name, part in parts.items()}).drop(note)
+            parts = Parts.named(f"_{c}")
+            df = self.annotator.add_parts(df, text, parts, id_col)
             counts = f"_{c}_counts"
             if self.pos:
-                # Counted once per text and then only picked from. Both steps
-                # are lambdas on purpose: the optimizer would repeat a field
-                # access or an array of expressions at every use.
-                classes = f"_{c}_classes"
-                df = df.withColumn(classes, F.transform(F.col(toks), lambda t: t["pos"]))
+                # Counted once per text and then only picked from; a lambda,
+                # since the optimizer would repeat an array of expressions.
                 wanted = F.array(*[F.lit(p) for p in self.pos])
-                df = df.withColumn(counts, F.transform(wanted, _occurrences_in(classes))).drop(classes)
-            features = self.features(F.col(toks), F.col(ents), F.col(counts))
+                df = df.withColumn(counts, F.transform(wanted, _occurrences_in(parts.pos)))
+            features = self.features(parts, F.col(counts))
             df = df.withColumns({f"{c}_{k}": v for k, v in features.items()})
             if self.raw_vec or self.unit_vec:
-                df = self._with_vectors(df, c, F.col(toks), F.col(vector), id_col)
+                df = self._with_vectors(df, c, parts, id_col)
             if self.return_doc:
-                df = df.withColumn(note, F.struct(*[F.col(name).alias(part) for name, part in parts.items()]))
-            df = df.drop(counts, *parts)
+                df = df.withColumn(f"{c}_doc", parts.annotation())
+            df = df.drop(counts, *parts.columns())
         return df
 
-    def features(self, toks: Column, ents: Column, counts: Column) -> dict[str, Column]:
-        filled = F.size(toks) > 0
+    def features(self, parts: Parts, counts: Column) -> dict[str, Column]:
+        ents, filled = F.col(parts.ents), F.size(parts.texts) > 0
         known = lambda value: F.when(filled, value)
-        out = {"wc": F.size(toks), "sentence_count": sentence_count(toks)}
+        out = {
+            "wc": F.size(parts.texts),
+            "sentence_count": F.when(filled, F.array_max(parts.sents) + 1).otherwise(0),
+        }
         if "ents" in self.tags:
             if self.entity_labels is None:
                 out["entities"] = known(entities_by_label(ents))
@@ -120,21 +117,22 @@ class LinguisticEnrichment(Stage):
             keep = lambda e: ~e["label"].isin(self.ents_exclude) if self.ents_exclude else F.lit(True)
             out["ents"] = known(none_if_empty(entity_texts(ents, keep)))
         if "subj" in self.tags:
-            out["subj"] = known(lemmas(toks, lambda t: t["dep"].isin(SUBJECT_DEPS)))
+            out["subj"] = known(lemmas_where(parts.lemmas, parts.deps, lambda d: d.isin(SUBJECT_DEPS)))
         if "verb" in self.tags:
-            out["verb"] = known(lemmas(toks, lambda t: t["pos"] == "VERB"))
+            out["verb"] = known(lemmas_where(parts.lemmas, parts.pos, lambda p: p == "VERB"))
         for i, p in enumerate(self.pos):
             n = F.get(counts, F.lit(i))
             out[f"num_{p}"] = known(n) if self.fill_zero else F.when(n > 0, n)
         return out
 
-    def _with_vectors(self, df: DataFrame, c: str, toks: Column, vector: Column, id_col: str | None) -> DataFrame:
+    def _with_vectors(self, df: DataFrame, c: str, parts: Parts, id_col: str | None) -> DataFrame:
         vec = f"{c}_vec"
         if self.word_vectors is not None:
-            df = self.word_vectors.add_document_vector(df, F.transform(toks["text"], F.lower), vec, id_col)
+            lowered = F.transform(F.col(parts.texts), lambda t: F.lower(t))
+            df = self.word_vectors.add_document_vector(df, lowered, vec, id_col)
         else:
-            df = df.withColumn(vec, vector.cast("array<double>"))
-        df = df.withColumn(vec, F.when(F.size(toks) > 0, F.col(vec)))
+            df = df.withColumn(vec, F.col(parts.vector).cast("array<double>"))
+        df = df.withColumn(vec, F.when(F.size(parts.texts) > 0, F.col(vec)))
         if self.unit_vec:
             df = df.withColumn(f"{c}_vec_normalized", arrays.unit(F.col(vec)))
         return df if self.raw_vec else df.drop(vec)
@@ -145,10 +143,6 @@ def _occurrences_in(values: str) -> Callable[[Column], Column]:
     return lambda value: F.size(values) - F.size(F.array_remove(F.col(values), value))
 
 
-def sentence_count(tokens: Column) -> Column:
-    return F.when(F.size(tokens) > 0, F.array_max(tokens["sent"]) + 1).otherwise(0)
-
-
 def entity_texts(ents: Column, keep: Callable[[Column], Column]) -> Column:
     return F.transform(F.filter(ents, keep), lambda e: e["text"])
 
@@ -164,8 +158,10 @@ def entities_by_label(ents: Column) -> Column:
     return F.when(F.size(ents) > 0, F.map_from_arrays(labels, texts))
 
 
-def lemmas(tokens: Column, keep: Callable[[Column], Column]) -> Column:
-    return F.transform(F.filter(tokens, keep), lambda t: t["lemma"])
+def lemmas_where(lemmas: str, marks: str, keep: Callable[[Column], Column]) -> Column:
+    """Lemmas of the tokens whose mark, in a parallel array, is wanted."""
+    kept = F.zip_with(lemmas, marks, lambda lemma, mark: F.when(keep(mark), lemma))
+    return F.filter(kept, lambda lemma: lemma.isNotNull())
 
 
 def none_if_empty(values: Column) -> Column:
