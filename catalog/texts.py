@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpusloom as cl
 from corpusloom.functions import text as tx
 from corpusloom.functions.languages import stop_words
+from corpusloom.session import cut_lineage
 from corpusloom.operators.linguistics import POS_TAGS, pos_value_counts, widen
 
 from .registry import query, quoted, sql_list, sql_sentences, sql_tokens, sql_values, sql_words, table, texts
@@ -254,7 +255,7 @@ def stem_terms(spark, sf):
 def synonym_tags(spark, sf):
     """Seed words and their neighbours, by vectors of how words spread over the languages."""
     docs = texts(spark, sf)
-    stage = cl.SynonymTags(["und", "los"], word_vectors(docs), "text", "tags", topn=3)
+    stage = cl.SynonymTags(["und", "los"], cut_lineage(word_vectors(docs)), "text", "tags", topn=3)
     tagged = stage.transform(docs)
     return tagged.select("doc_id", joined("tags").alias("tags"))
 
@@ -513,7 +514,7 @@ SQL_VECTORS = f"""
 def doc_vector(spark, sf):
     docs = texts(spark, sf)
     stage = cl.LinguisticEnrichment(
-        None, "text", tags=[], pos_stats=False, vec=True, word_vectors=cl.WordVectors(word_vectors(docs))
+        None, "text", tags=[], pos_stats=False, vec=True, word_vectors=cl.WordVectors(cut_lineage(word_vectors(docs)))
     )
     ids = cl.Roles(id="doc_id")
     out = stage.transform(docs.select("doc_id", "text"), ids)

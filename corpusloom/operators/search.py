@@ -68,6 +68,25 @@ def match_terms(
 
 
 def postings(df: DataFrame, id_col: str, col: str, analyzer: Analyzer | None = None) -> DataFrame:
-    """One row per term and document with the term's frequency there."""
+    """One row per term and document with the term's frequency there.
+
+    A document is one row, so its terms are counted inside the row: sorted,
+    then measured run by run. Nothing is shuffled.
+    """
     out = (analyzer or Analyzer()).add_terms(df.select(id_col, col), col, "_terms", id_col)
-    return out.select(id_col, F.explode("_terms").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
+    out = out.select(id_col, F.sort_array("_terms").alias("_terms"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_terms"))
+    first = F.zip_with("_terms", F.slice(before, F.lit(1), F.size("_terms")), lambda t, b: b.isNull() | (t != b))
+    places = F.filter(F.transform(first, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+    out = out.withColumn("_starts", places)
+    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_terms")))
+    # The size test keeps both arrays columns of their own.
+    runs = F.when(
+        (F.size("_terms") > 0) & (F.size("_starts") > 0),
+        F.zip_with(
+            "_starts",
+            ends,
+            lambda a, b: F.struct(F.get(F.col("_terms"), a).alias("term"), (b - a).cast("long").alias("tf")),
+        ),
+    )
+    return out.select(id_col, F.inline(runs))

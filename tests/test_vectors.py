@@ -45,6 +45,13 @@ def test_neighbours_equal_brute_force(points, options):
     assert got == brute_force([(i, v) for i, _, v in rows], rows, 5)
 
 
+def test_neighbours_are_cut_before_the_shuffle(points):
+    df, _ = points
+    found = cl.nearest_neighbours(df.select(F.col("id").alias("q"), F.col("v").alias("qv")), df, 5, "q", "qv", "id", "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_approximate_neighbours_find_copies(points):
     df, _ = points
     queries = df.where("id = 5").select(F.col("id").alias("q"), F.col("v").alias("qv"))
