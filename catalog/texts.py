@@ -251,15 +251,6 @@ def stem_terms(spark, sf):
     return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
-@query("synonym_tags")
-def synonym_tags(spark, sf):
-    """Seed words and their neighbours, by vectors of how words spread over the languages."""
-    docs = texts(spark, sf)
-    stage = cl.SynonymTags(["und", "los"], cut_lineage(word_vectors(docs)), "text", "tags", topn=3)
-    tagged = stage.transform(docs)
-    return tagged.select("doc_id", joined("tags").alias("tags"))
-
-
 # --- sentiment -------------------------------------------------------------
 
 LEXICON = {
@@ -520,3 +511,23 @@ def doc_vector(spark, sf):
     out = stage.transform(docs.select("doc_id", "text"), ids)
     part = lambda c, p: [F.round(F.col(c)[i], 6).alias(f"{p}_{x}") for i, x in enumerate(("de", "en", "es", "fr"))]
     return out.select("doc_id", *part("text_vec", "v"), *part("text_vec_normalized", "u"))
+
+
+@query(
+    "synonym_tags",
+    SQL_VECTORS
+    + f""", v AS (SELECT w, [de, en, es, fr]::DOUBLE[] AS v FROM vec),
+    s AS (SELECT a.w AS seed, b.w, round(list_cosine_similarity(a.v, b.v), 9) AS score
+      FROM v a, v b WHERE a.w IN ('und', 'los')),
+    k AS (SELECT w, row_number() OVER (PARTITION BY seed ORDER BY score DESC, w) AS rank FROM s),
+    known AS (SELECT list(DISTINCT w) AS known FROM (SELECT w FROM k WHERE rank <= 4 UNION SELECT unnest(['und', 'los'])))
+    SELECT doc_id, array_to_string(list_filter({sql_words()}, lambda x: list_contains(known, x)), '|') AS tags
+    FROM documents, known
+    """,
+)
+def synonym_tags(spark, sf):
+    """Seed words and their neighbours, by vectors of how words spread over the languages."""
+    docs = texts(spark, sf)
+    stage = cl.SynonymTags(["und", "los"], cut_lineage(word_vectors(docs)), "text", "tags", topn=3)
+    tagged = stage.transform(docs)
+    return tagged.select("doc_id", joined("tags").alias("tags"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import html_files
-from .linguistics import widen
+from .linguistics import MAX_LABELS, checked_labels, widen
 
 # Tags whose texts become columns by default.
 DEFAULT_TAGS = ["h1", "h2", "h3", "b", "em"]
@@ -180,7 +180,7 @@ def parse_html(
     autounbox: bool = True,
     add_meta_names: bool = True,
     meta_names_prefix: str = "meta_",
-    meta_names: Sequence[str] | None = None,
+    meta_names: Sequence[str] | str | None = None,
     tags: Sequence[str] = tuple(DEFAULT_TAGS),
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -192,9 +192,10 @@ def parse_html(
     select: ``{column: CSS selector}``; alternatives are separated by commas.
     limit: only the first so many pages by ``order_by``.
     autounbox: list columns of at most one element in every row become plain
-        values. This looks at the whole table once, see :func:`unbox`.
-    add_meta_names: add ``meta_NAME`` columns for the named metas. The names
-        are found by one aggregation unless ``meta_names`` lists them.
+        values, as :func:`unbox` does.
+    add_meta_names: add ``meta_NAME`` columns for the named metas: those in
+        ``meta_names``, or all there are. ``meta_names="map"`` keeps one map
+        column ``meta`` instead, for tables of countless names.
     keep: columns of ``pages`` to carry along.
     """
     select = dict(select or {})
@@ -211,14 +212,45 @@ def parse_html(
     columns += [page[f"t{i}"].alias(t) for i, t in enumerate(tags)]
     columns += [page["_links"].alias("a")]
     if add_meta_names:
-        columns.append(page["_meta"].alias("_meta"))
+        columns.append(page["_meta"].alias("meta"))
     table = rows.select(*carried, *columns)
-    lists = [c for c in table.columns if c not in keep and c not in ("body", "_meta")]
-    if add_meta_names:
-        before = set(table.columns)
-        table = widen(table, "_meta", meta_names_prefix, meta_names)
-        lists += [c for c in table.columns if c not in before]
-    return unbox(table, lists) if autounbox else table
+    lists = [c for c in table.columns if c not in (*keep, "body", "meta")]
+    spread_metas = add_meta_names and meta_names != "map"
+    if not autounbox and (not spread_metas or meta_names is not None):
+        return widen(table, "meta", meta_names_prefix, meta_names) if spread_metas else table
+    # One look at the table answers both questions: which names, which lists.
+    longest = _longest_lists(table, lists, "meta" if spread_metas else None, meta_names)
+    if spread_metas:
+        names = meta_names if meta_names is not None else checked_labels([n for m, n in longest if m])
+        table = widen(table, "meta", meta_names_prefix, names)
+    if not autounbox:
+        return table
+    single = [(meta_names_prefix if m else "") + n for (m, n), size in longest.items() if size == 1]
+    return _first_elements(table, [c for c in single if c in table.columns])
+
+
+def _longest_lists(
+    table: DataFrame, lists: Sequence[str], map_col: str | None, keys: Sequence[str] | None = None
+) -> dict[tuple[bool, str], int]:
+    """Greatest length of each list column and of each (wanted) key of a map of lists."""
+    if table.isStreaming:
+        raise ValueError("this looks at the whole table; on a stream name the metas and keep the lists")
+    item = lambda is_key, name, size: F.struct(is_key.alias("m"), name.alias("n"), size.alias("s"))
+    sizes = F.array(*[item(F.lit(False), F.lit(c), F.size(F.col(f"`{c}`"))) for c in lists])
+    if map_col:
+        wanted = F.map_entries(map_col)
+        if keys is not None:
+            wanted = F.filter(wanted, lambda e: e["key"].isin(list(keys)))
+        of_keys = F.transform(wanted, lambda e: item(F.lit(True), e["key"], F.size(e["value"])))
+        sizes = F.concat(sizes, of_keys) if lists else of_keys
+    found = table.select(F.explode(sizes).alias("x")).groupBy("x.m", "x.n").agg(F.max("x.s").alias("s"))
+    # One more than is accepted, when the keys are not known beforehand.
+    most = len(lists) + (MAX_LABELS + 1 if keys is None else len(keys))
+    return {(r["m"], r["n"]): r["s"] for r in found.limit(most).collect()}
+
+
+def _first_elements(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.get(F.col(f"`{c}`"), F.lit(0)) for c in cols}) if cols else df
 
 
 def parse_html_files(spark: SparkSession, pattern: str, **options) -> DataFrame:
@@ -236,8 +268,5 @@ def unbox(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     if not cols:
         return df
-    if df.isStreaming:
-        raise ValueError("unboxing looks at the whole table; on a stream keep the lists")
-    sizes = df.agg(*[F.max(F.size(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(cols)]).first()
-    single = [c for i, c in enumerate(cols) if sizes[str(i)] == 1]
-    return df.withColumns({c: F.get(F.col(f"`{c}`"), F.lit(0)) for c in single}) if single else df
+    longest = _longest_lists(df, cols, None)
+    return _first_elements(df, [c for c in cols if longest.get((False, c)) == 1])

@@ -140,11 +140,9 @@ class LexiconSentiment(Stage):
         df, valence, joined = self.lexicon.bind(df, F.col(tok), self.id_col or (roles.id if roles else None))
         helpers += joined
         # Positions and valences of the few words that are in the lexicon.
-        found = F.filter(
-            F.transform(F.col(tok), lambda t, i: F.struct(i.alias("i"), valence(t).alias("v"))),
-            lambda x: x["v"].isNotNull(),
-        )
-        df = df.withColumn(hit, found)
+        valences = F.transform(F.col(tok), lambda t: valence(t))
+        found = F.transform(valences, lambda v, i: F.when(v.isNotNull(), F.struct(i.alias("i"), v.alias("v"))))
+        df = df.withColumn(hit, F.filter(found, lambda x: x.isNotNull()))
         last_but = F.size(tok) - F.array_position(F.reverse(F.col(tok)), "but")
 
         def adjusted(x: Column) -> Column:

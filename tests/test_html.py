@@ -44,6 +44,10 @@ def test_unbox_looks_at_the_whole_table(pages):
 def test_declared_metas_need_no_search(pages):
     out = cl.parse_html(pages, meta_names=["date"], autounbox=False, keep=["id"], meta_names_prefix="m_", tags=[])
     assert out.columns == ["id", "body", "a", "m_date"]
+    kept = cl.parse_html(pages, meta_names="map", tags=[], keep=["id"])
+    assert kept.where("id = 0").first()["meta"] == {"k": ["a", "b"], "date": ["2020"]} and kept.columns == ["id", "body", "a", "meta"]
+    some = cl.parse_html(pages, meta_names=["date", "none"], tags=[], keep=["id"])
+    assert dict(some.dtypes)["meta_date"] == "string" and dict(some.dtypes)["meta_none"] == "array<string>"
     assert cl.parse_html(pages, add_meta_names=False, tags=[], autounbox=False).columns == ["body", "a"]
 
 

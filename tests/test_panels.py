@@ -124,3 +124,12 @@ def test_searches(rows, spark):
     assert search.saved_search(rows, ["id"], [F.desc("id")]).first()["id"] == 5
     with pytest.raises(ValueError):
         search.match_terms(rows, "text", ["x"], "xor")
+
+
+def test_time_range_reaches_the_scan(rows, spark, tmp_path):
+    rows.write.parquet(str(tmp_path / "t"))
+    df = search.time_range(spark.read.parquet(str(tmp_path / "t")), "ts", "2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    plan = df.select("id")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: ")[1].splitlines()[0]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
+    assert "text" not in plan.split("ReadSchema")[1]
