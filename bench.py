@@ -18,7 +18,9 @@ from catalog import QUERIES  # noqa: E402
 from catalog.registry import table  # noqa: E402
 from corpusloom.session import local_session  # noqa: E402
 
+# The whole enrichment run comes first, as in an application of its own.
 HEADLINE = [
+    "enriched_index",
     "regex_tags_math",
     "analyzed_terms",
     "stop_by_language",
@@ -29,7 +31,6 @@ HEADLINE = [
     "nlp_entities",
     "nlp_pos_counts",
     "doc_vector",
-    "enriched_index",
     "dashboard_corpus",
     "dashboard_events",
     "date_histogram_2h",
