@@ -63,3 +63,76 @@ def op1_line_dedup(spark, sf):
     from .line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# --- 2: secret scans ---------------------------------------------------------
+
+
+def _secret_sql() -> str:
+    from . import secret_scan as s
+
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    holds = {
+        "assign": f"length(regexp_extract(m, {quote(s.PATTERNS['assign'])}, 1)) >= {s.ASSIGN_LEAST}",
+        "opaque": " AND ".join(f"regexp_matches(m, '{p}')" for p in s.OPAQUE_HAS),
+    }
+    kinds = " UNION ALL ".join(
+        f"""
+        SELECT doc_id, {n} AS kind, s_end - length(m) AS s_start, s_end FROM (
+          SELECT doc_id, i, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS s_end FROM (
+            SELECT doc_id, unnest(string_split_regex(text, {quote(s.PATTERNS[k])})) AS g,
+                   unnest(regexp_extract_all(text, {quote(s.PATTERNS[k])})) AS m,
+                   generate_subscripts(string_split_regex(text, {quote(s.PATTERNS[k])}), 1) AS i
+            FROM t) WHERE m IS NOT NULL) WHERE {holds.get(k, 'true')}"""
+        for n, k in enumerate(s.KINDS)
+    )
+    n = {k: i for i, k in enumerate(s.KINDS)}
+    name = "[" + ", ".join(f"'{k}'" for k in s.KINDS) + "]"
+    return f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    placed AS ({kinds}),
+    linked AS (
+      SELECT *, bool_or(kind IN ({n['access']}, {n['ident']})) OVER here AS by_identifier,
+             bool_or(kind IN ({n['assign']}, {n['hex']}, {n['opaque']})) OVER here AS by_secret,
+             coalesce(max(CASE WHEN kind < {s.BASE} THEN s_end END) OVER before, 0) AS covered_to
+      FROM placed
+      WINDOW here AS (PARTITION BY doc_id ORDER BY s_start RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING),
+             before AS (PARTITION BY doc_id ORDER BY s_start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ), reported AS (
+      SELECT *, {name}[kind + 1] || ':' || s_start || ':' || s_end AS span FROM linked
+      WHERE kind < {s.BASE} OR covered_to <= s_start AND CASE kind
+        WHEN {n['ident']} THEN by_secret WHEN {n['opaque']} THEN by_identifier ELSE by_secret AND by_identifier END
+    ), per_doc AS (
+      SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+             count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind >= {s.BASE}) AS n_weak,
+             string_agg(span, ',' ORDER BY s_start, kind) FILTER (WHERE kind < {s.BASE}) AS base,
+             string_agg(span, ',' ORDER BY s_start, kind) AS spans
+      FROM reported GROUP BY doc_id
+    )
+    SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_weak, 0) AS n_weak
+    FROM t LEFT JOIN per_doc p ON t.doc_id = p.doc_id
+    """
+
+
+@query("op2_secret_scan", _secret_sql())
+def op2_secret_scan(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .secret_scan import BASE, KINDS, find_secrets
+
+    found = find_secrets(table(spark, sf, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(list(kinds)))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    count = lambda *kinds: F.size(of(*kinds)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(of(*KINDS[:BASE])), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+        count(*KINDS[BASE:]).alias("n_weak"),
+    )
