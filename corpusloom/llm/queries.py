@@ -136,3 +136,13 @@ def op2_secret_scan(spark, sf):
         joined("spans").alias("spans"),
         count(*KINDS[BASE:]).alias("n_weak"),
     )
+
+
+# --- 6: SimHash near-dedup ---------------------------------------------------
+
+
+@query("op6_simhash_near_dedup")
+def op6_simhash_near_dedup(spark, sf):
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))
