@@ -146,3 +146,55 @@ def op6_simhash_near_dedup(spark, sf):
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+# --- 5: benchmark decontamination --------------------------------------------
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+CONTAMINATION_SQL = f"""
+d_words AS (SELECT doc_id, {_WORDS} AS w FROM {{docs}}),
+i_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i_size AS (SELECT item_id, w, least(len(w), 13) AS n FROM i_words WHERE len(w) > 0),
+i_win AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM i_size)
+),
+d_win AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d_words, (SELECT DISTINCT n FROM i_win) WHERE len(w) >= n)
+),
+hits AS (SELECT d.doc_id, d.i, d.n, b.item_id FROM d_win d JOIN i_win b ON d.n = b.n AND d.gram = b.gram),
+n_hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+),
+n_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+),
+judged AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+         sha256(coalesce(i.items, '')) AS items_sha256,
+         coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+  FROM d_words d LEFT JOIN n_hits h ON d.doc_id = h.doc_id LEFT JOIN n_items i ON d.doc_id = i.doc_id
+)
+"""
+
+
+@query("op5_benchmark_decontamination", "WITH " + CONTAMINATION_SQL.format(docs="documents") + " SELECT * FROM judged")
+def op5_benchmark_decontamination(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .decontaminate import contamination
+
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
