@@ -198,3 +198,40 @@ def op5_benchmark_decontamination(spark, sf):
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+# --- 7: best-fit packing -----------------------------------------------------
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf):
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents")).drop("text_hash")
+
+
+# --- 10: exact top-k search --------------------------------------------------
+
+
+@query(
+    "op10_exact_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    ), ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+)
+def op10_exact_top_k(spark, sf):
+    from .topk import top_k
+
+    vectors = table(spark, sf, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
