@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +236,53 @@ def op10_exact_top_k(spark, sf):
 
     vectors = table(spark, sf, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+# --- 8: chat formatting ------------------------------------------------------
+
+# A conversation of the contract: both its turns hold what the template uses as marks.
+MARKED_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+# A backslash for each backslash, each </turn> and each # in runs of three or more.
+_ESCAPED_CHARS = r"""2 * length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+  + list_sum(list_concat([0], list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x))))"""
+
+
+@query(
+    "op8_chat_format",
+    rf"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS nth FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length(role) + 14 + {_ESCAPED_CHARS}) AS BIGINT) AS formatted_chars
+    FROM ordered GROUP BY conv_id
+    """,
+)
+def op8_chat_format(spark, sf):
+    """The digests are taken from the formatted text alone: its turns read back, and what the loss mask covers."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from .chat_format import format_conversations, read_back, unescape
+
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame(MARKED_CONVERSATION, "conv_id long, turn long, role string, text string")
+    formatted = format_conversations(given.unionByName(marked))
+
+    @F.pandas_udf("struct<n_turns:long,turns_sha256:string,loss_chars:long,loss_sha256:string,formatted_chars:long>")
+    def digests(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        for texts, masks in batches:
+            rows = []
+            for text, mask in zip(texts, masks):
+                read = read_back(text)
+                loss = "".join(unescape(text[span["start"] : span["end"]]) for span in mask)
+                rows.append((len(read), sha("".join(f"{r}\n{t}\n" for r, t in read)), len(loss), sha(loss), len(text)))
+            yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return formatted.select("conv_id", digests("text", "loss").alias("d")).select("conv_id", "d.*")
