@@ -286,3 +286,15 @@ def op8_chat_format(spark, sf):
             yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formatted.select("conv_id", digests("text", "loss").alias("d")).select("conv_id", "d.*")
+
+
+# --- 3: language identification ----------------------------------------------
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf):
+    from .language_id import held_out, identify, learn_profiles
+
+    docs = table(spark, sf, "documents")
+    profiles = learn_profiles(docs.where(~held_out() & docs["doc_id"].isNotNull()))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
