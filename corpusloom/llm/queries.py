@@ -298,3 +298,18 @@ def op3_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     profiles = learn_profiles(docs.where(~held_out() & docs["doc_id"].isNotNull()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
+# --- 9: token ids in binary shards -------------------------------------------
+
+
+@query("op9_token_shards")
+def op9_token_shards(spark, sf):
+    """The index of the shards, and a digest of each sequence as read back from them."""
+    import hashlib
+
+    from .token_output import read_index, write_shards
+
+    made, index = write_shards(table(spark, sf, "documents"))
+    read = read_index(made, index, "tokens_sha256", "string", lambda ids: hashlib.sha256(ids.tobytes()).hexdigest())
+    return read.withColumnRenamed("ids", "doc_ids")
