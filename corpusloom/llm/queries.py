@@ -313,3 +313,16 @@ def op9_token_shards(spark, sf):
     made, index = write_shards(table(spark, sf, "documents"))
     read = read_index(made, index, "tokens_sha256", "string", lambda ids: hashlib.sha256(ids.tobytes()).hexdigest())
     return read.withColumnRenamed("ids", "doc_ids")
+
+
+# --- 4: HTML extraction ------------------------------------------------------
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .html_extract import extract_text
+
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
