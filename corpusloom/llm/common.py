@@ -7,12 +7,14 @@ one document, and each of them gets that document's result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "keyed", "same_document", "text_hash", "unpacked"]
+__all__ = ["cut_lineage", "keyed", "text_hash", "unpacked", "without", "written"]
 
 
 def text_hash(text: Column | str) -> Column:
@@ -29,8 +31,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def same_document(a: DataFrame, b: DataFrame) -> Column:
-    return a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: they survive lost executors, and the planner knows their size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are not among the documents (``id, th``) of ``dropped``.
+
+    Few documents are dropped as a rule. Their table is written first, so its
+    size decides whether it is broadcast or the rows are shuffled.
+    """
+    gone = written(dropped.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")), "dropped")
+    base = keyed(docs, id_col, text_col)
+    kept = base.join(gone, base["id"].eqNullSafe(F.col("gone_id")) & (base["th"] == F.col("gone_th")), "left_anti")
+    return unpacked(kept)
 
 
 def unpacked(df: DataFrame, **new: Column) -> DataFrame:

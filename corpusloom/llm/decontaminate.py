@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage, keyed
+from .common import cut_lineage, keyed, without
 from .words import blocks, gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 7
@@ -153,8 +153,8 @@ def contamination(
     gram: int = GRAM,
     share: float = 0.05,
 ) -> DataFrame:
-    """Per document ``id_col, n_words, n_hit, items`` (ids of items with a window in it), ``spans`` (start and end, in
-    words, of hits; they may overlap) and ``contaminated``: words are hit, and at least ``share`` of all words."""
+    """Per document ``id_col, text_hash, n_words, n_hit, items`` (ids of items with a window in it), ``spans`` (start and
+    end, in words, of hits; they may overlap) and ``contaminated``: words are hit, at least ``share`` of all words."""
     bench = _fingerprinted(keyed(benchmark, item_col, item_text_col), window, gram)
     bench = bench.select("id", F.inline("found"))
     bench = cut_lineage(bench.groupBy("size", "fp", "around", "before").agg(F.collect_set("id").alias("items")))
@@ -198,7 +198,15 @@ def contamination(
     counted = per_doc.withColumn("n_hit", covered["n"])
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(str(share)).cast("decimal(10,6)") * F.col("n_words"))
     out = counted.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans", bad.alias("contaminated"),
+        F.col("id").alias(id_col), F.col("th").alias("text_hash"), "n_words", "n_hit", "items", "spans", bad.alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
     return out.drop("copy")
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = contamination(docs, benchmark, id_col, text_col, item_col).where("contaminated")
+    return without(docs, bad.select(F.col(id_col).alias("id"), F.col("text_hash").alias("th")).distinct(), id_col, text_col)

@@ -146,7 +146,7 @@ def op2_secret_scan(spark, sf):
 def op6_simhash_near_dedup(spark, sf):
     from .simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates(table(spark, sf, "documents")).drop("text_hash")
 
 
 # --- 5: benchmark decontamination --------------------------------------------

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, keyed, unpacked, without, written
 from .components import components
 
 # Hashes of one text that are in memory at a time.
@@ -53,17 +53,15 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", size: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but the text) and ``fp``: the fingerprint as a signed long."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    packed = docs.select(F.struct(*keep).alias("row") if keep else F.struct(F.lit(1)).alias("row"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """``id, th`` (a hash of the text) and ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def of_texts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, size) for t in batch], dtype=np.uint64).view(np.int64))
 
-    return packed.select("row", of_texts("text").alias("fp"))
+    return keyed(docs, id_col, text_col).select("id", "th", of_texts("text").alias("fp"))
 
 
 def variants(fp, radius: int):
@@ -95,18 +93,47 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2
 ) -> DataFrame:
-    """Per document ``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id reachable by links."""
-    prints = fingerprints(docs, text_col, size, [id_col])
-    prints = cut_lineage(prints.select(F.col("row").getField(id_col).alias("id"), "fp"))
+    """Per document ``id_col, text_hash, fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id
+    reachable by links."""
+    return _components_of(cut_lineage(fingerprints(docs, id_col, text_col, size)), radius).select(
+        F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def _components_of(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` (``id, th, fp``) with ``component`` (its least fingerprint) and ``component_id``."""
     groups = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(groups.select("fp"), radius))
     linked = found.join(groups, F.col("node") == F.col("fp"))
     named = linked.groupBy("component").agg(F.min("least").alias("named"))
-    of_node = linked.select("node", "component").join(named, "component").select("node", "named")
+    of_node = linked.select("node", "component").join(named, "component")
     of_print = groups.join(of_node, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id")
+        "fp",
+        F.coalesce("component", "fp").alias("component"),
+        F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id"),
     )
     # A print that a third of all documents share is a hot key on the left only, which adaptive execution splits.
-    return prints.join(of_print, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return prints.join(of_print, "fp")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` without all but one document of each component: the one with the least id (nulls last),
+    then the least text hash. Of rows alike in id and text one stays."""
+    named = _components_of(cut_lineage(fingerprints(docs, id_col, text_col, size)), radius)
+    named = written(named.select("id", "th", "component"), "components")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    groups = named.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    several = groups.where("n > 1").select("component", "first")
+    members = named.join(several, "component")
+    gone = members.where(place != F.col("first")).select("id", "th").distinct()
+    # The ones that stay, where rows are alike, are cut out and put back once.
+    alike = members.where(place == F.col("first")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alike = written(alike.select("id", "th"), "alike")
+    kept = without(docs, gone.union(alike), id_col, text_col)
+    base = keyed(docs, id_col, text_col)
+    again = alike.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"))
+    back = base.join(again, base["id"].eqNullSafe(F.col("a_id")) & (base["th"] == F.col("a_th")), "left_semi")
+    return kept.union(unpacked(back.groupBy("id", "th").agg(F.any_value("row").alias("row"))))
