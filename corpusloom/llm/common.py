@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "keyed", "text_hash", "unpacked", "without", "written"]
+__all__ = ["bitmap_of", "cut_lineage", "in_bitmap", "keyed", "text_hash", "unpacked", "without", "written"]
 
 
 def text_hash(text: Column | str) -> Column:
@@ -56,3 +57,23 @@ def unpacked(df: DataFrame, **new: Column) -> DataFrame:
     names = [f.name for f in df.schema["row"].dataType.fields]
     kept = [new.pop(n).alias(n) if n in new else F.col("row").getField(n).alias(n) for n in names]
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
+BITMAP_BITS = 24  # 2 MB, whatever the number of hashes
+
+
+def bitmap_of(df: DataFrame, column: str):
+    """A broadcast of fixed size with one bit for the first bits of each hash (a long) in ``column``."""
+    slot = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    for row in df.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
+        words[row["word"]] = row["bits"]
+    return df.sparkSession.sparkContext.broadcast(words.tobytes())
+
+
+def in_bitmap(hashes: np.ndarray, bitmap: bytes) -> np.ndarray:
+    """Where a hash (unsigned) may be one of those in the bitmap: all that are, and few others while it is not full."""
+    words = np.frombuffer(bitmap, dtype=np.uint64)
+    slot = hashes >> np.uint64(64 - BITMAP_BITS)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)

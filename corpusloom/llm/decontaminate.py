@@ -34,11 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage, keyed, without
+from .common import bitmap_of, cut_lineage, in_bitmap, keyed, without
 from .words import blocks, gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 7
-BITMAP_BITS = 24  # 2 MB, whatever the size of the benchmark
 
 # A fingerprint: ``size`` words at word ``at``; ``around`` holds word hashes, ``before`` of them before the gram.
 # A size below 0 is a whole short item, which must not meet a gram of as many words. Size 0 stands for the text itself.
@@ -67,15 +66,12 @@ def winnowed(grams: np.ndarray, ends: np.ndarray, window: int, gram: int) -> np.
     return np.unique(at[np.arange(n) + window <= ends[:n]])
 
 
-def _passing(hashes: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
-    if bitmap is None:
-        return np.ones(len(hashes), dtype=bool)
-    slot = hashes >> np.uint64(64 - BITMAP_BITS)
-    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _passing(hashes: np.ndarray, bitmap: bytes | None) -> np.ndarray:
+    return np.ones(len(hashes), dtype=bool) if bitmap is None else in_bitmap(hashes, bitmap)
 
 
 def fingerprints_of(
-    texts: list[str | None], window: int, gram: int, shorts: list[int] | None = None, bitmap: np.ndarray | None = None
+    texts: list[str | None], window: int, gram: int, shorts: list[int] | None = None, bitmap: bytes | None = None
 ) -> tuple[np.ndarray, list[list[dict]]]:
     """Words per text, and its fingerprints. Texts of a benchmark (``shorts`` None) that are shorter than a window
     have one, all of them; other texts have one at every place for each of the sizes ``shorts``."""
@@ -113,7 +109,7 @@ def _fingerprinted(df: DataFrame, window: int, gram: int, shorts: list[int] | No
     schema = pa.schema([*to_arrow_schema(kept.schema), pa.field("n_words", pa.int64()), pa.field("found", FOUND)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, dtype=np.uint64)
+        bits = None if bitmap is None else bitmap.value
         for batch in batches:
             for first, stop in blocks(batch.column("text")):
                 part = batch.slice(first, stop - first)
@@ -125,16 +121,6 @@ def _fingerprinted(df: DataFrame, window: int, gram: int, shorts: list[int] | No
     return df.select("id", "th", "text").mapInArrow(work, f"{names}, n_words long, found {FOUND_SQL}")
 
 
-def _bitmap(prints: DataFrame):
-    """One bit for the first bits of each hash, as a broadcast of fixed size."""
-    slot = F.shiftrightunsigned("fp", 64 - BITMAP_BITS)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
-    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
-    for row in prints.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
-        words[row["word"]] = row["bits"]
-    return prints.sparkSession.sparkContext.broadcast(words.tobytes())
-
-
 def _in_common(a: Column, b: Column) -> Column:
     """How many entries two arrays share from their first one on."""
     unequal = F.array_position(F.zip_with(a, b, lambda x, y: x == y), False)
@@ -159,7 +145,7 @@ def contamination(
     bench = bench.select("id", F.inline("found"))
     bench = cut_lineage(bench.groupBy("size", "fp", "around", "before").agg(F.collect_set("id").alias("items")))
     shorts = sorted(-r["size"] for r in bench.where("size < 0").select("size").distinct().collect())  # 12 at most
-    found = _fingerprinted(keyed(docs, id_col, text_col), window, gram, shorts, _bitmap(bench))
+    found = _fingerprinted(keyed(docs, id_col, text_col), window, gram, shorts, bitmap_of(bench, "fp"))
 
     # The text itself goes along as a row that nothing meets.
     own = F.struct(

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, keyed, unpacked, without, written
+from .common import bitmap_of, cut_lineage, in_bitmap, keyed, unpacked, without, written
 from .components import components
 
 # Hashes of one text that are in memory at a time.
@@ -102,7 +102,7 @@ def near_duplicates(
 
 
 def _components_of(prints: DataFrame, radius: int) -> DataFrame:
-    """``prints`` (``id, th, fp``) with ``component`` (its least fingerprint) and ``component_id``."""
+    """``prints`` (``id, th, fp``) with ``component_id``."""
     groups = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(groups.select("fp"), radius))
     linked = found.join(groups, F.col("node") == F.col("fp"))
@@ -110,30 +110,148 @@ def _components_of(prints: DataFrame, radius: int) -> DataFrame:
     of_node = linked.select("node", "component").join(named, "component")
     of_print = groups.join(of_node, F.col("fp") == F.col("node"), "left").select(
         "fp",
-        F.coalesce("component", "fp").alias("component"),
         F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id"),
     )
     # A print that a third of all documents share is a hot key on the left only, which adaptive execution splits.
     return prints.join(of_print, "fp")
 
 
+# --- one document of each group of similar ones -------------------------------
+
+# For likeness of shingles a fingerprint of 64 bits is too long: texts that share 0.8 of their shingles differ in ten.
+# So each text has several short ones, of the set of its word pairs, and candidates are verified by their shingles.
+TABLES, TABLE_BITS, PAIR_WORDS = 8, 32, 2
+
+
+def _mixed(h: np.ndarray, number: int) -> np.ndarray:
+    h = h + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _set_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the distinct runs of ``size`` words, in order of hash; of all words if they are fewer; none of none."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*[words[k:] for k in range(size)])) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(s) for s in runs), dtype=np.uint64))
+
+
+def short_fingerprints(words: list[bytes]) -> list[int]:
+    hashes = _set_hashes(words, PAIR_WORDS)
+    whole = []
+    for k in range(TABLES * TABLE_BITS // 64):
+        ones = np.zeros(64, dtype=np.int64)
+        for first in range(0, len(hashes), HASHES_AT_ONCE):
+            mixed = _mixed(hashes[first : first + HASHES_AT_ONCE], k).astype("<u8")
+            ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        whole.append(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little"))
+    return np.concatenate(whole).view("<u4").astype(np.int64).tolist()
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """``id, th, cid`` (a hash of the words in order) and ``subs``, the short fingerprints, of keyed documents."""
+
+    @F.pandas_udf("struct<cid:long,subs:array<long>>")
+    def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for batch in texts:
+            rows = []
+            for text in batch:
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                cid = np.array([xxh64_intdigest(b" ".join(words), 7)], dtype=np.uint64).view(np.int64)[0]
+                rows.append((cid, short_fingerprints(words)))
+            yield pd.DataFrame(rows, columns=["cid", "subs"])
+
+    return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.cid", "d.subs")
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs ``a > b`` of classes (``cid, subs``) that share a short fingerprint or a variant of one."""
+    each = classes.select("cid", F.posexplode("subs").alias("t", "sub"))
+    # Equal fingerprints first, so that a bucket below has distinct ones only, 33 at most.
+    firsts = each.groupBy("t", "sub").agg(F.min("cid").alias("first"))
+    equal = each.join(firsts, ["t", "sub"]).select(F.col("cid").alias("a"), F.col("first").alias("b"))
+    flipped = F.transform(
+        F.sequence(F.lit(0), F.lit(TABLE_BITS - 1)),
+        lambda i: F.col("sub").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)),
+    )
+    balls = firsts.select("t", "first", F.explode(F.concat(F.array("sub"), flipped)).alias("variant"))
+    least = F.min("first").over(Window.partitionBy("t", "variant"))
+    near = balls.select(F.col("first").alias("a"), least.alias("b"))
+    found = equal.where("a != b").union(near.where("a != b"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``firsts`` has for each class the document (``id, th``) to take the text
+    from. Texts stay in their tasks: a bitmap of fixed size tells nearly all
+    documents without a candidate, and of the others only hashes are shuffled.
+    """
+    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = written(firsts.join(of_pairs, "cid").select("cid", F.col("id").alias("w_id"), F.col("th").alias("w_th")), "wanted")
+    bitmap = bitmap_of(wanted, "w_th")
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, hashes in batches:
+            maybe = in_bitmap(hashes.to_numpy().view(np.uint64), bitmap.value)
+            yield pd.Series(
+                [
+                    _set_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), size).view(np.int64) if m else None
+                    for t, m in zip(texts, maybe)
+                ],
+                dtype=object,
+            )
+
+    sets = docs.select("id", "th", shingles("text", "th").alias("set")).where(F.col("set").isNotNull())
+    # Rows alike in id and text have the same set, so any of them will do.
+    sets = sets.join(wanted, sets["id"].eqNullSafe(F.col("w_id")) & (sets["th"] == F.col("w_th")))
+    sets = written(sets.groupBy("cid").agg(F.any_value("set").alias("set")), "sets")
+    met = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a")
+    met = met.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    enough = common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common) - F.lit(1e-9)
+    return met.where(enough).select("a", "b")
+
+
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each component: the one with the least id (nulls last),
-    then the least text hash. Of rows alike in id and text one stays."""
-    named = _components_of(cut_lineage(fingerprints(docs, id_col, text_col, size)), radius)
-    named = written(named.select("id", "th", "component"), "components")
+    """The rows of ``docs`` without all but one document of each group: the one with the least id (nulls last), then the
+    least text hash. Of rows alike in id and text one stays.
+
+    Groups are the components of the links between texts whose sets of shingles
+    of ``size`` words have a Jaccard similarity of ``similarity`` or more.
+    Candidates come from ball hashing of several short fingerprints, so a link
+    at the threshold itself may be missed (see the README for rates), but
+    none is made below it. Texts with the same words in order are one class.
+    """
+    base = keyed(docs, id_col, text_col)
+    described = written(_described(base), "described")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    groups = named.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    several = groups.where("n > 1").select("component", "first")
-    members = named.join(several, "component")
-    gone = members.where(place != F.col("first")).select("id", "th").distinct()
+    classes = described.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("subs").alias("subs"))
+    classes = written(classes, "classes")
+    firsts = classes.select("cid", "first.id", "first.th")
+    pairs = written(_candidates(classes.select("cid", "subs")), "pairs")
+    linked = components(_similar(pairs, base, firsts, size, similarity))
+    of_group = linked.join(classes.select(F.col("cid").alias("node"), "first"), "node")
+    heads = of_group.groupBy("component").agg(F.min("first").alias("head"))
+    of_class = of_group.select("node", "component").join(heads, "component").select(F.col("node").alias("cid"), "head")
+    head = classes.select("cid", "first").join(of_class, "cid", "left").select("cid", F.coalesce("head", "first").alias("head"))
+    # A class that a third of all documents share is a hot key on one side only, which adaptive execution splits.
+    named = described.select("id", "th", "cid").join(head, "cid")
+    gone = named.where(place != F.col("head")).select("id", "th").distinct()
     # The ones that stay, where rows are alike, are cut out and put back once.
-    alike = members.where(place == F.col("first")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alike = named.where(place == F.col("head")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     alike = written(alike.select("id", "th"), "alike")
     kept = without(docs, gone.union(alike), id_col, text_col)
-    base = keyed(docs, id_col, text_col)
     again = alike.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"))
     back = base.join(again, base["id"].eqNullSafe(F.col("a_id")) & (base["th"] == F.col("a_th")), "left_semi")
     return kept.union(unpacked(back.groupBy("id", "th").agg(F.any_value("row").alias("row"))))
