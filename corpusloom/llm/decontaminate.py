@@ -143,7 +143,7 @@ def contamination(
     end, in words, of hits; they may overlap) and ``contaminated``: words are hit, at least ``share`` of all words."""
     bench = _fingerprinted(keyed(benchmark, item_col, item_text_col), window, gram)
     bench = bench.select("id", F.inline("found"))
-    bench = cut_lineage(bench.groupBy("size", "fp", "around", "before").agg(F.collect_set("id").alias("items")))
+    bench = cut_lineage(bench.groupBy("size", "fp", "around", "before").agg(F.collect_set(F.struct("id")).alias("items")))
     shorts = sorted(-r["size"] for r in bench.where("size < 0").select("size").distinct().collect())  # 12 at most
     found = _fingerprinted(keyed(docs, id_col, text_col), window, gram, shorts, bitmap_of(bench, "fp"))
 
@@ -184,7 +184,8 @@ def contamination(
     counted = per_doc.withColumn("n_hit", covered["n"])
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(str(share)).cast("decimal(10,6)") * F.col("n_words"))
     out = counted.select(
-        F.col("id").alias(id_col), F.col("th").alias("text_hash"), "n_words", "n_hit", "items", "spans", bad.alias("contaminated"),
+        F.col("id").alias(id_col), F.col("th").alias("text_hash"), "n_words", "n_hit",
+        F.transform("items", lambda x: x["id"]).alias("items"), "spans", bad.alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
     return out.drop("copy")
