@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.sources.tables import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table whose rows take long to work on, over all cores."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts. A file is split by ``spark.sql.files.maxPartitionBytes``; whole texts are never reshuffled."""
+    return table(spark, sf_dir, name)
 
 
 def quoted(text: str) -> str:

@@ -62,12 +62,12 @@ def upsert_latest(spark, sf):
     "document_ids",
     """
     SELECT CAST(doc_id AS VARCHAR) AS _id, doc_id,
-      (SELECT count(DISTINCT (doc_id, lang, source)) FROM documents) AS n_hashes FROM documents
+      (SELECT count(DISTINCT (doc_id, text, lang, source, n_chars)) FROM documents) AS n_hashes FROM documents
     """,
 )
 def document_ids(spark, sf):
     """Ids from a column; and as many content hashes as there are different rows."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    docs = table(spark, sf, "documents")
     hashes = with_document_id(docs).agg(F.countDistinct("_id").alias("n_hashes")).first()["n_hashes"]
     return with_document_id(docs, "doc_id").select("_id", "doc_id", F.lit(hashes).cast("long").alias("n_hashes"))
 

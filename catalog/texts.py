@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 import corpusloom as cl
 from corpusloom.functions import text as tx
 from corpusloom.functions.languages import stop_words
 from corpusloom.session import cut_lineage
-from corpusloom.operators.linguistics import POS_TAGS, pos_value_counts, widen
+from corpusloom.operators.linguistics import EXCLUDED_LABELS, POS_TAGS, pos_value_counts, widen
 
 from .registry import query, quoted, sql_list, sql_sentences, sql_tokens, sql_values, sql_words, table, texts
 
@@ -82,13 +84,13 @@ def map_to_tags_columns(spark, sf):
 @query(
     "regex_tags_groups",
     r"""
-    WITH t AS (SELECT doc_id, regexp_extract_all(text, '([a-z]+)@([a-z]+)', 1) AS a,
-                      regexp_extract_all(text, '([a-z]+)@([a-z]+)', 2) AS b FROM documents)
+    WITH t AS (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]+) ([a-z]{9,})', 1) AS a,
+                      regexp_extract_all(text, '([A-Z][a-z]+) ([a-z]{9,})', 2) AS b FROM documents)
     SELECT doc_id, unnest(a) AS g1, unnest(b) AS g2 FROM t
     """,
 )
 def regex_tags_groups(spark, sf):
-    docs = cl.RegexTag(r"([a-z]+)@([a-z]+)", "text", "m").transform(texts(spark, sf))
+    docs = cl.RegexTag(r"([A-Z][a-z]+) ([a-z]{9,})", "text", "m").transform(texts(spark, sf))
     return docs.select("doc_id", F.inline("m"))
 
 
@@ -213,20 +215,92 @@ def stop_by_language(spark, sf):
     return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
+class LongWords(cl.MapToTags):
+    """Tags by a user's own Python: words of nine letters or more, in lower case."""
+
+    def doprocess(self, value):
+        return [w.lower() for w in re.findall(r"[A-Za-z]+", value) if len(w) >= 9]
+
+
+@query(
+    "custom_tags",
+    """
+    SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]{9,}'), lambda w: lower(w)), '|') AS tags
+    FROM conversations
+    """,
+)
+def custom_tags(spark, sf):
+    tagged = LongWords("text", "tags").transform(table(spark, sf, "conversations"))
+    return tagged.select("conv_id", "turn", joined("tags").alias("tags"))
+
+
+class Shape(cl.MapToNamedTags):
+    """Named values by a user's own Python, a batch at a time."""
+
+    schema = "lines int, first string"
+
+    def doprocess(self, values):
+        return [{"lines": v.count("\n") + 1, "first": v[:1]} for v in values]
+
+
+@query(
+    "custom_named_tags",
+    """
+    SELECT conv_id, turn, CAST(len(string_split(text, chr(10))) AS INTEGER) AS text_lines, text[:1] AS text_first FROM conversations
+    """,
+)
+def custom_named_tags(spark, sf):
+    shaped = Shape("text", ["lines", "first"]).transform(table(spark, sf, "conversations"))
+    return shaped.select("conv_id", "turn", "text_lines", "text_first")
+
+
+def splitter():
+    """A model of a user: words between blanks, those that begin with a capital are names."""
+
+    def run(values):
+        for value in values:
+            words = (value or "").split(" ")
+            yield {
+                "tokens": [{"text": w, "pos": "PROPN" if w[:1].isupper() else "X"} for w in words],
+                "ents": [{"text": w, "label": "NAME", "start": i, "end": i + 1} for i, w in enumerate(words) if w[:1].isupper()],
+            }
+
+    return run
+
+
+@query(
+    "custom_annotator",
+    r"""
+    WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
+    SELECT conv_id, turn, CAST(len(w) AS BIGINT) AS words,
+      nullif(array_to_string(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}')), '|'), '') AS names,
+      nullif(CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}'))) AS BIGINT), 0) AS proper
+    FROM w
+    """,
+)
+def custom_annotator(spark, sf):
+    stage = cl.LinguisticEnrichment(splitter, "text", tags=["ents"], pos_stats=["PROPN"])
+    out = stage.transform(table(spark, sf, "conversations"))
+    return out.select(
+        "conv_id", "turn", F.col("text_wc").cast("long").alias("words"), joined("text_ents").alias("names"),
+        F.col("text_num_PROPN").cast("long").alias("proper"),
+    )
+
+
 @query(
     "languages_of_corpus",
     """
-    SELECT analyzer, CAST(count(*) AS BIGINT) AS n FROM documents JOIN
+    SELECT analyzer, CAST(count(*) AS BIGINT) AS n FROM documents LEFT JOIN
       (VALUES ('DE', 'german'), ('EN', 'english'), ('ES', 'spanish'), ('FR', 'french'), ('IT', 'italian'),
               ('EL', 'greek'), ('NL', 'dutch'), ('PT', 'portuguese')) AS v(code, analyzer) ON code = upper(lang)
     GROUP BY analyzer
     """,
 )
 def languages_of_corpus(spark, sf):
-    # Nine rows, fixed.
+    """Documents by analyzer; those of an unknown language count too. The registry has nine fixed rows."""
     known = F.broadcast(cl.languages(spark).withColumnRenamed("code", "lang"))
     docs = table(spark, sf, "documents").select(F.upper("lang").alias("lang"))
-    return docs.join(known, "lang").groupBy("analyzer").agg(F.count("*").alias("n"))
+    return docs.join(known, "lang", "left").groupBy("analyzer").agg(F.count("*").alias("n"))
 
 
 SYNONYMS = {"thon": "then", "er": "he", "tion": "motion", "anan": "ananas", "der": "die", "la": "le"}
@@ -245,6 +319,23 @@ def synonym_terms(spark, sf):
     return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
+def cut_ending(term):
+    """A stemmer SQL can repeat."""
+    return re.sub("(ing|ed|s)$", "", term)
+
+
+@query(
+    "stem_terms_simple",
+    f"""
+    SELECT doc_id, array_to_string(list_transform({sql_terms(sql_words())}, lambda t: regexp_replace(t, '(ing|ed|s)$', '')), ' ') AS terms
+    FROM documents
+    """,
+)
+def stem_terms_simple(spark, sf):
+    stage = cl.AnalyzeText("text", "t", cl.Analyzer(stem=True, stemmer=cut_ending))
+    return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
+
+
 @query("stem_terms")
 def stem_terms(spark, sf):
     stage = cl.AnalyzeText("text", "t", cl.Analyzer(stem=True))
@@ -284,18 +375,28 @@ def corpus_sentiment(**options):
     return cl.LexiconSentiment("text", "sentiment", LEXICON, BOOSTERS, NEGATIONS, **options)
 
 
-@query(
-    "sentiment_compound",
+COMPOUND_SQL = (
     SCORED
     + """, s AS (SELECT doc_id, sum(CAST(v AS DOUBLE)) AS s FROM scored GROUP BY doc_id)
     SELECT d.doc_id, round(coalesce(s / sqrt(s * s + 15), 0.0), 6) AS sentiment FROM documents d LEFT JOIN s USING (doc_id)
-    """,
+    """
 )
+
+
+@query("sentiment_compound", COMPOUND_SQL)
 def sentiment_compound(spark, sf):
     docs = corpus_sentiment().transform(texts(spark, sf))
     return docs.select("doc_id", F.round("sentiment", 6).alias("sentiment"))
 
 
+@query("sentiment_table_lexicon", COMPOUND_SQL)
+def sentiment_table_lexicon(spark, sf):
+    """The same with a lexicon that is joined, as a large one is."""
+    lexicon = cl.dictionary(LEXICON, value_type="double", max_entries=0)
+    stage = cl.LexiconSentiment("text", "sentiment", lexicon, BOOSTERS, NEGATIONS)
+    return stage.transform(texts(spark, sf)).select("doc_id", F.round("sentiment", 6).alias("sentiment"))
+
+
 @query(
     "sentiment_shares",
     SCORED
@@ -331,8 +432,9 @@ WORDS = [
 PHRASES = {
     "the that": "ORG", "that the": "ORG", "of the": "GPE", "in the": "GPE", "de la": "LOC", "and": "DATE",
     "the": "WORK", "thon": "PERSON", "der": "PERSON", "el de los": "LAW", "is": "ORDINAL",
+    "and attion to thanedble the": "ORG",
 }
-EXCLUDED = ["CARDINAL", "DATE", "MONEY", "ORDINAL", "PERCENT", "QUANTITY", "TIME"]
+EXCLUDED = EXCLUDED_LABELS
 WORD_TABLE = {t: {"lemma": lemma, "pos": pos, "dep": dep} for t, lemma, pos, dep in WORDS}
 
 
@@ -362,22 +464,27 @@ def nlp_counts(spark, sf):
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("text_wc", "text_sentence_count")))
 
 
+def sql_grams(longest: int) -> str:
+    """Runs of 1 to ``longest`` tokens from each token on, in lower case, the longest phrase first."""
+    runs = [" || ' ' || ".join(f"lead(t, {k}) OVER p" for k in range(n)) for n in range(1, longest + 1)]
+    columns = ", ".join(f"{run} AS t{n}" for n, run in enumerate(runs, 1))
+    joins = " ".join(f"LEFT JOIN ph p{n} ON lower(t{n}) = p{n}.phrase" for n in range(1, longest + 1))
+    cases = " ".join(
+        f"WHEN p{n}.label IS NOT NULL THEN {{'s': i, 'e': i + {n}, 'k': [{{'label': p{n}.label, 'text': t{n}}}]}}"
+        for n in range(longest, 0, -1)
+    )
+    some = ", ".join(f"p{n}.label" for n in range(1, longest + 1))
+    return f"""
+    g AS (SELECT doc_id, i, {columns} FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    ph AS (SELECT * FROM {sql_values(PHRASES.items(), "phrase, label")}),
+    cand AS (SELECT doc_id, i, CASE {cases} END AS c FROM g {joins} WHERE coalesce({some}) IS NOT NULL)"""
+
+
 ENTITY_SQL = f"""
     WITH t AS (
       SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i
       FROM (SELECT doc_id, {sql_tokens()} AS w FROM documents)),
-    g AS (
-      SELECT doc_id, i, t, t || ' ' || lead(t, 1) OVER p AS t2, t || ' ' || lead(t, 1) OVER p || ' ' || lead(t, 2) OVER p AS t3
-      FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-    ph AS (SELECT * FROM {sql_values(PHRASES.items(), "phrase, label")}),
-    cand AS (
-      SELECT doc_id, i,
-        CASE WHEN p3.label IS NOT NULL THEN {{'s': i, 'e': i + 3, 'k': [{{'label': p3.label, 'text': t3}}]}}
-             WHEN p2.label IS NOT NULL THEN {{'s': i, 'e': i + 2, 'k': [{{'label': p2.label, 'text': t2}}]}}
-             ELSE {{'s': i, 'e': i + 1, 'k': [{{'label': p1.label, 'text': t}}]}} END AS c
-      FROM g LEFT JOIN ph p1 ON lower(t) = p1.phrase LEFT JOIN ph p2 ON lower(t2) = p2.phrase
-        LEFT JOIN ph p3 ON lower(t3) = p3.phrase
-      WHERE coalesce(p1.label, p2.label, p3.label) IS NOT NULL),
+    {sql_grams(max(len(x.split(" ")) for x in PHRASES))},
     lists AS (SELECT doc_id, list(c ORDER BY i) AS c FROM cand GROUP BY doc_id),
     ents AS (
       SELECT doc_id, list_reduce(c, lambda a, x:
@@ -390,38 +497,52 @@ def sql_entities(condition: str) -> str:
     return f"nullif(array_to_string(list_transform(list_filter(ents, lambda e: {condition}), lambda e: e.text), '|'), '')"
 
 
-@query(
-    "nlp_entities",
+NLP_ENTITIES_SQL = (
     ENTITY_SQL
     + f"""
     SELECT doc_id, {sql_entities(f"NOT list_contains({sql_list(EXCLUDED)}, e.label)")} AS ents,
       {sql_entities("e.label = 'ORG'")} AS entity_org, {sql_entities("e.label = 'DATE'")} AS entity_date,
       {sql_entities("e.label = 'LAW'")} AS entity_law
     FROM ents
-    """,
+    """
 )
-def nlp_entities(spark, sf):
-    out = enriched(spark, sf, tags=["ents"], pos_stats=False, entity_labels=["ORG", "DATE", "LAW"])
-    return out.select(
+
+
+def entities(docs, annotator):
+    stage = cl.LinguisticEnrichment(annotator, "text", tags=["ents"], pos_stats=False, entity_labels=["ORG", "DATE", "LAW"])
+    return stage.transform(docs).select(
         "doc_id",
         joined("text_ents").alias("ents"),
         *(joined(f"text_entity_{x}").alias(f"entity_{x.lower()}") for x in ("ORG", "DATE", "LAW")),
     )
 
 
+@query("nlp_entities", NLP_ENTITIES_SQL)
+def nlp_entities(spark, sf):
+    return entities(texts(spark, sf).select("doc_id", "text"), corpus_annotator())
+
+
+@query("nlp_entities_table", NLP_ENTITIES_SQL)
+def nlp_entities_table(spark, sf):
+    """The same by dictionaries that are joined, as large ones are."""
+    annotator = cl.DictionaryAnnotator(words=WORD_TABLE, phrases=PHRASES, max_entries=0)
+    return entities(texts(spark, sf).select("doc_id", "text"), annotator)
+
+
 @query(
     "nlp_open_labels",
     ENTITY_SQL
-    + f"""
-    SELECT doc_id, {", ".join(f"{sql_entities(f'e.label = {quoted(x)}')} AS e_{x}" for x in sorted(set(PHRASES.values()) - {"LAW"}))}
-    FROM ents
+    + """, each AS (SELECT doc_id, unnest(ents) AS e, generate_subscripts(ents, 1) AS i FROM ents)
+    SELECT doc_id, 'e_' || e.label AS label, string_agg(e.text, '|' ORDER BY i) AS found FROM each GROUP BY doc_id, e.label
     """,
 )
 def nlp_open_labels(spark, sf):
-    """Labels nobody declared: a map column, widened to the labels that occur."""
+    """Labels nobody declared: a map column, widened to all labels that occur, and brought into rows again."""
     out = enriched(spark, sf, tags=["ents"], pos_stats=False)
     wide = widen(out.select("doc_id", "text_entities"), "text_entities", "e_")
-    return wide.select("doc_id", *(joined(c).alias(c) for c in wide.columns if c not in ("doc_id", "e_LAW")))
+    labels = [c for c in wide.columns if c != "doc_id"]
+    rows = F.array(*[F.struct(F.lit(c).alias("label"), joined(c).alias("found")) for c in labels])
+    return wide.select("doc_id", F.inline(rows)).where("found IS NOT NULL")
 
 
 SQL_POS = f"""
@@ -492,27 +613,37 @@ SQL_VECTORS = f"""
 """
 
 
-@query(
-    "doc_vector",
+DOC_VECTOR_SQL = (
     SQL_VECTORS
     + """, n AS (SELECT *, sqrt(de * de + en * en + es * es + fr * fr) AS norm FROM doc)
     SELECT doc_id, """
     + ", ".join(f"round({x}, 6) AS v_{x}" for x in ("de", "en", "es", "fr"))
     + ", "
     + ", ".join(f"round(CASE WHEN norm = 0 THEN {x} ELSE {x} / norm END, 6) AS u_{x}" for x in ("de", "en", "es", "fr"))
-    + " FROM n",
+    + " FROM n"
 )
-def doc_vector(spark, sf):
+
+
+def document_vectors(spark, sf, **options):
     docs = texts(spark, sf)
-    stage = cl.LinguisticEnrichment(
-        None, "text", tags=[], pos_stats=False, vec=True, word_vectors=cl.WordVectors(cut_lineage(word_vectors(docs)))
-    )
-    ids = cl.Roles(id="doc_id")
-    out = stage.transform(docs.select("doc_id", "text"), ids)
+    vectors = cl.WordVectors(cut_lineage(word_vectors(docs)), **options)
+    stage = cl.LinguisticEnrichment(None, "text", tags=[], pos_stats=False, vec=True, word_vectors=vectors)
+    out = stage.transform(docs.select("doc_id", "text"))
     part = lambda c, p: [F.round(F.col(c)[i], 6).alias(f"{p}_{x}") for i, x in enumerate(("de", "en", "es", "fr"))]
     return out.select("doc_id", *part("text_vec", "v"), *part("text_vec_normalized", "u"))
 
 
+@query("doc_vector", DOC_VECTOR_SQL)
+def doc_vector(spark, sf):
+    return document_vectors(spark, sf)
+
+
+@query("doc_vector_joined", DOC_VECTOR_SQL)
+def doc_vector_joined(spark, sf):
+    """The same by a table of vectors that is joined, as a large one is."""
+    return document_vectors(spark, sf, max_broadcast_bytes=0)
+
+
 @query(
     "synonym_tags",
     SQL_VECTORS

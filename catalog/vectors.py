@@ -8,7 +8,6 @@ import corpusloom as cl
 from corpusloom.functions import arrays
 from corpusloom.operators.vectors import vector_dims
 from corpusloom.session import cut_lineage
-from corpusloom.sources.tables import spread
 
 from .registry import query, table
 
@@ -19,7 +18,7 @@ SQL_CENTROID = """
 
 
 def centroids(spark, sf):
-    return cl.group_centroids(spread(table(spark, sf, "embeddings")), "label", "embedding")
+    return cl.group_centroids(table(spark, sf, "embeddings"), "label", "embedding")
 
 
 @query(
@@ -38,8 +37,10 @@ def vector_normalized(spark, sf):
 
 @query("vector_dims", "SELECT max(len(embedding)) AS dims FROM embeddings")
 def dims(spark, sf):
-    found = vector_dims(table(spark, sf, "embeddings"), "embedding")
-    return spark.range(1).select(F.lit(found["embedding"]).cast("long").alias("dims"))
+    """The dimension of all vectors, which ``vector_dims`` has found to be one and the same."""
+    vectors = table(spark, sf, "embeddings")
+    vector_dims(vectors, "embedding")
+    return vectors.agg(F.max(F.size("embedding")).cast("long").alias("dims"))
 
 
 @query("group_centroid", SQL_CENTROID + "SELECT label, CAST(pos AS BIGINT) AS pos, round(v, 6) AS x FROM c")

@@ -3,7 +3,7 @@
 from .functions.dictionary import InlineDictionary, TableDictionary, dictionary
 from .functions.languages import languages, stop_words
 from .operators.analysis import AnalyzeText, Analyzer
-from .operators.annotate import Annotator, DictionaryAnnotator, ModelAnnotator, language_model
+from .operators.annotate import Annotator, DictionaryAnnotator, ModelAnnotator
 from .operators.html import parse_html, parse_html_files
 from .operators.linguistics import LinguisticEnrichment, widen
 from .operators.sentiment import LexiconSentiment

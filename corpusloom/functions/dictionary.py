@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_INLINE_ENTRIES = 20_000
 MAX_INLINE_BYTES = 4 << 20
@@ -45,6 +45,14 @@ class InlineDictionary:
         if len(self.entries) > MAX_INLINE_ENTRIES or len(self._json) > MAX_INLINE_BYTES:
             raise ValueError(f"{len(self.entries)} entries are too many to carry in a plan")
 
+    @staticmethod
+    def fits(entries: Mapping[str, Any]) -> bool:
+        """Whether a mapping is small enough to be carried in a plan."""
+        if len(entries) > MAX_INLINE_ENTRIES:
+            return False
+        # Braces, quotes and commas of the form it is carried in, generously.
+        return len(json.dumps(dict(entries), ensure_ascii=False)) + 8 * len(entries) + 64 <= MAX_INLINE_BYTES
+
     def keys(self) -> list[str]:
         return list(self.entries)
 
@@ -61,10 +69,15 @@ class InlineDictionary:
 class TableDictionary:
     """A dictionary too large to inline: joined by term, exactly.
 
-    Frequent words make the term a skewed join key, so the text side spreads
-    each term over ``salts`` keys and the dictionary side repeats its rows that
-    often; adaptive skew-join handling may split further. What is collected
-    per row is bounded by that row's own distinct words.
+    Rows are met by a hash of their words, not by an id: null and repeated ids
+    are no matter, and texts that occur often are looked up once. Frequent
+    words make the term a skewed join key, so the text side spreads each term
+    over ``salts`` keys and the dictionary side repeats its rows that often;
+    adaptive skew-join handling splits further. What is collected per text is
+    bounded by its own distinct words.
+
+    The lookup groups by text, so on a stream it runs inside ``foreachBatch``
+    only; the inline form runs on streams as it is.
     """
 
     ROW_BUCKETS = 64
@@ -74,20 +87,24 @@ class TableDictionary:
         self.salts = salts
         self.value_type = value_type
 
-    def bind(self, df: DataFrame, keys: Column, id_col: str | None):
-        """``(df with a helper column, lookup, helper columns to drop)``."""
-        if id_col is None:
-            raise ValueError("a dictionary of this size is joined and needs a unique id column")
-        helper = f"_dictionary_{next(_names)}"
-        terms = df.select(
-            F.col(id_col).alias("_id"),
-            F.explode(F.array_distinct(keys)).alias("term"),
-        ).withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(self.salts)).cast("int"))
+    def bind(self, df: DataFrame, keys: Column, id_col: str | None = None):
+        """``(df with helper columns, lookup, helper columns to drop)``; the second helper has the hits' first words."""
+        n = next(_names)
+        helper, heads, h1, h2, words = (f"_dictionary_{n}{x}" for x in ("", "_heads", "_h1", "_h2", "_words"))
+        df = df.withColumn(words, keys)
+        df = df.withColumns({h1: F.xxhash64(words), h2: F.xxhash64(F.lit("second"), words)})
+        # explode() would have the optimizer test the array for emptiness below the columns it is made
+        # of, with their expressions written out inside its lambdas; a null term meets nothing anyway.
+        terms = (
+            df.select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.explode_outer(words).alias("term"))
+            .distinct()
+            .withColumn("salt", F.pmod("_h2", F.lit(self.salts)).cast("int"))
+        )
         spread = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         hits = (
             terms.join(spread, ["term", "salt"])
-            .groupBy("_id")
-            .agg(F.collect_set(F.struct("term", "value")).alias("_hits"))
+            .groupBy("_h1", "_h2")
+            .agg(F.collect_list(F.struct("term", "value")).alias("_hits"))
         )
         buckets = F.transform(
             F.sequence(F.lit(0), F.lit(self.ROW_BUCKETS - 1)),
@@ -95,13 +112,24 @@ class TableDictionary:
                 F.filter(F.col("_hits"), lambda e: _bucket(e["term"], self.ROW_BUCKETS) == b)
             ),
         )
-        hits = hits.select(F.col("_id"), buckets.alias(helper))
-        joined = df.join(hits, df[id_col] == hits["_id"], "left").drop("_id")
+        first = F.transform("_hits", lambda e: F.get(F.split(e["term"], " "), F.lit(0)))
+        hits = hits.select("_h1", "_h2", buckets.alias(helper), F.array_distinct(first).alias(heads))
+        joined = df.join(hits, (df[h1] == hits["_h1"]) & (df[h2] == hits["_h2"]), "left").drop("_h1", "_h2", h1, h2, words)
 
         def lookup(key: Column) -> Column:
             return F.try_element_at(F.get(F.col(helper), _bucket(key, self.ROW_BUCKETS)), key)
 
-        return joined, lookup, [helper]
+        return joined, lookup, [helper, heads]
+
+
+def mapping_table(entries: Mapping[str, Any], value_type: str) -> DataFrame:
+    """A Python mapping as a table ``(term, value)``."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError("a dictionary of this size becomes a table and needs a running session")
+    rows = [(k, json.dumps({"value": v}, ensure_ascii=False)) for k, v in entries.items()]
+    table = spark.createDataFrame(rows, "term string, json string")
+    return table.select("term", F.from_json("json", f"struct<value:{value_type}>")["value"].alias("value"))
 
 
 def dictionary(
@@ -113,13 +141,16 @@ def dictionary(
 ) -> InlineDictionary | TableDictionary:
     """Pick the form that fits: inline up to ``max_entries``, joined beyond.
 
-    The size is checked by fetching at most one row more than the bound.
+    Both give the same results. The size is checked by fetching at most one row
+    more than the bound; ``max_entries=0`` asks for the joined form.
     When a key occurs twice in a table the greatest value counts.
     """
     if isinstance(source, (InlineDictionary, TableDictionary)):
         return source
     if isinstance(source, Mapping):
-        return InlineDictionary(source, value_type)
+        if max_entries and InlineDictionary.fits(source):
+            return InlineDictionary(source, value_type)
+        return TableDictionary(mapping_table(source, value_type), "term", F.col("value"), value_type)
     value_col = F.col(value) if isinstance(value, str) else value
     wanted = source.select(F.col(key).alias("term"), value_col.cast(value_type).alias("value")).where(
         F.col("term").isNotNull()

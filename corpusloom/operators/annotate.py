@@ -10,15 +10,17 @@ expressions. :class:`ModelAnnotator` runs a user's model in Arrow batches.
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, fields
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.dictionary import InlineDictionary, TableDictionary, dictionary
+from ..functions.dictionary import MAX_INLINE_ENTRIES, InlineDictionary, dictionary
 
 TOKEN = "struct<i:int,sent:int,text:string,lemma:string,pos:string,dep:string>"
 ENTITY = "struct<text:string,label:string,start:int,end:int>"
@@ -87,8 +89,11 @@ class DictionaryAnnotator(Annotator):
         and white space get ``PUNCT``, ``NUM`` and ``SPACE``.
     phrases: ``{phrase: label}`` or a table ``(phrase, label)``: entities of one
         or more words, in lowercase with single blanks. From left to right the
-        longest phrase is taken, and entities do not overlap.
+        longest phrase is taken, and entities do not overlap. Phrases may have
+        any number of words.
     patterns: ``{label: Java regex}`` for entities of a single token.
+    max_entries: dictionaries up to this size travel in the plan, larger ones
+        are joined; results are the same.
     """
 
     def __init__(
@@ -96,17 +101,22 @@ class DictionaryAnnotator(Annotator):
         words: Mapping[str, Mapping[str, str]] | DataFrame | None = None,
         phrases: Mapping[str, str] | DataFrame | None = None,
         patterns: Mapping[str, str] | None = None,
-        max_phrase: int = 4,
+        max_entries: int = MAX_INLINE_ENTRIES,
     ):
         entry = F.struct("lemma", "pos", "dep")
-        self.words = dictionary(words or {}, value=entry, value_type=WORD_ENTRY) if words is not None else None
-        self.phrases = None
+        self.words = self.phrases = None
+        if words is not None:
+            self.words = dictionary(words, value=entry, value_type=WORD_ENTRY, max_entries=max_entries)
         if phrases is not None:
-            self.phrases = dictionary(phrases, key="phrase", value="label")
+            self.phrases = dictionary(phrases, key="phrase", value="label", max_entries=max_entries)
         self.patterns = dict(patterns or {})
+        # In words, the longest phrase there is.
+        self.max_phrase = 0
         if isinstance(self.phrases, InlineDictionary):
-            max_phrase = max((len(p.split(" ")) for p in self.phrases.keys()), default=0)
-        self.max_phrase = max_phrase
+            self.max_phrase = max((len(p.split(" ")) for p in self.phrases.keys()), default=0)
+        elif self.phrases is not None:
+            longest = self.phrases.table.agg(F.max(F.size(F.split("term", " ")))).first()[0]
+            self.max_phrase = longest or 0
 
     def add_parts(self, df, text, parts, id_col=None):
         nested, low, entries, cand = (f"{parts.texts}_{x}" for x in ("nested", "low", "entries", "candidates"))
@@ -154,10 +164,10 @@ class DictionaryAnnotator(Annotator):
             opens = lambda i: F.get(F.col(low), i).isin(first)
             label = self.phrases.get
         elif self.phrases is not None:
-            grams = F.flatten(F.transform(starts, lambda i: F.array(*[phrase(i, n) for n in sizes])))
-            df, label, extra = self.phrases.bind(df, grams, id_col)
+            df, label, extra = self.phrases.bind(df, F.array_distinct(_grams(F.col(low), self.max_phrase)), id_col)
             helpers += extra
-            opens = lambda i: F.lit(True)
+            heads = F.col(extra[1])
+            opens = lambda i: F.array_contains(heads, F.get(F.col(low), i))
 
         def entity(i: Column) -> Column:
             found = F
@@ -176,6 +186,14 @@ class DictionaryAnnotator(Annotator):
         return df.withColumn(cand, F.coalesce(found, F.array().cast(f"array<{ENTITY}>"))), helpers
 
 
+def _grams(words: Column, longest: int) -> Column:
+    """All runs of 1 to ``longest`` words. Arrays meet in zip_with, so no lambda refers to a column (see add_parts)."""
+    runs = [words]
+    for n in range(1, longest):
+        runs.append(F.zip_with(runs[-1], F.slice(words, F.lit(n + 1), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.filter(F.concat(*runs), lambda g: g.isNotNull())
+
+
 def _shape(word: Column) -> Column:
     """The class of a word no dictionary knows."""
     return (
@@ -210,17 +228,22 @@ def _leftmost(candidates: Column) -> Column:
     return taken["kept"]
 
 
+# Models of this Python process, by the key of their annotator: loaded once, used by all tasks a worker runs.
+_MODELS = "_corpusloom_models"
+
+
 class ModelAnnotator(Annotator):
     """Annotations from a Python model.
 
-    ``factory`` is called once per Python worker task and returns a function from a
-    list of texts to one dict per text, with ``tokens`` (dicts ``text, lemma,
-    pos, dep, sent``), and optionally ``ents`` (dicts ``text, label, start,
-    end``) and ``vector``. The model itself never crosses the network.
+    ``factory`` is called once per Python worker process and returns a function
+    from a list of texts to one dict per text, with ``tokens`` (dicts ``text,
+    lemma, pos, dep, sent``), and optionally ``ents`` (dicts ``text, label,
+    start, end``) and ``vector``. The model itself never crosses the network.
     """
 
     def __init__(self, factory: Callable[[], Callable[[list[str]], Iterable[dict[str, Any]]]]):
         self.factory = factory
+        self.key = uuid.uuid4().hex
 
     def add_parts(self, df, text, parts, id_col=None):
         note = f"{parts.texts}_note"
@@ -232,71 +255,55 @@ class ModelAnnotator(Annotator):
         return df.withColumns(columns).drop(note)
 
     def annotate(self, df, text, out_col, id_col=None):
-        factory = self.factory
-
-        @F.pandas_udf(ANNOTATION)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            model = factory()
+        factory, key, models = self.factory, self.key, _MODELS
+
+        @F.arrow_udf(ANNOTATION)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            # Functions are unpickled anew for each task; a module of the process keeps the models.
+            cache = vars(sys).setdefault(models, {})
+            if key not in cache:
+                cache[key] = factory()
             for texts in batches:
-                rows = [_annotation_row(a) for a in model(texts.tolist())]
-                yield pd.DataFrame(
-                    {k: pd.Series([r[k] for r in rows], dtype=object) for k in ("tokens", "ents", "vector")}
-                )
+                yield _annotation_array(cache[key](texts.to_pylist()))
 
         return df.withColumn(out_col, run(text))
 
 
-def _annotation_row(a: dict[str, Any]) -> dict[str, Any]:
-    tokens = [
-        {
-            "i": i,
-            "sent": int(t.get("sent", 0)),
-            "text": t["text"],
-            "lemma": t.get("lemma", t["text"].lower()),
-            "pos": t.get("pos", "X"),
-            "dep": t.get("dep"),
-        }
-        for i, t in enumerate(a.get("tokens", []))
-    ]
-    ents = [
-        {"text": e["text"], "label": e["label"], "start": int(e.get("start", 0)), "end": int(e.get("end", 0))}
-        for e in a.get("ents", [])
+_TOKEN = pa.struct(
+    [("i", pa.int32()), ("sent", pa.int32()), ("text", pa.string()), ("lemma", pa.string()), ("pos", pa.string()), ("dep", pa.string())]
+)
+_ENTITY = pa.struct([("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def _annotation_array(notes: Iterable[dict[str, Any]]) -> pa.Array:
+    """Annotations as one Arrow array, from parallel lists of their parts."""
+    tokens: dict[str, list] = {f.name: [] for f in _TOKEN}
+    ents: dict[str, list] = {f.name: [] for f in _ENTITY}
+    token_ends, ent_ends, vectors = [0], [0], []
+    for note in notes:
+        for i, t in enumerate(note.get("tokens", [])):
+            row = (i, int(t.get("sent", 0)), t["text"], t.get("lemma", t["text"].lower()), t.get("pos", "X"), t.get("dep"))
+            for values, value in zip(tokens.values(), row):
+                values.append(value)
+        for e in note.get("ents", []):
+            for values, value in zip(ents.values(), (e["text"], e["label"], int(e.get("start", 0)), int(e.get("end", 0)))):
+                values.append(value)
+        token_ends.append(len(tokens["i"]))
+        ent_ends.append(len(ents["text"]))
+        vectors.append(note.get("vector"))
+    lists = lambda ends, kind, parts: pa.ListArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(parts[f.name], f.type) for f in kind], fields=list(kind))
+    )
+    columns = [
+        lists(token_ends, _TOKEN, tokens),
+        lists(ent_ends, _ENTITY, ents),
+        pa.array([None if v is None else [float(x) for x in v] for v in vectors], pa.list_(pa.float32())),
     ]
-    vector = a.get("vector")
-    return {"tokens": tokens, "ents": ents, "vector": None if vector is None else [float(x) for x in vector]}
-
-
-def language_model(name: str) -> ModelAnnotator:
-    """Annotator over an installed spaCy model, loaded on the workers."""
-
-    def factory():
-        try:
-            import spacy
-        except ImportError as e:  # pragma: no cover - depends on the installation
-            raise ImportError("this annotator needs spaCy on every worker") from e
-        nlp = spacy.load(name)
-
-        def run(texts: list[str]):
-            for doc in nlp.pipe(texts):
-                sent_of = {t.i: k for k, s in enumerate(doc.sents) for t in s}
-                yield {
-                    "tokens": [
-                        {"text": t.text, "lemma": t.lemma_, "pos": t.pos_, "dep": t.dep_, "sent": sent_of.get(t.i, 0)}
-                        for t in doc
-                    ],
-                    "ents": [{"text": e.text, "label": e.label_, "start": e.start, "end": e.end} for e in doc.ents],
-                    "vector": doc.vector if doc.vector.size else None,
-                }
-
-        return run
-
-    return ModelAnnotator(factory)
+    return pa.StructArray.from_arrays(columns, names=["tokens", "ents", "vector"])
 
 
-def annotator(source: Annotator | Callable | str | None) -> Annotator:
-    """An annotator from what the user gives: itself, a model factory or a model name."""
+def annotator(source: Annotator | Callable | None) -> Annotator:
+    """An annotator from what the user gives: itself or a model factory."""
     if source is None:
         return DictionaryAnnotator()
-    if isinstance(source, Annotator):
-        return source
-    return language_model(source) if isinstance(source, str) else ModelAnnotator(source)
+    return source if isinstance(source, Annotator) else ModelAnnotator(source)

@@ -36,7 +36,7 @@ class LinguisticEnrichment(Stage):
 
     Parameters
     ----------
-    nlp: an annotator, a model factory, a model name, or none for the default.
+    nlp: an annotator, a model factory, or none for the default.
     tags: any of ``ents``, ``subj``, ``verb``.
     pos_stats: true for all universal tags, false for none, or a list.
     entity_labels: labels to spread into columns; none keeps a map column.
@@ -49,7 +49,7 @@ class LinguisticEnrichment(Stage):
 
     def __init__(
         self,
-        nlp: Annotator | Callable | str | None = None,
+        nlp: Annotator | Callable | None = None,
         cols: str | Sequence[str] = (),
         tags: Sequence[str] = ("ents", "subj", "verb"),
         pos_stats: bool | Sequence[str] = True,

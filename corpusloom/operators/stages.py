@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
-from ..functions.dictionary import InlineDictionary
 from ..roles import Roles
 
 
@@ -177,7 +176,6 @@ class SynonymTags(MapToTags):
     def __init__(self, seeds: Iterable[str], word_vectors: DataFrame, cols, out_col, topn: int = 10):
         super().__init__(cols, out_col)
         self.vocabulary = expanded_words([s.lower() for s in seeds], word_vectors, topn)
-        self._known = InlineDictionary({w: w for w in self.vocabulary}, "string")
 
     def tags(self, value):
         return F.filter(tx.words(value), lambda t: t.isin(self.vocabulary))

@@ -328,7 +328,7 @@ class WordVectors:
 
     Within the size bound the vectors are sent to the workers once and texts
     are averaged row by row (works on streams). Beyond it the words of each
-    text are joined with the table; see :meth:`_joined`.
+    text are joined with the table, with the same results; see :meth:`_joined`.
     """
 
     def __init__(
@@ -368,37 +368,37 @@ class WordVectors:
         """Mean vector of the known words of a text; the zero vector if none is known."""
         if self.inline:
             return df.withColumn(out_col, _mean_vector(self._broadcast(), self.dims)(words))
-        return self._joined(df, words, out_col, id_col)
+        return self._joined(df, words, out_col)
 
-    def _joined(self, df: DataFrame, words: Column, out_col: str, id_col: str | None) -> DataFrame:
-        """Join distinct words with their vectors, then average per text.
+    def _joined(self, df: DataFrame, words: Column, out_col: str) -> DataFrame:
+        """Join the distinct words of each text with their vectors, and add up.
 
-        Each word is first counted within its text. The join key is spread
-        over ``salts`` values since common words occur in most texts. A text
-        collects one vector per distinct word of its own.
+        Rows are met by a hash of their words, so no id is needed and equal
+        texts are worked on once. The join key is spread over ``salts`` values
+        since common words occur in most texts. Each task adds up the vectors
+        it has for a text before they are shuffled again.
         """
-        if id_col is None:
-            raise ValueError("a vector table of this size is joined and needs a unique id column")
+        h1, h2, held = (f"_{out_col}_{x}" for x in ("h1", "h2", "words"))
+        df = df.withColumn(held, words)
+        df = df.withColumns({h1: F.xxhash64(held), h2: F.xxhash64(F.lit("second"), held)})
+        # A word's places number its occurrences: equal texts have equal ones, and count once.
+        places = df.select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.posexplode(held).alias("place", "term")).distinct()
         counted = (
-            df.select(F.col(id_col).alias("_id"), F.explode(words).alias("term"))
-            .groupBy("_id", "term")
+            places.groupBy("_h1", "_h2", "term")
             .agg(F.count("*").alias("n"))
-            .withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(self.salts)).cast("int"))
+            .withColumn("salt", F.pmod("_h2", F.lit(self.salts)).cast("int"))
         )
         spread = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-        hits = (
+        sums = [F.sum(F.col("n") * F.get("vec", F.lit(j)).cast("double")).alias(f"s{j}") for j in range(self.dims)]
+        means = (
             counted.join(spread, ["term", "salt"])
-            .groupBy("_id")
-            .agg(F.collect_list(F.struct("n", "vec")).alias("hits"), F.sum("n").alias("total"))
+            .groupBy("_h1", "_h2")
+            .agg(F.sum("n").alias("total"), *sums)
+            .select("_h1", "_h2", F.array(*[F.col(f"s{j}") / F.col("total") for j in range(self.dims)]).alias(out_col))
         )
-        at = lambda j: F.aggregate(
-            F.col("hits"), F.lit(0.0), lambda s, h: s + h["n"] * F.get(h["vec"], j).cast("double")
-        )
-        dims = F.sequence(F.lit(0), F.lit(self.dims - 1))
-        means = hits.select("_id", F.transform(dims, lambda j: at(j) / F.col("total")).alias(out_col))
         zero = F.array_repeat(F.lit(0.0), self.dims)
-        joined = df.join(means, df[id_col] == means["_id"], "left").drop("_id")
-        return joined.withColumn(out_col, F.coalesce(F.col(out_col), zero))
+        joined = df.join(means, (df[h1] == means["_h1"]) & (df[h2] == means["_h2"]), "left")
+        return joined.drop("_h1", "_h2", h1, h2, held).withColumn(out_col, F.coalesce(F.col(out_col), zero))
 
 
 def _mean_vector(shared, dims: int):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings for running the library on one machine. On a cluster the submitter
@@ -35,19 +33,11 @@ def local_session(cores: int | str = 8, app: str = "corpusloom", **settings: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local session may do without the setting; it then gets a folder of
-    its own, remembered for the life of the session.
-    """
+    """The folder every executor can reach, taken from ``spark.checkpoint.dir``; the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    folder = tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def cut_lineage(df):

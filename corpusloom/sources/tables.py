@@ -20,20 +20,6 @@ def read_texts(spark: SparkSession, path: str, format: str | None = None, schema
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when the input may keep only a few cores busy.
-
-    A file of one row group is one task however long its texts are. An input
-    of many parts or many files is left alone, so large tables never move.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def head(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
     """The first ``n`` rows in a stated order."""
     return df.orderBy(order_by).limit(n)

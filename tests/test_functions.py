@@ -125,13 +125,19 @@ def test_table_dictionary_gives_what_the_inline_one_gives(spark):
     df = spark.createDataFrame([(i, ["the"] * 3 + ["of", f"w{i}"]) for i in range(50)] + [(99, [])], "id long, t array<string>")
     want = None
     for d in (InlineDictionary(entries, "double"), TableDictionary(table, "term", F.col("value"), "double")):
-        bound, get, helpers = d.bind(df, F.col("t"), "id")
+        bound, get, helpers = d.bind(df, F.col("t"))
         got = rows_by_id(bound.withColumn("v", F.transform("t", get)).drop(*helpers), "v")
         assert want is None or got == want
         want = got
     assert want[3] == [1.0, 1.0, 1.0, 2.0, None] and want[99] == []
-    with pytest.raises(ValueError):
-        TableDictionary(table, "term", F.col("value"), "double").bind(df, F.col("t"), None)
+    # Neither null nor repeated ids matter, and a mapping of any size is taken.
+    odd = spark.createDataFrame([(None, ["of"]), (None, ["zoo"]), (1, ["the"]), (1, ["of", "of"]), (2, None)], "id long, t array<string>")
+    big = {**entries, **{f"x{i}": float(i) for i in range(MAX_INLINE_ENTRIES)}}
+    d = dictionary(big, value_type="double")
+    assert isinstance(d, TableDictionary)
+    bound, get, helpers = d.bind(odd, F.col("t"))
+    rows = bound.withColumn("v", F.transform("t", get)).drop(*helpers).collect()
+    assert sorted((r["v"] for r in rows), key=repr) == sorted([[2.0], [3.0], [1.0], [2.0, 2.0], None], key=repr)
 
 
 def test_languages(spark):

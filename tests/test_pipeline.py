@@ -7,7 +7,6 @@ import corpusloom as cl
 from corpusloom.roles import geo_point, roles_from_schema
 from corpusloom.session import cut_lineage, shared_folder
 from corpusloom.sources.index import Index, latest_by_id, with_document_id, write_jdbc, write_mode
-from corpusloom.sources.tables import spread
 from corpusloom.streaming import streams
 
 
@@ -177,7 +176,6 @@ def test_reading(spark, tmp_path, news):
     assert [r["id"] for r in cl.head(news, 2, "id").collect()] == [0, 1]
     merged = cl.union_by_name(news.select("id"), news.select(F.col("id").alias("other")))
     assert merged.columns == ["id", "other"] and merged.count() == 42
-    assert spread(cl.read_texts(spark, "news_view")).rdd.getNumPartitions() >= 4
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -98,5 +98,7 @@ def test_word_vectors_broadcast_and_joined_agree(spark):
         out.append(rows_by_id(done, "v"))
     assert out[0] == out[1]
     assert out[0][1] == pytest.approx([2 / 3, 5 / 3]) and out[0][2] == [0.0, 0.0] == out[0][3]
-    with pytest.raises(ValueError):
-        cl.WordVectors(table, max_broadcast_bytes=0).add_document_vector(df, words(F.col("t")), "v")
+    odd = spark.createDataFrame([(None, "the"), (None, "cat"), (7, "the"), (7, "cat cat the"), (7, "cat cat the")], "id long, t string")
+    joined = cl.WordVectors(table, max_broadcast_bytes=0).add_document_vector(odd, words(F.col("t")), "v", "id").collect()
+    near = [[round(x, 6) for x in v] for v in ([1.0, 2.0], [0.0, 1.0], [1.0, 2.0], [1 / 3, 4 / 3], [1 / 3, 4 / 3])]
+    assert sorted([round(x, 6) for x in r["v"]] for r in joined) == sorted(near)
