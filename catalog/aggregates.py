@@ -84,6 +84,21 @@ def histogram_auto(spark, sf):
     return out.select(F.round("key", 4).alias("key"), "n")
 
 
+@query(
+    "histogram_decimal",
+    """
+    WITH o AS (SELECT CAST(o_totalprice AS DECIMAL(12, 2)) AS price FROM orders),
+    r AS (SELECT (CAST(max(price) AS DOUBLE) - CAST(min(price) AS DOUBLE)) / 100 AS i FROM o)
+    SELECT round(floor(CAST(price AS DOUBLE) / i) * i, 4) AS key, count(*) AS n FROM o, r GROUP BY 1
+    """,
+)
+def histogram_decimal(spark, sf):
+    """An automatic interval from the range of a decimal column."""
+    orders = table(spark, sf, "orders").select(F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    interval = pn.histogram_interval(*pn.ranges(orders, ["price"])["price"])
+    return pn.histogram(orders, cl.Histogram("price"), interval).select(F.round("key", 4).alias("key"), "n")
+
+
 @query(
     "histogram_gap_filled",
     """
@@ -162,6 +177,56 @@ def _flat(table):
 SQL_DAYS = "date_diff('second', TIMESTAMP '1970-01-01', ts)"
 
 
+@query(
+    "dashboard_metrics",
+    """
+    SELECT 'event_type' AS panel, event_type AS key, count(*) AS n, round(avg(value), 6) AS metric FROM events GROUP BY event_type
+    UNION ALL
+    SELECT * FROM (SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) AS n, round(max(value), 6) FROM events
+      GROUP BY user_id ORDER BY n DESC, user_id LIMIT 5)
+    """,
+)
+def dashboard_metrics(spark, sf):
+    """Bars with a metric of another column beside the count."""
+    bars = [
+        cl.HorizontalBar("event_type", metric="avg", metric_col="value"),
+        cl.HorizontalBar("user_id", 5, metric="max", metric_col="value"),
+    ]
+    panels = cl.dashboard(table(spark, sf, "events"), cl.Roles(), extra=bars)
+    rows = [
+        panels[p.field].select(
+            F.lit(p.field).alias("panel"), F.col("key").cast("string").alias("key"), "n", F.round(p.metric, 6).alias("metric")
+        )
+        for p in bars
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    "dashboard_time_range",
+    f"""
+    WITH e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 00:00:00'),
+    r AS (SELECT (max(value) - min(value)) / 100 AS i,
+      CASE WHEN epoch(max(ts)) // 3600 - epoch(min(ts)) // 3600 + 1 <= 100 THEN 3600 ELSE 7200 END AS s FROM e)
+    SELECT 'value' AS panel, NULL::VARCHAR AS key, round(floor(value / i) * i, 4) AS value, NULL::VARCHAR AS ts, count(*) AS n
+      FROM e, r GROUP BY 3
+    UNION ALL
+    SELECT 'ts', NULL, NULL, strftime(to_timestamp({SQL_DAYS} - {SQL_DAYS} % s) AT TIME ZONE 'UTC', {SQL_STAMP}), count(*) FROM e, r GROUP BY 4
+    UNION ALL SELECT 'event_type', event_type, NULL, NULL, count(*) FROM e GROUP BY event_type
+    """,
+)
+def dashboard_time_range(spark, sf):
+    """The panels of four days; their buckets follow from these days, and the filter reaches the scan."""
+    roles = cl.Roles(tag=["event_type"], num=["value"], date="ts")
+    return _flat(
+        cl.dashboard_table(
+            table(spark, sf, "events"), roles, time_from="2024-01-05 00:00:00", time_to="2024-01-09 00:00:00"
+        )
+    )
+
+
+
+
 @query(
     "dashboard_events",
     f"""

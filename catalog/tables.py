@@ -93,6 +93,46 @@ def index_roundtrip(spark, sf):
     return index.read().select("event_id", "event_type", stamp("ts").alias("ts"), "value")
 
 
+@query(
+    "index_upsert",
+    """
+    SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 2 = 0 THEN reverse(text) ELSE text END AS text,
+      CASE WHEN turn % 2 = 0 THEN role END AS role
+    FROM conversations
+    UNION ALL SELECT -conv_id - 1, 'new', NULL FROM conversations WHERE turn = 0
+    """,
+)
+def index_upsert(spark, sf):
+    """Rows written again by id, with a new column and new ids among them; a transient column stays out; one index dropped."""
+    roles = cl.Roles(id="id", text=["text"], transient=["scratch"])
+    talk = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    index = cl.Index(spark, scratch(spark, "upsert"), "talk")
+    index.write(talk.select("id", "text", F.lit(1).alias("scratch")), roles)
+    even = talk.where("turn % 2 = 0").select("id", F.reverse("text").alias("text"), "role")
+    first = talk.where("turn = 0").select((-F.col("conv_id") - 1).alias("id"), F.lit("new").alias("text"))
+    index.upsert(even, roles)
+    index.upsert(first, roles)
+    other = cl.Index(spark, index.root, "other")
+    other.create(first, roles)
+    other.drop()
+    if other.exists() or "scratch" in index.read().columns:
+        raise AssertionError("an index that was dropped, or a transient column, is there")
+    return index.read().select("id", "text", "role")
+
+
+@query(
+    "index_json_typed",
+    f"SELECT event_id, strftime(ts, {SQL_STAMP}) AS ts, value, 'timestamp_ntz' AS kind, NULL::BIGINT AS nothing FROM events",
+)
+def index_json_typed(spark, sf):
+    """A JSON index gives back types and columns as they were written, one that is null throughout too."""
+    index = cl.Index(spark, scratch(spark, "json"), "events", "json")
+    index.write(table(spark, sf, "events").select("event_id", "ts", "value", F.lit(None).cast("long").alias("nothing")))
+    out = index.read()
+    kind = out.schema["ts"].dataType.simpleString()
+    return out.select("event_id", stamp("ts").alias("ts"), "value", F.lit(kind).alias("kind"), "nothing")
+
+
 @query(
     "union_by_name",
     """

@@ -11,17 +11,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from decimal import Decimal
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.nulls import without_nan
 from ..operators.analysis import Analyzer
+from ..operators.search import time_range
 from ..roles import Roles
 
+# Size of a panel and interval of a histogram where none is given.
 DEFAULT_SIZE = 20
 DEFAULT_INTERVAL = 0.1
 BINS = 100
 FILL_CHUNK = 1 << 16
+# Parts in which the keys of a panel compete first, so that no task ranks them all.
+RANK_PARTS = 64
 
 # The steps an automatic date histogram chooses from: (seconds, name).
 DATE_STEPS = [
@@ -44,11 +50,17 @@ DATE_STEPS = [
 
 def _number_or_time(df: DataFrame, col: str) -> Column:
     kind = df.schema[col].dataType
-    return without_nan(F.col(f"`{col}`")) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(f"`{col}`")
+    return finite(F.col(f"`{col}`")) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col(f"`{col}`")
+
+
+def finite(number: Column) -> Column:
+    """Null for NaN and the infinities: they have no bucket and no place in a range."""
+    number = without_nan(number)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def range_columns(df: DataFrame, cols: Sequence[str]) -> list[Column]:
-    """The aggregates ``c_min`` and ``c_max`` of each column, NaN left out."""
+    """The aggregates ``c_min`` and ``c_max`` of each column, NaN and infinities left out."""
     return [
         f(_number_or_time(df, c)).alias(f"{c}_{n}") for c in cols for n, f in (("min", F.min), ("max", F.max))
     ]
@@ -66,8 +78,8 @@ def ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
 
 def histogram_interval(lo, hi) -> float:
     """A hundredth of a known range of numbers, else the default."""
-    known = all(isinstance(x, (int, float)) and x == x for x in (lo, hi))
-    return float(hi - lo) / BINS if known and hi > lo else DEFAULT_INTERVAL
+    known = all(isinstance(x, (int, float, Decimal)) and isfinite(x) for x in (lo, hi))
+    return (float(hi) - float(lo)) / BINS if known and hi > lo else DEFAULT_INTERVAL
 
 
 def date_step(lo, hi, max_buckets: int = BINS) -> str:
@@ -181,25 +193,51 @@ def tag_cloud(df: DataFrame, panel: TagCloud, analyzer: Analyzer | None = None,
 def histogram(df: DataFrame, panel: Histogram, interval: float | None = None, fill: bool = False) -> DataFrame:
     """Numbers by ``floor(value / interval) * interval``; ``fill`` adds the empty buckets between."""
     step = F.lit(float(panel.interval or interval or DEFAULT_INTERVAL))
-    bucket = F.floor(without_nan(F.col(f"`{panel.field}`")) / step)
+    bucket = F.floor(finite(F.col(f"`{panel.field}`").cast("double")) / step)
     counted = _buckets(df, panel, bucket)
     if fill:
         ends = counted.agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
         # Two steps, so that no task ever holds one long array of keys.
         starts = ends.select("hi", F.explode(F.sequence("lo", "hi", F.lit(FILL_CHUNK).cast("long"))).alias("at"))
         last = F.least(F.col("at") + FILL_CHUNK - 1, F.col("hi"))
-        keys = starts.select(F.explode(F.sequence("at", last)).alias("key"))
+        keys = starts.repartition("at").select(F.explode(F.sequence("at", last)).alias("key"))
         counted = keys.join(counted, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counted.withColumn("key", F.col("key") * step).orderBy("key")
 
 
-def date_bucket(ts: Column, step: str) -> Column:
-    """Start of the step an instant falls in; fixed steps count from the epoch."""
+NTZ_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def without_zone(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, T.TimestampNTZType)
+
+
+def seconds_of(ts: Column, no_zone: bool = False) -> Column:
+    """Whole seconds since the epoch; those of a clock without a zone do not depend on the session's."""
+    if not no_zone:
+        return F.unix_seconds(ts.cast("timestamp"))
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def instant_of(seconds: Column, no_zone: bool = False) -> Column:
+    if not no_zone:
+        return F.timestamp_seconds(seconds)
+    return F.expr(NTZ_EPOCH) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def date_bucket(ts: Column, step: str, no_zone: bool = False) -> Column:
+    """Start of the step an instant falls in; fixed steps count from the epoch.
+
+    With ``no_zone``, for ``timestamp_ntz`` columns, steps follow the clock
+    itself; others follow UTC, and months and years the session's zone.
+    """
     if step in ("month", "year"):
-        return F.date_trunc(step, ts)
+        start = F.date_trunc(step, ts)
+        return start.cast("timestamp_ntz") if no_zone else start
     seconds = next((s for s, name in DATE_STEPS if name == step), None) or _seconds(step)
-    whole = F.unix_seconds(ts.cast("timestamp"))
-    return F.timestamp_seconds(whole - F.pmod(whole, F.lit(seconds)))
+    whole = seconds_of(ts, no_zone)
+    return instant_of(whole - F.pmod(whole, F.lit(seconds)), no_zone)
 
 
 def _seconds(step: str) -> int:
@@ -218,7 +256,8 @@ def date_histogram(df: DataFrame, panel: DateHistogram, span: tuple | None = Non
     if step == "auto":
         lo, hi = span or ranges(df, [panel.field])[panel.field]
         step = date_step(lo, hi)
-    return _buckets(df, panel, date_bucket(F.col(f"`{panel.field}`"), step)).orderBy("key")
+    key = date_bucket(F.col(f"`{panel.field}`"), step, without_zone(df, panel.field))
+    return _buckets(df, panel, key).orderBy("key")
 
 
 def metric_by(df: DataFrame, field: str, metric: str, metric_col: str) -> DataFrame:
@@ -265,12 +304,17 @@ def dashboard(
     spans: Mapping[str, tuple] | None = None,
     extra: Sequence[Panel | str] = (),
     analyzer: Analyzer | None = None,
+    time_from=None,
+    time_to=None,
 ) -> dict[str, DataFrame]:
     """One lazy table per panel. A bare column name in ``extra`` means a bar panel.
 
     Ranges that are needed and not in ``spans`` are found in a single pass.
-    Use :func:`dashboard_table` to evaluate all panels in one pass instead.
+    ``time_from`` and ``time_to`` keep the rows of a time range of the date
+    column; the filter reaches the scan. Use :func:`dashboard_table` to
+    evaluate all panels in one pass instead.
     """
+    df, spans = _in_time(df, roles, spans, time_from, time_to)
     panels = _all_panels(roles, extra)
     spans = _known_spans(df, panels, spans)
     analyzer = analyzer or Analyzer(roles.lang)
@@ -287,6 +331,15 @@ def dashboard(
     return out
 
 
+def _in_time(df: DataFrame, roles: Roles, spans, time_from, time_to):
+    """The rows of a time range; spans of the whole table do not hold for them."""
+    if time_from is None and time_to is None:
+        return df, spans
+    if roles.date is None:
+        raise ValueError("a time range needs a date column")
+    return time_range(df, roles.date, time_from, time_to), None
+
+
 def _keyed(panel: str):
     return lambda v: F.struct(F.lit(panel), v.cast("string"), F.lit(None).cast("long"))
 
@@ -300,16 +353,23 @@ def dashboard_table(
     spans: Mapping[str, tuple] | None = None,
     extra: Sequence[Panel | str] = (),
     analyzer: Analyzer | None = None,
+    time_from=None,
+    time_to=None,
 ) -> DataFrame:
     """All count panels from a single scan and a single shuffle of counts.
 
     Columns ``panel``, ``key`` (bars and clouds), ``value`` (start of a number
-    bucket), ``ts`` (start of a time bucket) and ``n``.
+    bucket), ``ts`` (start of a time bucket) and ``n``. Panels with another
+    metric than the count have no place here: :func:`dashboard` has them.
     """
+    df, spans = _in_time(df, roles, spans, time_from, time_to)
     panels = _all_panels(roles, extra)
+    other = [name for name, p in panels.items() if p.metric != "count"]
+    if other:
+        raise ValueError(f"only counts fit in one table; use dashboard() for {other}")
     spans = _known_spans(df, panels, spans)
     analyzer = analyzer or Analyzer(roles.lang)
-    entries, steps, clocks, sizes = [], {}, [], {}
+    entries, steps, clocks, sizes, zones = [], {}, [], {}, set()
     fields = [p.field for p in panels.values()]
     df = df.select(*dict.fromkeys([*fields, *([roles.id] if roles.id else [])]))
     for i, (name, p) in enumerate(panels.items()):
@@ -329,10 +389,12 @@ def dashboard_table(
             if isinstance(p, DateHistogram):
                 step = date_step(*spans[p.field]) if p.interval == "auto" else p.interval
                 clocks.append(name)
-                bucket = F.unix_seconds(date_bucket(col, step).cast("timestamp"))
+                no_zone = without_zone(df, p.field)
+                bucket = seconds_of(date_bucket(col, step, no_zone), no_zone)
+                zones.add(no_zone)
             else:
                 steps[name] = float(p.interval or histogram_interval(*spans[p.field]))
-                bucket = F.floor(without_nan(col) / F.lit(steps[name]))
+                bucket = F.floor(finite(col.cast("double")) / F.lit(steps[name]))
             one = F.array(F.struct(F.lit(name), none("string"), bucket.cast("long")))
             entry = F.when(bucket.isNotNull(), one)
         entries.append(F.coalesce(entry.cast(ENTRY), F.array().cast(ENTRY)))
@@ -342,8 +404,13 @@ def dashboard_table(
         .agg(F.count("*").alias("n"))
     )
     # A bar panel's keys compete with each other; each histogram bucket stands alone.
-    rank = F.row_number().over(Window.partitionBy("panel", "bucket").orderBy(F.desc("n"), "key"))
+    # They do so in parts first, whatever the size of the panel.
+    order = [F.desc("n"), "key"]
     largest = max(sizes.values(), default=1)
+    counts = counts.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RANK_PARTS)))
+    first = F.row_number().over(Window.partitionBy("panel", "bucket", "part").orderBy(*order))
+    counts = counts.withColumn("rank", first).where(F.col("rank") <= largest)
+    rank = F.row_number().over(Window.partitionBy("panel", "bucket").orderBy(*order))
     limit, width = F.lit(1), F.lit(None).cast("double")
     for name, size in sizes.items():
         limit = F.when(F.col("panel") == name, size).otherwise(limit)
@@ -354,6 +421,6 @@ def dashboard_table(
         "panel",
         "key",
         (F.col("bucket") * width).alias("value"),
-        F.when(F.col("panel").isin(clocks), F.timestamp_seconds("bucket")).alias("ts"),
+        F.when(F.col("panel").isin(clocks), instant_of(F.col("bucket"), zones == {True})).alias("ts"),
         "n",
     )

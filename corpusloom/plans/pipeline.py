@@ -103,12 +103,15 @@ class Pipeline:
         """Run all stages; with ``write`` also store the rows in the index.
 
         Writing is one job. Row count and column ranges are observed while the
-        rows pass by, so the dashboard needs no further look at them.
+        rows pass by, so the dashboard needs no further look at them; where
+        rows were there before, their ranges are found when they are needed.
+        With ``if_index_exists="upsert"`` rows replace those of the same id.
         """
         enriched = self.transform(df)
         if write:
             index = self.index(df.sparkSession)
-            index.check(if_index_exists)
+            if (if_index_exists or "").lower() != "upsert":
+                index.check(if_index_exists)
             if self.roles.vec:
                 self.dims = vector_dims(enriched, *self.roles.vec)
             self._write(index, enriched, if_index_exists)
@@ -123,10 +126,17 @@ class Pipeline:
         cols = self._ranged()
         rows = prepared(enriched, self.roles)
         watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *pn.range_columns(rows, cols))
-        index.write(watched, self.roles, if_exists, self.partition_by)
+        policy = (if_exists or "error").lower()
+        joined = policy in ("append", "upsert") and index.exists()
+        if policy == "upsert":
+            if self.roles.id is None:
+                raise ValueError("to replace rows by id, declare id_col")
+            index.upsert(watched, self.roles, self.partition_by)
+        else:
+            index.write(watched, self.roles, if_exists, self.partition_by)
         values = seen.get
         self.rows_written = values["rows"]
-        self.spans = {c: (values[f"{c}_min"], values[f"{c}_max"]) for c in cols}
+        self.spans = {} if joined else {c: (values[f"{c}_min"], values[f"{c}_max"]) for c in cols}
 
     # -- looking at the result
 
@@ -134,15 +144,19 @@ class Pipeline:
         """Ranges of the number columns and the date column."""
         return pn.ranges(df, self._ranged())
 
-    def dashboard(self, df: DataFrame | None = None, extra: Sequence = (), analyzer=None) -> dict[str, DataFrame]:
-        """The default panels, over ``df`` or, without it, over the written index."""
+    def dashboard(
+        self, df: DataFrame | None = None, extra: Sequence = (), analyzer=None, time_from=None, time_to=None
+    ) -> dict[str, DataFrame]:
+        """The default panels, over ``df`` or, without it, over the written index; of a time range, if one is given."""
         df, spans = self._source(df)
-        return pn.dashboard(df, self.roles, spans, extra, analyzer)
+        return pn.dashboard(df, self.roles, spans, extra, analyzer, time_from, time_to)
 
-    def dashboard_table(self, df: DataFrame | None = None, extra: Sequence = (), analyzer=None) -> DataFrame:
+    def dashboard_table(
+        self, df: DataFrame | None = None, extra: Sequence = (), analyzer=None, time_from=None, time_to=None
+    ) -> DataFrame:
         """All panels in one table from one pass."""
         df, spans = self._source(df)
-        return pn.dashboard_table(df, self.roles, spans, extra, analyzer)
+        return pn.dashboard_table(df, self.roles, spans, extra, analyzer, time_from, time_to)
 
     def _source(self, df: DataFrame | None):
         if df is not None:

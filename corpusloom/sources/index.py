@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.nulls import documents, prune
 from ..roles import Roles
@@ -26,8 +28,15 @@ class Index:
 
     ``format`` is ``parquet`` (default), ``orc`` or ``json``; with ``json`` rows
     are written as documents without nulls and NaNs.
+
+    The columns and their types are kept beside the rows, so reading infers
+    nothing and opens no footers for it. An overwrite is written aside and
+    then put in place: a job that fails leaves the index as it was.
     """
 
+    #: Readers of the folder pass over names that begin like this.
+    COLUMNS = "_columns.json"
+
     def __init__(self, spark: SparkSession, root: str, name: str, format: str = "parquet"):
         if not re.fullmatch(r"[A-Za-z0-9][\w.-]*", name):
             raise ValueError(f"not a usable index name: {name!r}")
@@ -64,8 +73,7 @@ class Index:
 
     def truncate(self) -> None:
         """Delete all rows, keep the columns."""
-        empty = self.spark.createDataFrame([], self.read().schema)
-        empty.write.format(self.format).mode("overwrite").save(self.path)
+        self._replace(self.spark.createDataFrame([], self.read().schema))
 
     # -- rows
 
@@ -78,17 +86,71 @@ class Index:
     ) -> None:
         """Write rows: role columns get their types, transient columns stay out.
 
-        With ``append`` new columns are allowed; reading merges the schemas.
+        With ``append`` new columns are allowed; rows before have nulls there.
         """
         mode = self.check(if_exists)
         df = prepared(df, roles)
-        if self.format == "json":
-            df = prune(df)
-        df.write.format(self.format).mode(mode).partitionBy(*partition_by).save(self.path)
+        if mode == "overwrite":
+            return self._replace(df, partition_by)
+        before = self.read().schema if mode == "append" and self.exists() else T.StructType()
+        self._save(df, self.path, mode, partition_by, before)
+
+    def upsert(self, df: DataFrame, roles: Roles, partition_by: Sequence[str] = ()) -> None:
+        """Write rows by id: those that are there with an id of ``df`` are replaced, all others stay."""
+        df = prepared(df, roles)
+        if not self.exists():
+            return self._save(df, self.path, "errorifexists", partition_by)
+        stored = self.read()
+        # The new rows are written once, then joined from there.
+        aside = f"{self.path}.{uuid.uuid4().hex}.new"
+        self._save(df, aside, "errorifexists", ())
+        new = self._load(aside)
+        old = stored.join(new.select(roles.id).distinct(), roles.id, "left_anti")
+        self._replace(old.unionByName(new, allowMissingColumns=True), partition_by)
+        self._delete(aside)
 
     def read(self) -> DataFrame:
+        return self._load(self.path)
+
+    # -- files
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _delete(self, path: str) -> None:
+        self._fs()[0].delete(self._path(path), True)
+
+    def _save(self, df: DataFrame, path: str, mode: str, partition_by: Sequence[str], before=None) -> None:
+        """Rows, and beside them the columns: those ``before`` and the new ones."""
+        known = {f.name for f in before or ()}
+        columns = T.StructType([*(before or ()), *[f for f in df.schema if f.name not in known]])
+        rows = prune(df) if self.format == "json" else df
+        rows.write.format(self.format).mode(mode).partitionBy(*partition_by).save(path)
+        out = self._fs()[0].create(self._path(f"{path}/{self.COLUMNS}"), True)
+        out.write(bytearray(columns.json(), "utf-8"))
+        out.close()
+
+    def _load(self, path: str) -> DataFrame:
+        fs, kept = self._fs()[0], self._path(f"{path}/{self.COLUMNS}")
         reader = self.spark.read.format(self.format)
-        return reader.option("mergeSchema", "true").load(self.path)
+        if not fs.exists(kept):  # written by something else
+            return reader.option("mergeSchema", "true").load(path)
+        stream = fs.open(kept)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return reader.schema(T.StructType.fromJson(json.loads(text))).load(path)
+
+    def _replace(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+        """Write aside, then put in place of what is there."""
+        fs, path = self._fs()
+        fresh, gone = (f"{self.path}.{uuid.uuid4().hex}.{x}" for x in ("new", "old"))
+        self._save(df, fresh, "errorifexists", partition_by)
+        if fs.exists(path):
+            fs.rename(path, self._path(gone))
+        fs.rename(self._path(fresh), path)
+        self._delete(gone)
 
 
 def prepared(df: DataFrame, roles: Roles | None) -> DataFrame:
@@ -138,10 +200,11 @@ def write_jdbc(
 ) -> None:
     """Load rows into a database table in batches: replace it first, or append.
 
-    ``connections`` bounds how many tasks write to the database at a time.
+    ``connections`` bounds how many tasks write to the database at a time; the
+    work before is not bound by it.
     """
     (
-        df.coalesce(connections)
+        df.repartition(connections)
         .write.format("jdbc")
         .option("url", url)
         .option("dbtable", table)

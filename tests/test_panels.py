@@ -133,3 +133,45 @@ def test_time_range_reaches_the_scan(rows, spark, tmp_path):
     pushed = plan.split("PushedFilters: ")[1].splitlines()[0]
     assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_decimal_and_infinite_ranges(spark):
+    import decimal
+
+    assert pn.histogram_interval(decimal.Decimal("0"), decimal.Decimal("500000.00")) == 5000.0
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "x double")
+    assert pn.ranges(df, ["x"])["x"] == (1.0, 2.0)
+    assert pn.histogram(df, cl.Histogram("x", 1.0)).selectExpr("sum(n)").first()[0] == 2
+
+
+def test_other_metrics_are_not_counts(spark):
+    df = spark.createDataFrame([("a", 1.0)], "t string, x double")
+    with pytest.raises(ValueError):
+        cl.dashboard_table(df, cl.Roles(), extra=[cl.HorizontalBar("t", metric="avg", metric_col="x")])
+
+
+def test_clock_times_do_not_follow_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00' AS ts UNION ALL SELECT TIMESTAMP_NTZ '1969-12-31 23:59:59.5'")
+        keys = pn.date_histogram(df, cl.DateHistogram("ts", "1 day")).selectExpr("CAST(key AS STRING) AS k").collect()
+        assert [r["k"] for r in keys] == ["1969-12-31 00:00:00", "2024-03-10 00:00:00"]
+        table = cl.dashboard_table(df, cl.Roles(date="ts"), spans={"ts": (None, None)})
+        assert sorted(r["k"] for r in table.selectExpr("CAST(ts AS STRING) AS k").collect()) == ["1969-12-31 22:00:00", "2024-03-10 02:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_large_panels_are_ranked_in_parts(spark):
+    df = spark.range(3000).selectExpr("CAST(id % 1500 AS STRING) AS t")
+    out = cl.dashboard_table(df, cl.Roles(), extra=[cl.HorizontalBar("t", 1200)])
+    assert out.count() == 1200 and {r["n"] for r in out.collect()} == {2}
+
+
+def test_time_range_of_a_dashboard(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS ts, 'x' AS t FROM range(10)")
+    roles = cl.Roles(tag=["t"], date="ts")
+    assert cl.dashboard(df, roles, time_from="2024-01-03", time_to="2024-01-05")["t"].first()["n"] == 3
+    with pytest.raises(ValueError):
+        cl.dashboard(df, cl.Roles(tag=["t"]), time_from="2024-01-03")

@@ -102,11 +102,42 @@ def test_json_index(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), [None, "a"])], "id int, x double, t array<string>")
     index = Index(spark, str(tmp_path), "j", "json")
     index.write(df)
-    files = [f for f in os.listdir(index.path) if f.endswith(".json")]
+    files = [f for f in os.listdir(index.path) if f.endswith(".json") and not f.startswith("_")]
     text = "".join(open(os.path.join(index.path, f)).read() for f in files)
     assert text.strip() == '{"id":1,"t":["a"]}'
 
 
+def test_upsert_replaces_by_id(spark, tmp_path, news):
+    p = cl.Pipeline("up", text_cols=["message"], id_col="id", num_cols=["size"], root=str(tmp_path))
+    sized = news.withColumn("size", F.length("message"))
+    p.process(sized, write=True)
+    more = sized.where("id < 5").withColumn("size", F.lit(-7)).withColumn("extra", F.lit("x"))
+    p.process(more, write=True, if_index_exists="upsert")
+    out = p.index(spark).read()
+    assert out.count() == 21 and out.where("size = -7 AND extra = 'x'").count() == more.count()
+    # The ranges of the rows written last do not stand for the whole index.
+    fresh = cl.Pipeline("up", text_cols=["message"], id_col="id", num_cols=["size"], root=str(tmp_path))
+    assert [r["key"] for r in p.dashboard()["size"].collect()] == [r["key"] for r in fresh.dashboard()["size"].collect()]
+    with pytest.raises(ValueError):
+        cl.Pipeline("up", text_cols=["message"], root=str(tmp_path)).process(news, write=True, if_index_exists="upsert")
+
+
+def test_a_failed_overwrite_leaves_the_index(spark, tmp_path, news):
+    index = Index(spark, str(tmp_path), "kept")
+    index.write(news)
+    broken = news.withColumn("x", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        index.write(broken, if_exists="overwrite")
+    assert index.read().count() == 21
+
+
+def test_json_index_keeps_types(spark, tmp_path):
+    df = spark.createDataFrame([(1, None)], "id int, n long").withColumn("ts", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    index = Index(spark, str(tmp_path), "typed", "json")
+    index.write(df)
+    assert index.read().dtypes == df.dtypes and index.read().collect() == df.collect()
+
+
 def test_partitioned_index_prunes(spark, tmp_path, news):
     index = Index(spark, str(tmp_path), "p")
     index.write(news, partition_by=["newsgroup"])
@@ -150,7 +181,7 @@ class Recorder:
 def test_jdbc_options():
     r = Recorder()
     write_jdbc(r, "jdbc:x", "t", "append", batch_rows=50, connections=2, user="u")
-    assert r.calls["coalesce"] == [(2,)] and r.calls["mode"] == [("append",)] and ("batchsize", "50") in r.calls["option"]
+    assert r.calls["repartition"] == [(2,)] and r.calls["mode"] == [("append",)] and ("batchsize", "50") in r.calls["option"]
     assert {"user": "u"} in r.calls["options"] and ("dbtable", "t") in r.calls["option"]
 
 
