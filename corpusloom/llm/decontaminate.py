@@ -116,6 +116,7 @@ def _fingerprinted(df: DataFrame, window: int, gram: int, shorts: list[int] | No
                 counts, found = fingerprints_of(part.column("text").to_pylist(), window, gram, shorts, bits)
                 columns = [part.column("id"), part.column("th"), pa.array(counts, pa.int64()), pa.array(found, FOUND)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            pa.default_memory_pool().release_unused()
 
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
     return df.select("id", "th", "text").mapInArrow(work, f"{names}, n_words long, found {FOUND_SQL}")

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import in_blocks
+
 PROFILE_SIZE = 400
 UNKNOWN = "und"
 PIECE = 1 << 20  # characters whose runs are in memory at a time
@@ -173,19 +174,19 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     names, codes, table = profiles.ranks()
     size = profiles.size
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = Letters()
-        for batch in batches:
-            found = []
-            for text in batch:
-                words = words_only(text, letters) if text and names else None
-                if words is None:
-                    found.append((UNKNOWN, 0.0))
-                else:
-                    best, score = nearest(words, codes, table, size)
-                    found.append((names[best], score))
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+
+        def one(text):
+            words = words_only(text, letters) if text and names else None
+            if words is None:
+                return {"lang_pred": UNKNOWN, "score": 0.0}
+            best, score = nearest(words, codes, table, size)
+            return {"lang_pred": names[best], "score": score}
+
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+        yield from in_blocks(batches, lambda texts: [one(t) for t in texts], kind)
 
     row = docs.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("p"))
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")]

@@ -22,15 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, cut_lineage, in_bitmap, keyed, unpacked, without, written
 from .components import components
+from .words import in_blocks
 
 # Hashes of one text that are in memory at a time.
-HASHES_AT_ONCE = 1 << 18
+HASHES_AT_ONCE = 1 << 16
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -56,10 +57,10 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """``id, th`` (a hash of the text) and ``fp``, the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def of_texts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series(np.array([fingerprint(t, size) for t in batch], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        signed = lambda texts: np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64).tolist()
+        yield from in_blocks(batches, signed, pa.int64())
 
     return keyed(docs, id_col, text_col).select("id", "th", of_texts("text").alias("fp"))
 
@@ -152,68 +153,89 @@ def short_fingerprints(words: list[bytes]) -> list[int]:
     return np.concatenate(whole).view("<u4").astype(np.int64).tolist()
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _class_of(words: list[bytes]) -> int:
+    """A hash of the words in order, as a signed number."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(b" ".join(words), 7)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _described(docs: DataFrame) -> DataFrame:
     """``id, th, cid`` (a hash of the words in order) and ``subs``, the short fingerprints, of keyed documents."""
 
-    @F.pandas_udf("struct<cid:long,subs:array<long>>")
-    def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh64_intdigest
+    @F.arrow_udf("struct<cid:long,subs:array<long>>")
+    def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def work(texts):
+            return [{"cid": _class_of(w), "subs": short_fingerprints(w)} for w in map(_words, texts)]
 
-        for batch in texts:
-            rows = []
-            for text in batch:
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                cid = np.array([xxh64_intdigest(b" ".join(words), 7)], dtype=np.uint64).view(np.int64)[0]
-                rows.append((cid, short_fingerprints(words)))
-            yield pd.DataFrame(rows, columns=["cid", "subs"])
+        yield from in_blocks(batches, work, pa.struct([("cid", pa.int64()), ("subs", pa.list_(pa.int64()))]))
 
     return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.cid", "d.subs")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``a > b`` of classes (``cid, subs``) that share a short fingerprint or a variant of one."""
-    each = classes.select("cid", F.posexplode("subs").alias("t", "sub"))
+    """Pairs ``a > b`` of classes (``cid, subs``) that share a short fingerprint or a variant of one.
+
+    A row of the shuffle is a bucket (table and variant in one number) and
+    which bit was flipped, from which the fingerprint follows again; classes
+    are looked up for the few buckets with more than one member.
+    """
+    each = classes.select("cid", F.inline(F.transform("subs", lambda s, t: F.struct((t.cast("long") * (1 << TABLE_BITS) + s).alias("sub")))))
     # Equal fingerprints first, so that a bucket below has distinct ones only, 33 at most.
-    firsts = each.groupBy("t", "sub").agg(F.min("cid").alias("first"))
-    equal = each.join(firsts, ["t", "sub"]).select(F.col("cid").alias("a"), F.col("first").alias("b"))
-    flipped = F.transform(
-        F.sequence(F.lit(0), F.lit(TABLE_BITS - 1)),
-        lambda i: F.col("sub").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)),
+    firsts = each.groupBy("sub").agg(F.min("cid").alias("first"))
+    equal = each.join(firsts, "sub").select(F.col("cid").alias("a"), F.col("first").alias("b"))
+    bit = lambda i: F.when(i < TABLE_BITS, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    balls = firsts.select("sub", F.explode(F.sequence(F.lit(0), F.lit(TABLE_BITS))).alias("i")).select(
+        F.col("sub").bitwiseXOR(bit(F.col("i").cast("int"))).alias("bucket"), F.col("i").cast("byte").alias("i")
     )
-    balls = firsts.select("t", "first", F.explode(F.concat(F.array("sub"), flipped)).alias("variant"))
-    least = F.min("first").over(Window.partitionBy("t", "variant"))
-    near = balls.select(F.col("first").alias("a"), least.alias("b"))
-    found = equal.where("a != b").union(near.where("a != b"))
+    sub = F.col("bucket").bitwiseXOR(bit(F.col("i").cast("int")))
+    met = balls.select(sub.alias("x"), F.min("i").over(Window.partitionBy("bucket")).alias("least"), "bucket", "i")
+    near = met.where("i != least").select("x", F.col("bucket").bitwiseXOR(bit(F.col("least").cast("int"))).alias("y")).distinct()
+    of = lambda name, out: firsts.select(F.col("sub").alias(name), F.col("first").alias(out))
+    near = near.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b")
+    found = equal.union(near).where("a != b")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+# Texts whose shingles are alike to 0.8 differ in 38 of the 256 bits of their short fingerprints at most, on average,
+# with a deviation of 6: beyond this many a pair met by chance.
+MOST_BITS = 64
+
 
-    ``firsts`` has for each class the document (``id, th``) to take the text
-    from. Texts stay in their tasks: a bitmap of fixed size tells nearly all
-    documents without a candidate, and of the others only hashes are shuffled.
+def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs of classes (``cid, subs``) whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Texts stay in their tasks: a bitmap of fixed size tells nearly all
+    documents without a candidate, and of the others only hashes are shuffled,
+    one set for each class and task.
     """
-    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = written(firsts.join(of_pairs, "cid").select("cid", F.col("id").alias("w_id"), F.col("th").alias("w_th")), "wanted")
-    bitmap = bitmap_of(wanted, "w_th")
-
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, hashes in batches:
-            maybe = in_bitmap(hashes.to_numpy().view(np.uint64), bitmap.value)
-            yield pd.Series(
-                [
-                    _set_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), size).view(np.int64) if m else None
-                    for t, m in zip(texts, maybe)
-                ],
-                dtype=object,
-            )
-
-    sets = docs.select("id", "th", shingles("text", "th").alias("set")).where(F.col("set").isNotNull())
-    # Rows alike in id and text have the same set, so any of them will do.
-    sets = sets.join(wanted, sets["id"].eqNullSafe(F.col("w_id")) & (sets["th"] == F.col("w_th")))
-    sets = written(sets.groupBy("cid").agg(F.any_value("set").alias("set")), "sets")
+    subs = lambda name: classes.select(F.col("cid").alias(name), F.col("subs").alias(f"subs_{name}"))
+    apart = F.aggregate(
+        F.zip_with("subs_a", "subs_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
+    )
+    pairs = pairs.join(subs("a"), "a").join(subs("b"), "b").where(apart <= MOST_BITS).select("a", "b")
+    pairs = written(pairs, "pairs")
+    bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
+
+    @F.arrow_udf("struct<cid:long,set:array<int>>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def work(texts):
+            words = [_words(t) for t in texts]
+            cids = np.array([_class_of(w) for w in words], dtype=np.int64)
+            maybe = in_bitmap(cids.view(np.uint64), bitmap.value)
+            # 32 bits of each hash: sets of less than a billion are told apart well enough.
+            low = lambda w: np.unique(_set_hashes(w, size).astype(np.uint32)).view(np.int32)
+            return [{"cid": c, "set": low(w)} if m else None for c, w, m in zip(cids.tolist(), words, maybe)]
+
+        yield from in_blocks(batches, work, pa.struct([("cid", pa.int64()), ("set", pa.list_(pa.int32()))]))
+
+    sets = docs.select(shingles("text").alias("d")).where(F.col("d").isNotNull()).select("d.cid", "d.set")
+    sets = sets.groupBy("cid").agg(F.any_value("set").alias("set"))
     met = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a")
     met = met.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -238,9 +260,8 @@ def one_of_each(
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     classes = described.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("subs").alias("subs"))
     classes = written(classes, "classes")
-    firsts = classes.select("cid", "first.id", "first.th")
-    pairs = written(_candidates(classes.select("cid", "subs")), "pairs")
-    linked = components(_similar(pairs, base, firsts, size, similarity))
+    described_classes = classes.select("cid", "subs")
+    linked = components(_similar(_candidates(described_classes), base, described_classes, size, similarity))
     of_group = linked.join(classes.select(F.col("cid").alias("node"), "first"), "node")
     heads = of_group.groupBy("component").agg(F.min("first").alias("head"))
     of_class = of_group.select("node", "component").join(heads, "component").select(F.col("node").alias("cid"), "head")

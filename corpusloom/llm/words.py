@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text that are worked on at a time, whatever the size of an Arrow batch or of a text.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -36,6 +36,14 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         yield first, len(sizes)
 
 
+def in_blocks(batches: Iterator[pa.Array], work, kind: pa.DataType) -> Iterator[pa.Array]:
+    """``work`` (a list of texts to a list of values) over Arrow arrays of texts; one block is in memory as Python strings."""
+    for batch in batches:
+        values = [work(batch.slice(first, stop - first).to_pylist()) for first, stop in blocks(batch)]
+        yield pa.array([v for part in values for v in part], kind)
+        pa.default_memory_pool().release_unused()
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base, dtype=np.uint64)
     steps[0] = 1
