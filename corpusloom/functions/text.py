@@ -49,11 +49,27 @@ def group_count(regex: str) -> int:
 def python_regex(regex: str) -> str:
     """A Python pattern in Java's dialect.
 
-    Python's ``\\w \\d \\s \\b`` know all of Unicode and only ``\\n`` ends a
-    line; Java needs flags for both. Named groups are spelled differently.
+    Python's ``\\w \\d \\s \\b`` know all of Unicode, so does its ignoring of
+    case, and only ``\\n`` ends a line; Java needs flags for these. Named groups,
+    references to them and ``\\Z`` are spelled differently. What Java lacks is
+    refused: conditional groups, ``\\N{name}``, the flags ``a`` and ``L``.
     """
-    flags = "d" + ("U" if re.search(r"\\[wWdDsSbB]", regex) else "")
-    return f"(?{flags})" + re.sub(r"\(\?P<", "(?<", regex)
+    bare = re.sub(r"\\\\", "  ", regex)
+    ignores_case = re.search(r"\(\?[a-zA-Z]*i[a-zA-Z]*[-:)]", bare)
+    unknown = re.search(r"\(\?\(|\\N\{|\(\?[a-zA-Z]*[aL][a-zA-Z]*[-:)]", bare)
+    if unknown:
+        raise ValueError(f"no Java form of {unknown[0]!r} in {regex!r}")
+    flags = "d" + ("U" if re.search(r"\\[wWdDsSbB]", bare) else "") + ("u" if ignores_case else "")
+
+    def translated(m: re.Match) -> str:
+        if m[0].startswith("\\"):
+            return r"\z" if m[0] == r"\Z" else m[0]
+        name = (m[1] or m[2]).replace("_", "x5f")  # no Java name has this sign
+        return rf"\k<{name}>" if m[1] else f"(?<{name}>"
+
+    # An escaped character is passed over as a whole.
+    java = re.sub(r"\\.|\(\?P=(\w+)\)|\(\?P<(\w+)>", translated, regex, flags=re.DOTALL)
+    return f"(?{flags})" + java
 
 
 def find_all(text: Column, regex: str, dialect: str = "python") -> Column:

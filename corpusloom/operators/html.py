@@ -15,8 +15,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.tables import html_files
-from .linguistics import MAX_LABELS, checked_labels, widen
+from ..session import cut_lineage
+from ..sources.tables import first_paths, html_files
 
 # Tags whose texts become columns by default.
 DEFAULT_TAGS = ["h1", "h2", "h3", "b", "em"]
@@ -180,7 +180,7 @@ def parse_html(
     autounbox: bool = True,
     add_meta_names: bool = True,
     meta_names_prefix: str = "meta_",
-    meta_names: Sequence[str] | str | None = None,
+    meta_names: Sequence[str] | str = "map",
     tags: Sequence[str] = tuple(DEFAULT_TAGS),
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -193,9 +193,11 @@ def parse_html(
     limit: only the first so many pages by ``order_by``.
     autounbox: list columns of at most one element in every row become plain
         values, as :func:`unbox` does.
-    add_meta_names: add ``meta_NAME`` columns for the named metas: those in
-        ``meta_names``, or all there are. ``meta_names="map"`` keeps one map
-        column ``meta`` instead, for tables of countless names.
+    add_meta_names: add the named metas: as one map column ``meta``, or as
+        columns ``meta_NAME`` for the ``meta_names`` given, or with
+        ``meta_names="all"`` for all that occur (found by a look at the whole
+        table). Names that differ only in case are one column, spelled as the
+        first of them in order.
     keep: columns of ``pages`` to carry along.
     """
     select = dict(select or {})
@@ -216,19 +218,44 @@ def parse_html(
     table = rows.select(*carried, *columns)
     lists = [c for c in table.columns if c not in (*keep, "body", "meta")]
     spread_metas = add_meta_names and meta_names != "map"
-    if not autounbox and (not spread_metas or meta_names is not None):
-        return widen(table, "meta", meta_names_prefix, meta_names) if spread_metas else table
-    # One look at the table answers both questions: which names, which lists.
-    longest = _longest_lists(table, lists, "meta" if spread_metas else None, meta_names)
+    names = None if meta_names == "all" else meta_names
+    if not autounbox and (not spread_metas or names is not None):
+        return _meta_columns(table, _spellings(names), meta_names_prefix) if spread_metas else table
+    if table.isStreaming:
+        raise ValueError("this looks at the whole table; on a stream name the metas and keep the lists")
+    # Pages are parsed once: the look at the table and the result both read the parsed rows.
+    table = cut_lineage(table)
+    longest = _longest_lists(table, lists, "meta" if spread_metas else None, names)
+    spellings: list[list[str]] = []
     if spread_metas:
-        names = meta_names if meta_names is not None else checked_labels([n for m, n in longest if m])
-        table = widen(table, "meta", meta_names_prefix, names)
+        spellings = _spellings([n for m, n in longest if m] if names is None else names)
+        table = _meta_columns(table, spellings, meta_names_prefix)
     if not autounbox:
         return table
-    single = [(meta_names_prefix if m else "") + n for (m, n), size in longest.items() if size == 1]
+    single = [n for (m, n), size in longest.items() if size == 1 and not m]
+    single += [meta_names_prefix + s[0] for s in spellings if sum(longest.get((True, n), 0) for n in s) == 1]
     return _first_elements(table, [c for c in single if c in table.columns])
 
 
+def _spellings(names: Sequence[str]) -> list[list[str]]:
+    """Names that differ only in case, together."""
+    groups: dict[str, list[str]] = {}
+    for name in sorted(set(names)):
+        groups.setdefault(name.lower(), []).append(name)
+    return list(groups.values())
+
+
+def _meta_columns(table: DataFrame, spellings: list[list[str]], prefix: str) -> DataFrame:
+    """The map ``meta`` as one list column for each name; null where a page has none."""
+
+    def values(names: list[str]) -> Column:
+        each = [F.try_element_at(F.col("meta"), F.lit(n)) for n in names]
+        found = F.filter(F.array(*each), lambda x: x.isNotNull())
+        return each[0] if len(each) == 1 else F.when(F.size(found) > 0, F.flatten(found))
+
+    return table.withColumns({prefix + names[0]: values(names) for names in spellings}).drop("meta")
+
+
 def _longest_lists(
     table: DataFrame, lists: Sequence[str], map_col: str | None, keys: Sequence[str] | None = None
 ) -> dict[tuple[bool, str], int]:
@@ -244,9 +271,7 @@ def _longest_lists(
         of_keys = F.transform(wanted, lambda e: item(F.lit(True), e["key"], F.size(e["value"])))
         sizes = F.concat(sizes, of_keys) if lists else of_keys
     found = table.select(F.explode(sizes).alias("x")).groupBy("x.m", "x.n").agg(F.max("x.s").alias("s"))
-    # One more than is accepted, when the keys are not known beforehand.
-    most = len(lists) + (MAX_LABELS + 1 if keys is None else len(keys))
-    return {(r["m"], r["n"]): r["s"] for r in found.limit(most).collect()}
+    return {(r["m"], r["n"]): r["s"] for r in found.collect()}
 
 
 def _first_elements(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -254,10 +279,16 @@ def _first_elements(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def parse_html_files(spark: SparkSession, pattern: str, **options) -> DataFrame:
-    """:func:`parse_html` over files; ``path`` is kept as a column."""
-    options.setdefault("order_by", "path")
+    """:func:`parse_html` over files; ``path`` is kept as a column.
+
+    ``limit`` takes the first files by path: only their names are looked at
+    before, and only these files are read.
+    """
+    limit = options.pop("limit", None)
+    options.pop("order_by", None)
     keep = ("path", *options.pop("keep", ()))
-    return parse_html(html_files(spark, pattern), html_col="html", keep=keep, **options)
+    files = html_files(spark, pattern if limit is None else first_paths(spark, pattern, limit))
+    return parse_html(files, html_col="html", keep=keep, **options)
 
 
 def unbox(df: DataFrame, cols: Sequence[str]) -> DataFrame:

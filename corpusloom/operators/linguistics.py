@@ -20,9 +20,6 @@ POS_TAGS = (
     "ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X SPACE"
 ).split()
 
-# Columns a map may be spread into.
-MAX_LABELS = 2000
-
 
 class LinguisticEnrichment(Stage):
     """Counts, entities, subjects, verbs, word classes and vectors of text columns.
@@ -172,19 +169,12 @@ def none_if_empty(values: Column) -> Column:
 
 
 def labels_seen(df: DataFrame, map_col: str) -> list[str]:
-    """All keys of a map column, sorted: one aggregation, a short list to the driver.
+    """All keys of a map column, sorted: one aggregation, the list to the driver.
 
-    More than :data:`MAX_LABELS` keys are no set of columns; keep the map then,
-    which holds them all.
+    For keys that become columns. Where they are countless, keep the map.
     """
-    keys = df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().limit(MAX_LABELS + 1).collect()
-    return checked_labels([r["k"] for r in keys])
-
-
-def checked_labels(labels: list[str]) -> list[str]:
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels: keep the map column, or name the labels wanted")
-    return sorted(labels)
+    keys = df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().collect()
+    return sorted(r["k"] for r in keys)
 
 
 def widen(df: DataFrame, map_col: str, prefix: str, labels: Sequence[str] | None = None) -> DataFrame:

@@ -25,8 +25,16 @@ def head(df: DataFrame, n: int, order_by: str | list[str]) -> DataFrame:
     return df.orderBy(order_by).limit(n)
 
 
-def html_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Files matching a glob, one row per file: ``path`` and ``html``."""
+def first_paths(spark: SparkSession, pattern: str, n: int) -> list[str]:
+    """The first ``n`` files of a glob by path; no content is read."""
+    listed = spark.read.format("binaryFile").load(pattern).select("path")
+    return [r["path"] for r in listed.orderBy("path").limit(n).collect()]
+
+
+def html_files(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """Files matching a glob, or those listed, one row per file: ``path`` and ``html``."""
+    if not pattern:
+        return spark.createDataFrame([], "path string, html string")
     files = spark.read.text(pattern, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 

@@ -154,3 +154,26 @@ def test_languages(spark):
 def test_prune_keeps_schema_names(spark):
     df = spark.createDataFrame([(1, 2.0)], "`a.b` int, c double")
     assert nulls.prune(df).columns == ["a.b", "c"]
+
+
+@pytest.mark.parametrize(
+    "regex",
+    [r"(?i)école", r"(?P<a_b>[a-z])(?P=a_b)", r"end\Z", r"(?m)^\w+$", r"\\Z", r"(?i:ÉCOLE)|x", r"([a-z]+)=(\d+)", r"\bé\w*", r"\s+\S"],
+)
+def test_python_patterns_mean_what_they_mean_in_python(spark, regex):
+    import re
+
+    from corpusloom.functions.text import find_all
+
+    texts = ["École ÉCOLE école x", "aabbcd end", "end\n", "a=1 b=22\u00a0c=3", "\\Z \\z", "één\u2028zwei\ndrei", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r["m"] for r in df.select("id", find_all(F.col("t"), regex).alias("m")).orderBy("id").collect()]
+    assert [[tuple(x) if isinstance(x, tuple) else x for x in m] for m in got] == [re.findall(regex, t) for t in texts]
+
+
+@pytest.mark.parametrize("regex", [r"(a)?(?(1)b|c)", r"\N{DIGIT ONE}", r"(?a)\w"])
+def test_patterns_java_lacks_are_refused(regex):
+    from corpusloom.functions.text import python_regex
+
+    with pytest.raises(ValueError):
+        python_regex(regex)

@@ -21,7 +21,7 @@ def pages(spark):
 
 def test_selectors_and_tags(pages):
     select = {"title": "title", "message": "p.abstract", "author": "li.author a", "direct": "ul > a", "last": "#last a", "both": "h1, em"}
-    out = {r["id"]: r for r in cl.parse_html(pages, select=select, keep=["id"], autounbox=False).collect()}
+    out = {r["id"]: r for r in cl.parse_html(pages, select=select, keep=["id"], autounbox=False, meta_names="all").collect()}
     one = out[0]
     assert one["title"] == ["One & only"] and one["message"] == ["First bold deep"]
     assert one["author"] == ["Ann", "No link"] and one["direct"] == [] and one["last"] == ["Bo"] and one["both"] == ["deep"]
@@ -33,7 +33,7 @@ def test_selectors_and_tags(pages):
 
 
 def test_unbox_looks_at_the_whole_table(pages):
-    out = cl.parse_html(pages, select={"title": "title", "author": "li.author a"}, keep=["id"])
+    out = cl.parse_html(pages, select={"title": "title", "author": "li.author a"}, keep=["id"], meta_names="all")
     kinds = dict(out.dtypes)
     assert kinds["title"] == "string" and kinds["author"] == "array<string>" and kinds["meta_date"] == "string"
     assert kinds["meta_k"] == "array<string>" and kinds["h2"] == "array<string>"  # nothing to unbox
@@ -78,3 +78,12 @@ def test_filter_reaches_below_the_parser(pages):
     out = cl.parse_html(pages, autounbox=False, keep=["id"], add_meta_names=False).where("id = 1")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Filter")
+
+
+def test_meta_names_that_differ_in_case_are_one_column(spark):
+    pages = [(1, '<meta name="Keywords" content="a">'), (2, '<meta name="keywords" content="b">'), (3, "<p>none")]
+    df = spark.createDataFrame(pages, "id int, html string")
+    out = cl.parse_html(df, tags=[], keep=["id"], meta_names="all")
+    assert rows_by_id(out, "meta_Keywords") == {1: ["a"], 2: ["b"], 3: None}
+    by_default = cl.parse_html(df, tags=[], keep=["id"])
+    assert rows_by_id(by_default, "meta") == {1: {"Keywords": ["a"]}, 2: {"keywords": ["b"]}, 3: {}}
