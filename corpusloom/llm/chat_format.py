@@ -26,9 +26,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Messages = list[dict[str, str]]
 Template = Callable[[Messages], str]
@@ -37,7 +38,7 @@ OPEN, CLOSE = "###", "</turn>"
 _CONTROL = re.compile(r"\\|#{3,}|</turn>")
 _IN_ROLE = re.compile(r"[\\#:\n]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*):\n((?:[^\\]|\\.)*?)</turn>\n", re.DOTALL)
+_ROLE = re.compile(r"### ((?:[^\\:]|\\.)*):\n", re.DOTALL)
 
 # A content no template has a reason to treat in a way of its own.
 PROBE = "QvuqprobeQvuq"
@@ -61,13 +62,14 @@ def marked_turns(messages: Messages) -> str:
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of an output of ``marked_turns``; other strings are refused."""
     turns, at = [], 0
-    for m in _TURN.finditer(formatted):
-        if m.start() != at:
-            break
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    if at != len(formatted):
-        raise ValueError(f"no turn at {at}")
+    while at < len(formatted):
+        role = _ROLE.match(formatted, at)
+        # No text holds the closing mark, so the next one ends the turn.
+        stop = formatted.find(CLOSE + "\n", role.end()) if role else -1
+        if stop < 0:
+            raise ValueError(f"no turn at {at}")
+        turns.append((unescape(role[1]), unescape(formatted[role.end() : stop])))
+        at = stop + len(CLOSE) + 1
     return turns
 
 
@@ -96,10 +98,16 @@ def render(messages: Messages, template: Template, loss_roles: Iterable[str]) ->
     }
 
 
-RENDERED = (
-    "struct<text:string,turns:array<struct<role:string,start:int,end:int>>,"
-    "loss:array<struct<turn:int,start:int,end:int>>,rewritten_at:array<int>>"
+_INT = pa.int32()
+_TURNS = pa.list_(pa.struct([("role", pa.string()), ("start", _INT), ("end", _INT)]))
+_LOSS = pa.list_(pa.struct([("turn", _INT), ("start", _INT), ("end", _INT)]))
+_RENDERED = [("text", pa.string()), ("turns", _TURNS), ("loss", _LOSS), ("rewritten_at", pa.list_(_INT))]
+_RENDERED_SQL = (
+    "text string, turns array<struct<role:string,start:int,end:int>>, "
+    "loss array<struct<turn:int,start:int,end:int>>, rewritten_at array<int>"
 )
+# Conversations rendered before they are passed on.
+AT_ONCE = 256
 
 
 def format_conversations(
@@ -123,14 +131,20 @@ def format_conversations(
     )
     whole = rows.groupBy("id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
 
-    @F.pandas_udf(RENDERED)
-    def rendered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # As a map over rows, not a function in a projection: the optimizer would run that once for each field asked for.
+    kept = whole.select("id", F.size("messages").cast("long").alias("n_turns"))
+    schema = pa.schema([*to_arrow_schema(kept.schema), *[pa.field(*f) for f in _RENDERED]])
+
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [
-                render([{"role": m["role"], "content": m["content"]} for m in messages], template, loss_roles)
-                for messages in batch
-            ]
-            yield pd.DataFrame(done, columns=["text", "turns", "loss", "rewritten_at"])
-
-    out = whole.select("id", F.size("messages").cast("long").alias("n_turns"), rendered("messages").alias("r"))
-    return out.select(F.col("id").alias(id_col), "n_turns", "r.text", "r.turns", "r.loss", "r.rewritten_at")
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                done = [render(messages, template, loss_roles) for messages in part.column("messages").to_pylist()]
+                columns = [pa.array([d[name] for d in done], kind) for name, kind in _RENDERED]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_turns"), *columns], schema=schema)
+
+    id_type = whole.schema["id"].dataType.simpleString()
+    out = whole.select("id", F.size("messages").cast("long").alias("n_turns"), "messages").mapInArrow(
+        rendered, f"id {id_type}, n_turns long, {_RENDERED_SQL}"
+    )
+    return out.withColumnRenamed("id", id_col)

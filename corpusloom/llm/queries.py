@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,26 +266,27 @@ def op8_chat_format(spark, sf):
     """The digests are taken from the formatted text alone: its turns read back, and what the loss mask covers."""
     import hashlib
 
-    from pyspark.sql import functions as F
-
     from .chat_format import format_conversations, read_back, unescape
 
     given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame(MARKED_CONVERSATION, "conv_id long, turn long, role string, text string")
     formatted = format_conversations(given.unionByName(marked))
 
-    @F.pandas_udf("struct<n_turns:long,turns_sha256:string,loss_chars:long,loss_sha256:string,formatted_chars:long>")
-    def digests(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for texts, masks in batches:
-            rows = []
-            for text, mask in zip(texts, masks):
+        for batch in batches:
+            out = []
+            for text, mask in zip(batch.column("text").to_pylist(), batch.column("loss").to_pylist()):
                 read = read_back(text)
                 loss = "".join(unescape(text[span["start"] : span["end"]]) for span in mask)
-                rows.append((len(read), sha("".join(f"{r}\n{t}\n" for r, t in read)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                out.append((len(read), sha("".join(f"{r}\n{t}\n" for r, t in read)), len(loss), sha(loss), len(text)))
+            columns = [pa.array(c) for c in zip(*out)] if out else [pa.array([], t) for t in (pa.int64(), pa.string()) * 2 + (pa.int64(),)]
+            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names=["conv_id", *names])
 
-    return formatted.select("conv_id", digests("text", "loss").alias("d")).select("conv_id", "d.*")
+    return formatted.select("conv_id", "text", "loss").mapInArrow(
+        digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
 
 
 # --- 3: language identification ----------------------------------------------
