@@ -60,6 +60,25 @@ def centroid_distance(spark, sf):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "knn_many_queries",
+    """
+    WITH x AS (SELECT label || '-' || vec_id % 50 AS g, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    c AS (SELECT g, pos, avg(v) AS v FROM x GROUP BY g, pos),
+    q AS (SELECT g, list(v ORDER BY pos) AS v FROM c GROUP BY g),
+    s AS (SELECT g, vec_id, round(list_cosine_similarity(q.v, embedding::DOUBLE[]), 9) AS score FROM q, embeddings),
+    k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT g, vec_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""",
+)
+def knn_many_queries(spark, sf):
+    """Many centres, as a query set beyond the bound that goes to a task: several chunks."""
+    vectors = table(spark, sf, "embeddings")
+    grouped = vectors.withColumn("g", F.concat_ws("-", "label", F.col("vec_id") % 50))
+    centres = cut_lineage(cl.group_centroids(grouped, "g", "embedding"))
+    found = cl.nearest_neighbours(centres, vectors, 10, "g", "centroid", "vec_id", "embedding", max_broadcast_bytes=1 << 16)
+    return found.select("g", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "knn_cosine",
     SQL_CENTROID

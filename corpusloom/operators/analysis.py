@@ -34,7 +34,10 @@ class Analyzer:
     stop, stem: switch stop-word removal and stemming.
     extra_stop: more words to remove, in any language.
     synonyms: ``{term: canonical}`` or a table ``(term, canonical)``.
-    stemmer: a Python function for languages without a built-in stemmer.
+    stemmer: a Python function that stems, or ``{language: function}``, where
+        the built-in one (English) is not meant. With ``lang_col`` every row is
+        stemmed by its own language; a row whose language has no stemmer keeps
+        its words as they are.
     """
 
     def __init__(
@@ -45,7 +48,7 @@ class Analyzer:
         stem: bool = False,
         extra_stop: tuple[str, ...] = (),
         synonyms: Mapping[str, str] | DataFrame | InlineDictionary | TableDictionary | None = None,
-        stemmer: Callable[[str], str] | None = None,
+        stemmer: Callable[[str], str] | Mapping[str, Callable[[str], str]] | None = None,
     ):
         self.lang = lang
         self.lang_col = lang_col
@@ -54,9 +57,15 @@ class Analyzer:
         self.synonyms = (
             None if synonyms is None else dictionary(synonyms, key="term", value="canonical", value_type="string")
         )
-        self.stemmer = None
-        if stem:
-            self.stemmer = stemmer or STEMMERS.get(lang or "")
+        # Of the one language, or by language where rows have their own.
+        self.stemmer: Callable[[str], str] | None = None
+        self.stemmers: dict[str, Callable[[str], str]] = {}
+        if stem and lang_col:
+            if callable(stemmer):
+                raise ValueError("with lang_col, give stemmers by language")
+            self.stemmers = {**STEMMERS, **(stemmer or {})}
+        elif stem:
+            self.stemmer = stemmer if callable(stemmer) else {**STEMMERS, **(stemmer or {})}.get(lang or "")
             if self.stemmer is None:
                 raise ValueError(f"no built-in stemmer for {lang!r}: pass stemmer=")
 
@@ -83,6 +92,10 @@ class Analyzer:
         if self.stemmer is not None:
             terms = stemmed(terms, self.stemmer)
         df = df.withColumn(out_col, terms).drop(raw)
+        for code, analyzer in ANALYZER_OF_CODE.items():
+            if analyzer in self.stemmers:
+                own = F.when(F.upper(F.col(self.lang_col)) == code, F.col(out_col))
+                df = df.withColumn(out_col, F.coalesce(stemmed(own, self.stemmers[analyzer]), F.col(out_col)))
         if self.synonyms is not None:
             df, canonical, helpers = self.synonyms.bind(df, F.col(out_col), id_col)
             mapped = F.transform(F.col(out_col), lambda t: F.coalesce(canonical(t), t))

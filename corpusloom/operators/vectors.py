@@ -16,8 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 # Sides sent whole to every task may not exceed this.
 MAX_BROADCAST_BYTES = 64 << 20
-# Rows per block when both sides are large.
+# Rows per block where every two groups meet.
 BLOCK_ROWS = 8192
+# Scores that are in a task's memory at a time, whatever the numbers of rows and queries.
+SCORES_AT_ONCE = 1 << 22
+# Tasks' best rows are brought together in two steps, so that no task holds those of all tasks for a query.
+MERGE_PARTS = 64
 # Scores are compared at this many digits, so that equal vectors tie whatever
 # batch they came in; ties go to the smaller id.
 SCORE_DIGITS = 9
@@ -195,16 +199,15 @@ def nearest_neighbours(
     id_col: str,
     vec_col: str,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` most cosine-similar rows of ``table`` for each query, exactly.
 
     Result: the query id, the row id, ``score`` and ``rank`` from 1. Vectors of
     length zero have no direction and are nobody's neighbours.
 
-    A query set within the size bound goes to every task, the table is scanned
-    once and each task keeps its own best ``k``. A larger one meets the table
-    block by block. Either way only ``k`` rows per query and task are shuffled.
+    Queries go to every task in chunks within the size bound; the table is
+    scanned once for each chunk and never shuffled, and each task keeps its own
+    best ``k``. A task's memory does not depend on the number of queries.
     """
     q = queries.where(F.col(query_vec).isNotNull()).select(
         F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")
@@ -215,10 +218,17 @@ def nearest_neighbours(
     q_type, id_type = (d.schema[c].dataType.simpleString() for d, c in ((q, "q"), (t, "id")))
     out = f"q {q_type}, id {id_type}, score double"
     size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if (size["n"] or 0) * (size["d"] or 0) * 8 <= max_broadcast_bytes:
-        best = t.mapInArrow(_scan_with(q.toArrow(), k), out)
-    else:
-        best = _blockwise(q, t, k, size["n"], block_rows, out)
+    total = (size["n"] or 0) * (size["d"] or 0) * 8
+    chunks = max(1, -(-total // max(1, max_broadcast_bytes)))
+    dealt = q.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks))) if chunks > 1 else None
+    best = None
+    for chunk in range(chunks):
+        some = q if dealt is None else dealt.where(F.col("chunk") == chunk).select("q", "v")
+        scanned = t.mapInArrow(_scan_with(some.toArrow(), k), out)
+        best = scanned if best is None else best.unionAll(scanned)
+    best = best.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS)))
+    first = Window.partitionBy("q", "part").orderBy(F.desc("score"), "id")
+    best = best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return (
         best.withColumn("rank", F.row_number().over(rank))
@@ -245,8 +255,12 @@ def _scan_with(query_table: pa.Table, k: int):
             id_type = batch.column("id").type
             nonzero = vectors.any(axis=1)
             ids = ids[nonzero]
-            scores = np.round(_directions(vectors[nonzero]) @ d_live.T, SCORE_DIGITS)
-            new = [_best(scores[:, j], ids, k) for j in range(len(q_live))]
+            rows = _directions(vectors[nonzero])
+            tile = max(1, SCORES_AT_ONCE // max(1, len(rows)))
+            new = []
+            for first in range(0, len(q_live), tile):
+                scores = np.round(d_live[first : first + tile] @ rows.T, SCORE_DIGITS)
+                new += [_best(s, ids, k) for s in scores]
             if tops is None:
                 tops = new
             else:
@@ -259,27 +273,6 @@ def _scan_with(query_table: pa.Table, k: int):
     return scan
 
 
-def _blockwise(q: DataFrame, t: DataFrame, k: int, n_queries: int, block_rows: int, out: str) -> DataFrame:
-    """Query blocks against table blocks, one task per pair of blocks."""
-    q_blocks = max(1, -(-n_queries // block_rows))
-    t_blocks = max(1, -(-t.count() // block_rows))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = q.select("q", "v", block("q", q_blocks).alias("qb"), spread(t_blocks).alias("tb"))
-    right = t.select("id", "v", block("id", t_blocks).alias("tb"), spread(q_blocks).alias("qb"))
-
-    kinds = {"q": to_arrow_type(q.schema["q"].dataType), "id": to_arrow_type(t.schema["id"].dataType)}
-    kinds["score"] = pa.float64()
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows = []
-        if len(a) and len(b):  # a block may be empty
-            rows = list(_scan_with(a.select(["q", "v"]), k)(iter(b.combine_chunks().to_batches())))
-        return pa.Table.from_batches(rows) if rows else pa.table({c: pa.array([], x) for c, x in kinds.items()})
-
-    return left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInArrow(meet, out)
-
-
 def approximate_neighbours(
     queries: DataFrame,
     table: DataFrame,
@@ -294,7 +287,9 @@ def approximate_neighbours(
 ) -> DataFrame:
     """Like :func:`nearest_neighbours`, by random-projection hashing: may miss some.
 
-    For query sets so large that comparing every block pair is out of reach.
+    For query sets so large that a scan for each chunk of queries is out of
+    reach. Rows farther than ``radius`` on the unit sphere (1.0: a cosine below
+    0.5) are never found, so a query may get fewer than ``k`` rows.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

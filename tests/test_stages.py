@@ -121,3 +121,12 @@ def test_partitions_do_not_matter(edge_texts):
             df = s.transform(df)
         results.append(sorted(map(str, df.collect())))
     assert results[0] == results[1] and len(results[0]) == edge_texts.count()
+
+
+def test_rows_are_stemmed_by_their_own_language(spark):
+    df = spark.createDataFrame([(1, "running dogs", "EN"), (2, "running dogs", "DE"), (3, "running dogs", None), (4, "parlons", "fr")], "id int, text string, lang string")
+    analyzer = cl.Analyzer(lang_col="lang", stem=True, stop=False, stemmer={"french": lambda w: w.removesuffix("ons")})
+    got = cl.AnalyzeText("text", "t", analyzer).transform(df)
+    assert rows_by_id(got, "t") == {1: ["run", "dog"], 2: ["running", "dogs"], 3: ["running", "dogs"], 4: ["parl"]}
+    with pytest.raises(ValueError):
+        cl.Analyzer(lang_col="lang", stem=True, stemmer=str.strip)

@@ -34,7 +34,7 @@ def brute_force(queries, rows, k):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0, "block_rows": 16}])
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 100}])
 def test_neighbours_equal_brute_force(points, options):
     df, rows = points
     queries = df.select(F.col("id").alias("q"), F.col("v").alias("qv"))
@@ -49,7 +49,7 @@ def test_neighbours_are_cut_before_the_shuffle(points):
     df, _ = points
     found = cl.nearest_neighbours(df.select(F.col("id").alias("q"), F.col("v").alias("qv")), df, 5, "q", "qv", "id", "v")
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert plan.count("WindowGroupLimit") == 4 and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_approximate_neighbours_find_copies(points):
