@@ -113,8 +113,9 @@ def _components_of(prints: DataFrame, radius: int) -> DataFrame:
         "fp",
         F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id"),
     )
-    # A print that a third of all documents share is a hot key on the left only, which adaptive execution splits.
-    return prints.join(of_print, "fp")
+    # A print that a third of all documents share is a hot key on the left only. Adaptive execution splits it
+    # where both sides are shuffled for the join itself, so the right one is written first.
+    return prints.join(written(of_print, "named"), "fp")
 
 
 # --- one document of each group of similar ones -------------------------------
