@@ -267,8 +267,8 @@ def one_of_each(
     heads = of_group.groupBy("component").agg(F.min("first").alias("head"))
     of_class = of_group.select("node", "component").join(heads, "component").select(F.col("node").alias("cid"), "head")
     head = classes.select("cid", "first").join(of_class, "cid", "left").select("cid", F.coalesce("head", "first").alias("head"))
-    # A class that a third of all documents share is a hot key on one side only, which adaptive execution splits.
-    named = described.select("id", "th", "cid").join(head, "cid")
+    # A class that a third of all documents share is a hot key on the left only (see _components_of).
+    named = described.select("id", "th", "cid").join(written(head, "heads"), "cid")
     gone = named.where(place != F.col("head")).select("id", "th").distinct()
     # The ones that stay, where rows are alike, are cut out and put back once.
     alike = named.where(place == F.col("head")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
