@@ -121,15 +121,12 @@ def _components_of(prints: DataFrame, radius: int) -> DataFrame:
 # --- one document of each group of similar ones -------------------------------
 
 # For likeness of shingles a fingerprint of 64 bits is too long: texts that share 0.8 of their shingles differ in ten.
-# So each text has several short ones, of the set of its word pairs, and candidates are verified by their shingles.
-TABLES, TABLE_BITS, PAIR_WORDS = 8, 32, 2
+# Candidates come from the shingles themselves. Put the shingles of all texts in one order, whichever. Two sets of a
+# likeness of 0.8 share that much of either, so their first common shingle is among the first fifth of both.
 
-
-def _mixed(h: np.ndarray, number: int) -> np.ndarray:
-    h = h + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+# Documents whose shingles are counted, so that common ones come last in the order, and the most that are kept of those.
+# They only decide how many candidates there are: the pairs found are the same for any order.
+COUNTED_DOCUMENTS, COMMON, COMMON_LEAST = 1 << 14, 1 << 18, 3
 
 
 def _set_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -142,18 +139,6 @@ def _set_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(s) for s in runs), dtype=np.uint64))
 
 
-def short_fingerprints(words: list[bytes]) -> list[int]:
-    hashes = _set_hashes(words, PAIR_WORDS)
-    whole = []
-    for k in range(TABLES * TABLE_BITS // 64):
-        ones = np.zeros(64, dtype=np.int64)
-        for first in range(0, len(hashes), HASHES_AT_ONCE):
-            mixed = _mixed(hashes[first : first + HASHES_AT_ONCE], k).astype("<u8")
-            ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        whole.append(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little"))
-    return np.concatenate(whole).view("<u4").astype(np.int64).tolist()
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -166,62 +151,101 @@ def _class_of(words: list[bytes]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """``id, th, cid`` (a hash of the words in order) and ``subs``, the short fingerprints, of keyed documents."""
+def _common(docs: DataFrame, size: int):
+    """A broadcast of the shingles that many of some documents have, by hash, and how many have them."""
 
-    @F.arrow_udf("struct<cid:long,subs:array<long>>")
+    @F.arrow_udf("array<long>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_blocks(batches, lambda texts: [_set_hashes(_words(t), size).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    share = min(1.0, COUNTED_DOCUMENTS / max(1, docs.count()))
+    some = docs.select("text").sample(share, 7) if share < 1 else docs.select("text")
+    counts = some.select(F.explode(shingles("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    hashes = np.array([r["h"] for r in most], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    numbers = np.array([r["n"] for r in most], dtype=np.int64)
+    return docs.sparkSession.sparkContext.broadcast((hashes[order], numbers[order]))
+
+
+def first_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set of shingles (hashes in order), those among which the first one shared with any similar set must be."""
+    if not len(hashes):
+        return hashes
+    known, numbers = common
+    counts = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        counts = np.where(known[at] == hashes, numbers[at], 0)
+    least = int(np.ceil(similarity * len(hashes) - 1e-6))
+    return hashes[np.lexsort((hashes, counts))[: len(hashes) - least + 1]]
+
+
+def _described(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``id, th, cid`` (a hash of the words in order), ``n`` (the number of shingles) and ``firsts``, of keyed documents."""
+    common = _common(docs, size)
+
+    @F.arrow_udf("struct<cid:long,n:int,firsts:array<long>>")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        def work(texts):
-            return [{"cid": _class_of(w), "subs": short_fingerprints(w)} for w in map(_words, texts)]
+        def one(words):
+            hashes = _set_hashes(words, size)
+            return {"cid": _class_of(words), "n": len(hashes), "firsts": first_shingles(hashes, common.value, similarity).view(np.int64)}
 
-        yield from in_blocks(batches, work, pa.struct([("cid", pa.int64()), ("subs", pa.list_(pa.int64()))]))
+        kind = pa.struct([("cid", pa.int64()), ("n", pa.int32()), ("firsts", pa.list_(pa.int64()))])
+        yield from in_blocks(batches, lambda texts: [one(_words(t)) for t in texts], kind)
 
-    return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.cid", "d.subs")
+    return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.cid", "d.n", "d.firsts")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``a > b`` of classes (``cid, subs``) that share a short fingerprint or a variant of one.
+def _ordered(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
-    A row of the shuffle is a bucket (table and variant in one number) and
-    which bit was flipped, from which the fingerprint follows again; classes
-    are looked up for the few buckets with more than one member.
-    """
-    each = classes.select("cid", F.inline(F.transform("subs", lambda s, t: F.struct((t.cast("long") * (1 << TABLE_BITS) + s).alias("sub")))))
-    # Equal fingerprints first, so that a bucket below has distinct ones only, 33 at most.
-    firsts = each.groupBy("sub").agg(F.min("cid").alias("first"))
-    equal = each.join(firsts, "sub").select(F.col("cid").alias("a"), F.col("first").alias("b"))
-    bit = lambda i: F.when(i < TABLE_BITS, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    balls = firsts.select("sub", F.explode(F.sequence(F.lit(0), F.lit(TABLE_BITS))).alias("i")).select(
-        F.col("sub").bitwiseXOR(bit(F.col("i").cast("int"))).alias("bucket"), F.col("i").cast("byte").alias("i")
-    )
-    sub = F.col("bucket").bitwiseXOR(bit(F.col("i").cast("int")))
-    met = balls.select(sub.alias("x"), F.min("i").over(Window.partitionBy("bucket")).alias("least"), "bucket", "i")
-    near = met.where("i != least").select("x", F.col("bucket").bitwiseXOR(bit(F.col("least").cast("int"))).alias("y")).distinct()
-    of = lambda name, out: firsts.select(F.col("sub").alias(name), F.col("first").alias(out))
-    near = near.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b")
-    found = equal.union(near).where("a != b")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+def _shared(classes: DataFrame) -> DataFrame:
+    """``bucket`` (a shingle), ``cid, n, place`` (of the shingle in the order of the text's) and ``members``, how many
+    classes have it among their first ones, where that is more than one."""
+    each = classes.select("cid", "n", F.posexplode("firsts").alias("place", "bucket"))
+    buckets = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return written(each.join(written(buckets, "buckets"), "bucket"), "shared")
 
 
-# Texts whose shingles are alike to 0.8 differ in 38 of the 256 bits of their short fingerprints at most, on average,
-# with a deviation of 6: beyond this many a pair met by chance.
-MOST_BITS = 64
+def _stars(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a > b`` of each class in a bucket and the one whose shingles are the most usual: of edited copies of a
+    text that is mostly the text itself. No link need be here; it only leaves less for ``_rest``."""
+    usual = F.sum("members").over(Window.partitionBy("cid")) / F.col("n")
+    centres = shared.withColumn("usual", usual).groupBy("bucket").agg(F.max(F.struct("usual", F.col("cid").alias("c"), F.col("n").alias("m"))).alias("centre"))
+    met = shared.join(written(centres.select("bucket", "centre.c", "centre.m"), "centres"), "bucket").where("cid != c")
+    return met.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-6)).select(*_ordered("cid", "c")).distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs of classes (``cid, subs``) whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def _rest(shared: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a > b`` of all classes that may be similar, but those that ``linked`` (``node, component``) connects already.
+
+    In each bucket the classes of the largest component are met with those of
+    others, and these with each other: no pairs within a component are made.
+    """
+    of_node = linked.select(F.col("node").alias("cid"), "component")
+    shared = written(shared.join(of_node, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed")
+    parts = shared.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "component")).alias("top"))
+    largest = written(largest.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "largest")
+    split = written(shared.join(largest, "bucket").drop("members"), "split")
+    x = split.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "place", "component")])
+    met = x.join(split, "bucket").where("component != component_x AND (component = main OR cid < cid_x)")
+    # At the first shingle that a pair shares, what follows it must be enough for a similar pair.
+    most = F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))
+    enough = most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_x") + F.col("n")) - F.lit(1e-6)
+    return met.where(enough).select(*_ordered("cid", "cid_x")).distinct()
+
+
+def _sets(docs: DataFrame, cids: DataFrame, size: int) -> DataFrame:
+    """``cid, set``: the shingles of the classes in ``cids``, and of few others.
 
     Texts stay in their tasks: a bitmap of fixed size tells nearly all
     documents without a candidate, and of the others only hashes are shuffled,
     one set for each class and task.
     """
-    subs = lambda name: classes.select(F.col("cid").alias(name), F.col("subs").alias(f"subs_{name}"))
-    apart = F.aggregate(
-        F.zip_with("subs_a", "subs_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
-    )
-    pairs = pairs.join(subs("a"), "a").join(subs("b"), "b").where(apart <= MOST_BITS).select("a", "b")
-    pairs = written(pairs, "pairs")
-    bitmap = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
+    bitmap = bitmap_of(cids, "cid")
 
     @F.arrow_udf("struct<cid:long,set:array<int>>")
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -236,12 +260,26 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, s
         yield from in_blocks(batches, work, pa.struct([("cid", pa.int64()), ("set", pa.list_(pa.int32()))]))
 
     sets = docs.select(shingles("text").alias("d")).where(F.col("d").isNotNull()).select("d.cid", "d.set")
-    sets = sets.groupBy("cid").agg(F.any_value("set").alias("set"))
+    return written(sets.groupBy("cid").agg(F.any_value("set").alias("set")), "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of classes whose ``sets`` have a Jaccard similarity of ``similarity`` or more."""
     met = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a")
     met = met.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     enough = common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common) - F.lit(1e-9)
-    return met.where(enough).select("a", "b")
+    return written(met.where(enough).select("a", "b"), "similar")
+
+
+def _groups(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``node, component`` of the classes (``cid, n, firsts``) that are similar to another."""
+    shared = _shared(classes)
+    sets = _sets(docs, shared.select("cid").distinct(), size)
+    stars = written(_stars(shared, similarity), "stars")
+    near = _similar(stars, sets, similarity)
+    rest = written(_rest(shared, components(near), similarity).join(stars, ["a", "b"], "left_anti"), "rest")
+    return components(near.union(_similar(rest, sets, similarity)))
 
 
 def one_of_each(
@@ -252,17 +290,17 @@ def one_of_each(
 
     Groups are the components of the links between texts whose sets of shingles
     of ``size`` words have a Jaccard similarity of ``similarity`` or more.
-    Candidates come from ball hashing of several short fingerprints, so a link
-    at the threshold itself may be missed (see the README for rates), but
-    none is made below it. Texts with the same words in order are one class.
+    No link is missed and none is made below the threshold: candidates share
+    one of their first shingles in an order of all. Stars around the most usual
+    texts come first, then all pairs that these leave unconnected. Texts with
+    the same words in order are one class.
     """
     base = keyed(docs, id_col, text_col)
-    described = written(_described(base), "described")
+    described = written(_described(base, size, similarity), "described")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    classes = described.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("subs").alias("subs"))
+    classes = described.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"))
     classes = written(classes, "classes")
-    described_classes = classes.select("cid", "subs")
-    linked = components(_similar(_candidates(described_classes), base, described_classes, size, similarity))
+    linked = _groups(base, classes.select("cid", "n", "firsts"), size, similarity)
     of_group = linked.join(classes.select(F.col("cid").alias("node"), "first"), "node")
     heads = of_group.groupBy("component").agg(F.min("first").alias("head"))
     of_class = of_group.select("node", "component").join(heads, "component").select(F.col("node").alias("cid"), "head")

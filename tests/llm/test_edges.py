@@ -335,6 +335,49 @@ def test_one_of_each_keeps_one_of_repeated_rows_and_near_copies(spark):
     assert sorted(x["doc_id"] for x in out) == [3, 5]
 
 
+def brute_groups(texts, size=5, similarity=0.8):
+    """How many components the links between all pairs of texts make."""
+    shingles = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
+    number = {}
+    ids = [np.array([number.setdefault(x, len(number)) for x in s]) for s in shingles]
+    has = np.zeros((len(texts), len(number)), dtype=np.float32)
+    for row, at in zip(has, ids):
+        row[at] = 1
+    common = has @ has.T
+    sizes = has.sum(axis=1)
+    near = common >= similarity * (sizes[:, None] + sizes - common) - 1e-4
+    left, groups = set(range(len(texts))), 0
+    while left:
+        todo, groups = [left.pop()], groups + 1
+        while todo:
+            met = left & set(np.flatnonzero(near[todo.pop()]).tolist())
+            left -= met
+            todo += met
+    return groups
+
+
+def edited(r, words, n):
+    """A text with ``n`` scattered words changed: each takes five shingles."""
+    out = list(words)
+    for k in r.sample(range(len(words) // 6), n):
+        out[6 * k + 3] = f"x{r.random()}"
+    return " ".join(out)
+
+
+def test_one_of_each_tests_every_pair_of_many_edits_of_one_text(spark):
+    r = random.Random(11)
+    text = lambda name: [f"{name}{r.randint(0, 10**6)}" for _ in range(200)]
+    # With the text itself all link to it, though hardly to each other; without it, only edits small enough do.
+    one, other = text("p"), text("q")
+    with_text = [" ".join(one)] + [edited(r, one, r.choice([2, 3, 4])) for _ in range(1000)]
+    without_text = [edited(r, other, n) for n in r.choices([1, 2, 3, 4], [1, 5, 47, 47], k=400)]
+    expected = brute_groups(with_text), brute_groups(without_text)
+    assert expected[0] == 1 and 20 < expected[1] < 380
+    docs = list(enumerate(with_text + without_text))
+    kept = [x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert (sum(i < 1001 for i in kept), sum(i >= 1001 for i in kept)) == expected
+
+
 # --- 7 -----------------------------------------------------------------------
 
 
