@@ -15,6 +15,12 @@ UNSEEN = frozenset(
     "script style noscript template head title svg math iframe object embed applet canvas audio video button select "
     "option textarea datalist noframes map".split()
 )
+# What may stand in a head; anything else ends it, as both its tags may be left out.
+IN_HEAD = frozenset("head title meta link base basefont bgsound script style noscript template noframes".split())
+# Of the unseen, those that an enclosing block's end does not end, for all up to their own end is text or apart.
+APART = frozenset("head title script style textarea iframe noframes template".split())
+# A second start inside one of these opens nothing.
+FLAT = frozenset("head title button select option textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Starting one of these ends an open element of the second kind, if no element of the third kind is in between.
@@ -58,6 +64,7 @@ class _Builder(HTMLParser):
         self.nodes = [Node("html", "", -1, 0)]
         self.open = [0]
         self.unseen: list[str] = []
+        self.inner: list[str] = []  # blocks opened inside what is unseen
         self.in_link = False
         self.parts: list[str] = []
         self.linked = 0
@@ -86,10 +93,17 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "body":
-            self.unseen = []
+            self.unseen, self.inner = [], []
+        if self.unseen == ["head"]:
+            if tag not in IN_HEAD:
+                self.unseen = []
+            elif tag in UNSEEN and tag != "head":
+                self.unseen.append(tag)
         if self.unseen:
-            if tag == self.unseen[-1]:
+            if tag == self.unseen[-1] and tag not in FLAT and self.unseen[0] != "head":
                 self.unseen.append(tag)
+            elif tag in BLOCKS and tag not in VOID:
+                self.inner.append(tag)
             return
         if tag in UNSEEN:
             self.flush_word()
@@ -140,9 +154,18 @@ class _Builder(HTMLParser):
         if self.unseen:
             if tag == self.unseen[-1]:
                 self.unseen.pop()
-            elif tag == "head":
-                self.unseen = []
-            return
+                self.inner = self.inner if self.unseen and self.unseen != ["head"] else []
+                return
+            if tag == "head":
+                self.unseen, self.inner = [], []
+                return
+            if tag in self.inner:
+                del self.inner[len(self.inner) - 1 - self.inner[::-1].index(tag) :]
+                return
+            # The end of a block around them ends unseen elements that were left open.
+            if APART.intersection(self.unseen) or tag not in BLOCKS or self.nearest({tag}, ()) is None:
+                return
+            self.unseen, self.inner = [], []
         if tag == "a":
             self.in_link = False
         if tag not in BLOCKS or tag in ("html", "body"):
@@ -155,6 +178,8 @@ class _Builder(HTMLParser):
         self.parts.append(" ")
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == ["head"] and data.strip():
+            self.unseen = []
         if self.unseen:
             return
         self.parts.append(data)

@@ -197,6 +197,22 @@ def test_page_texts(model):
     ]
 
 
+def runs_of(html):
+    return [text for _, text, _ in parse_page(html).runs]
+
+
+def test_a_head_without_end_and_unclosed_elements_hide_nothing_else():
+    rest = "<article><p>First words.</p><p>More words.</p></article>"
+    seen = ["First words.", "More words."]
+    assert runs_of(f"<html><head><title>T</title><meta charset=x><style>p{{}}</style>{rest}") == seen
+    assert runs_of(f"<head><title>T</title><noscript>N</noscript></head><body>{rest}") == seen
+    assert runs_of("<head><script>s</script>Text <p>and more") == ["Text", "and more"]
+    for tag in "object video audio button select canvas map svg noscript".split():
+        assert runs_of(f"<div><p>A <{tag}>inside</p><p>B</p><div>C</div></div><p>D") == ["A", "B", "C", "D"], tag
+        assert runs_of(f"<div>A <{tag}><div>inside</div> on</{tag}> B</div>") == ["A B"], tag
+    assert runs_of("<div><button>a<button>b</button> C</div>") == ["C"]
+
+
 def test_broken_markup_and_long_pages(spark, model):
     deep = "<div>" * 3000 + "x"
     long = "<article>" + "<p>Some text that goes on. And on.</p>" * 20_000 + "</article>"
