@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -35,6 +36,8 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
+# Decimal references that Python refuses to read as numbers. Any of eight digits or more means the same.
+_LONG_NUMBER = re.compile("&#[0-9]{4000,}")
 SCOPES = frozenset("table td th caption button html".split())
 
 
@@ -70,6 +73,10 @@ class _Builder(HTMLParser):
         self.linked = 0
         self.done: list[tuple[int, str, int]] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` is a comment up to the next ``>``, as in browsers; the parser itself gives up on unknown ones."""
+        return self.parse_bogus_comment(i)
+
     def flush(self) -> None:
         """End the run of text of the element that is open."""
         text = " ".join("".join(self.parts).split())
@@ -188,13 +195,10 @@ class _Builder(HTMLParser):
 
 
 def parse_page(html: str | None, label_attribute: str | None = None) -> Page:
-    """The tree of a page; null is an empty page. A page that the parser gives up on keeps what came before."""
+    """The tree of a page; null is an empty page. Nothing the parser reports is passed over: no page is cut short."""
     builder = _Builder(label_attribute)
-    try:
-        builder.feed(html or "")
-        builder.close()
-    except (AssertionError, ValueError):
-        pass
+    builder.feed(_LONG_NUMBER.sub(lambda m: "&#" + (m[0][2:].lstrip("0")[:8] or "0"), html or ""))
+    builder.close()
     builder.flush()
     for k, (node, _, _) in enumerate(builder.done):
         builder.nodes[node].runs.append(k)

@@ -213,6 +213,17 @@ def test_a_head_without_end_and_unclosed_elements_hide_nothing_else():
     assert runs_of("<div><button>a<button>b</button> C</div>") == ["C"]
 
 
+def test_unknown_declarations_and_long_numbers_do_not_cut_a_page():
+    for odd in ("<![b]>", "<![ endif]>", "<![if !IE]>", "<![endif]>", "<![CDATA[x]]>", "<![>"):
+        assert runs_of(f"<p>A{odd}<p>B</p><div>C</div>") == ["A", "B", "C"], odd
+    assert runs_of(f"<p>A</p><p title='&#{'1' * 5000};'>B &#{'7' * 5000}; b</p><p>C") == ["A", "B \ufffd b", "C"]
+    assert runs_of(f"<p>&#{'0' * 5000}65; b") == ["A b"]
+    r = random.Random(5)
+    bits = ["<!", "<![", "[", "]", ">", "<", "</", "p", "div ", "head", "<p>", "--", "&#", "&", "x", "=", "'", '"', " ", "<?", "script", "]]>"]
+    for _ in range(5000):
+        parse_page("".join(r.choices(bits, k=12)))
+
+
 def test_broken_markup_and_long_pages(spark, model):
     deep = "<div>" * 3000 + "x"
     long = "<article>" + "<p>Some text that goes on. And on.</p>" * 20_000 + "</article>"
