@@ -327,3 +327,45 @@ def op4_html_extraction(spark, sf):
 
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# --- 12: fill in the middle --------------------------------------------------
+
+
+@query(
+    "op12_fill_in_middle",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    u AS (
+      SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w,
+             list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS h
+      FROM t
+    ), v AS (
+      SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a,
+             greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90
+                  THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+      FROM u
+    ), p AS (
+      SELECT doc_id, text, n, form, array_to_string(list_slice(w, 1, a), '') AS prefix,
+             array_to_string(list_slice(w, a + 1, b), '') AS middle, array_to_string(list_slice(w, b + 1, n), '') AS suffix
+      FROM v
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op12_fill_in_middle(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .fill_middle import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf, "documents"), keep=["doc_id"])
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored("output", "form"), 256).alias("restored_sha256"),
+    )

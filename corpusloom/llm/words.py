@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bytes of text that are worked on at a time, whatever the size of an Arrow batch or of a text.
 BLOCK_BYTES = 1 << 19
@@ -94,3 +97,28 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
         total *= np.uint64(_BASE)
         total += words[k : k + n]
     return mixed(total + np.uint64(size))
+
+
+def mapped_blocks(
+    df: DataFrame, text_col: str, work: Callable[[pa.RecordBatch], list[pa.Array]], added: dict[str, str], keep: list[str] | None = None,
+    **given: Column,
+) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``, all by default) beside the columns ``added`` (name: type) that ``work`` makes.
+
+    ``work`` sees ``text`` and the columns ``given``, one block of texts at a
+    time, and each block's result leaves the worker before the next is made.
+    """
+    row = F.struct("*") if keep is None else F.struct(*[F.col(f"`{c}`") for c in keep])
+    base = df.select(row.alias("row"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in given.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop in blocks(batch.column("text")):
+                block = batch.slice(first, stop - first)
+                yield pa.RecordBatch.from_arrays([block.column("row"), *work(block)], names=["row", *added])
+            pa.default_memory_pool().release_unused()
+
+    schema = T.StructType([base.schema["row"]])
+    for name, kind in added.items():
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    return base.mapInArrow(run, schema)
