@@ -369,3 +369,77 @@ def op12_fill_in_middle(spark, sf):
         "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored("output", "form"), 256).alias("restored_sha256"),
     )
+
+
+# --- 13: periodic runs -------------------------------------------------------
+
+# CRC-32 of a text of ASCII characters, bit by bit: 3988292384 is its polynomial, 4294967295 its first value and last mask.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''),
+    lambda c: list_concat([ord(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+
+@query(
+    "op13_periodic_runs",
+    rf"""
+    WITH given AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM given),
+    a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, h // 10 % 8 AS g FROM h),
+    p AS (SELECT *, 1 + (n - a) // (3 + g) AS p FROM a),
+    doc AS (
+      SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+             ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w
+      FROM p
+    ),
+    -- Six words that occur again q words later, and stretches of such places.
+    gram AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 6), ' ') AS g FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM doc WHERE n >= 12)),
+    pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+    isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair),
+    stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 5 + q AS l FROM isle GROUP BY doc_id, q, k),
+    long AS (SELECT * FROM stretch WHERE l >= greatest(12, 2 * q)),
+    run AS (
+      SELECT * FROM long x WHERE NOT EXISTS (
+        SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.l >= x.s + x.l)
+    ),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+    listed AS (
+      SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+             min({{'l': -l, 's': s, 'q': q}}) AS best
+      FROM run GROUP BY doc_id
+    ),
+    kept AS (
+      SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS short FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM doc) x
+      ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.q AS period,
+           1000 * -best.l // best.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(short, '')) AS collapsed_sha256
+    FROM doc d LEFT JOIN listed ON d.doc_id = listed.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+)
+def op13_periodic_runs(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .periodic_runs import longest, periodic_runs
+
+    # A tenth of the documents get a periodic end, as the contract has it.
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    let = lambda value, make: F.get(F.transform(F.array(value), make), F.lit(0))
+
+    def ended(words):
+        n = F.size(words)
+        a = F.when(n > 0, g % n)
+        cut = F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p"))
+        again = lambda c: lambda x, i: F.when(i < c["a"], x).otherwise(F.get(words, (c["a"] + (i - c["a"]) % c["p"]).cast("int")))
+        return let(cut, lambda c: F.array_join(F.transform(words, again(c)), " "))
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.when(h % 10 == 0, let(words, ended)).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    found = periodic_runs(docs, keep=["doc_id"]).withColumn("best", longest("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
