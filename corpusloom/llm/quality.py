@@ -12,8 +12,10 @@ ids have the least hashes, each with its whole text. Their buckets are counted
 where the texts are; only the counts, for at most ``sample`` documents, meet
 in the one task that trains. What leaves it is, for each bucket, what it adds
 to each class: vectors and layer are linear up to the softmax, so their product
-tells the same. That table (``1 << bits`` rows of two numbers, 2 MB) is
-broadcast, and scoring is a map over all documents without a shuffle.
+tells the same. That table (``1 << bits`` rows of two numbers, half a MB) is
+broadcast, and scoring is a map over all documents without a shuffle. The task
+that trains holds 8 bytes for each bucket a document has: some 20 kB for a
+text of 3,000 characters, ``8 << bits`` bytes for one however long.
 
 Defined results: a label is the mean over the rows of an id, 1 from a half on;
 null labels and ids without a document are left out; of documents of one id the
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import text_hash, unpacked
 from .words import gram_hashes, mapped_blocks, mixed
 
-SAMPLE = 1 << 13
+SAMPLE = 1 << 12
 CLASSES = 2
 BEFORE, AFTER = "\x02", "\x03"
 SAME_AGAIN, TEXT_END = np.uint64(1), np.uint64(2)  # in place of the hash of a word pair, and of a word
@@ -43,12 +45,12 @@ SAME_AGAIN, TEXT_END = np.uint64(1), np.uint64(2)  # in place of the hash of a w
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 17  # of a bucket's number
+    bits: int = 16  # of a bucket's number
     shortest: int = 2  # characters of an n-gram, marks included
     longest: int = 4
-    dims: int = 16
-    epochs: int = 8
-    rate: float = 0.5
+    dims: int = 8
+    epochs: int = 4
+    rate: float = 4.0
     seed: int = 17
 
 
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = told.groupBy("key").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # An id without a document would take a place in the sample.
-    known = told.join(texts.select(F.col("id").alias("key")), "key", "left_semi")
+    known = told.join(texts.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(sample)
 
     def bags(block: pa.RecordBatch) -> list[pa.Array]:
@@ -169,21 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            keys = batch.column("place").to_pylist()
-            columns = [batch.column("bag").field(k) for k in range(3)]
-            for i, key in enumerate(keys):
-                buckets, times = (columns[k][i].values.to_numpy(zero_copy_only=False) for k in (0, 1))
-                rows.append((key, buckets.astype(np.int32), times.astype(np.float32), columns[2][i].as_py()))
+            buckets, times, label = (batch.column("bag").field(k) for k in range(3))
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                rows.append((key, *[part[i].values.to_numpy(zero_copy_only=False) for part in (buckets, times)], label[i].as_py()))
+        # The same order however the rows came.
         rows.sort(key=lambda r: r[0])
         table = train([r[1:] for r in rows], settings).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["model"])
 
-    together = each.select(F.struct(F.xxhash64("key").alias("h"), F.col("key").cast("string").alias("key")).alias("place"), "bag")
-    together = together.select(F.to_json("place").alias("place"), "bag")
-    model = together.repartition(1).mapInArrow(learn, "model binary").first()
-    if model is None:
+    model = each.select(F.col("key").cast("string").alias("key"), "bag").repartition(1).mapInArrow(learn, "model binary").collect()
+    if not model:
         return np.zeros((1 << settings.bits, CLASSES), dtype=np.float32)
-    return np.frombuffer(model["model"], dtype=np.float32).reshape(-1, CLASSES)
+    return np.frombuffer(model[0]["model"], dtype=np.float32).reshape(-1, CLASSES)
 
 
 def score(docs: DataFrame, model: np.ndarray, text_col: str = "text", settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:

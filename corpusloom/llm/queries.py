@@ -443,3 +443,17 @@ def op13_periodic_runs(spark, sf):
         F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+# --- 11: quality -------------------------------------------------------------
+
+
+@query("op11_quality_classifier")
+def op11_quality_classifier(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .quality import fit, held_out, score
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    model = fit(docs.where("NOT held_out"), table(spark, sf, "labels").select("doc_id", "quality"))
+    return score(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
