@@ -159,7 +159,7 @@ def candidates(symbols: np.ndarray, bounds: np.ndarray, least: int = LEAST_LENGT
     size = (least + 1) // 2
     first, stop = bounds[:-1], bounds[1:]
     while True:
-        wide = stop - first >= 2 * size
+        wide = stop - first >= least
         first, stop = first[wide], stop[wide]
         if not len(first):
             return first, stop

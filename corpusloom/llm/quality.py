@@ -140,7 +140,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) ->
             layer -= rate * np.outer(hidden, error)
             vectors[buckets] -= rate * share[:, None] * back
             step += 1
-    return vectors @ layer
+    # What was never seen says nothing.
+    seen = np.zeros(len(vectors), dtype=bool)
+    for buckets, _, _ in shares:
+        seen[buckets] = True
+    return np.where(seen[:, None], vectors @ layer, 0)
 
 
 BAG = {"th": "long", "buckets": "array<int>", "times": "array<float>"}
