@@ -68,8 +68,8 @@ def upsert_latest(spark, sf):
 def document_ids(spark, sf):
     """Ids from a column; and as many content hashes as there are different rows."""
     docs = table(spark, sf, "documents")
-    hashes = with_document_id(docs).agg(F.countDistinct("_id").alias("n_hashes")).first()["n_hashes"]
-    return with_document_id(docs, "doc_id").select("_id", "doc_id", F.lit(hashes).cast("long").alias("n_hashes"))
+    hashes = with_document_id(docs).agg(F.countDistinct("_id").alias("n_hashes"))
+    return with_document_id(docs, "doc_id").select("_id", "doc_id", hashes.scalar().alias("n_hashes"))
 
 
 @query(
@@ -120,6 +120,53 @@ def index_upsert(spark, sf):
     return index.read().select("id", "text", "role")
 
 
+@query(
+    "index_bucket_upsert",
+    """
+    SELECT event_id, event_type, value * CASE WHEN event_id % 100 = 7 THEN -2 ELSE 1 END AS value,
+      CASE WHEN event_id % 100 = 7 THEN 'again' END AS note
+    FROM events
+    UNION ALL SELECT -event_id - 1, 'new', value, 'again' FROM events WHERE event_id % 100 = 8
+    """,
+)
+def index_bucket_upsert(spark, sf):
+    """One in a hundred rows written again, each twice, and as many new ones, into an index of 64 buckets."""
+    roles = cl.Roles(tag=["event_type"], id="event_id")
+    events = table(spark, sf, "events").select("event_id", "event_type", "value")
+    index = cl.Index(spark, scratch(spark, "buckets"), "events", buckets=64)
+    index.write(events, roles)
+    noted = lambda df, value: df.select("event_id", "event_type", value.alias("value"), F.lit("again").alias("note"))
+    again = events.where("event_id % 100 = 7")
+    new = events.where("event_id % 100 = 8").select((-F.col("event_id") - 1).alias("event_id"), F.lit("new").alias("event_type"), "value")
+    batch = noted(again, F.col("value") * -1).withColumn("at", F.lit(1)).union(noted(again, F.col("value") * -2).withColumn("at", F.lit(2)))
+    index.upsert(batch.union(noted(new, F.col("value")).withColumn("at", F.lit(1))), roles, version="at")
+    return index.read().select("event_id", "event_type", "value", "note")
+
+
+@query(
+    "index_append_widened",
+    """
+    SELECT event_id AS id, CAST(user_id AS VARCHAR) AS code, CAST(user_id AS DOUBLE) AS size,
+      [CAST(user_id AS BIGINT)] AS both, 'old' AS note FROM events
+    UNION ALL SELECT o_orderkey, CAST(o_totalprice AS VARCHAR), o_totalprice, [CAST(o_orderkey AS BIGINT)], NULL FROM orders
+    UNION ALL SELECT c_custkey, c_name, NULL, NULL, NULL FROM customer
+    """,
+)
+def index_append_widened(spark, sf):
+    """Three tables whose columns drift apart: whole numbers, then doubles, then texts, and a column that goes."""
+    index = cl.Index(spark, scratch(spark, "widened"), "all")
+    user = F.col("user_id").cast("int")
+    index.write(table(spark, sf, "events").select(
+        F.col("event_id").cast("int").alias("id"), user.alias("code"), user.alias("size"), F.array(user).alias("both"), F.lit("old").alias("note")
+    ))
+    index.write(table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice").alias("code"), F.col("o_totalprice").alias("size"),
+        F.array(F.col("o_orderkey").cast("long")).alias("both"),
+    ), if_exists="append")
+    index.write(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("code")), if_exists="append")
+    return index.read()
+
+
 @query(
     "index_json_typed",
     f"SELECT event_id, strftime(ts, {SQL_STAMP}) AS ts, value, 'timestamp_ntz' AS kind, NULL::BIGINT AS nothing FROM events",

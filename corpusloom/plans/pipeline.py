@@ -44,6 +44,7 @@ class Pipeline:
         root: str | None = None,
         format: str = "parquet",
         partition_by: Sequence[str] = (),
+        buckets: int = 0,
     ):
         self.index_name = index
         self.declared = Roles(
@@ -62,7 +63,8 @@ class Pipeline:
         self.root = root
         self.format = format
         self.partition_by = tuple(partition_by)
-        #: ``{column: (min, max)}``, ``{column: dims}`` and row count of the last write
+        self.buckets = buckets
+        #: ``{column: (min, max)}`` of the index, ``{column: dims}`` and row count of the last write
         self.spans: dict[str, tuple] = {}
         self.dims: dict[str, int] = {}
         self.rows_written: int | None = None
@@ -83,7 +85,7 @@ class Pipeline:
 
     def index(self, spark: SparkSession) -> Index:
         root = self.root or shared_folder(spark) + "/indexes"
-        return Index(spark, root, self.index_name, self.format)
+        return Index(spark, root, self.index_name, self.format, self.buckets)
 
     # -- running
 
@@ -103,8 +105,9 @@ class Pipeline:
         """Run all stages; with ``write`` also store the rows in the index.
 
         Writing is one job. Row count and column ranges are observed while the
-        rows pass by, so the dashboard needs no further look at them; where
-        rows were there before, their ranges are found when they are needed.
+        rows pass by and kept beside them, so the dashboard needs no further
+        look at them, after an append either; where rows were replaced, ranges
+        are found when they are needed.
         With ``if_index_exists="upsert"`` rows replace those of the same id.
         """
         enriched = self.transform(df)
@@ -126,17 +129,14 @@ class Pipeline:
         cols = self._ranged()
         rows = prepared(enriched, self.roles)
         watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *pn.range_columns(rows, cols))
-        policy = (if_exists or "error").lower()
-        joined = policy in ("append", "upsert") and index.exists()
-        if policy == "upsert":
+        if (if_exists or "error").lower() == "upsert":
             if self.roles.id is None:
                 raise ValueError("to replace rows by id, declare id_col")
             index.upsert(watched, self.roles, self.partition_by)
         else:
-            index.write(watched, self.roles, if_exists, self.partition_by)
-        values = seen.get
-        self.rows_written = values["rows"]
-        self.spans = {} if joined else {c: (values[f"{c}_min"], values[f"{c}_max"]) for c in cols}
+            index.write(watched, self.roles, if_exists, self.partition_by, spans=lambda: seen.get)
+        self.rows_written = seen.get["rows"]
+        self.spans = index.spans(cols)
 
     # -- looking at the result
 
@@ -161,4 +161,5 @@ class Pipeline:
     def _source(self, df: DataFrame | None):
         if df is not None:
             return self.roles.typed(df), None
-        return self.index(SparkSession.getActiveSession()).read(), self.spans
+        index = self.index(SparkSession.getActiveSession())
+        return index.read(), index.spans(self._ranged())

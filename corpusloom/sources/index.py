@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
+from datetime import date, datetime
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.nulls import documents, prune
 from ..roles import Roles
+from .versions import Part, Version, VersionLog, merged_columns
 
 POLICIES = {"error": "errorifexists", "overwrite": "overwrite", "append": "append"}
 
@@ -29,29 +33,33 @@ class Index:
     ``format`` is ``parquet`` (default), ``orc`` or ``json``; with ``json`` rows
     are written as documents without nulls and NaNs.
 
-    The columns and their types are kept beside the rows, so reading infers
-    nothing and opens no footers for it. An overwrite is written aside and
-    then put in place: a job that fails leaves the index as it was.
+    Every write adds a version (:mod:`.versions`): reading infers nothing, and a
+    job that fails leaves the index as it was. The last ``keep`` versions and
+    their rows stay readable.
+
+    With ``buckets`` rows lie by a hash of their id, so writing ids again
+    rewrites only the buckets that hold one of them. The number is fixed when
+    the index is made; choose it so that a bucket fits a task.
     """
 
-    #: Readers of the folder pass over names that begin like this.
-    COLUMNS = "_columns.json"
+    BUCKET, WRITE = "_bucket", "_write"
 
-    def __init__(self, spark: SparkSession, root: str, name: str, format: str = "parquet"):
+    def __init__(
+        self, spark: SparkSession, root: str, name: str, format: str = "parquet", buckets: int = 0, keep: int = 2
+    ):
         if not re.fullmatch(r"[A-Za-z0-9][\w.-]*", name):
             raise ValueError(f"not a usable index name: {name!r}")
+        if keep < 1:
+            raise ValueError("the last version is always kept")
         self.spark, self.root, self.name, self.format = spark, root.rstrip("/"), name, format
         self.path = f"{self.root}/{name}"
+        self.buckets, self.keep = buckets, keep
+        self.log = VersionLog(spark, self.path)
 
     # -- life cycle
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def exists(self) -> bool:
-        fs, path = self._fs()
-        return bool(fs.exists(path))
+        return self.log.files.exists()
 
     def check(self, if_exists: str | None = "error") -> str:
         """The write mode, or an error before any work is done."""
@@ -64,16 +72,21 @@ class Index:
 
     def create(self, df: DataFrame, roles: Roles | None = None, if_exists: str | None = "error") -> None:
         """An empty index with the columns of ``df``, typed by role."""
-        self.write(df.limit(0), roles, if_exists)
+        self.check(if_exists)
+        self._commit(self._current(), prepared(df, roles).schema, (), self.buckets)
 
     def drop(self) -> bool:
         """Delete the index folder, which lies directly below the root."""
-        fs, path = self._fs()
-        return bool(fs.exists(path) and fs.delete(path, True))
+        return self.log.files.delete()
 
     def truncate(self) -> None:
         """Delete all rows, keep the columns."""
-        self._replace(self.spark.createDataFrame([], self.read().schema))
+        now = self._current()
+        self._commit(now, self.read().schema, (), now.buckets if now else self.buckets)
+
+    def versions(self) -> list[int]:
+        """Numbers of the versions that can be read, the last one last."""
+        return sorted(self.log.numbers())
 
     # -- rows
 
@@ -83,74 +96,203 @@ class Index:
         roles: Roles | None = None,
         if_exists: str | None = "error",
         partition_by: Sequence[str] = (),
+        widen: bool = True,
+        spans: Callable[[], dict] | None = None,
     ) -> None:
         """Write rows: role columns get their types, transient columns stay out.
 
-        With ``append`` new columns are allowed; rows before have nulls there.
+        With ``append`` columns may differ: rows without one have nulls there,
+        and a type becomes the least that holds both, in the order of
+        :data:`.versions.NUMBERS`. Types without a common one are refused
+        before anything is written, with ``widen=False`` all changes of a type.
+        ``spans`` is asked after the rows are written for their number
+        (``rows``) and for ``{column}_min`` and ``{column}_max``.
         """
         mode = self.check(if_exists)
         df = prepared(df, roles)
-        if mode == "overwrite":
-            return self._replace(df, partition_by)
-        before = self.read().schema if mode == "append" and self.exists() else T.StructType()
-        self._save(df, self.path, mode, partition_by, before)
+        now = self._current()
+        before = now if mode == "append" else None
+        columns, buckets = df.schema, self.buckets
+        if before is not None:
+            columns, buckets = merged_columns(before.columns, df.schema, widen), before.buckets
+            self._check_id(before, columns, roles)
+        part = self._save(df, roles, buckets, partition_by)
+        if spans is not None:
+            part = replace(part, **_told(spans()))
+        self._commit(now, columns, (*(before.parts if before else ()), part), buckets)
+
+    def upsert(
+        self, df: DataFrame, roles: Roles, partition_by: Sequence[str] = (), version: str | Sequence[str] = ()
+    ) -> None:
+        """Write rows by id: those that are there with an id of ``df`` are replaced, all others stay.
 
-    def upsert(self, df: DataFrame, roles: Roles, partition_by: Sequence[str] = ()) -> None:
-        """Write rows by id: those that are there with an id of ``df`` are replaced, all others stay."""
+        An id that occurs more than once in ``df`` is written once, with the
+        row of the greatest ``version`` (ties, and without one all: the
+        greatest row). Rows without an id are refused, since nothing could
+        replace them: the index stays as it was.
+
+        The new rows are written once, to their place. Of the buckets (an index
+        without buckets is one) only those that hold one of the ids are
+        written again, without the rows replaced.
+        """
+        if roles.id is None:
+            raise ValueError("to replace rows by id, name the id column")
         df = prepared(df, roles)
-        if not self.exists():
-            return self._save(df, self.path, "errorifexists", partition_by)
-        stored = self.read()
-        # The new rows are written once, then joined from there.
-        aside = f"{self.path}.{uuid.uuid4().hex}.new"
-        self._save(df, aside, "errorifexists", ())
-        new = self._load(aside)
-        old = stored.join(new.select(roles.id).distinct(), roles.id, "left_anti")
-        self._replace(old.unionByName(new, allowMissingColumns=True), partition_by)
-        self._delete(aside)
-
-    def read(self) -> DataFrame:
-        return self._load(self.path)
-
-    # -- files
-
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _delete(self, path: str) -> None:
-        self._fs()[0].delete(self._path(path), True)
-
-    def _save(self, df: DataFrame, path: str, mode: str, partition_by: Sequence[str], before=None) -> None:
-        """Rows, and beside them the columns: those ``before`` and the new ones."""
-        known = {f.name for f in before or ()}
-        columns = T.StructType([*(before or ()), *[f for f in df.schema if f.name not in known]])
-        rows = prune(df) if self.format == "json" else df
-        rows.write.format(self.format).mode(mode).partitionBy(*partition_by).save(path)
-        out = self._fs()[0].create(self._path(f"{path}/{self.COLUMNS}"), True)
-        out.write(bytearray(columns.json(), "utf-8"))
-        out.close()
-
-    def _load(self, path: str) -> DataFrame:
-        fs, kept = self._fs()[0], self._path(f"{path}/{self.COLUMNS}")
-        reader = self.spark.read.format(self.format)
-        if not fs.exists(kept):  # written by something else
-            return reader.option("mergeSchema", "true").load(path)
-        stream = fs.open(kept)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return reader.schema(T.StructType.fromJson(json.loads(text))).load(path)
-
-    def _replace(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """Write aside, then put in place of what is there."""
-        fs, path = self._fs()
-        fresh, gone = (f"{self.path}.{uuid.uuid4().hex}.{x}" for x in ("new", "old"))
-        self._save(df, fresh, "errorifexists", partition_by)
-        if fs.exists(path):
-            fs.rename(path, self._path(gone))
-        fs.rename(self._path(fresh), path)
-        self._delete(gone)
+        now = self._current()
+        columns = df.schema if now is None else merged_columns(now.columns, df.schema)
+        buckets = self.buckets if now is None else now.buckets
+        if now is not None:
+            self._check_id(now, columns, roles)
+        nulls = Observation(f"ids of {self.name} {uuid.uuid4().hex}")
+        watched = df.observe(nulls, F.count_if(F.col(f"`{roles.id}`").isNull()).alias("n"))
+        part = self._save(latest_by_id(watched, roles.id, version), roles, buckets, partition_by)
+        if nulls.get["n"]:
+            for path in part.paths:
+                self.log.files.delete(path)
+            raise ValueError(f"{nulls.get['n']} rows have no {roles.id!r}")
+        parts = () if now is None else self._without(now, part, columns, roles.id)
+        self._commit(now, columns, (*parts, part), buckets)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, by default of the last one."""
+        found = self._current() if version is None else self.log.get(version)
+        if found is None:
+            raise FileNotFoundError(f"there is no index {self.name!r}")
+        return self._load(found.parts, found.columns)
+
+    def spans(self, columns: Sequence[str]) -> dict[str, tuple]:
+        """``{column: (least, greatest)}`` for those of ``columns`` that all writes have told, without reading a row."""
+        now = self._current()
+        parts = () if now is None else [p for p in now.parts if p.rows != 0]
+        out = {}
+        for c in columns if parts else ():
+            told = [p.spans.get(c) for p in parts]
+            if all(told):
+                ends = [[_value(v) for v in t] for t in told]
+                least, greatest = ([e[k] for e in ends if e[k] is not None] for k in (0, 1))
+                if len({"number" if isinstance(v, (int, float)) else type(v) for v in least}) <= 1:  # else its type has changed
+                    out[c] = (min(least, default=None), max(greatest, default=None))
+        return out
+
+    # -- folders
+
+    def _current(self) -> Version | None:
+        """The last version; of a folder that something else has written, all that is in it."""
+        found = self.log.get()
+        if found is None and self.exists() and (names := [n for n in self.log.files.names() if n[0] not in "._"]):
+            columns = self.spark.read.format(self.format).option("mergeSchema", "true").load(self.path).schema
+            return Version(0, columns, (Part(tuple(names), columns),))
+        return found
+
+    def _commit(self, now: Version | None, columns: T.StructType, parts: Sequence[Part], buckets: int) -> None:
+        number = 1 + (now.number if now else 0)
+        self.log.commit(Version(number, columns, tuple(p for p in parts if p.paths), buckets))
+        self.log.vacuum(self.keep)
+
+    @staticmethod
+    def _check_id(before: Version, columns: T.StructType, roles: Roles | None) -> None:
+        """A bucket is told from the id as text, which depends on its type."""
+        if before.buckets and (roles is None or roles.id is None):
+            raise ValueError("an index with buckets is written by id: name the id column")
+        if before.buckets and roles.id in before.columns.names and before.columns[roles.id].dataType != columns[roles.id].dataType:
+            raise ValueError(f"the id column {roles.id!r} of an index with buckets keeps its type")
+
+    def _bucketed(self, df: DataFrame, id_col: str, buckets: int) -> DataFrame:
+        key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+        return df.withColumn(self.BUCKET, F.pmod(F.xxhash64(key), F.lit(max(1, buckets))).cast("int"))
+
+    def _save(self, df: DataFrame, roles: Roles | None, buckets: int, partition_by: Sequence[str]) -> Part:
+        """Write rows to a folder of their own. It counts when a version names it."""
+        if clash := {self.BUCKET, self.WRITE} & set(df.columns):
+            raise ValueError(f"columns of an index cannot be named {sorted(clash)}")
+        rows, keys = prune(df) if self.format == "json" else df, list(partition_by)
+        if buckets:
+            if roles is None or roles.id is None:
+                raise ValueError("an index with buckets is written by id: name the id column")
+            # Large buckets are split over tasks, small ones share one.
+            rows = self._bucketed(rows, roles.id, buckets).hint("rebalance", F.col(self.BUCKET))
+            keys = [self.BUCKET, *keys]
+        folder = f"{self.WRITE}={uuid.uuid4().hex}"
+        rows.write.format(self.format).mode("errorifexists").partitionBy(*keys).save(f"{self.path}/{folder}")
+        paths = [folder]
+        if buckets:
+            paths = [f"{folder}/{n}" for n in self.log.files.names(folder) if n.startswith(f"{self.BUCKET}=")]
+        return Part(tuple(paths), df.schema, tuple(keys))
+
+    def _load(self, parts: Sequence[Part], columns: T.StructType, *also: str) -> DataFrame:
+        """The rows of ``parts`` under ``columns``, and the columns ``also`` by which folders are named.
+
+        Folders written under the same columns are one scan; another scan's
+        columns are cast.
+        """
+        groups: dict[tuple, list[Part]] = {}
+        for p in parts:
+            groups.setdefault((p.columns.json(), p.partition_by), []).append(p)
+        kept = [*columns, *[T.StructField(c, T.IntegerType()) for c in also]]
+        scans = []
+        for (_, keys), members in groups.items():
+            paths = sorted(f"{self.path}/{x}" for p in members for x in p.paths)
+            schema = T.StructType(list(members[0].columns))
+            if paths and any(x.startswith(f"{self.WRITE}=") for x in members[0].paths):
+                schema = schema.add(self.WRITE, T.StringType())
+            if self.BUCKET in keys:
+                schema = schema.add(self.BUCKET, T.IntegerType())
+            rows = self.spark.read.format(self.format).schema(schema).option("basePath", self.path).load(paths)
+            scans.append(rows.select([_as(f, schema) for f in kept]))
+        if not scans:
+            return self.spark.createDataFrame([], T.StructType(kept))
+        rows = reduce(DataFrame.union, scans)
+        return rows if len(scans) == 1 else rows.select([F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata or {}) for f in kept])
+
+    def _without(self, now: Version, new: Part, columns: T.StructType, id_col: str) -> list[Part]:
+        """The parts of a version, with those buckets written again that hold an id of ``new``."""
+        buckets = {x.rpartition("=")[2] for x in new.paths} if now.buckets else None
+        near = [replace(p, paths=tuple(x for x in p.paths if _in(x, buckets))) for p in now.parts]
+        near = [p for p in near if p.paths]
+        also = [self.BUCKET] if now.buckets else []
+        ids = self._load([new], columns, *also).select(F.col(f"`{id_col}`").alias(id_col), *also)
+        hit = self._load(near, columns, *also).join(ids, [id_col, *also], "left_semi")
+        if now.buckets:  # as many rows as there are buckets at most
+            buckets = {str(r[0]) for r in hit.select(self.BUCKET).distinct().collect()}
+        elif hit.isEmpty():
+            buckets = set()
+        old = [replace(p, paths=tuple(x for x in p.paths if _in(x, buckets))) for p in near]
+        old = [p for p in old if p.paths]
+        if not old:
+            return list(now.parts)
+        left = self._load(old, columns, *also).join(ids, [id_col, *also], "left_anti").drop(self.BUCKET)
+        again = self._save(left, Roles(id=id_col), now.buckets, [c for c in new.partition_by if c != self.BUCKET])
+        # Of a part whose rows are not all where they were, what its writer has told holds no more.
+        untouched = [(p, tuple(x for x in p.paths if not _in(x, buckets))) for p in now.parts]
+        return [p if paths == p.paths else replace(p, paths=paths, spans={}, rows=None) for p, paths in untouched] + [again]
+
+
+def _in(path: str, buckets: set[str] | None) -> bool:
+    """Whether a folder is of one of the buckets (None: all)."""
+    return buckets is None or path.rpartition("=")[2] in buckets if "/" in path else buckets is None
+
+
+def _as(f: T.StructField, schema: T.StructType) -> Column:
+    """A column of a scan as the index has it."""
+    if f.name not in schema.names:
+        return F.lit(None).cast(f.dataType).alias(f.name, metadata=f.metadata or {})
+    col = F.col(f"`{f.name}`")
+    same = schema[f.name].dataType.simpleString() == f.dataType.simpleString()
+    return col if same else col.cast(f.dataType).alias(f.name, metadata=f.metadata or {})
+
+
+def _told(values: dict) -> dict:
+    """Ends as JSON has them, each with its type where JSON has none."""
+    plain = lambda v: v if v is None or isinstance(v, (int, float, str)) else {type(v).__name__: v.isoformat() if hasattr(v, "isoformat") else str(v)}
+    columns = [k.removesuffix("_min") for k in values if k.endswith("_min")]
+    return {"rows": values["rows"], "spans": {c: [plain(values[f"{c}_min"]), plain(values[f"{c}_max"])] for c in columns}}
+
+
+def _value(told):
+    if not isinstance(told, dict):
+        return told
+    (kind, text), = told.items()
+    return {"datetime": datetime.fromisoformat, "date": date.fromisoformat, "Decimal": Decimal}[kind](text)
 
 
 def prepared(df: DataFrame, roles: Roles | None) -> DataFrame:

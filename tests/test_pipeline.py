@@ -1,4 +1,4 @@
-import os
+import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,8 +102,7 @@ def test_json_index(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), [None, "a"])], "id int, x double, t array<string>")
     index = Index(spark, str(tmp_path), "j", "json")
     index.write(df)
-    files = [f for f in os.listdir(index.path) if f.endswith(".json") and not f.startswith("_")]
-    text = "".join(open(os.path.join(index.path, f)).read() for f in files)
+    text = "".join(open(f).read() for f in glob.glob(f"{index.path}/{Index.WRITE}=*/*.json"))
     assert text.strip() == '{"id":1,"t":["a"]}'
 
 
