@@ -130,10 +130,10 @@ def index_upsert(spark, sf):
     """,
 )
 def index_bucket_upsert(spark, sf):
-    """One in a hundred rows written again, each twice, and as many new ones, into an index of 64 buckets."""
+    """One in a hundred rows written again, each twice, and as many new ones, into an index of 16 buckets."""
     roles = cl.Roles(tag=["event_type"], id="event_id")
     events = table(spark, sf, "events").select("event_id", "event_type", "value")
-    index = cl.Index(spark, scratch(spark, "buckets"), "events", buckets=64)
+    index = cl.Index(spark, scratch(spark, "buckets"), "events", buckets=16)
     index.write(events, roles)
     noted = lambda df, value: df.select("event_id", "event_type", value.alias("value"), F.lit("again").alias("note"))
     again = events.where("event_id % 100 = 7")
