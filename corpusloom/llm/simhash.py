@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, cut_lineage, in_bitmap, keyed, unpacked, without, written
 from .components import components
-from .words import in_blocks
+from .language_id import counted, merged
+from .words import blocks, in_blocks
 
 # Hashes of one text that are in memory at a time.
 HASHES_AT_ONCE = 1 << 16
@@ -127,6 +128,7 @@ def _components_of(prints: DataFrame, radius: int) -> DataFrame:
 # Documents whose shingles are counted, so that common ones come last in the order, and the most that are kept of those.
 # They only decide how many candidates there are: the pairs found are the same for any order.
 COUNTED_DOCUMENTS, COMMON, COMMON_LEAST = 1 << 14, 1 << 18, 3
+HELD_HASHES = 1 << 20  # distinct shingles that a task counts before it passes them on
 
 
 def _set_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -143,28 +145,45 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _class_of(words: list[bytes]) -> int:
-    """A hash of the words in order, as a signed number."""
-    from xxhash import xxh64_intdigest
+def _class_of(words: list[bytes]) -> tuple[int, int]:
+    """Two hashes of the words in order, as signed numbers."""
+    from xxhash import xxh3_128_digest
 
-    h = xxh64_intdigest(b" ".join(words), 7)
-    return h - (1 << 64) if h >> 63 else h
+    return tuple(np.frombuffer(xxh3_128_digest(b" ".join(words), 7), dtype="<i8").tolist())
 
 
 def _common(docs: DataFrame, size: int):
     """A broadcast of the shingles that many of some documents have, by hash, and how many have them."""
-
-    @F.arrow_udf("array<long>")
-    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from in_blocks(batches, lambda texts: [_set_hashes(_words(t), size).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
     share = min(1.0, COUNTED_DOCUMENTS / max(1, docs.count()))
     some = docs.select("text").sample(share, 7) if share < 1 else docs.select("text")
-    counts = some.select(F.explode(shingles("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    hashes = np.array([r["h"] for r in most], dtype=np.int64).view(np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the task's own texts; what it holds is passed on when it gets large."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def passed_on():
+            hashes, numbers = merged(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(numbers.astype(np.int64))], names=["h", "n"])
+
+        for batch in batches:
+            texts = batch.column("text")
+            for first, stop in blocks(texts):
+                sets = np.concatenate([_set_hashes(_words(t), size) for t in texts.slice(first, stop - first).to_pylist()])
+                if len(sets):
+                    parts.append(counted(sets))
+                if len(parts) >= 16:
+                    parts[:] = [merged(parts)]
+                    if len(parts[0][0]) > HELD_HASHES:
+                        yield passed_on()
+        if parts:
+            yield passed_on()
+
+    counts = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    most = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, numbers = (most.column(c).to_numpy() for c in ("h", "n"))
+    hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
-    numbers = np.array([r["n"] for r in most], dtype=np.int64)
     return docs.sparkSession.sparkContext.broadcast((hashes[order], numbers[order]))
 
 
@@ -182,19 +201,33 @@ def first_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], si
 
 
 def _described(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``id, th, cid`` (a hash of the words in order), ``n`` (the number of shingles) and ``firsts``, of keyed documents."""
+    """``id, th, c1, c2`` (hashes of the words in order), ``n`` (the number of shingles) and ``firsts``, of keyed documents."""
     common = _common(docs, size)
 
-    @F.arrow_udf("struct<cid:long,n:int,firsts:array<long>>")
+    @F.arrow_udf("struct<c1:long,c2:long,n:int,firsts:array<long>>")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(words):
             hashes = _set_hashes(words, size)
-            return {"cid": _class_of(words), "n": len(hashes), "firsts": first_shingles(hashes, common.value, similarity).view(np.int64)}
+            c1, c2 = _class_of(words)
+            return {"c1": c1, "c2": c2, "n": len(hashes), "firsts": first_shingles(hashes, common.value, similarity).view(np.int64)}
 
-        kind = pa.struct([("cid", pa.int64()), ("n", pa.int32()), ("firsts", pa.list_(pa.int64()))])
+        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("firsts", pa.list_(pa.int64()))])
         yield from in_blocks(batches, lambda texts: [one(_words(t)) for t in texts], kind)
 
-    return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.cid", "d.n", "d.firsts")
+    return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.*")
+
+
+def _ambiguous(described: DataFrame) -> DataFrame:
+    """``c1`` of the classes that only ``c2`` tells apart: a handful in any corpus, and mostly none."""
+    ends = described.groupBy("c1").agg(F.min("c2").alias("least"), F.max("c2").alias("greatest"))
+    return written(ends.where("least != greatest").select("c1"), "ambiguous")
+
+
+def _named_classes(df: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """``cid`` in place of ``c1, c2``: the first of them, or where that is ambiguous a hash of both."""
+    twice = ambiguous.select("c1", F.lit(True).alias("twice"))
+    cid = F.when(F.col("twice"), F.xxhash64("c1", "c2")).otherwise(F.col("c1"))
+    return df.join(twice, "c1", "left").withColumn("cid", cid).drop("c1", "c2", "twice")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -238,29 +271,30 @@ def _rest(shared: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
     return met.where(enough).select(*_ordered("cid", "cid_x")).distinct()
 
 
-def _sets(docs: DataFrame, cids: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, cids: DataFrame, ambiguous: DataFrame, size: int) -> DataFrame:
     """``cid, set``: the shingles of the classes in ``cids``, and of few others.
 
     Texts stay in their tasks: a bitmap of fixed size tells nearly all
     documents without a candidate, and of the others only hashes are shuffled,
     one set for each class and task.
     """
-    bitmap = bitmap_of(cids, "cid")
+    bitmap = bitmap_of(cids.union(ambiguous.select(F.col("c1").alias("cid"))), "cid")
 
-    @F.arrow_udf("struct<cid:long,set:array<int>>")
+    @F.arrow_udf("struct<c1:long,c2:long,set:array<int>>")
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def work(texts):
             words = [_words(t) for t in texts]
-            cids = np.array([_class_of(w) for w in words], dtype=np.int64)
-            maybe = in_bitmap(cids.view(np.uint64), bitmap.value)
+            classes = [_class_of(w) for w in words]
+            maybe = in_bitmap(np.array([c[0] for c in classes], dtype=np.int64).view(np.uint64), bitmap.value)
             # 32 bits of each hash: sets of less than a billion are told apart well enough.
             low = lambda w: np.unique(_set_hashes(w, size).astype(np.uint32)).view(np.int32)
-            return [{"cid": c, "set": low(w)} if m else None for c, w, m in zip(cids.tolist(), words, maybe)]
+            return [{"c1": c[0], "c2": c[1], "set": low(w)} if m else None for c, w, m in zip(classes, words, maybe)]
 
-        yield from in_blocks(batches, work, pa.struct([("cid", pa.int64()), ("set", pa.list_(pa.int32()))]))
+        yield from in_blocks(batches, work, pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("set", pa.list_(pa.int32()))]))
 
-    sets = docs.select(shingles("text").alias("d")).where(F.col("d").isNotNull()).select("d.cid", "d.set")
-    return written(sets.groupBy("cid").agg(F.any_value("set").alias("set")), "sets")
+    sets = docs.select(shingles("text").alias("d")).where(F.col("d").isNotNull()).select("d.*")
+    one = sets.groupBy("c1", "c2").agg(F.any_value("set").alias("set"))
+    return written(_named_classes(one, ambiguous).select("cid", "set"), "sets")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -272,10 +306,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(met.where(enough).select("a", "b"), "similar")
 
 
-def _groups(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+def _groups(docs: DataFrame, classes: DataFrame, ambiguous: DataFrame, size: int, similarity: float) -> DataFrame:
     """``node, component`` of the classes (``cid, n, firsts``) that are similar to another."""
     shared = _shared(classes)
-    sets = _sets(docs, shared.select("cid").distinct(), size)
+    sets = _sets(docs, shared.select("cid").distinct(), ambiguous, size)
     stars = written(_stars(shared, similarity), "stars")
     near = _similar(stars, sets, similarity)
     rest = written(_rest(shared, components(near), similarity).join(stars, ["a", "b"], "left_anti"), "rest")
@@ -290,17 +324,22 @@ def one_of_each(
 
     Groups are the components of the links between texts whose sets of shingles
     of ``size`` words have a Jaccard similarity of ``similarity`` or more.
-    No link is missed and none is made below the threshold: candidates share
-    one of their first shingles in an order of all. Stars around the most usual
-    texts come first, then all pairs that these leave unconnected. Texts with
-    the same words in order are one class.
+    No link is missed: candidates share one of their first shingles in an order
+    of all. Stars around the most usual texts come first, then all pairs that
+    these leave unconnected. Texts with the same words in order, by 128 bits of
+    hash, are one class. Sets are compared by 32 bits of each shingle's hash:
+    of 10,000 shingles two in a hundred pairs of sets have one that agrees by
+    chance, which can only matter to a pair that is one shingle short. All
+    texts without a word are one class, so one of them stays.
     """
     base = keyed(docs, id_col, text_col)
     described = written(_described(base, size, similarity), "described")
+    ambiguous = _ambiguous(described)
+    described = _named_classes(described, ambiguous)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     classes = described.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"))
     classes = written(classes, "classes")
-    linked = _groups(base, classes.select("cid", "n", "firsts"), size, similarity)
+    linked = _groups(base, classes.select("cid", "n", "firsts"), ambiguous, size, similarity)
     of_group = linked.join(classes.select(F.col("cid").alias("node"), "first"), "node")
     heads = of_group.groupBy("component").agg(F.min("first").alias("head"))
     of_class = of_group.select("node", "component").join(heads, "component").select(F.col("node").alias("cid"), "head")

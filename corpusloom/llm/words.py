@@ -40,10 +40,14 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
 
 
 def in_blocks(batches: Iterator[pa.Array], work, kind: pa.DataType) -> Iterator[pa.Array]:
-    """``work`` (a list of texts to a list of values) over Arrow arrays of texts; one block is in memory as Python strings."""
+    """``work`` (a list of texts to a list of values) over Arrow arrays of texts.
+
+    One block is in memory as Python strings, and its values leave the worker
+    before the next is read: they may be as large as the texts.
+    """
     for batch in batches:
-        values = [work(batch.slice(first, stop - first).to_pylist()) for first, stop in blocks(batch)]
-        yield pa.array([v for part in values for v in part], kind)
+        for first, stop in blocks(batch):
+            yield pa.array(work(batch.slice(first, stop - first).to_pylist()), kind)
         pa.default_memory_pool().release_unused()
 
 
