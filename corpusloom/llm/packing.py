@@ -2,10 +2,15 @@
 
 A document longer than the largest length is cut into pieces; nothing is left
 out. Pieces go, longest first, each into the open bin with the least room that
-holds it. Where none does, a bin opens, of the size that costs least for each
-token it can still be expected to hold; sizes compete on a cost with a fixed
-part, a linear part and a quadratic one, as attention has. At the end every bin
-is cut down to the smallest permitted length that holds its contents.
+holds it. Where none does, a bin opens. All permitted lengths compete for it:
+each is filled in thought with the piece and, greedily, with the longest of the
+shorter pieces still to come that fit, by the histogram of their lengths; the
+length whose contents would cost least for each token wins. The cost of a
+sequence has a fixed part, a linear part and a quadratic one, as attention has,
+and counts for the permitted length the contents would need in the end. So a
+piece that would leave half of the smallest fitting length empty opens a larger
+one where others can share it. At the end every bin is cut down to the smallest
+permitted length that holds its contents.
 
 Pieces are dealt by hash into shards of about ``shard_pieces``; a shard is
 packed in one task, whose memory depends on that number only. Each shard
@@ -16,7 +21,7 @@ Defined results: a length is the number of UTF-8 bytes and one end mark, or the
 column ``length_col`` plus nothing; null and empty texts are one piece of the
 end mark; a null or negative length counts as 0, and such a document is a piece
 of no tokens; rows alike in id and text are packed once each; ties in length go
-by id, text hash and piece.
+by id (nulls last), text hash and piece. Ids keep their type and value.
 """
 
 from __future__ import annotations
@@ -24,41 +29,70 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keyed
 
 CAPACITIES = (1024, 2048, 4096, 8192)
 SHARD_PIECES = 1 << 16
+PLACED = "th long, piece int, start long, n int, bin_id long, bin_offset int, bin_fill int, capacity int"
 
 
 def bin_cost(capacity: int, fixed: float = 64, quadratic: float = 1 / 16384) -> float:
     return fixed + capacity + quadratic * capacity * capacity
 
 
+class ToCome:
+    """The lengths still to come, and how often, in order."""
+
+    def __init__(self, lengths: Sequence[int]):
+        values, counts = np.unique(np.array(lengths, dtype=np.int64), return_counts=True)
+        self.values, self.counts = values.tolist(), counts.tolist()
+
+    def taken(self, length: int) -> None:
+        """The longest is packed."""
+        assert self.values[-1] == length
+        self.counts[-1] -= 1
+        if not self.counts[-1]:
+            self.values.pop()
+            self.counts.pop()
+
+    def fill(self, room: int) -> int:
+        """What the longest ones that fit, one after the other, make of a room."""
+        filled, at = 0, len(self.values)
+        while room > filled:
+            at = bisect_left(self.values, room - filled + 1, 0, at) - 1
+            if at < 0 or not self.values[at]:
+                break
+            filled += self.values[at] * min(self.counts[at], (room - filled) // self.values[at])
+        return filled
+
+
 def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost=bin_cost):
     """Bins of pieces that come longest first: per piece (bin, offset), and per bin its final capacity."""
     sizes = sorted(capacities)
     costs = [cost(c) for c in sizes]
-    left = sum(lengths)
+    to_come = ToCome(lengths)
     rooms: list[tuple[int, int]] = []  # (room, bin), in order
     fills: list[int] = []
     places = []
     for n in lengths:
+        to_come.taken(n)
         at = bisect_left(rooms, (n, -1))
         if at < len(rooms):
             room, number = rooms.pop(at)
         else:
-            # Contents to expect: all that is left, or as much as fits.
-            fits = range(bisect_left(sizes, n), len(sizes))
-            choice = min(fits, key=lambda k: (costs[k] / max(1, min(sizes[k], left)), sizes[k]))
-            room, number = sizes[choice], len(fills)
+            least = bisect_left(sizes, n)
+            expected = [n + to_come.fill(size - n) for size in sizes[least:]]
+            per_token = [costs[bisect_left(sizes, fill)] / max(1, fill) for fill in expected]
+            room, number = sizes[least + per_token.index(min(per_token))], len(fills)
             fills.append(0)
         places.append((number, fills[number]))
         fills[number] += n
-        left -= n
         if room > n:
             insort(rooms, (room - n, number))
     return places, [sizes[bisect_left(sizes, fill)] for fill in fills]
@@ -92,22 +126,20 @@ def pack(
     shards = max(1, -(-total // shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "th", "piece"), F.lit(shards)).cast("int"))
 
-    def pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "id", "th", "piece"], ascending=[False, True, True, True], kind="stable", na_position="last")
-        places, kept = best_fit(rows["n"].tolist(), sizes)
-        out = rows[["id", "th", "piece", "start", "n"]].copy()
-        number = pd.Series([p[0] for p in places], index=out.index, dtype="int64")
-        out["bin_id"] = (int(key[0]) << 32) + number
-        out["bin_offset"] = [p[1] for p in places]
-        out["bin_fill"] = out.groupby(number)["n"].transform("sum")
-        out["capacity"] = [kept[p[0]] for p in places]
-        return out
-
-    id_type = base.schema["id"].dataType.simpleString()
-    placed = dealt.groupBy("shard").applyInPandas(
-        pack_shard,
-        f"id {id_type}, th long, piece int, start long, n int, bin_id long, bin_offset int, bin_fill int, capacity int",
-    )
+    schema = T.StructType([base.schema["id"], *T.DataType.fromDDL(PLACED).fields])
+
+    def pack_shard(key: tuple, rows: pa.Table) -> pa.Table:
+        # In Arrow throughout: an id never becomes a float beside a null.
+        rows = rows.sort_by([("n", "descending"), ("id", "ascending"), ("th", "ascending"), ("piece", "ascending")])
+        lengths = rows.column("n").to_numpy()
+        places, kept = best_fit(lengths.tolist(), sizes)
+        bins, offsets = np.array(places, dtype=np.int64).reshape(-1, 2).T
+        fills = np.bincount(bins, weights=lengths, minlength=len(kept)).astype(np.int32)
+        new = [(key[0].as_py() << 32) + bins, offsets.astype(np.int32), fills[bins], np.array(kept, dtype=np.int32)[bins]]
+        columns = [*(rows.column(c) for c in ("id", "th", "piece", "start", "n")), *map(pa.array, new)]
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    placed = dealt.groupBy("shard").applyInArrow(pack_shard, schema)
     return placed.select(
         F.col("id").alias(id_col), F.col("th").alias("text_hash"), "piece", "start", F.col("n").alias("n_tokens"),
         "bin_id", "bin_offset", "bin_fill", "capacity",

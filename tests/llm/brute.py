@@ -119,19 +119,24 @@ def language(text, profiles, size):
 
 
 def best_fit(lengths, capacities, cost):
-    """The rule of the packing operator, by looking at every open bin."""
-    sizes, bins, left = sorted(capacities), [], sum(lengths)
-    for n in lengths:
+    """The rule of the packing operator, by looking at every open bin, and at every piece to come."""
+    sizes, bins = sorted(capacities), []
+    for i, n in enumerate(lengths):
         fits = [b for b in bins if b[0] - b[1] >= n]
         if fits:
             chosen = min(fits, key=lambda b: (b[0] - b[1], bins.index(b)))
         else:
-            size = min((s for s in sizes if s >= n), key=lambda s: (cost(s) / max(1, min(s, left)), s))
-            chosen = [size, 0, []]
+
+            def per_token(size):
+                fill = n
+                for m in lengths[i + 1 :]:  # longest first
+                    fill += m if fill + m <= size else 0
+                return cost(min(s for s in sizes if s >= fill)) / max(1, fill)
+
+            chosen = [min((s for s in sizes if s >= n), key=per_token), 0, []]
             bins.append(chosen)
         chosen[2].append(n)
         chosen[1] += n
-        left -= n
     return [(min(s for s in sizes if s >= b[1]), b[2]) for b in bins]
 
 

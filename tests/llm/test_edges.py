@@ -439,6 +439,29 @@ def test_packing_edges(spark, edge):
     assert packing.pack(empty(edge)).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null(spark):
+    ids = [9007199254740993, None, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, "text") for i in ids], "doc_id long, text string").coalesce(1)
+    assert sorted((r["doc_id"] for r in packing.pack(df).collect()), key=repr) == sorted(ids, key=repr)
+    names = spark.createDataFrame([("b", "text"), (None, "text"), ("a", "text")], "doc_id string, text string")
+    assert {r["doc_id"] for r in packing.pack(names).collect()} == {"a", "b", None}
+
+
+def test_packing_opens_a_larger_bin_where_that_is_cheaper():
+    cost = packing.bin_cost
+    spent = lambda lengths, sizes: sum(map(cost, packing.best_fit(lengths, sizes)[1]))
+    # Three pieces of a little more than half of 2048 share one bin of 4096 ...
+    places, kept = packing.best_fit([1100] * 3, (2048, 4096))
+    assert places == [(0, 0), (0, 1100), (0, 2200)] and kept == [4096]
+    assert spent([1100] * 3, (2048, 4096)) < spent([1100] * 3, (2048,))
+    # ... but one that would stay alone does not, nor do pieces that fill the smaller one.
+    assert packing.best_fit([1100], (2048, 4096))[1] == [2048] and packing.best_fit([2048] * 2, (2048, 4096))[1] == [2048] * 2
+    random.seed(9)
+    lengths = sorted((random.randrange(1, 8192) for _ in range(3000)), reverse=True)
+    least = {c: spent(lengths, (c,)) for c in (8192,)}
+    assert spent(lengths, packing.CAPACITIES) < min(least.values())
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
