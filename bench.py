@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from catalog import QUERIES  # noqa: E402
+from catalog import QUERIES, registry  # noqa: E402
 from catalog.registry import table  # noqa: E402
 from corpusloom.session import local_session  # noqa: E402
 
@@ -63,6 +63,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = local_session(cpus, "bench")
     names = sys.argv[1:] or HEADLINE
+    # Each test table is one row group, which would be one task.
+    registry.PARTITIONS = int(cpus)
     # Start the JVM's compiler and the Python workers before the clock.
     QUERIES["custom_stage"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     took: dict[str, float] = {}

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.tables import dealt
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Tasks that texts are dealt over. Whoever runs the queries may set it; the test tables are one row group each.
+PARTITIONS: int | None = None
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of texts. A file is split by ``spark.sql.files.maxPartitionBytes``; whole texts are never reshuffled."""
-    return table(spark, sf_dir, name)
+    """A table of texts, in the pieces it is stored in unless ``PARTITIONS`` is set."""
+    return dealt(table(spark, sf_dir, name), PARTITIONS)
 
 
 def quoted(text: str) -> str:

@@ -319,6 +319,36 @@ def synonym_terms(spark, sf):
     return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
+RULES = [
+    "the and attion, anea eriner thanea => opening words",
+    "the of, the and, of the, de la",
+    "and attion to thanedble => never longer than",
+    "der die => die",
+    "los de => los",
+]
+
+
+def _synonym_phrases_sql() -> str:
+    """Words between two blanks of their own, so phrases may touch; the longest alternative first."""
+    rules = cl.synonym_rules(RULES)
+    wide = lambda p: " " + "  ".join(p.split(" ")) + " "
+    pattern = quoted("|".join(wide(p) for p in sorted(rules, key=lambda p: (-len(p.split(" ")), p))))
+    return f"""
+    WITH t AS (SELECT doc_id, ' ' || array_to_string({sql_words()}, '  ') || ' ' AS s FROM documents),
+    p AS (SELECT doc_id, string_split_regex(s, {pattern}) AS g, regexp_extract_all(s, {pattern}) AS m FROM t),
+    r AS (SELECT MAP({sql_list(map(wide, rules))}, {sql_list(map(wide, rules.values()))}) AS r)
+    SELECT doc_id, trim(replace(array_to_string(list_transform(g, lambda x, i: x || coalesce(r[m[i]], '')), ''), '  ', ' ')) AS terms
+    FROM p, r
+    """
+
+
+@query("synonym_phrases", _synonym_phrases_sql())
+def synonym_phrases(spark, sf):
+    """Rules of phrases, the longest from left to right."""
+    stage = cl.AnalyzeText("text", "t", cl.Analyzer(lang=None, synonyms=RULES))
+    return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
+
+
 def cut_ending(term):
     """A stemmer SQL can repeat."""
     return re.sub("(ing|ed|s)$", "", term)
@@ -389,10 +419,19 @@ def sentiment_compound(spark, sf):
     return docs.select("doc_id", F.round("sentiment", 6).alias("sentiment"))
 
 
+@query("sentiment_broadcast_lexicon", COMPOUND_SQL)
+def sentiment_broadcast_lexicon(spark, sf):
+    """The same with a lexicon that is broadcast, among 100,000 words that do not occur."""
+    others = spark.range(100_000).select(F.concat(F.lit("no such word "), "id").alias("term"), F.lit(1.0).alias("value"))
+    lexicon = cl.dictionary(others.union(cl.functions.dictionary.mapping_table(LEXICON, "double")), value_type="double")
+    stage = cl.LexiconSentiment("text", "sentiment", lexicon, BOOSTERS, NEGATIONS)
+    return stage.transform(texts(spark, sf)).select("doc_id", F.round("sentiment", 6).alias("sentiment"))
+
+
 @query("sentiment_table_lexicon", COMPOUND_SQL)
 def sentiment_table_lexicon(spark, sf):
     """The same with a lexicon that is joined, as a large one is."""
-    lexicon = cl.dictionary(LEXICON, value_type="double", max_entries=0)
+    lexicon = cl.dictionary(LEXICON, value_type="double", form="joined")
     stage = cl.LexiconSentiment("text", "sentiment", lexicon, BOOSTERS, NEGATIONS)
     return stage.transform(texts(spark, sf)).select("doc_id", F.round("sentiment", 6).alias("sentiment"))
 
@@ -525,7 +564,14 @@ def nlp_entities(spark, sf):
 @query("nlp_entities_table", NLP_ENTITIES_SQL)
 def nlp_entities_table(spark, sf):
     """The same by dictionaries that are joined, as large ones are."""
-    annotator = cl.DictionaryAnnotator(words=WORD_TABLE, phrases=PHRASES, max_entries=0)
+    annotator = cl.DictionaryAnnotator(words=WORD_TABLE, phrases=PHRASES, form="joined")
+    return entities(texts(spark, sf).select("doc_id", "text"), annotator)
+
+
+@query("nlp_entities_broadcast", NLP_ENTITIES_SQL)
+def nlp_entities_broadcast(spark, sf):
+    """The same by dictionaries that are broadcast, phrases by an automaton over words."""
+    annotator = cl.DictionaryAnnotator(words=WORD_TABLE, phrases=PHRASES, form="broadcast")
     return entities(texts(spark, sf).select("doc_id", "text"), annotator)
 
 

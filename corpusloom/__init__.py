@@ -1,7 +1,8 @@
 """corpusloom: enrich and explore text corpora with Spark DataFrames."""
 
-from .functions.dictionary import InlineDictionary, TableDictionary, dictionary
+from .functions.dictionary import BroadcastDictionary, InlineDictionary, TableDictionary, dictionary
 from .functions.languages import languages, stop_words
+from .functions.phrases import Phrases, synonym_rules
 from .operators.analysis import AnalyzeText, Analyzer
 from .operators.annotate import Annotator, DictionaryAnnotator, ModelAnnotator
 from .operators.html import parse_html, parse_html_files

@@ -1,13 +1,18 @@
 """Word dictionaries (lexicons, synonyms, word classes) for use inside row-wise expressions.
 
-A small dictionary travels in the plan as one constant, so looking a token up
-costs neither a shuffle nor a Python worker and works the same on streams.
-Spark scans a map literal from end to end on each lookup; the constant is
-therefore an array of little maps and the key's CRC picks the one to search.
-
-A dictionary beyond the size bound is joined instead (:class:`TableDictionary`)
-and reaches each row as a column of the same shape, so the expressions that
-use it do not change.
+Three forms, with the same answers:
+
+* ``inline``: a small dictionary travels in the plan as one constant, so looking
+  a token up costs neither a shuffle nor a Python worker. Spark scans a map
+  literal from end to end on each lookup; the constant is therefore an array of
+  little maps and the key's CRC picks the one to search.
+* ``broadcast``: a larger one, of a checked size, is sent once to each worker
+  process and looked up there, an Arrow batch of words at a time.
+* ``joined``: one of any size is joined by term. It groups by text, so it is for
+  tables, not for streams.
+
+The first two work row by row, on tables and streams alike. The joined form is
+taken when it is asked for, never because of a size.
 """
 
 from __future__ import annotations
@@ -15,13 +20,19 @@ from __future__ import annotations
 import itertools
 import json
 import zlib
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_INLINE_ENTRIES = 20_000
 MAX_INLINE_BYTES = 4 << 20
+# Terms and values as text, of a dictionary that is broadcast: a few times that much in each worker process.
+MAX_BROADCAST_BYTES = 256 << 20
+FORMS = ("auto", "inline", "broadcast", "joined")
 
 Lookup = Callable[[Column], Column]
 _names = itertools.count()
@@ -53,8 +64,9 @@ class InlineDictionary:
         # Braces, quotes and commas of the form it is carried in, generously.
         return len(json.dumps(dict(entries), ensure_ascii=False)) + 8 * len(entries) + 64 <= MAX_INLINE_BYTES
 
-    def keys(self) -> list[str]:
-        return list(self.entries)
+    def longest_key(self) -> int:
+        """Words of the longest key."""
+        return max((len(k.split(" ")) for k in self.entries), default=0)
 
     def get(self, key: Column) -> Column:
         """The value of ``key``, or null."""
@@ -66,8 +78,73 @@ class InlineDictionary:
         return df, self.get, []
 
 
+def _by_bucket(hits: Column, buckets: int) -> Column:
+    """An array of structs ``term, value`` as an array of little maps."""
+    numbers = F.sequence(F.lit(0), F.lit(buckets - 1))
+    return F.transform(numbers, lambda b: F.map_from_entries(F.filter(hits, lambda e: _bucket(e["term"], buckets) == b)))
+
+
+def _from_buckets(helper: str, buckets: int) -> Lookup:
+    return lambda key: F.try_element_at(F.get(F.col(helper), _bucket(key, buckets)), key)
+
+
+def _heads(hits: Column) -> Column:
+    return F.array_distinct(F.transform(hits, lambda e: F.get(F.split(e["term"], " "), F.lit(0))))
+
+
+class BroadcastDictionary:
+    """A dictionary that every worker process holds once, looked up row by row in Arrow batches.
+
+    Nothing is shuffled or grouped, so it runs on streams as on tables. What a
+    row gets is bounded by its own distinct words.
+    """
+
+    ROW_BUCKETS = 64
+
+    def __init__(self, table: DataFrame, key: str, value: Column, value_type: str, max_bytes: int = MAX_BROADCAST_BYTES):
+        self.value_type = value_type
+        wanted = table.select(F.col(key).alias("term"), value.cast(value_type).alias("value")).where("term IS NOT NULL")
+        entries = wanted.groupBy("term").agg(F.max("value").alias("value"))
+        size = F.octet_length("term") + F.octet_length(F.to_json(F.struct("value"))) + 16
+        taken = entries.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+        if taken > max_bytes:
+            raise ValueError(f"a dictionary of {taken} bytes is not broadcast (at most {max_bytes}): ask for form='joined'")
+        found = entries.orderBy("term").toArrow().combine_chunks()
+        buckets = [zlib.crc32(t.encode("utf-8")) % self.ROW_BUCKETS for t in found.column("term").to_pylist()]
+        self.table = found.append_column("bucket", pa.array(buckets, pa.int64()))
+        self._sent = table.sparkSession.sparkContext.broadcast(self.table)
+
+    def longest_key(self) -> int:
+        terms = self.table.column("term")
+        return pc.max(pc.count_substring(terms, " ")).as_py() + 1 if len(terms) else 0
+
+    def bind(self, df: DataFrame, keys: Column, id_col: str | None = None):
+        """Same protocol as :meth:`TableDictionary.bind`."""
+        sent, buckets = self._sent, self.ROW_BUCKETS
+        helper = f"_dictionary_{next(_names)}"
+
+        # The maps are made here: made by an expression, the optimizer would put them into the lambda
+        # that looks words up, to be made for each word.
+        @F.arrow_udf(f"array<map<string,{self.value_type}>>")
+        def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            terms, values, places = (sent.value.column(c).combine_chunks() for c in ("term", "value", "bucket"))
+            for words in batches:
+                sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                at = pc.index_in(words.flatten(), value_set=terms, skip_nulls=True)
+                row = np.repeat(np.arange(len(words)), sizes)[pc.is_valid(at).to_numpy(zero_copy_only=False)]
+                hit = at.drop_null()
+                place = row * buckets + places.take(hit).to_numpy()
+                order = np.argsort(place, kind="stable")
+                hit = hit.take(pa.array(order))
+                ends = np.searchsorted(place[order], np.arange(len(words) * buckets + 1))
+                maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), terms.take(hit), values.take(hit))
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * buckets, pa.int32()), maps)
+
+        return df.withColumn(helper, look_up(F.array_distinct(keys))), _from_buckets(helper, buckets), [helper]
+
+
 class TableDictionary:
-    """A dictionary too large to inline: joined by term, exactly.
+    """A dictionary of any size: joined by term, exactly.
 
     Rows are met by a hash of their words, not by an id: null and repeated ids
     are no matter, and texts that occur often are looked up once. Frequent
@@ -77,7 +154,7 @@ class TableDictionary:
     bounded by its own distinct words.
 
     The lookup groups by text, so on a stream it runs inside ``foreachBatch``
-    only; the inline form runs on streams as it is.
+    only; the other forms run on streams as they are.
     """
 
     ROW_BUCKETS = 64
@@ -106,20 +183,13 @@ class TableDictionary:
             .groupBy("_h1", "_h2")
             .agg(F.collect_list(F.struct("term", "value")).alias("_hits"))
         )
-        buckets = F.transform(
-            F.sequence(F.lit(0), F.lit(self.ROW_BUCKETS - 1)),
-            lambda b: F.map_from_entries(
-                F.filter(F.col("_hits"), lambda e: _bucket(e["term"], self.ROW_BUCKETS) == b)
-            ),
-        )
-        first = F.transform("_hits", lambda e: F.get(F.split(e["term"], " "), F.lit(0)))
-        hits = hits.select("_h1", "_h2", buckets.alias(helper), F.array_distinct(first).alias(heads))
+        buckets = _by_bucket(F.col("_hits"), self.ROW_BUCKETS)
+        hits = hits.select("_h1", "_h2", buckets.alias(helper), _heads(F.col("_hits")).alias(heads))
         joined = df.join(hits, (df[h1] == hits["_h1"]) & (df[h2] == hits["_h2"]), "left").drop("_h1", "_h2", h1, h2, words)
+        return joined, _from_buckets(helper, self.ROW_BUCKETS), [helper, heads]
 
-        def lookup(key: Column) -> Column:
-            return F.try_element_at(F.get(F.col(helper), _bucket(key, self.ROW_BUCKETS)), key)
-
-        return joined, lookup, [helper, heads]
+    def longest_key(self) -> int:
+        return self.table.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 0
 
 
 def mapping_table(entries: Mapping[str, Any], value_type: str) -> DataFrame:
@@ -132,37 +202,45 @@ def mapping_table(entries: Mapping[str, Any], value_type: str) -> DataFrame:
     return table.select("term", F.from_json("json", f"struct<value:{value_type}>")["value"].alias("value"))
 
 
+Dictionary = InlineDictionary | BroadcastDictionary | TableDictionary
+
+
 def dictionary(
-    source: Mapping[str, Any] | DataFrame | InlineDictionary | TableDictionary,
+    source: Mapping[str, Any] | DataFrame | Dictionary,
     key: str = "term",
     value: str | Column = "value",
     value_type: str = "string",
-    max_entries: int = MAX_INLINE_ENTRIES,
-) -> InlineDictionary | TableDictionary:
-    """Pick the form that fits: inline up to ``max_entries``, joined beyond.
-
-    Both give the same results. The size is checked by fetching at most one row
-    more than the bound; ``max_entries=0`` asks for the joined form.
-    When a key occurs twice in a table the greatest value counts.
+    form: str = "auto",
+) -> Dictionary:
+    """A dictionary in one of its ``FORMS``; all give the same results.
+
+    ``auto`` is inline for up to 20,000 entries and 4 MB, found out by fetching
+    one row more than that at most, and broadcast beyond. A dictionary over the
+    bound of its form is refused. When a key occurs twice in a table the
+    greatest value counts.
     """
-    if isinstance(source, (InlineDictionary, TableDictionary)):
+    if form not in FORMS:
+        raise ValueError(f"form is one of {FORMS}, not {form!r}")
+    if isinstance(source, Dictionary):
         return source
     if isinstance(source, Mapping):
-        if max_entries and InlineDictionary.fits(source):
+        if form == "inline" or form == "auto" and InlineDictionary.fits(source):
             return InlineDictionary(source, value_type)
-        return TableDictionary(mapping_table(source, value_type), "term", F.col("value"), value_type)
+        source, key, value = mapping_table(source, value_type), "term", "value"
     value_col = F.col(value) if isinstance(value, str) else value
     wanted = source.select(F.col(key).alias("term"), value_col.cast(value_type).alias("value")).where(
         F.col("term").isNotNull()
     )
-    probe = (
-        wanted.groupBy("term")
-        .agg(F.max("value").alias("value"))
-        .select("term", F.to_json(F.struct("value")).alias("json"))
-        .limit(max_entries + 1)
-        .collect()
-    )
-    size = sum(len(r["term"]) + len(r["json"]) for r in probe)
-    if len(probe) > min(max_entries, MAX_INLINE_ENTRIES) or size > MAX_INLINE_BYTES // 2:
-        return TableDictionary(wanted, "term", F.col("value"), value_type)
-    return InlineDictionary({r["term"]: json.loads(r["json"]).get("value") for r in probe}, value_type)
+    if form in ("auto", "inline"):
+        probe = (
+            wanted.groupBy("term")
+            .agg(F.max("value").alias("value"))
+            .select("term", F.to_json(F.struct("value")).alias("json"))
+            .limit(MAX_INLINE_ENTRIES + 1)
+            .collect()
+        )
+        entries = {r["term"]: json.loads(r["json"]).get("value") for r in probe}
+        if form == "inline" or InlineDictionary.fits(entries):
+            return InlineDictionary(entries, value_type)
+    kind = TableDictionary if form == "joined" else BroadcastDictionary
+    return kind(wanted, "term", F.col("value"), value_type)

@@ -6,13 +6,14 @@ stemming (off by default), synonyms.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.dictionary import InlineDictionary, TableDictionary, dictionary
+from ..functions.dictionary import Dictionary, dictionary
 from ..functions.languages import ANALYZER_OF_CODE, stop_words
+from ..functions.phrases import Phrases, synonym_rules
 from ..functions.stemming import STEMMERS, stemmed
 from .stages import Stage
 
@@ -33,7 +34,11 @@ class Analyzer:
         language, and rows of an unknown language keep all their words.
     stop, stem: switch stop-word removal and stemming.
     extra_stop: more words to remove, in any language.
-    synonyms: ``{term: canonical}`` or a table ``(term, canonical)``.
+    synonyms: ``{term: canonical}`` or a table ``(term, canonical)``, one word to
+        one word; or a list of rules, whose phrases may have any number of
+        words (:func:`~corpusloom.functions.phrases.synonym_rules`), or
+        :class:`~corpusloom.functions.phrases.Phrases`. From left to right the
+        longest phrase is replaced. Rules see the terms the steps before leave.
     stemmer: a Python function that stems, or ``{language: function}``, where
         the built-in one (English) is not meant. With ``lang_col`` every row is
         stemmed by its own language; a row whose language has no stemmer keeps
@@ -47,16 +52,17 @@ class Analyzer:
         stop: bool = True,
         stem: bool = False,
         extra_stop: tuple[str, ...] = (),
-        synonyms: Mapping[str, str] | DataFrame | InlineDictionary | TableDictionary | None = None,
+        synonyms: Mapping[str, str] | DataFrame | Dictionary | Sequence[str] | Phrases | None = None,
         stemmer: Callable[[str], str] | Mapping[str, Callable[[str], str]] | None = None,
     ):
         self.lang = lang
         self.lang_col = lang_col
         self.stop = stop
         self.extra_stop = list(extra_stop)
-        self.synonyms = (
-            None if synonyms is None else dictionary(synonyms, key="term", value="canonical", value_type="string")
-        )
+        if isinstance(synonyms, (list, tuple)):
+            synonyms = Phrases(synonym_rules(synonyms))
+        known = synonyms is None or isinstance(synonyms, Phrases)
+        self.synonyms = synonyms if known else dictionary(synonyms, key="term", value="canonical", value_type="string")
         # Of the one language, or by language where rows have their own.
         self.stemmer: Callable[[str], str] | None = None
         self.stemmers: dict[str, Callable[[str], str]] = {}
@@ -96,14 +102,16 @@ class Analyzer:
             if analyzer in self.stemmers:
                 own = F.when(F.upper(F.col(self.lang_col)) == code, F.col(out_col))
                 df = df.withColumn(out_col, F.coalesce(stemmed(own, self.stemmers[analyzer]), F.col(out_col)))
-        if self.synonyms is not None:
+        if isinstance(self.synonyms, Phrases):
+            df = df.withColumn(out_col, self.synonyms.replaced(F.col(out_col)))
+        elif self.synonyms is not None:
             df, canonical, helpers = self.synonyms.bind(df, F.col(out_col), id_col)
             mapped = F.transform(F.col(out_col), lambda t: F.coalesce(canonical(t), t))
             df = df.withColumn(out_col, mapped).drop(*helpers)
         return df
 
     def query_terms(self, query: str) -> list[str]:
-        """Analyze a short query text the way documents are (synonyms must be inline)."""
+        """Analyze a short query text the way documents are ."""
         from pyspark.sql import SparkSession
 
         spark = SparkSession.getActiveSession()

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.dictionary import MAX_INLINE_ENTRIES, InlineDictionary, dictionary
+from ..functions.dictionary import BroadcastDictionary, InlineDictionary, dictionary
+from ..functions.phrases import Phrases
 
 TOKEN = "struct<i:int,sent:int,text:string,lemma:string,pos:string,dep:string>"
 ENTITY = "struct<text:string,label:string,start:int,end:int>"
@@ -92,8 +93,10 @@ class DictionaryAnnotator(Annotator):
         longest phrase is taken, and entities do not overlap. Phrases may have
         any number of words.
     patterns: ``{label: Java regex}`` for entities of a single token.
-    max_entries: dictionaries up to this size travel in the plan, larger ones
-        are joined; results are the same.
+    form: how the dictionaries reach the rows, see
+        :func:`~corpusloom.functions.dictionary.dictionary`; results are the
+        same. Broadcast phrases are found by an automaton over words
+        (:mod:`~corpusloom.functions.phrases`): many and long ones cost no more.
     """
 
     def __init__(
@@ -101,22 +104,19 @@ class DictionaryAnnotator(Annotator):
         words: Mapping[str, Mapping[str, str]] | DataFrame | None = None,
         phrases: Mapping[str, str] | DataFrame | None = None,
         patterns: Mapping[str, str] | None = None,
-        max_entries: int = MAX_INLINE_ENTRIES,
+        form: str = "auto",
     ):
         entry = F.struct("lemma", "pos", "dep")
         self.words = self.phrases = None
         if words is not None:
-            self.words = dictionary(words, value=entry, value_type=WORD_ENTRY, max_entries=max_entries)
+            self.words = dictionary(words, value=entry, value_type=WORD_ENTRY, form=form)
         if phrases is not None:
-            self.phrases = dictionary(phrases, key="phrase", value="label", max_entries=max_entries)
+            self.phrases = dictionary(phrases, key="phrase", value="label", form=form)
         self.patterns = dict(patterns or {})
+        if isinstance(self.phrases, BroadcastDictionary):
+            self.phrases = Phrases(phrases, key="phrase", value="label")
         # In words, the longest phrase there is.
-        self.max_phrase = 0
-        if isinstance(self.phrases, InlineDictionary):
-            self.max_phrase = max((len(p.split(" ")) for p in self.phrases.keys()), default=0)
-        elif self.phrases is not None:
-            longest = self.phrases.table.agg(F.max(F.size(F.split("term", " ")))).first()[0]
-            self.max_phrase = longest or 0
+        self.max_phrase = self.phrases.longest_key() if self.phrases is not None else 0
 
     def add_parts(self, df, text, parts, id_col=None):
         nested, low, entries, cand = (f"{parts.texts}_{x}" for x in ("nested", "low", "entries", "candidates"))
@@ -153,6 +153,8 @@ class DictionaryAnnotator(Annotator):
 
     def _with_candidates(self, df, texts, low, cand, id_col):
         """The longest phrase starting at each token, as a possible entity."""
+        if isinstance(self.phrases, Phrases):
+            return self._with_matches(df, texts, low, cand)
         helpers = [cand]
         sizes = range(self.max_phrase, 0, -1) if self.phrases is not None else []
         phrase = lambda i, n: F.array_join(F.slice(F.col(low), i + 1, F.lit(n)), " ")
@@ -160,7 +162,7 @@ class DictionaryAnnotator(Annotator):
         starts = F.when(F.size(low) > 0, start).otherwise(F.array().cast("array<int>"))
         label = None
         if isinstance(self.phrases, InlineDictionary):
-            first = sorted({p.split(" ")[0] for p in self.phrases.keys()})
+            first = sorted({p.split(" ")[0] for p in self.phrases.entries})
             opens = lambda i: F.get(F.col(low), i).isin(first)
             label = self.phrases.get
         elif self.phrases is not None:
@@ -170,14 +172,13 @@ class DictionaryAnnotator(Annotator):
             opens = lambda i: F.array_contains(heads, F.get(F.col(low), i))
 
         def entity(i: Column) -> Column:
-            found = F
-            for n in sizes:
-                hit = (i + n <= F.size(low)) & label(phrase(i, n)).isNotNull()
-                hit = opens(i) & hit if n == self.max_phrase else hit
-                found = found.when(hit, _entity(texts, i, n, label(phrase(i, n))))
-            for name, pattern in self.patterns.items():
-                found = found.when(F.get(F.col(texts), i).rlike(pattern), _entity(texts, i, 1, F.lit(name)))
-            return found.otherwise(F.lit(None).cast(ENTITY))
+            def labelled(n: int) -> Column:
+                here = F.when(i + n <= F.size(low), label(phrase(i, n)))
+                return _let(here, lambda x: F.when(x.isNotNull(), _entity(texts, i, n, x)))
+
+            longest = [labelled(n) for n in sizes]
+            found = F.when(opens(i), F.coalesce(*longest)) if longest else F.lit(None).cast(ENTITY)
+            return F.coalesce(found, self._by_pattern(texts, i)) if self.patterns else found
 
         if label is not None and not self.patterns:
             starts = F.filter(starts, opens)
@@ -185,6 +186,29 @@ class DictionaryAnnotator(Annotator):
         found = F.when(F.size(texts) > 0, F.filter(F.transform(starts, entity), lambda e: e.isNotNull()))
         return df.withColumn(cand, F.coalesce(found, F.array().cast(f"array<{ENTITY}>"))), helpers
 
+    def _with_matches(self, df, texts, low, cand):
+        """The same by the automaton; tokens where no phrase begins are left to the patterns."""
+        found = f"{cand}_found"
+        df = df.withColumn(found, self.phrases.matches(F.col(low), overlapping=True))
+        taken = F.transform(F.col(found), lambda m: _entity(texts, m["start"], m["n"], m["value"]))
+        if self.patterns:
+            starts = F.transform(F.col(found), lambda m: m["start"])
+            others = F.transform(F.col(texts), lambda t, i: F.when(~F.array_contains(starts, i), self._by_pattern(texts, i)))
+            both = F.concat(taken, F.filter(others, lambda e: e.isNotNull()))
+            taken = F.array_sort(both, lambda a, b: a["start"] - b["start"])
+        return df.withColumn(cand, taken), [cand, found]
+
+    def _by_pattern(self, texts: str, i: Column) -> Column:
+        found = F
+        for name, pattern in self.patterns.items():
+            found = found.when(F.get(F.col(texts), i).rlike(pattern), _entity(texts, i, 1, F.lit(name)))
+        return found.otherwise(F.lit(None).cast(ENTITY))
+
+
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` makes of a value that is computed once."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
 
 def _grams(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words. Arrays meet in zip_with, so no lambda refers to a column (see add_parts)."""
@@ -205,9 +229,9 @@ def _shape(word: Column) -> Column:
     )
 
 
-def _entity(texts: str, i: Column, n: int, label: Column) -> Column:
+def _entity(texts: str, i: Column, n: int | Column, label: Column) -> Column:
     return F.struct(
-        F.array_join(F.slice(F.col(texts), i + 1, F.lit(n)), " ").alias("text"),
+        F.array_join(F.slice(F.col(texts), i + 1, F.lit(n) if isinstance(n, int) else n), " ").alias("text"),
         label.cast("string").alias("label"),
         i.alias("start"),
         (i + n).alias("end"),

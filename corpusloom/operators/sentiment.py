@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.dictionary import InlineDictionary, TableDictionary, dictionary
+from ..functions.dictionary import Dictionary, InlineDictionary, dictionary
 from .stages import Stage, as_list
 
 # Fixed values of the paper.
@@ -58,8 +58,8 @@ class LexiconSentiment(Stage):
 
     Parameters
     ----------
-    lexicon: ``{word: valence}`` or a table ``(term, valence)`` of any size; a
-        large one is joined by term and then needs ``id_col``.
+    lexicon: ``{word: valence}``, a table ``(term, valence)``, or a dictionary
+        in the form one wants (:func:`~corpusloom.functions.dictionary.dictionary`).
     boosters, negations: the modifiers, ``{word: weight}`` and a word list.
     shares: also add ``{out_col}_pos``, ``_neu`` and ``_neg``, the shares of
         positive, neutral and negative weight.
@@ -77,7 +77,7 @@ class LexiconSentiment(Stage):
         self,
         col: str,
         out_col: str = "sentiment",
-        lexicon: Mapping[str, float] | DataFrame | InlineDictionary | TableDictionary | None = None,
+        lexicon: Mapping[str, float] | DataFrame | Dictionary | None = None,
         boosters: Mapping[str, float] | None = None,
         negations: list[str] | None = None,
         shares: bool = False,

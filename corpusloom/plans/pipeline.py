@@ -12,6 +12,7 @@ from ..operators.vectors import vector_dims
 from ..roles import Roles
 from ..session import shared_folder
 from ..sources.index import Index, prepared
+from ..sources.tables import dealt
 from . import panels as pn
 
 
@@ -101,16 +102,20 @@ class Pipeline:
         write: bool = False,
         if_index_exists: str | None = "error",
         return_processed: bool = True,
+        partitions: int | None = None,
     ) -> DataFrame | None:
         """Run all stages; with ``write`` also store the rows in the index.
 
+        With ``partitions`` the rows are dealt over so many tasks before the
+        first stage, which a table of few large pieces may need.
+
         Writing is one job. Row count and column ranges are observed while the
         rows pass by and kept beside them, so the dashboard needs no further
         look at them, after an append either; where rows were replaced, ranges
         are found when they are needed.
         With ``if_index_exists="upsert"`` rows replace those of the same id.
         """
-        enriched = self.transform(df)
+        enriched = self.transform(dealt(df, partitions))
         if write:
             index = self.index(df.sparkSession)
             if (if_index_exists or "").lower() != "upsert":

@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_texts(spark: SparkSession, path: str, format: str | None = None, schema=None, **options) -> DataFrame:
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """The rows dealt evenly over so many tasks; as they come with None.
+
+    For tables of few large pieces: a file of one row group is one task,
+    however many cores there are. It shuffles whole rows, so the caller says
+    whether it is worth that; nothing in the library does it by itself.
+    """
+    if partitions is not None and partitions < 1:
+        raise ValueError("rows are dealt over one task at least")
+    return df if partitions is None else df.repartition(partitions)
+
+
+def read_texts(
+    spark: SparkSession, path: str, format: str | None = None, schema=None, partitions: int | None = None, **options
+) -> DataFrame:
     """A table of texts from files (format by suffix, Parquet by default) or the catalog.
 
     ``path`` without a slash and without a known suffix is a catalog table.
+    With ``partitions`` its rows are dealt over so many tasks (:func:`dealt`).
     """
+    return dealt(_read(spark, path, format, schema, options), partitions)
+
+
+def _read(spark: SparkSession, path: str, format: str | None, schema, options: dict) -> DataFrame:
     if format is None:
         suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
         known = {"json": "json", "jsonl": "json", "csv": "csv", "orc": "orc", "parquet": "parquet", "txt": "text"}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpusloom as cl
 from conftest import rows_by_id
 from corpusloom.functions import arrays, nulls, stemming, text as tx
-from corpusloom.functions.dictionary import MAX_INLINE_ENTRIES, InlineDictionary, TableDictionary, dictionary
+from corpusloom.functions.dictionary import MAX_INLINE_ENTRIES, BroadcastDictionary, InlineDictionary, TableDictionary, dictionary
 from corpusloom.functions.languages import LANGUAGES, stop_words
 from corpusloom.sources.index import documents
 
@@ -109,35 +109,96 @@ def test_inline_dictionary_is_folded_into_the_plan(spark):
     assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_dictionary_form_follows_size(spark):
+def test_dictionary_forms(spark):
     small = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0)], "term string, value double")
     d = dictionary(small, value_type="double")
     assert isinstance(d, InlineDictionary) and d.entries == {"a": 2.0}
-    large = spark.range(MAX_INLINE_ENTRIES + 1).select(F.concat(F.lit("w"), "id").alias("term"), F.col("id").alias("value"))
-    assert isinstance(dictionary(large, value_type="long"), TableDictionary)
+    large = spark.range(MAX_INLINE_ENTRIES + 1).select(F.concat(F.lit("w x"), "id").alias("term"), F.col("id").alias("value"))
+    d = dictionary(large, value_type="long")
+    assert isinstance(d, BroadcastDictionary) and d.longest_key() == 2
+    # The joined form is taken when it is asked for only.
+    assert isinstance(dictionary(large, value_type="long", form="joined"), TableDictionary)
+    assert isinstance(dictionary({"a": 1}, value_type="long", form="broadcast"), BroadcastDictionary)
+    with pytest.raises(ValueError, match="joined"):
+        BroadcastDictionary(large, "term", F.col("value"), "long", max_bytes=1000)
+    for bad in (dict(form="table"), dict(form="inline")):
+        with pytest.raises(ValueError):
+            dictionary(large, value_type="long", **bad)
     with pytest.raises(ValueError):
         InlineDictionary({str(i): 1 for i in range(MAX_INLINE_ENTRIES + 1)}, "int")
 
 
-def test_table_dictionary_gives_what_the_inline_one_gives(spark):
+def test_all_forms_of_a_dictionary_give_the_same(spark):
     entries = {"the": 1.0, "of": 2.0, "zoo": 3.0}
-    table = spark.createDataFrame(list(entries.items()), "term string, value double")
-    df = spark.createDataFrame([(i, ["the"] * 3 + ["of", f"w{i}"]) for i in range(50)] + [(99, [])], "id long, t array<string>")
+    df = spark.createDataFrame([(i, ["the"] * 3 + ["of", f"w{i}", None]) for i in range(50)] + [(99, [])], "id long, t array<string>")
     want = None
-    for d in (InlineDictionary(entries, "double"), TableDictionary(table, "term", F.col("value"), "double")):
+    for form in ("inline", "broadcast", "joined"):
+        d = dictionary(entries, value_type="double", form=form)
         bound, get, helpers = d.bind(df, F.col("t"))
         got = rows_by_id(bound.withColumn("v", F.transform("t", get)).drop(*helpers), "v")
         assert want is None or got == want
         want = got
-    assert want[3] == [1.0, 1.0, 1.0, 2.0, None] and want[99] == []
+    assert want[3] == [1.0, 1.0, 1.0, 2.0, None, None] and want[99] == []
     # Neither null nor repeated ids matter, and a mapping of any size is taken.
     odd = spark.createDataFrame([(None, ["of"]), (None, ["zoo"]), (1, ["the"]), (1, ["of", "of"]), (2, None)], "id long, t array<string>")
     big = {**entries, **{f"x{i}": float(i) for i in range(MAX_INLINE_ENTRIES)}}
-    d = dictionary(big, value_type="double")
-    assert isinstance(d, TableDictionary)
-    bound, get, helpers = d.bind(odd, F.col("t"))
-    rows = bound.withColumn("v", F.transform("t", get)).drop(*helpers).collect()
-    assert sorted((r["v"] for r in rows), key=repr) == sorted([[2.0], [3.0], [1.0], [2.0, 2.0], None], key=repr)
+    for form in ("broadcast", "joined"):
+        bound, get, helpers = dictionary(big, value_type="double", form=form).bind(odd, F.col("t"))
+        rows = bound.withColumn("v", F.transform("t", get)).drop(*helpers).collect()
+        assert sorted((r["v"] for r in rows), key=repr) == sorted([[2.0], [3.0], [1.0], [2.0, 2.0], None], key=repr)
+
+
+def test_broadcast_dictionary_is_a_projection(spark):
+    df = spark.createDataFrame([(1, ["a"])], "id int, t array<string>")
+    bound, get, helpers = dictionary({"a": {"x": 1, "y": "z"}}, value_type="struct<x:int,y:string>", form="broadcast").bind(df, F.col("t"))
+    out = bound.select(get(F.lit("a"))["y"].alias("y"), get(F.lit("b"))["y"].alias("n"))
+    assert tuple(out.first()) == ("z", None) and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+# --- phrases
+
+
+def plain_matches(words, phrases, overlapping):
+    out, i = [], 0
+    while i < len(words):
+        hits = [p for p in phrases if words[i : i + len(p.split())] == p.split()]
+        if hits:
+            best = max(hits, key=lambda p: len(p.split()))
+            out.append((i, len(best.split()), phrases[best]))
+        i += 1 if overlapping or not hits else len(best.split())
+    return out
+
+
+def test_phrases_equal_brute_force(spark):
+    import random
+
+    random.seed(2)
+    phrases = {" ".join(random.choice("abc") for _ in range(random.randrange(1, 11))): f"v{k}" for k in range(40)}
+    rows = [(i, [random.choice("abcd") for _ in range(random.randrange(0, 60))]) for i in range(300)] + [(900, None), (901, ["a", None, "b"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>").repartition(3)
+    found = cl.Phrases(phrases)
+    assert found.longest_key() == max(len(p.split()) for p in phrases)
+    out = df.select("*", found.matches(F.col("w")).alias("m"), found.matches(F.col("w"), overlapping=True).alias("o")).collect()
+    for r in out:
+        words = r["w"] or []
+        assert [tuple(x) for x in r["m"]] == plain_matches(words, phrases, False)
+        assert [tuple(x) for x in r["o"]] == plain_matches(words, phrases, True)
+    assert cl.Phrases({}).matches(F.col("w")) is not None
+    assert df.select(cl.Phrases({}).matches(F.col("w")).alias("m")).where("size(m) > 0").count() == 0
+
+
+def test_synonym_rules(spark):
+    rules = ["# remark", "", "Big  Apple, new york city => NYC", "usa, united states, u\\,s", "a => b c, d", "x => y"]
+    assert cl.synonym_rules(rules) == {
+        "big apple": "nyc", "new york city": "nyc", "united states": "usa", "u,s": "usa", "a": "b c d", "x": "y",
+    }
+    for bad in ("=> x", "x =>", "a => b => c"):
+        with pytest.raises(ValueError):
+            cl.synonym_rules([bad])
+    df = spark.createDataFrame([(1, "The new York City of the United States, x a"), (2, None), (3, "york city")], "id int, t string")
+    out = rows_by_id(cl.AnalyzeText("t", "s", cl.Analyzer(synonyms=rules, stop=False)).transform(df), "s")
+    assert out == {1: ["the", "nyc", "of", "the", "usa", "y", "b", "c", "d"], 2: [], 3: ["york", "city"]}
+    assert cl.Analyzer(synonyms=rules).query_terms("Big apple") == ["nyc"]
 
 
 def test_languages(spark):

@@ -204,6 +204,11 @@ def test_reading(spark, tmp_path, news):
     assert cl.read_texts(spark, str(tmp_path / "n.json"), schema=news.schema).count() == 21
     assert cl.read_texts(spark, "news_view").count() == 21
     assert [r["id"] for r in cl.head(news, 2, "id").collect()] == [0, 1]
+    assert cl.read_texts(spark, "news_view", partitions=7).rdd.getNumPartitions() == 7
+    with pytest.raises(ValueError):
+        cl.read_texts(spark, "news_view", partitions=0)
+    p = cl.Pipeline("n", ["message"])
+    assert p.process(news.coalesce(1), partitions=3).rdd.getNumPartitions() == 3
     merged = cl.union_by_name(news.select("id"), news.select(F.col("id").alias("other")))
     assert merged.columns == ["id", "other"] and merged.count() == 42
 
@@ -223,6 +228,24 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path, news):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_large_lexicons_and_phrases_stream(spark, tmp_path, news):
+    """100,000 entries, appended to an index folder as the batch has them; nothing is regrouped."""
+    news.repartition(3).write.parquet(str(tmp_path / "in"))
+    words = spark.range(100_000).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(1.0).alias("valence"))
+    words = words.union(spark.createDataFrame([("message", -2.0)], words.schema))
+    p = cl.Pipeline("n", text_cols=["message"], id_col="id", root=str(tmp_path))
+    p += cl.LexiconSentiment("message", "s", words)
+    phrases = {**{f"p{i} q": "X" for i in range(30_000)}, "is good": "OK", "bad x": "BAD"}
+    p += cl.LinguisticEnrichment(cl.DictionaryAnnotator(phrases=phrases, patterns={"N": "^[0-9]+$"}), "message", tags=["ents"])
+    stream = streams.stream_table(spark, str(tmp_path / "in"), maxFilesPerTrigger=1)
+    streams.enrich_stream(p, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = p.transform(news).drop(*p.roles.transient)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {tuple(r["message_ents"] or ()) for r in got.where("id = 7").collect()} == {("7", "is good")}
+    assert got.where("s < 0").count() == 10
+
+
 def test_live_counts_over_several_batches(spark, tmp_path):
     rows = [(f"2024-01-01 0{h}:30:00", k) for h in range(6) for k in ("a", "b", "a")]
     df = spark.createDataFrame(rows, "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
