@@ -341,10 +341,60 @@ def _in_time(df: DataFrame, roles: Roles, spans, time_from, time_to):
 
 
 def _keyed(panel: str):
-    return lambda v: F.struct(F.lit(panel), v.cast("string"), F.lit(None).cast("long"))
+    return lambda v: F.struct(F.lit(panel), v.cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double"))
 
 
-ENTRY = "array<struct<panel:string,key:string,bucket:bigint>>"
+ENTRY = "array<struct<panel:string,key:string,bucket:bigint,raw:double>>"
+
+
+def _date_step_of(first: Column, last: Column, no_zone: bool) -> Column:
+    """:func:`date_step` as an expression of the first and the last second: a place in ``DATE_STEPS``."""
+    choice = F
+    for k, (seconds, name) in enumerate(DATE_STEPS):
+        if seconds:
+            steps = F.floor(last / seconds) - F.floor(first / seconds) + 1
+        elif name == "month":
+            a, b = (instant_of(x, no_zone) for x in (first, last))
+            steps = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a) + 1
+        else:
+            steps = F.lit(0)
+        choice = choice.when(steps <= BINS, k)
+    return choice
+
+
+def _in_date_step(seconds: Column, step: Column, no_zone: bool) -> Column:
+    """The second in which the step begins that holds a second."""
+    instant, out = instant_of(seconds, no_zone), F
+    for k, (size, name) in enumerate(DATE_STEPS):
+        start = seconds - F.pmod(seconds, F.lit(size)) if size else seconds_of(date_bucket(instant, name, no_zone), no_zone)
+        out = out.when(step == k, start)
+    return out
+
+
+def _folded(counts: DataFrame, numbers: list[str], dates: dict[str, bool]) -> DataFrame:
+    """Counts by single value, of panels whose range is not known, as counts by bucket; with ``width``.
+
+    The ranges come from the counts themselves. All rows pass through both
+    branches and ``n`` is used in both, so the plan below them is the same and
+    runs once: its exchange is read twice.
+    """
+    of = lambda names, c: F.when(F.col("panel").isin(list(names)), F.col(c))
+    ends = counts.groupBy(F.col("panel").alias("p")).agg(
+        F.min(of(numbers, "raw")).alias("lo"), F.max(of(numbers, "raw")).alias("hi"),
+        F.min(of(dates, "bucket")).alias("first"), F.max(of(dates, "bucket")).alias("last"), F.sum("n").alias("rows"),
+    )
+    lo, hi, first, last = (F.col(c) for c in ("lo", "hi", "first", "last"))
+    width = F.when(lo.isNotNull(), F.when(hi > lo, (hi - lo) / BINS).otherwise(DEFAULT_INTERVAL))
+    step = F.lit(None).cast("int")
+    for name, no_zone in dates.items():
+        step = F.when(F.col("p") == name, _date_step_of(first, last, no_zone)).otherwise(step)
+    # As many rows as panels.
+    ends = F.broadcast(ends.where("rows > 0").select("p", width.alias("width"), step.alias("step")))
+    bucket = F.when(F.col("raw").isNotNull(), F.floor(F.col("raw") / F.col("width"))).otherwise(F.col("bucket"))
+    for name, no_zone in dates.items():
+        bucket = F.when(F.col("panel") == name, _in_date_step(F.col("bucket"), F.col("step"), no_zone)).otherwise(bucket)
+    placed = counts.join(ends, F.col("panel") == F.col("p")).select("panel", "key", bucket.alias("bucket"), "width", "n")
+    return placed.groupBy("panel", "key", "bucket", "width").agg(F.sum("n").alias("n"))
 
 
 def dashboard_table(
@@ -356,7 +406,11 @@ def dashboard_table(
     time_from=None,
     time_to=None,
 ) -> DataFrame:
-    """All count panels from a single scan and a single shuffle of counts.
+    """All count panels from a single scan, lazily; only counts are shuffled.
+
+    A histogram whose step depends on a range that ``spans`` does not have is
+    counted by single value first; the range and the buckets come from these
+    counts, not from another look at the rows.
 
     Columns ``panel``, ``key`` (bars and clouds), ``value`` (start of a number
     bucket), ``ts`` (start of a time bucket) and ``n``. Panels with another
@@ -367,7 +421,9 @@ def dashboard_table(
     other = [name for name, p in panels.items() if p.metric != "count"]
     if other:
         raise ValueError(f"only counts fit in one table; use dashboard() for {other}")
-    spans = _known_spans(df, panels, spans)
+    spans = dict(spans or {})
+    open_fields = {c for c in _ranged(panels) if c not in spans}
+    open_numbers, open_dates = [], {}
     analyzer = analyzer or Analyzer(roles.lang)
     entries, steps, clocks, sizes, zones = [], {}, [], {}, set()
     fields = [p.field for p in panels.values()]
@@ -386,23 +442,36 @@ def dashboard_table(
             present = F.filter(F.array_distinct(values), lambda v: v.isNotNull())
             entry = F.transform(present, _keyed(name))
         else:
+            by_range = p.field in open_fields and p.interval in (None, "auto")
+            bucket, raw = none("long"), none("double")
             if isinstance(p, DateHistogram):
-                step = date_step(*spans[p.field]) if p.interval == "auto" else p.interval
                 clocks.append(name)
                 no_zone = without_zone(df, p.field)
-                bucket = seconds_of(date_bucket(col, step, no_zone), no_zone)
                 zones.add(no_zone)
+                if by_range:
+                    open_dates[name] = no_zone
+                    bucket = seconds_of(col, no_zone)
+                else:
+                    step = date_step(*spans[p.field]) if p.interval == "auto" else p.interval
+                    bucket = seconds_of(date_bucket(col, step, no_zone), no_zone)
+            elif by_range:
+                open_numbers.append(name)
+                raw = finite(col.cast("double"))
             else:
                 steps[name] = float(p.interval or histogram_interval(*spans[p.field]))
                 bucket = F.floor(finite(col.cast("double")) / F.lit(steps[name]))
-            one = F.array(F.struct(F.lit(name), none("string"), bucket.cast("long")))
-            entry = F.when(bucket.isNotNull(), one)
+            one = F.array(F.struct(F.lit(name), none("string"), bucket.cast("long"), raw))
+            entry = F.when(F.coalesce(bucket.cast("double"), raw).isNotNull(), one)
         entries.append(F.coalesce(entry.cast(ENTRY), F.array().cast(ENTRY)))
     counts = (
         df.select(F.explode(F.concat(*entries)).alias("e"))
-        .groupBy("e.panel", "e.key", "e.bucket")
+        .groupBy("e.panel", "e.key", "e.bucket", "e.raw")
         .agg(F.count("*").alias("n"))
     )
+    if open_numbers or open_dates:
+        counts = _folded(counts, open_numbers, open_dates)
+    else:
+        counts = counts.drop("raw").withColumn("width", F.lit(None).cast("double"))
     # A bar panel's keys compete with each other; each histogram bucket stands alone.
     # They do so in parts first, whatever the size of the panel.
     order = [F.desc("n"), "key"]
@@ -411,7 +480,7 @@ def dashboard_table(
     first = F.row_number().over(Window.partitionBy("panel", "bucket", "part").orderBy(*order))
     counts = counts.withColumn("rank", first).where(F.col("rank") <= largest)
     rank = F.row_number().over(Window.partitionBy("panel", "bucket").orderBy(*order))
-    limit, width = F.lit(1), F.lit(None).cast("double")
+    limit, width = F.lit(1), F.col("width")
     for name, size in sizes.items():
         limit = F.when(F.col("panel") == name, size).otherwise(limit)
     for name, step in steps.items():

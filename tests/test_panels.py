@@ -106,6 +106,36 @@ def test_one_pass_plan_has_one_scan(rows, spark, tmp_path):
     assert "ts" not in plan.split("ReadSchema")[1]
 
 
+def looked_at(spark, df, make):
+    """What ``make`` makes of a table, and how many rows of the table went by for it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def passed(i):
+        seen.add(1)
+        return i
+
+    out = make(df.withColumn("id", passed.asNondeterministic()("id"))).collect()
+    return out, seen.value
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("days", [0.0001, 0.3, 5, 80, 900, 9000])
+def test_unknown_ranges_cost_no_second_look(spark, kind, days):
+    start = datetime(2020, 2, 3, 4, 5, 6)
+    data = [(i, start + timedelta(days=days * i / 57, microseconds=i), i**2 / 7 - 30, i if i % 3 else None, "u" if i % 5 else None) for i in range(58)]
+    data += [(99, None, float("nan"), None, None), (100, None, float("inf"), None, None)]
+    df = spark.createDataFrame(data, "id long, ts timestamp, x double, k int, t string").withColumn("ts", F.col("ts").cast(kind))
+    df = df.withColumn("same", F.lit(7)).withColumn("none", F.lit(None).cast("double")).repartition(3)
+    roles = cl.Roles(tag=["t"], num=["x", "k", "same", "none", "id"], date="ts")
+    spans = pn.ranges(df, ["x", "k", "same", "none", "id", "ts"])
+    known, _ = looked_at(spark, df, lambda d: pn.dashboard_table(d, roles, spans))
+    found, n = looked_at(spark, df, lambda d: pn.dashboard_table(d, roles))
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, known), key=repr) and len(found) > 100
+    assert n == 60
+    assert pn.dashboard_table(df.where("false"), roles).count() == 0
+
+
 def test_searches(rows, spark):
     assert [r["id"] for r in search.match_terms(rows, "text", ["cat", "dog"], "and").collect()] == [2]
     assert sorted(r["id"] for r in search.match_terms(rows, "text", ["dog", "cat"]).collect()) == [1, 2, 5]
