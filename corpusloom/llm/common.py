@@ -8,14 +8,15 @@ one document, and each of them gets that document's result.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage, shared_folder
 
-__all__ = ["bitmap_of", "cut_lineage", "in_bitmap", "keyed", "text_hash", "unpacked", "without", "written"]
+__all__ = ["bitmap_of", "cut_lineage", "in_bitmap", "keyed", "small_batches", "text_hash", "unpacked", "without", "written"]
 
 
 def text_hash(text: Column | str) -> Column:
@@ -36,10 +37,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: they survive lost executors, and the planner knows their size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Plans made meanwhile send at most so many rows at a time to Python: a row is a whole document, and each batch is
+    held in the JVM and in the worker at once. A smaller setting of the session stays."""
+    given = spark.conf.get(_BATCH_ROWS)
+    try:
+        if not 0 < int(given) <= rows:
+            spark.conf.set(_BATCH_ROWS, str(rows))
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, given)
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are not among the documents (``id, th``) of ``dropped``.
 

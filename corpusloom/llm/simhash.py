@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut_lineage, in_bitmap, keyed, unpacked, without, written
+from .common import bitmap_of, cut_lineage, in_bitmap, keyed, small_batches, unpacked, without, written
 from .components import components
 from .language_id import counted, merged
 from .words import blocks, in_blocks
@@ -128,6 +128,7 @@ def _components_of(prints: DataFrame, radius: int) -> DataFrame:
 # Documents whose shingles are counted, so that common ones come last in the order, and the most that are kept of those.
 # They only decide how many candidates there are: the pairs found are the same for any order.
 COUNTED_DOCUMENTS, COMMON, COMMON_LEAST = 1 << 14, 1 << 18, 3
+SIGNATURE = 1024  # bits that tell most sets that are not similar, up to some thousand shingles
 HELD_HASHES = 1 << 20  # distinct shingles that a task counts before it passes them on
 
 
@@ -145,6 +146,15 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _signature(hashes: np.ndarray) -> np.ndarray:
+    """Of each of ``SIGNATURE`` residues, whether an odd number of the hashes has it: as 64-bit words.
+
+    Two sets differ in at least as many shingles as their signatures do in bits.
+    """
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _class_of(words: list[bytes]) -> tuple[int, int]:
     """Two hashes of the words in order, as signed numbers."""
     from xxhash import xxh3_128_digest
@@ -180,7 +190,8 @@ def _common(docs: DataFrame, size: int):
             yield passed_on()
 
     counts = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    most = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    with small_batches(docs.sparkSession):
+        most = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     hashes, numbers = (most.column(c).to_numpy() for c in ("h", "n"))
     hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
@@ -201,17 +212,20 @@ def first_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], si
 
 
 def _described(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``id, th, c1, c2`` (hashes of the words in order), ``n`` (the number of shingles) and ``firsts``, of keyed documents."""
+    """``id, th, c1, c2`` (hashes of the words in order), ``n`` (the number of shingles), ``firsts`` and ``signature``, of
+    keyed documents."""
     common = _common(docs, size)
 
-    @F.arrow_udf("struct<c1:long,c2:long,n:int,firsts:array<long>>")
+    @F.arrow_udf("struct<c1:long,c2:long,n:int,firsts:array<long>,signature:array<long>>")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(words):
             hashes = _set_hashes(words, size)
             c1, c2 = _class_of(words)
-            return {"c1": c1, "c2": c2, "n": len(hashes), "firsts": first_shingles(hashes, common.value, similarity).view(np.int64)}
+            firsts = first_shingles(hashes, common.value, similarity).view(np.int64)
+            return {"c1": c1, "c2": c2, "n": len(hashes), "firsts": firsts, "signature": _signature(hashes)}
 
-        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("firsts", pa.list_(pa.int64()))])
+        lists = [(name, pa.list_(pa.int64())) for name in ("firsts", "signature")]
+        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), *lists])
         yield from in_blocks(batches, lambda texts: [one(_words(t)) for t in texts], kind)
 
     return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.*")
@@ -242,57 +256,72 @@ def _shared(classes: DataFrame) -> DataFrame:
     return written(each.join(written(buckets, "buckets"), "bucket"), "shared")
 
 
-def _stars(shared: DataFrame, similarity: float) -> DataFrame:
+def _may_be_similar(a: str, b: str, n_a: str, n_b: str, similarity: float):
+    """Whether two signatures leave room for a similarity. Always, where there is one."""
+    apart = sum(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SIGNATURE // 64))
+    return apart * F.lit(1 + similarity) <= F.lit(1 - similarity) * (F.col(n_a) + F.col(n_b)) + F.lit(1e-6)
+
+
+def _stars(shared: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a > b`` of each class in a bucket and the one whose shingles are the most usual: of edited copies of a
     text that is mostly the text itself. No link need be here; it only leaves less for ``_rest``."""
     usual = F.sum("members").over(Window.partitionBy("cid")) / F.col("n")
     centres = shared.withColumn("usual", usual).groupBy("bucket").agg(F.max(F.struct("usual", F.col("cid").alias("c"), F.col("n").alias("m"))).alias("centre"))
     met = shared.join(written(centres.select("bucket", "centre.c", "centre.m"), "centres"), "bucket").where("cid != c")
-    return met.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-6)).select(*_ordered("cid", "c")).distinct()
+    met = met.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-6)).select(*_ordered("cid", "c")).distinct()
+    for side in ("a", "b"):
+        of_side = signatures.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
+        met = met.join(of_side, side)
+    return met.where(_may_be_similar("s_a", "s_b", "n_a", "n_b", similarity)).select("a", "b")
 
 
-def _rest(shared: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+def _rest(shared: DataFrame, linked: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a > b`` of all classes that may be similar, but those that ``linked`` (``node, component``) connects already.
 
     In each bucket the classes of the largest component are met with those of
-    others, and these with each other: no pairs within a component are made.
+    others, and these with each other: no pairs within a component are made,
+    and none whose signatures or places of the shingle rule a similarity out.
     """
     of_node = linked.select(F.col("node").alias("cid"), "component")
     shared = written(shared.join(of_node, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed")
     parts = shared.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "component")).alias("top"))
     largest = written(largest.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "largest")
-    split = written(shared.join(largest, "bucket").drop("members"), "split")
-    x = split.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "place", "component")])
+    split = shared.join(largest, "bucket").drop("members")
+    split = written(split.join(signatures.select("cid", "signature"), "cid"), "split")
+    x = split.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n", "place", "component", "signature")])
     met = x.join(split, "bucket").where("component != component_x AND (component = main OR cid < cid_x)")
     # At the first shingle that a pair shares, what follows it must be enough for a similar pair.
     most = F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))
     enough = most * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_x") + F.col("n")) - F.lit(1e-6)
-    return met.where(enough).select(*_ordered("cid", "cid_x")).distinct()
+    alike = _may_be_similar("signature", "signature_x", "n", "n_x", similarity)
+    return met.where(enough).where(alike).select(*_ordered("cid", "cid_x")).distinct()
 
 
-def _sets(docs: DataFrame, cids: DataFrame, ambiguous: DataFrame, size: int) -> DataFrame:
-    """``cid, set``: the shingles of the classes in ``cids``, and of few others.
+def _sets(docs: DataFrame, described: DataFrame, pairs: DataFrame, ambiguous: DataFrame, size: int) -> DataFrame:
+    """``cid, set``: the shingles of the classes in ``pairs`` (``a, b``).
 
-    Texts stay in their tasks: a bitmap of fixed size tells nearly all
-    documents without a candidate, and of the others only hashes are shuffled,
-    one set for each class and task.
+    Texts stay in their tasks. Of each class one text hash is taken; a bitmap
+    of fixed size tells nearly all other documents unread, and only hashes of
+    shingles are shuffled.
     """
-    bitmap = bitmap_of(cids.union(ambiguous.select(F.col("c1").alias("cid"))), "cid")
+    cids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    chosen = described.join(written(cids, "wanted"), "cid", "left_semi").groupBy("cid").agg(F.min("th").alias("th"))
+    bitmap = bitmap_of(chosen, "th")
 
-    @F.arrow_udf("struct<c1:long,c2:long,set:array<int>>")
-    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        def work(texts):
-            words = [_words(t) for t in texts]
-            classes = [_class_of(w) for w in words]
-            maybe = in_bitmap(np.array([c[0] for c in classes], dtype=np.int64).view(np.uint64), bitmap.value)
-            # 32 bits of each hash: sets of less than a billion are told apart well enough.
-            low = lambda w: np.unique(_set_hashes(w, size).astype(np.uint32)).view(np.int32)
-            return [{"c1": c[0], "c2": c[1], "set": low(w)} if m else None for c, w, m in zip(classes, words, maybe)]
-
-        yield from in_blocks(batches, work, pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("set", pa.list_(pa.int32()))]))
-
-    sets = docs.select(shingles("text").alias("d")).where(F.col("d").isNotNull()).select("d.*")
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = in_bitmap(batch.column("th").to_numpy().view(np.uint64), bitmap.value)
+            texts = batch.column("text").filter(pa.array(wanted))
+            for first, stop in blocks(texts):
+                words = [_words(t) for t in texts.slice(first, stop - first).to_pylist()]
+                classes = [_class_of(w) for w in words]
+                # 32 bits of each hash: sets of less than a billion are told apart well enough.
+                sets = [np.unique(_set_hashes(w, size).astype(np.uint32)).view(np.int32) for w in words]
+                columns = [pa.array([c[k] for c in classes], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int32()))], names=["c1", "c2", "set"])
+
+    sets = docs.select("th", "text").mapInArrow(shingles, "c1 long, c2 long, set array<int>")
     one = sets.groupBy("c1", "c2").agg(F.any_value("set").alias("set"))
     return written(_named_classes(one, ambiguous).select("cid", "set"), "sets")
 
@@ -306,14 +335,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(met.where(enough).select("a", "b"), "similar")
 
 
-def _groups(docs: DataFrame, classes: DataFrame, ambiguous: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``node, component`` of the classes (``cid, n, firsts``) that are similar to another."""
-    shared = _shared(classes)
-    sets = _sets(docs, shared.select("cid").distinct(), ambiguous, size)
-    stars = written(_stars(shared, similarity), "stars")
-    near = _similar(stars, sets, similarity)
-    rest = written(_rest(shared, components(near), similarity).join(stars, ["a", "b"], "left_anti"), "rest")
-    return components(near.union(_similar(rest, sets, similarity)))
+def _groups(docs: DataFrame, described: DataFrame, classes: DataFrame, ambiguous: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``node, component`` of the classes (``cid, n, firsts, signature``) that are similar to another."""
+    shared, signatures = _shared(classes), classes.select("cid", "n", "signature")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, _sets(docs, described, pairs, ambiguous, size), similarity)
+
+    stars = written(_stars(shared, signatures, similarity), "stars")
+    near = similar(stars)
+    rest = written(_rest(shared, components(near), signatures, similarity).join(stars, ["a", "b"], "left_anti"), "rest")
+    return components(near.union(similar(rest)))
 
 
 def one_of_each(
@@ -337,9 +369,10 @@ def one_of_each(
     ambiguous = _ambiguous(described)
     described = _named_classes(described, ambiguous)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    classes = described.groupBy("cid").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"))
+    same = [F.any_value(c).alias(c) for c in ("n", "firsts", "signature")]
+    classes = described.groupBy("cid").agg(F.min(place).alias("first"), *same)
     classes = written(classes, "classes")
-    linked = _groups(base, classes.select("cid", "n", "firsts"), ambiguous, size, similarity)
+    linked = _groups(base, described.select("cid", "th"), classes, ambiguous, size, similarity)
     of_group = linked.join(classes.select(F.col("cid").alias("node"), "first"), "node")
     heads = of_group.groupBy("component").agg(F.min("first").alias("head"))
     of_class = of_group.select("node", "component").join(heads, "component").select(F.col("node").alias("cid"), "head")
