@@ -267,3 +267,64 @@ def stream_enrich(spark, sf):
     streams.enrich_stream(p, talk, folder + "/out", folder + "/checkpoint").awaitTermination()
     out = spark.read.parquet(folder + "/out")
     return out.select("conv_id", "turn", F.round("sentiment", 6).alias("sentiment"), F.array_join("names", "|").alias("names"))
+
+
+def _in_files(spark, folder: str, df, file):
+    """The rows in files of their own, to be taken one by one in the order of ``file``."""
+    numbers = sorted(r[0] for r in df.select(file.alias("f")).distinct().collect())
+    for n in numbers:
+        df.where(file == n).coalesce(1).write.mode("append").parquet(folder)
+    return streams.stream_table(spark, folder, maxFilesPerTrigger=1)
+
+
+# Events come in four files by time, but of one in seven the time is older by as many days as the number of its file.
+_FILES_SQL = """
+    WITH ends AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+    place AS (SELECT event_id, event_type, ts, 1 + 4 * (epoch_us(ts) - lo) // (hi - lo + 1) AS f FROM events, ends),
+    e AS (SELECT event_type, f, CASE WHEN event_id % 7 = 3 THEN ts - to_days(CAST(f AS INTEGER)) ELSE ts END AS ts FROM place)
+"""
+
+
+@query(
+    "stream_windows_close",
+    _FILES_SQL
+    + f""",
+    last AS (SELECT f, max(ts) AS last FROM e GROUP BY f),
+    mark AS (SELECT a.f, max(b.last) - INTERVAL 1 hour AS mark FROM last a LEFT JOIN last b ON b.f < a.f GROUP BY a.f),
+    w AS (
+      SELECT time_bucket(INTERVAL 2 hours, ts) AS key, event_type, coalesce(time_bucket(INTERVAL 2 hours, ts) + INTERVAL 2 hours <= mark, false) AS late
+      FROM e JOIN mark USING (f)
+    )
+    SELECT strftime(key, {SQL_STAMP}) AS key, event_type, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS n_late
+    FROM w WHERE key + INTERVAL 2 hours <= (SELECT max(last) - INTERVAL 1 hour FROM last) GROUP BY 1, 2
+    """,
+)
+def stream_windows_close(spark, sf):
+    """Four triggers, rows of days ago in each: windows close after an hour, what comes later is counted apart."""
+    folder = scratch(spark, "windows")
+    events = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    lo, hi = (events.agg(f("us")).scalar() for f in (F.min, F.max))
+    events = events.withColumn("f", (1 + F.floor(4 * (F.col("us") - lo) / (hi - lo + 1))).cast("int"))
+    older = F.when(F.col("event_id") % 7 == 3, F.col("ts") - F.make_dt_interval(days=F.col("f"))).otherwise(F.col("ts"))
+    stream = _in_files(spark, folder + "/in", events.select("event_type", "f", older.alias("ts")), F.col("f"))
+    streams.write_windows(stream, "ts", folder + "/out", folder + "/checkpoint", by=["event_type"], most_folders=2).awaitTermination()
+    out = streams.read_windows(spark, folder + "/out")
+    return out.select(stamp("key").alias("key"), "event_type", "n", "n_late")
+
+
+@query(
+    "stream_upsert",
+    """
+    SELECT conv_id, turn, role, array_to_string(regexp_extract_all(text, '[A-Z][a-z]+'), '|') AS names FROM (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1
+    """,
+)
+def stream_upsert(spark, sf):
+    """Turns come in any order, in three triggers; of each conversation the index has the last one."""
+    folder = scratch(spark, "stream_upsert")
+    talk = table(spark, sf, "conversations")
+    stream = _in_files(spark, folder + "/in", talk, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)))
+    p = cl.Pipeline("talk", text_cols=["text"], id_col="conv_id", root=folder, buckets=4)
+    p += cl.RegexTag(r"[A-Z][a-z]+", "text", "names")
+    streams.upsert_stream(p, stream, folder + "/checkpoint", version="turn").awaitTermination()
+    return p.index(spark).read().select("conv_id", "turn", "role", F.array_join("names", "|").alias("names"))

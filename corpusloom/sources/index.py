@@ -122,14 +122,16 @@ class Index:
         self._commit(now, columns, (*(before.parts if before else ()), part), buckets)
 
     def upsert(
-        self, df: DataFrame, roles: Roles, partition_by: Sequence[str] = (), version: str | Sequence[str] = ()
+        self, df: DataFrame, roles: Roles, partition_by: Sequence[str] = (), version: str | Sequence[str] = (), keep_newer: bool = False
     ) -> None:
         """Write rows by id: those that are there with an id of ``df`` are replaced, all others stay.
 
         An id that occurs more than once in ``df`` is written once, with the
         row of the greatest ``version`` (ties, and without one all: the
-        greatest row). Rows without an id are refused, since nothing could
-        replace them: the index stays as it was.
+        greatest row). With ``keep_newer`` a row that is there counts among
+        them, so a row that comes late does not replace a newer one. Rows
+        without an id are refused, since nothing could replace them: the index
+        stays as it was.
 
         The new rows are written once, to their place. Of the buckets (an index
         without buckets is one) only those that hold one of the ids are
@@ -150,6 +152,14 @@ class Index:
             for path in part.paths:
                 self.log.files.delete(path)
             raise ValueError(f"{nulls.get['n']} rows have no {roles.id!r}")
+        if keep_newer and now is not None:
+            also = [self.BUCKET] if now.buckets else []
+            fresh, there = (self._load(p, columns, *also) for p in ([part], self._near(now, part)))
+            ids = fresh.select(F.col(f"`{roles.id}`").alias(roles.id), *also)
+            met = fresh.union(there.join(ids, [roles.id, *also], "left_semi").select(fresh.columns)).drop(self.BUCKET)
+            aside, part = part, self._save(latest_by_id(met, roles.id, version), roles, buckets, partition_by)
+            for path in aside.paths:
+                self.log.files.delete(path)
         parts = () if now is None else self._without(now, part, columns, roles.id)
         self._commit(now, columns, (*parts, part), buckets)
 
@@ -244,11 +254,17 @@ class Index:
         rows = reduce(DataFrame.union, scans)
         return rows if len(scans) == 1 else rows.select([F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata or {}) for f in kept])
 
+    @staticmethod
+    def _near(now: Version, new: Part) -> list[Part]:
+        """What a version has in the buckets of ``new``."""
+        buckets = {x.rpartition("=")[2] for x in new.paths} if now.buckets else None
+        near = [replace(p, paths=tuple(x for x in p.paths if _in(x, buckets))) for p in now.parts]
+        return [p for p in near if p.paths]
+
     def _without(self, now: Version, new: Part, columns: T.StructType, id_col: str) -> list[Part]:
         """The parts of a version, with those buckets written again that hold an id of ``new``."""
+        near = self._near(now, new)
         buckets = {x.rpartition("=")[2] for x in new.paths} if now.buckets else None
-        near = [replace(p, paths=tuple(x for x in p.paths if _in(x, buckets))) for p in now.parts]
-        near = [p for p in near if p.paths]
         also = [self.BUCKET] if now.buckets else []
         ids = self._load([new], columns, *also).select(F.col(f"`{id_col}`").alias(id_col), *also)
         hit = self._load(near, columns, *also).join(ids, [id_col, *also], "left_semi")

@@ -1,4 +1,5 @@
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,6 +263,78 @@ def test_live_counts_over_several_batches(spark, tmp_path):
     assert [(r["term"], r["n"]) for r in top] == [("a", 12)]
 
 
+def files_in_order(df, path, numbers):
+    for n in numbers:
+        df.where(F.col("f") == n).drop("f").coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_windows_close(spark, tmp_path):
+    at = lambda f, t, k="a": (f, None if t is None else f"2024-01-01 {t}", k)
+    rows = [
+        at(0, "00:10:00"), at(0, "02:30:00"), at(0, None), at(0, "02:30:00", None),
+        at(1, "01:59:59"),  # of a window that the mark, 01:30, has not passed
+        at(1, "05:00:00"),  # the mark goes to 04:00
+        at(2, "01:00:00"), at(2, "01:00:00"), at(2, "03:59:59", "b"), at(2, "04:00:00"), at(2, "23:00:00"),
+    ]
+    df = spark.createDataFrame(rows, "f int, ts string, k string").withColumn("ts", F.to_timestamp("ts"))
+    files_in_order(df, tmp_path / "in", range(3))
+    run = lambda most, name: streams.write_windows(
+        streams.stream_table(spark, str(tmp_path / "in"), maxFilesPerTrigger=1), "ts", str(tmp_path / name), str(tmp_path / f"{name}c"),
+        by=["k"], most_folders=most,
+    ).awaitTermination()
+    got = lambda name, closed: sorted(
+        ((str(r["key"])[11:13], r["k"], r["n"], r["n_late"]) for r in streams.read_windows(spark, str(tmp_path / name), closed=closed).collect()), key=repr
+    )
+    run(20, "x")
+    want = [("00", "a", 2, 2), ("02", "a", 1, 0), ("02", "b", 0, 1), ("02", None, 1, 0), ("04", "a", 2, 0), ("22", "a", 1, 0)]
+    assert got("x", False) == sorted(want, key=repr) and got("x", True) == sorted(want[:-1], key=repr)
+    # Merged at each step, the same; and the number of folders stays bounded.
+    run(1, "y")
+    assert got("y", False) == got("x", False) and len(glob.glob(str(tmp_path / "y" / "*=*"))) == 1
+    # A batch that is repeated writes its folder again and changes nothing.
+    for name in ("2", ".2.crc"):
+        os.remove(tmp_path / "xc" / "commits" / name)
+    run(20, "x")
+    assert got("x", False) == sorted(want, key=repr) and len(glob.glob(str(tmp_path / "x" / "epoch=*"))) == 3
+
+
+def test_live_counts_are_merged(spark, tmp_path):
+    newest = lambda rows: {r["k"]: r["n"] for r in rows.collect()}
+    epochs = streams.Epochs(spark, str(tmp_path / "e"), most=2)
+    for e in range(7):
+        epochs.add(e, spark.createDataFrame([("a", e), (f"k{e}", 1)], "k string, n long"))
+        epochs.merge(streams._newest)
+        assert len(epochs.folders()) <= 2
+    assert newest(streams.read_live(spark, str(tmp_path / "e"))) == {"a": 6, **{f"k{e}": 1 for e in range(7)}}
+    # A merge that stops before it has deleted anything.
+    before = newest(streams.read_live(spark, str(tmp_path / "e")))
+    epochs.add(7, spark.createDataFrame([("a", 9)], "k string, n long"))
+    epochs.add(8, spark.createDataFrame([("b", 2)], "k string, n long"))
+    delete, epochs.files.delete = epochs.files.delete, lambda name: False
+    epochs.merge(streams._newest)
+    epochs.files.delete = delete
+    assert epochs.folders() == ["merged=8"] and newest(streams.read_live(spark, str(tmp_path / "e"))) == {**before, "a": 9, "b": 2}
+
+
+@pytest.mark.parametrize("buckets", [0, 3])
+def test_stream_upserts_keep_the_newest_of_an_id(spark, tmp_path, buckets):
+    rows = [(0, 1, 5, "x"), (0, 2, 1, "x"), (0, 2, 3, "y"), (1, 1, 4, "late"), (1, 2, 4, "z"), (2, 2, 4, "z"), (2, 3, 1, "new"), (2, 1, 6, "last")]
+    df = spark.createDataFrame(rows, "f int, id long, at int, t string")
+    files_in_order(df, tmp_path / "in", range(3))
+    p = cl.Pipeline("s", text_cols=["t"], id_col="id", root=str(tmp_path), buckets=buckets)
+    p += lambda d: d.withColumn("loud", F.upper("t"))
+    run = lambda c: streams.upsert_stream(
+        p, streams.stream_table(spark, str(tmp_path / "in"), maxFilesPerTrigger=1), str(tmp_path / c), version="at"
+    ).awaitTermination()
+    run("c")
+    want = [(1, 6, "last", "LAST"), (2, 4, "z", "Z"), (3, 1, "new", "NEW")]
+    assert sorted(map(tuple, p.index(spark).read().collect())) == want
+    run("d")  # all of it once more
+    assert sorted(map(tuple, p.index(spark).read().collect())) == want
+    with pytest.raises(ValueError):
+        streams.upsert_stream(cl.Pipeline("n"), df, str(tmp_path / "e"))
+
+
 def test_open_labels_are_refused_on_streams(spark, tmp_path, news):
     news.write.parquet(str(tmp_path / "in"))
     stream = streams.stream_table(spark, str(tmp_path / "in"))
