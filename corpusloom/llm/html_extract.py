@@ -16,8 +16,12 @@ a block is one space, ends are trimmed, blocks are joined by one ``\\n``.
 Headings of the article belong to it. ``<br>`` is white space inside its block.
 
 Defined results: a null or empty page, and one without article text, has the
-text ``''``; markup that is not closed or not opened is read as browsers do;
-text outside any block element belongs to the body.
+text ``''``; markup that is not closed or not opened is read as browsers do, an
+unclosed comment to the end of the page; text outside any block element belongs
+to the body, and a page without any block element is text as a whole. Formulas
+and what stands in for pictures, sound or scripts are offered to the model as
+text of their block, words on a button inside a paragraph too. Elements deeper
+than 512 stand beside their parent. The time for a page grows with its length.
 """
 
 from __future__ import annotations
@@ -212,6 +216,9 @@ def extract_all(pages: list[str | None], model: Model) -> list[str]:
     parsed = [parse_page(p) for p in pages]
     forest = forest_of(parsed)
     chosen = model.marginals(forest) > 0.5
+    for page, start in zip(parsed, forest.starts):
+        if len(page.nodes) == 1:  # no tree to tell parts of the page by
+            chosen[start] = True
     return [text_of(p, chosen[s : s + len(p.nodes)]) for p, s in zip(parsed, forest.starts)]
 
 

@@ -207,10 +207,44 @@ def test_a_head_without_end_and_unclosed_elements_hide_nothing_else():
     assert runs_of(f"<html><head><title>T</title><meta charset=x><style>p{{}}</style>{rest}") == seen
     assert runs_of(f"<head><title>T</title><noscript>N</noscript></head><body>{rest}") == seen
     assert runs_of("<head><script>s</script>Text <p>and more") == ["Text", "and more"]
-    for tag in "object video audio button select canvas map svg noscript".split():
+    for tag in "select svg".split():
         assert runs_of(f"<div><p>A <{tag}>inside</p><p>B</p><div>C</div></div><p>D") == ["A", "B", "C", "D"], tag
         assert runs_of(f"<div>A <{tag}><div>inside</div> on</{tag}> B</div>") == ["A B"], tag
+    # What stands in for something else, and formulas, are offered to the model.
+    for tag in "object video audio canvas map noscript math".split():
+        assert runs_of(f"<div><p>A <{tag}>inside</p><p>B</p><div>C</div></div><p>D") == ["A inside", "B", "C", "D"], tag
+        assert runs_of(f"<div>A <{tag}><div>inside</div> on</{tag}> B</div>") == ["A", "inside", "on B"], tag
     assert runs_of("<div><button>a<button>b</button> C</div>") == ["C"]
+    assert runs_of("<div>A <button>menu</button> B<p>See <button>the word</button> here</p></div>") == ["A B", "See the word here"]
+    assert runs_of("<p>Let <math><mi>E</mi>=<mn>5</mn><annotation>\\E</annotation></math> be</p>") == ["Let E=5 be"]
+
+
+def test_comments_and_content_that_is_no_markup():
+    cases = {
+        "<p>a<!-- <p>b</p> -->c</p>": ["ac"], "<p>a<!-->b<!--->c": ["abc"], "<p>a<!--x--!>b": ["ab"], "a <!-- open <p>b</p>": ["a"],
+        "<p title='<!-- x'>a</p>b": ["a", "b"], "<p title=\"a>b\">c": ["c"], "<script>'<!--'</script><p>a": ["a"], "<style><p>x": [],
+        "<textarea><!-- </textarea><p>a": ["a"], "<p>it's <b>5 < 6</b> \"q\"": ['it\'s 5 < 6 "q"'], "<p>a <b": ["a <b"], "<!--": [],
+        "plain text &amp; no tag": ["plain text & no tag"], "<p a=b'c>d</p>e'": ["d", "e'"],
+    }
+    for html, runs in cases.items():
+        assert runs_of(html) == runs, html
+
+
+def test_a_page_without_elements_is_text(model):
+    assert he.extract_all(["Just words, no tag at all.", "a <b>b</b>\n c"], model) == ["Just words, no tag at all.", "a b c"]
+
+
+@pytest.mark.parametrize(
+    "page", ["<!--" * 60_000, "<!-- -->" * 30_000, "<div>" * 40_000, "<p><table><tr><td>" * 10_000, "<!" * 100_000, '<a "' * 60_000,
+             "<svg><div>" * 20_000 + "</p>" * 20_000, "<select>" * 30_000 + "</div>" * 30_000, "</p>" * 60_000, "<b a='" * 40_000 + ">", "<" * 200_000],
+)
+def test_hostile_pages_take_time_by_length(model, page):
+    """A quarter of a megabyte; anything that grows with the square would take minutes."""
+    import time
+
+    start = time.process_time()
+    assert isinstance(he.extract_all([page], model)[0], str)
+    assert time.process_time() - start < 8
 
 
 def test_unknown_declarations_and_long_numbers_do_not_cut_a_page():
@@ -462,6 +496,14 @@ def test_packing_opens_a_larger_bin_where_that_is_cheaper():
     assert spent(lengths, packing.CAPACITIES) < min(least.values())
 
 
+def test_vectors_beyond_the_doubles_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e307, 1.0]), (50, [1e300, -1e300]), (51, [3.0, 1.0]), (100, [-1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect())
+    most = 2**63 - 1
+    assert out == [(0, 1, 51, 65536 * 5), (0, 2, 50, -most - 1), (50, 1, 51, most), (50, 2, 0, -most - 1)]
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
