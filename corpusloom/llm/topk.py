@@ -17,7 +17,8 @@ there are slots. A task holds one pair of blocks at a time; it yields at most
 k rows for a query and block, and ranks are formed from these.
 
 Defined results: components are floor(scale * x), x as double; vectors null or
-with null or non-finite components take no part; a vector is a candidate for
+with null or non-finite components take no part, nor do those with a component
+whose product with the scale is beyond the doubles (1e307, say); a vector is a candidate for
 queries of its own length only; equal scores go to the smaller id; rows of an id that occurs more than once are all candidates, but never
 for a query of that id; queries alike in id and vector are one. Rows with a
 null id take no part. Scores beyond a long are cut to its range.
@@ -240,7 +241,7 @@ def _blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
 def _usable(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``id, cells`` of the rows that take part; whole numbers, still as doubles, which hold them all."""
     vector = F.col(vector_col).cast("array<double>")
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < F.lit(float("inf"))))
     scaled = F.transform(vector, lambda x: x * scale)
     # Numbers of 2^52 and more have no fraction, and floor() would return them as a long.
     cells = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x))
