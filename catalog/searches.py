@@ -9,6 +9,7 @@ from corpusloom.operators import search
 
 from .aggregates import SQL_STAMP, stamp
 from .registry import query, sql_words, table, texts
+from .tables import scratch
 from .texts import sql_terms
 
 
@@ -51,6 +52,20 @@ def suggest_prefix(spark, sf):
     return search.suggest_prefix(table(spark, sf, "part"), "p_name", "Re", 10)
 
 
+@query(
+    "suggest_stored",
+    """
+    SELECT p_name AS suggestion, count(*) AS n FROM part WHERE starts_with(lower(p_name), 're') GROUP BY p_name
+    ORDER BY n DESC, suggestion LIMIT 10
+    """,
+)
+def suggest_stored(spark, sf):
+    """The same from stored values, by a range of keys."""
+    folder = scratch(spark, "completions")
+    search.write_completions(table(spark, sf, "part"), "p_name", folder)
+    return search.stored_completions(spark, folder, "Re", 10)
+
+
 @query(
     "term_match",
     f"""

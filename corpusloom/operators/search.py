@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import highlight
 from .analysis import Analyzer
@@ -44,6 +44,33 @@ def suggest_prefix(df: DataFrame, col: str, prefix: str, size: int = 10) -> Data
     return counted.orderBy(F.desc("n"), "suggestion").limit(size)
 
 
+def write_completions(df: DataFrame, col: str, path: str) -> None:
+    """Store the values of a column with their counts, sorted by their lowercase form, for :func:`stored_completions`.
+
+    Values are counted before they are shuffled, then dealt by range: what
+    begins alike lies together, in few files and few row groups.
+    """
+    value = F.col(f"`{col}`").cast("string")
+    counted = df.select(value.alias("suggestion")).where("suggestion IS NOT NULL").groupBy("suggestion").agg(F.count(F.lit(1)).alias("n"))
+    keyed = counted.withColumn("key", F.lower("suggestion"))
+    keyed.repartitionByRange("key", "suggestion").sortWithinPartitions("key", "suggestion").write.mode("overwrite").parquet(path)
+
+
+def stored_completions(spark: SparkSession, path: str, prefix: str, size: int = 10) -> DataFrame:
+    """What :func:`suggest_prefix` gives, from stored values: a range of keys that is pushed down to the scan."""
+    stored, low = spark.read.parquet(path), prefix.lower()
+    hits = stored.where(F.col("key") >= low) if low else stored
+    # The first text after all that begin with the prefix: its last sign that has a next one counted up.
+    while low:
+        after = ord(low[-1]) + 1
+        after = 0xE000 if 0xD800 <= after < 0xE000 else after
+        if after <= 0x10FFFF:
+            hits = hits.where(F.col("key") < low[:-1] + chr(after))
+            break
+        low = low[:-1]
+    return hits.orderBy(F.desc("n"), "suggestion").limit(size).select("suggestion", "n")
+
+
 def match_terms(
     df: DataFrame,
     col: str,

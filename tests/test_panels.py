@@ -156,6 +156,19 @@ def test_searches(rows, spark):
         search.match_terms(rows, "text", ["x"], "xor")
 
 
+def test_stored_completions(spark, tmp_path):
+    names = ["Ann", "ann", "Ann", "Anna", "anB", "Bo", "BO", "b\U0010ffff", "b\U0010ffffx", "\ud7ffx", "\ue000y", "Éa", "éb", "", None, "an"]
+    names += [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(3)
+    path = str(tmp_path / "c")
+    search.write_completions(df, "n", path)
+    for prefix in ("AN", "ann", "b", "B\U0010ffff", "\ud7ff", "é", "É", "zz", "", "w29", "\U0010ffff"):
+        want = [tuple(r) for r in search.suggest_prefix(df.where("n IS NOT NULL"), "n", prefix, 20).collect()]
+        assert [tuple(r) for r in search.stored_completions(spark, path, prefix, 20).collect()] == want, prefix
+    plan = search.stored_completions(spark, path, "W29")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key,w29)" in plan and "LessThan(key,w2:)" in plan
+
+
 def test_time_range_reaches_the_scan(rows, spark, tmp_path):
     rows.write.parquet(str(tmp_path / "t"))
     df = search.time_range(spark.read.parquet(str(tmp_path / "t")), "ts", "2024-01-01 00:00:00", "2024-01-02 00:00:00")
