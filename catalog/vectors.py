@@ -10,6 +10,7 @@ from corpusloom.operators.vectors import vector_dims
 from corpusloom.session import cut_lineage
 
 from .registry import query, table
+from .tables import scratch
 
 SQL_CENTROID = """
     WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
@@ -79,14 +80,24 @@ def knn_many_queries(spark, sf):
     return found.select("g", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(
-    "knn_cosine",
+KNN_SQL = (
     SQL_CENTROID
     + """, q AS (SELECT label, list(v ORDER BY pos) AS v FROM c GROUP BY label),
     s AS (SELECT q.label, vec_id, round(list_cosine_similarity(q.v, embedding::DOUBLE[]), 9) AS score FROM q, embeddings),
     k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
-    SELECT label, vec_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""",
+    SELECT label, vec_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10"""
 )
+
+
+@query("knn_cells", KNN_SQL)
+def knn_cells(spark, sf):
+    """The same from vectors stored by cell: only cells that can hold one of the ten are read."""
+    stored = cl.VectorCells.build(table(spark, sf, "embeddings"), "vec_id", "embedding", scratch(spark, "cells"), cells=32)
+    found = stored.nearest(cut_lineage(centroids(spark, sf)), 10, "label", "centroid", "vec_id")
+    return found.select("label", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("knn_cosine", KNN_SQL)
 def knn_cosine(spark, sf):
     """The ten vectors closest to the centre of each label."""
     found = cl.nearest_neighbours(

@@ -5,6 +5,7 @@ from .functions.languages import languages, stop_words
 from .functions.phrases import Phrases, synonym_rules
 from .operators.analysis import AnalyzeText, Analyzer
 from .operators.annotate import Annotator, DictionaryAnnotator, ModelAnnotator
+from .operators.cells import VectorCells
 from .operators.html import parse_html, parse_html_files
 from .operators.linguistics import LinguisticEnrichment, widen
 from .operators.sentiment import LexiconSentiment

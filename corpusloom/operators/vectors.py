@@ -224,7 +224,8 @@ def nearest_neighbours(
     best = None
     for chunk in range(chunks):
         some = q if dealt is None else dealt.where(F.col("chunk") == chunk).select("q", "v")
-        scanned = t.mapInArrow(_scan_with(some.toArrow(), k), out)
+        # Sent from a file: the driver holds one chunk at a time.
+        scanned = t.mapInArrow(_scan_with(t.sparkSession.sparkContext.broadcast(some.toArrow()), k), out)
         best = scanned if best is None else best.unionAll(scanned)
     best = best.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS)))
     first = Window.partitionBy("q", "part").orderBy(F.desc("score"), "id")
@@ -237,15 +238,16 @@ def nearest_neighbours(
     )
 
 
-def _scan_with(query_table: pa.Table, k: int):
-    """A task function: best ``k`` rows of a partition for each of a few queries."""
-    q_ids = query_table.column("q").to_pylist()
-    q_type = query_table.schema.field("q").type
-    directions = _directions(_matrix(query_table.column("v"))) if len(q_ids) else np.zeros((0, 0))
-    live = [j for j in range(len(q_ids)) if directions[j].any()]
-    q_live, d_live = [q_ids[j] for j in live], directions[live]
+def _scan_with(sent, k: int):
+    """A task function: best ``k`` rows of a partition for each of a few queries, a broadcast table."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_table = sent.value
+        q_ids = query_table.column("q").to_pylist()
+        q_type = query_table.schema.field("q").type
+        directions = _directions(_matrix(query_table.column("v"))) if len(q_ids) else np.zeros((0, 0))
+        live = [j for j in range(len(q_ids)) if directions[j].any()]
+        q_live, d_live = [q_ids[j] for j in live], directions[live]
         tops: list | None = None
         id_type = None
         for batch in batches:

@@ -102,3 +102,44 @@ def test_word_vectors_broadcast_and_joined_agree(spark):
     joined = cl.WordVectors(table, max_broadcast_bytes=0).add_document_vector(odd, words(F.col("t")), "v", "id").collect()
     near = [[round(x, 6) for x in v] for v in ([1.0, 2.0], [0.0, 1.0], [1.0, 2.0], [1 / 3, 4 / 3], [1 / 3, 4 / 3])]
     assert sorted([round(x, 6) for x in r["v"]] for r in joined) == sorted(near)
+
+
+def test_cells_give_what_a_scan_gives_and_leave_cells_unread(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 8)) * 5
+    rows = [(i, (middles[i % 40] + rng.normal(size=8) * 0.1).tolist()) for i in range(4000)]
+    rows += [(5000 + i, rows[7][1]) for i in range(300)]  # one vector many times
+    rows += [(9000, [0.0] * 8), (9001, None), (9002, [float("nan")] * 8), (None, [1.0] * 8), (9003, [None] * 8)]
+    table = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    asked = [(f"q{i}", (middles[i] + rng.normal(size=8) * 0.2).tolist()) for i in range(3)] + [("same", rows[7][1]), ("none", [0.0] * 8), ("null", None)]
+    asked += [("far", rng.normal(size=8).tolist())]
+    queries = spark.createDataFrame(asked, "q string, w array<double>").repartition(2)
+    cells = cl.VectorCells.build(table, "id", "v", str(tmp_path / "cells"), cells=40, sample=1000)
+    clean = table.where("id < 9000")
+    for k in (1, 10, 400):
+        want = sorted(map(tuple, cl.nearest_neighbours(queries, clean, k, "q", "w", "id", "v").collect()))
+        got = sorted(map(tuple, cells.nearest(queries, k, "q", "w").select("q", "id", "score", "rank").collect()))
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-8)
+    again = cl.VectorCells(spark, str(tmp_path / "cells"))
+    assert again.nearest(queries.where("q = 'q1'"), 10, "q", "w").count() == 10
+    assert 0 < len(again.cells_read) < 10 <= len(again.numbers)
+    assert again.nearest(queries.where("false"), 3, "q", "w").count() == 0
+    # Few rows, fewer than are asked for; and none.
+    few = cl.VectorCells.build(table.where("id < 3"), "id", "v", str(tmp_path / "few"), cells=2)
+    assert few.nearest(queries.where("q = 'q0'"), 10, "q", "w").count() == 3
+    none = cl.VectorCells.build(table.where("false"), "id", "v", str(tmp_path / "none"))
+    assert none.nearest(queries, 10, "q", "w").count() == 0
+
+
+def test_blocks_of_a_cell(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import cells as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(module, "BLOCK_QUERIES", 2)
+    rng = np.random.default_rng(2)
+    table = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(100)], "id long, v array<double>")
+    cells = cl.VectorCells.build(table, "id", "v", str(tmp_path / "c"), cells=3)
+    queries = table.where("id % 10 = 0").selectExpr("id AS q", "v AS w")
+    got = sorted((r["q"], r["rank"], r["id"]) for r in cells.nearest(queries, 5, "q", "w").collect())
+    assert got == sorted((r["q"], r["rank"], r["id"]) for r in cl.nearest_neighbours(queries, table, 5, "q", "w", "id", "v").collect())
