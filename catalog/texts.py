@@ -372,6 +372,13 @@ def stem_terms(spark, sf):
     return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
 
 
+@query("stem_by_language")
+def stem_by_language(spark, sf):
+    """Every document by the stemmer of its own language."""
+    stage = cl.AnalyzeText("text", "t", cl.Analyzer(lang_col="lang", stop=False, stem=True))
+    return stage.transform(texts(spark, sf)).select("doc_id", joined("t", " ").alias("terms"))
+
+
 # --- sentiment -------------------------------------------------------------
 
 LEXICON = {

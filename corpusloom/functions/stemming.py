@@ -1,7 +1,8 @@
 """Stemming of token arrays.
 
-The rules are those of M. F. Porter, "An algorithm for suffix stripping",
-Program 14(3), 1980. Words repeat a lot, so each Arrow batch is dictionary
+For English the rules are those of M. F. Porter, "An algorithm for suffix
+stripping", Program 14(3), 1980; other languages have lighter tables of our own
+(:mod:`.suffixes`). Words repeat a lot, so each Arrow batch is dictionary
 encoded first and only its distinct words are stemmed.
 """
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from .suffixes import LIGHT
+
 # The suffix tables of the paper, steps 2, 3 and 4.
 STEP_2 = (
     "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous "
@@ -113,7 +116,7 @@ def porter(word: str) -> str:
     return _step_5(_step_4(word))
 
 
-STEMMERS: dict[str, Callable[[str], str]] = {"english": porter}
+STEMMERS: dict[str, Callable[[str], str]] = {"english": porter, **{name: rules.stem for name, rules in LIGHT.items()}}
 
 
 def stemmed(terms: Column, stemmer: Callable[[str], str] = porter) -> Column:

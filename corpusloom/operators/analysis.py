@@ -40,9 +40,9 @@ class Analyzer:
         :class:`~corpusloom.functions.phrases.Phrases`. From left to right the
         longest phrase is replaced. Rules see the terms the steps before leave.
     stemmer: a Python function that stems, or ``{language: function}``, where
-        the built-in one (English) is not meant. With ``lang_col`` every row is
-        stemmed by its own language; a row whose language has no stemmer keeps
-        its words as they are.
+        the built-in ones are not meant (Porter's for English, light tables for
+        the others). With ``lang_col`` every row is stemmed by its own
+        language; a row of an unknown language keeps its words as they are.
     """
 
     def __init__(

@@ -94,7 +94,7 @@ def test_analyzer_steps(spark):
     assert by_row[3] == ["katze", "the"] and by_row[4] == ["the", "x"] and by_row[1][0] == "cats"
     assert terms(extra_stop=("cats",))[1] == ["cat", "cat", "running"]
     with pytest.raises(ValueError):
-        cl.Analyzer(lang="dutch", stem=True)
+        cl.Analyzer(lang="klingon", stem=True)
     assert cl.Analyzer(lang="dutch", stem=True, stemmer=str.strip).stemmer
 
 
@@ -124,9 +124,9 @@ def test_partitions_do_not_matter(edge_texts):
 
 
 def test_rows_are_stemmed_by_their_own_language(spark):
-    df = spark.createDataFrame([(1, "running dogs", "EN"), (2, "running dogs", "DE"), (3, "running dogs", None), (4, "parlons", "fr")], "id int, text string, lang string")
+    df = spark.createDataFrame([(1, "running dogs", "EN"), (2, "running dogs", "DE"), (3, "running dogs", None), (4, "parlons", "fr"), (5, "running dogs", "XX")], "id int, text string, lang string")
     analyzer = cl.Analyzer(lang_col="lang", stem=True, stop=False, stemmer={"french": lambda w: w.removesuffix("ons")})
     got = cl.AnalyzeText("text", "t", analyzer).transform(df)
-    assert rows_by_id(got, "t") == {1: ["run", "dog"], 2: ["running", "dogs"], 3: ["running", "dogs"], 4: ["parl"]}
+    assert rows_by_id(got, "t") == {1: ["run", "dog"], 2: ["running", "dog"], 3: ["running", "dogs"], 4: ["parl"], 5: ["running", "dogs"]}
     with pytest.raises(ValueError):
         cl.Analyzer(lang_col="lang", stem=True, stemmer=str.strip)
