@@ -87,3 +87,22 @@ def test_meta_names_that_differ_in_case_are_one_column(spark):
     assert rows_by_id(out, "meta_Keywords") == {1: ["a"], 2: ["b"], 3: None}
     by_default = cl.parse_html(df, tags=[], keep=["id"])
     assert rows_by_id(by_default, "meta") == {1: {"Keywords": ["a"]}, 2: {"keywords": ["b"]}, 3: {}}
+
+
+def test_query_html_bold_texts(spark):
+    """On the test pages an open ``<b>`` reaches to the end of the article."""
+    import html
+    import re
+
+    import __spark_entry__ as entry_points
+
+    sf = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = entry_points.queries()["html_bold_texts"](spark, sf).collect()
+    assert len(out) == len(pages)
+    plain = lambda t: html.unescape(re.sub("<[^>]+>", "", t))
+    for r in out:
+        page = re.sub(r"(?s)<(script|style)\b.*?</\1>", "", pages[r["page_id"]])
+        bold = [plain(re.split("</b>|</article>", page[m.end() :])[0]) for m in re.finditer("<b>", page)]
+        assert "".join(r["b"].split()) == "".join("|".join(bold).split()), r["page_id"]
+        assert r["em"] == ""
