@@ -6,7 +6,7 @@ with the logarithm of the longest path. Each round is written to the shared
 folder, so it survives lost executors, and only a count comes to the driver.
 The least neighbour of a node is found by an aggregation that combines before
 the shuffle; a node with very many neighbours is a hot key of the join that
-follows, which adaptive execution splits.
+follows, whose pairs of numbers meet in one task.
 """
 
 from __future__ import annotations

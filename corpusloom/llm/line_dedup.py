@@ -9,7 +9,8 @@ one, blank lines between them too, and covered lines go.
 Two shuffles carry hashes and positions only: counts per window (combined
 before the shuffle), then the occurrences against the windows that repeat. The
 texts move once, to meet the covered lines. A window that a third of all
-documents hold is a hot key of an equi-join, which adaptive execution splits.
+documents hold is a hot key of the second shuffle: its occurrences, hashes and
+positions only, meet in one task.
 
 Defined results: null text stays null and empty text stays empty; a document
 with fewer than ``window`` lines that are not blank is never touched; rows
