@@ -88,16 +88,21 @@ def _secret_sql() -> str:
         for n, k in enumerate(s.KINDS)
     )
     n = {k: i for i, k in enumerate(s.KINDS)}
+
+    def beside(*kinds: str) -> str:
+        role = "kind IN (" + ", ".join(str(n[k]) for k in kinds) + ")"
+        return f"""(coalesce(max(CASE WHEN {role} THEN s_end END) OVER before >= s_start - 200, false)
+               OR coalesce(min(CASE WHEN {role} THEN s_start END) OVER after <= s_end + 200, false))"""
+
     name = "[" + ", ".join(f"'{k}'" for k in s.KINDS) + "]"
     return f"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     placed AS ({kinds}),
     linked AS (
-      SELECT *, bool_or(kind IN ({n['access']}, {n['ident']})) OVER here AS by_identifier,
-             bool_or(kind IN ({n['assign']}, {n['hex']}, {n['opaque']})) OVER here AS by_secret,
+      SELECT *, {beside('access', 'ident')} AS by_identifier, {beside('assign', 'hex', 'opaque')} AS by_secret,
              coalesce(max(CASE WHEN kind < {s.BASE} THEN s_end END) OVER before, 0) AS covered_to
       FROM placed
-      WINDOW here AS (PARTITION BY doc_id ORDER BY s_start RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING),
+      WINDOW after AS (PARTITION BY doc_id ORDER BY s_start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
              before AS (PARTITION BY doc_id ORDER BY s_start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
     ), reported AS (
       SELECT *, {name}[kind + 1] || ':' || s_start || ':' || s_end AS span FROM linked

@@ -4,12 +4,13 @@ Three kinds are reported wherever they match (``assign``, ``access``, ``hex``).
 Three weaker kinds are candidates only: ``ident`` (a user or client name),
 ``opaque`` (a long run of mixed letters and digits) and ``endpoint`` (a
 service address). An identifier counts beside a secret, an opaque run beside
-an identifier, an endpoint beside both; beside means that the two spans start
-within ``scope`` code points of each other in the same text.
+an identifier, an endpoint beside both; beside means that the gap between the
+two spans, from the end of the earlier to the start of the later, is ``scope``
+code points at most, however long they are.
 
-The interval join of the parts is a range frame over each document's parts in
-order of their place: every part sees the roles within its scope, and no pairs
-are made. Texts never leave their task; only the places of matches are
+The interval join of the parts is made by range frames over each document's
+parts in order of their start: of each role every part sees the furthest end
+before it and the first start after it, and no pairs are made. Texts never leave their task; only the places of matches are
 shuffled, by document.
 
 Defined results: null text counts as empty; a text without matches has an
@@ -124,11 +125,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
     order = Window.partitionBy("id", "th").orderBy("start")
-    here = order.rangeBetween(-scope, scope)
-    sees = lambda *kinds: F.max(F.col("kind").isin([KINDS.index(k) for k in kinds])).over(here)
-    inside = F.max(F.when(F.col("kind").between(0, BASE - 1), F.col("end"))).over(
-        order.rangeBetween(Window.unboundedPreceding, 0)
-    )
+    before = order.rangeBetween(Window.unboundedPreceding, 0)
+    after = order.rangeBetween(0, Window.unboundedFollowing)
+
+    def sees(*kinds: str) -> Column:
+        role = F.col("kind").isin([KINDS.index(k) for k in kinds])
+        earlier = F.max(F.when(role, F.col("end"))).over(before) >= F.col("start") - scope
+        later = F.min(F.when(role, F.col("start"))).over(after) <= F.col("end") + scope
+        return F.coalesce(earlier, F.lit(False)) | F.coalesce(later, F.lit(False))
+
+    inside = F.max(F.when(F.col("kind").between(0, BASE - 1), F.col("end"))).over(before)
     linked = placed.select(
         "*",
         sees("access", "ident").alias("by_identifier"),

@@ -109,6 +109,21 @@ def test_weak_parts_count_only_together(spark):
     assert got[4] == [("assign", 0, 42), ("ident", 43, 51)]
 
 
+def test_the_scope_is_the_gap_between_spans(spark):
+    long, ident, place = "secret=" + "x" * 400, "user: anna", "https://db.example.org"
+    df = spark.createDataFrame(
+        [(1, f"{ident} {long}{' ' * 200}{place}"), (2, f"{ident} {long}{' ' * 201}{place}"), (3, f"{place}{' ' * 200}{long} {ident}"),
+         (4, f"{ident}{' ' * 200}{long}"), (5, f"{ident}{' ' * 201}{long}"), (6, f"{long}{' ' * 200}{ident}"), (7, f"{long}{' ' * 201}{ident}")],
+        "doc_id long, text string",
+    )
+    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in find_secrets(df).collect()}
+    # The endpoint of 1 and 2 is more than 200 from the identifier; in 3 too.
+    assert kinds == {1: ["ident", "assign"], 2: ["ident", "assign"], 3: ["assign", "ident"], 4: ["ident", "assign"], 5: ["assign"],
+                     6: ["assign", "ident"], 7: ["assign"]}
+    both = spark.createDataFrame([(1, f"{long} {ident} {place}"), (2, f"{place}{' ' * 189}{ident} {long}"), (3, f"{place}{' ' * 190}{ident} {long}")], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["spans"]) for r in find_secrets(both).collect()} == {1: 3, 2: 3, 3: 2}
+
+
 def test_secret_edges(spark, edge):
     rows = find_secrets(edge).collect()
     assert len(rows) == len(EDGE) and all(r["spans"] == [] for r in rows)
