@@ -165,14 +165,16 @@ class Index:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by default of the last one."""
-        found = self._current() if version is None else self.log.get(version)
-        if found is None:
+        found = self.log.get(version)
+        if found is not None:
+            return self._load(found.parts, found.columns)
+        if not self.exists():
             raise FileNotFoundError(f"there is no index {self.name!r}")
-        return self._load(found.parts, found.columns)
+        return self._foreign()
 
     def spans(self, columns: Sequence[str]) -> dict[str, tuple]:
         """``{column: (least, greatest)}`` for those of ``columns`` that all writes have told, without reading a row."""
-        now = self._current()
+        now = self.log.get()
         parts = () if now is None else [p for p in now.parts if p.rows != 0]
         out = {}
         for c in columns if parts else ():
@@ -189,11 +191,18 @@ class Index:
     def _current(self) -> Version | None:
         """The last version; of a folder that something else has written, all that is in it."""
         found = self.log.get()
-        if found is None and self.exists() and (names := [n for n in self.log.files.names() if n[0] not in "._"]):
-            columns = self.spark.read.format(self.format).option("mergeSchema", "true").load(self.path).schema
-            return Version(0, columns, (Part(tuple(names), columns),))
+        names = [] if found is not None else self.log.files.names()
+        if "_spark_metadata" in names:
+            raise ValueError(f"a stream writes to the folder of {self.name!r}: only the stream adds to it")
+        if shown := [n for n in names if n[0] not in "._"]:
+            columns = self._foreign().schema
+            return Version(0, columns, (Part(tuple(shown), columns),))
         return found
 
+    def _foreign(self) -> DataFrame:
+        """A folder that something else has written, a stream perhaps, as Spark reads it."""
+        return self.spark.read.format(self.format).option("mergeSchema", "true").load(self.path)
+
     def _commit(self, now: Version | None, columns: T.StructType, parts: Sequence[Part], buckets: int) -> None:
         number = 1 + (now.number if now else 0)
         self.log.commit(Version(number, columns, tuple(p for p in parts if p.paths), buckets))

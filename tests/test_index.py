@@ -201,3 +201,18 @@ def test_ranges_after_an_append_read_no_row(spark, tmp_path):
     # Rows that were replaced may have held the ends.
     p.process(df((3, 0.0, "2024-02-01")), write=True, if_index_exists="upsert")
     assert p.spans == {} and len(p.dashboard()["v"].collect()) == 2
+
+
+def test_the_folder_of_a_stream_is_read_and_left_alone(spark, tmp_path, numbers):
+    from corpusloom.streaming import streams
+
+    numbers.write.parquet(str(tmp_path / "in"))
+    p = cl.Pipeline("x", id_col="id", root=str(tmp_path))
+    stream = streams.stream_table(spark, str(tmp_path / "in"))
+    streams.enrich_stream(p, stream, str(tmp_path / "x"), str(tmp_path / "cp")).awaitTermination()
+    index = p.index(spark)
+    assert index.read().count() == 2000 and index.spans(["v"]) == {}
+    with pytest.raises(ValueError, match="a stream writes"):
+        index.write(numbers, ROLES, "append")
+    with pytest.raises(FileNotFoundError):
+        Index(spark, str(tmp_path), "none").read()
