@@ -78,6 +78,30 @@ class InlineDictionary:
         return df, self.get, []
 
 
+# Bits that say which keys a joined dictionary may hold: a fixed 256 KB in the plan, whatever the number of keys.
+FILTER_BITS = 21
+
+
+def _may_hold(table: DataFrame, key: Column) -> Lookup:
+    """Whether a word may be among the keys of a table: true for all that are, and for few others unless they are very many.
+
+    One aggregation now; what comes to the driver is bounded by the bits.
+    """
+    slot = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - FILTER_BITS)
+    place = lambda k: slot(k).bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place(key))
+    bits = [0] * (1 << (FILTER_BITS - 6))
+    for row in table.groupBy(F.shiftright(slot(key), 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect():
+        bits[row["at"]] = row["bits"]
+    constant = json.dumps(bits, separators=(",", ":"))
+
+    def test(word: Column) -> Column:
+        held = F.get(F.from_json(F.lit(constant), "array<bigint>"), F.shiftright(slot(word), 6).cast("int"))
+        return F.getbit(held, place(word)) == 1
+
+    return test
+
+
 def _by_bucket(hits: Column, buckets: int) -> Column:
     """An array of structs ``term, value`` as an array of little maps."""
     numbers = F.sequence(F.lit(0), F.lit(buckets - 1))
@@ -92,6 +116,12 @@ def _heads(hits: Column) -> Column:
     return F.array_distinct(F.transform(hits, lambda e: F.get(F.split(e["term"], " "), F.lit(0))))
 
 
+def salted(number: str, salts: int) -> Column:
+    """One of so many salts. Never null, also for the optimizer: a test for null would be taken below all columns the number
+    is made of, with their expressions written out inside one another's lambdas, to be computed for every token."""
+    return F.coalesce(F.pmod(number, F.lit(salts)).cast("int"), F.lit(0))
+
+
 class BroadcastDictionary:
     """A dictionary that every worker process holds once, looked up row by row in Arrow batches.
 
@@ -151,7 +181,8 @@ class TableDictionary:
     words make the term a skewed join key, so the text side spreads each term
     over ``salts`` keys and the dictionary side repeats its rows that often;
     adaptive skew-join handling splits further. What is collected per text is
-    bounded by its own distinct words.
+    bounded by its own distinct words. Only words are sent that may be keys,
+    by a filter of fixed size; the join then decides.
 
     The lookup groups by text, so on a stream it runs inside ``foreachBatch``
     only; the other forms run on streams as they are.
@@ -163,19 +194,41 @@ class TableDictionary:
         self.table = table.groupBy(F.col(key).alias("term")).agg(F.max(value.cast(value_type)).alias("value"))
         self.salts = salts
         self.value_type = value_type
+        self._filters: dict[str, Lookup] = {}
 
-    def bind(self, df: DataFrame, keys: Column, id_col: str | None = None):
-        """``(df with helper columns, lookup, helper columns to drop)``; the second helper has the hits' first words."""
+    def may_hold(self, word: Column) -> Column:
+        """Whether a word may be a key."""
+        if "key" not in self._filters:
+            self._filters["key"] = _may_hold(self.table, F.col("term"))
+        return self._filters["key"](word)
+
+    def may_open(self, word: Column) -> Column:
+        """Whether a word may be the first of a key."""
+        if "head" not in self._filters:
+            self._filters["head"] = _may_hold(self.table, F.get(F.split("term", " "), F.lit(0)))
+        return self._filters["head"](word)
+
+    def bind(self, df: DataFrame, keys: Column, id_col: str | None = None, source: DataFrame | None = None):
+        """``(df with helper columns, lookup, helper columns to drop)``; the second helper has the hits' first words.
+
+        ``source``: the same texts to collect the keys from, before they were joined with anything else.
+        """
         n = next(_names)
         helper, heads, h1, h2, words = (f"_dictionary_{n}{x}" for x in ("", "_heads", "_h1", "_h2", "_words"))
-        df = df.withColumn(words, keys)
-        df = df.withColumns({h1: F.xxhash64(words), h2: F.xxhash64(F.lit("second"), words)})
+
+        def hashed(rows: DataFrame) -> DataFrame:
+            # In order, so that texts with the same hits are one.
+            rows = rows.withColumn(words, F.array_sort(F.array_distinct(F.filter(keys, self.may_hold))))
+            return rows.withColumns({h1: F.xxhash64(words), h2: F.xxhash64(F.lit("second"), words)})
+
+        df = hashed(df)
         # explode() would have the optimizer test the array for emptiness below the columns it is made
         # of, with their expressions written out inside its lambdas; a null term meets nothing anyway.
         terms = (
-            df.select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.explode_outer(words).alias("term"))
+            (df if source is None else hashed(source))
+            .select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.explode_outer(words).alias("term"))
             .distinct()
-            .withColumn("salt", F.pmod("_h2", F.lit(self.salts)).cast("int"))
+            .withColumn("salt", salted("_h2", self.salts))
         )
         spread = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         hits = (

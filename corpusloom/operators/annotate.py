@@ -124,7 +124,7 @@ class DictionaryAnnotator(Annotator):
         numbered = F.transform(F.col(nested), lambda s, k: F.array_repeat(k, F.size(s)))
         df = df.withColumns({parts.texts: F.flatten(nested), parts.sents: F.flatten(numbered)})
         df = df.withColumn(low, F.transform(F.col(parts.texts), lambda t: F.lower(t)))
-        helpers = [nested, low]
+        helpers, bare = [nested, low], df
         # Parallel arrays meet in zip_with, never through a lambda that refers
         # to another column: the optimizer may put that column's whole
         # expression into the lambda, to be computed for every token.
@@ -146,13 +146,13 @@ class DictionaryAnnotator(Annotator):
         df = df.withColumns({**merged, parts.vector: F.lit(None).cast("array<float>")})
         ents = F.array().cast(f"array<{ENTITY}>")
         if (self.phrases is not None and self.max_phrase) or self.patterns:
-            df, extra = self._with_candidates(df, parts.texts, low, cand, id_col)
+            df, extra = self._with_candidates(df, parts.texts, low, cand, id_col, bare)
             helpers += extra
             ents = _leftmost(F.col(cand))
         return df.withColumn(parts.ents, ents).drop(*helpers)
 
-    def _with_candidates(self, df, texts, low, cand, id_col):
-        """The longest phrase starting at each token, as a possible entity."""
+    def _with_candidates(self, df, texts, low, cand, id_col, bare):
+        """The longest phrase starting at each token, as a possible entity. ``bare``: ``df`` before words were looked up."""
         if isinstance(self.phrases, Phrases):
             return self._with_matches(df, texts, low, cand)
         helpers = [cand]
@@ -166,7 +166,8 @@ class DictionaryAnnotator(Annotator):
             opens = lambda i: F.get(F.col(low), i).isin(first)
             label = self.phrases.get
         elif self.phrases is not None:
-            df, label, extra = self.phrases.bind(df, F.array_distinct(_grams(F.col(low), self.max_phrase)), id_col)
+            grams = _grams(low, self.max_phrase, self.phrases.may_open)
+            df, label, extra = self.phrases.bind(df, grams, id_col, bare)
             helpers += extra
             heads = F.col(extra[1])
             opens = lambda i: F.array_contains(heads, F.get(F.col(low), i))
@@ -210,12 +211,17 @@ def _let(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
-def _grams(words: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` words. Arrays meet in zip_with, so no lambda refers to a column (see add_parts)."""
-    runs = [words]
-    for n in range(1, longest):
-        runs.append(F.zip_with(runs[-1], F.slice(words, F.lit(n + 1), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.filter(F.concat(*runs), lambda g: g.isNotNull())
+def _grams(words: str, longest: int, may_open: Callable[[Column], Column]) -> Column:
+    """All runs of 1 to ``longest`` words that begin with a word phrases may begin with."""
+    opening = F.transform(words, lambda w, i: F.when(may_open(w), i))
+    size = F.size(words)
+
+    def runs(i: Column) -> Column:
+        return F.array(*[F.when(i + n <= size, F.array_join(F.slice(words, i + 1, F.lit(n)), " ")) for n in range(1, longest + 1)])
+
+    found = F.flatten(F.transform(F.filter(opening, lambda i: i.isNotNull()), runs))
+    # The size test also keeps the words a column of their own (see add_parts).
+    return F.when(size > 0, F.filter(found, lambda g: g.isNotNull()))
 
 
 def _shape(word: Column) -> Column:

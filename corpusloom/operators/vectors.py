@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.dictionary import salted
+
 # Sides sent whole to every task may not exceed this.
 MAX_BROADCAST_BYTES = 64 << 20
 # Rows per block where every two groups meet.
@@ -383,7 +385,7 @@ class WordVectors:
         counted = (
             places.groupBy("_h1", "_h2", "term")
             .agg(F.count("*").alias("n"))
-            .withColumn("salt", F.pmod("_h2", F.lit(self.salts)).cast("int"))
+            .withColumn("salt", salted("_h2", self.salts))
         )
         spread = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         sums = [F.sum(F.col("n") * F.get("vec", F.lit(j)).cast("double")).alias(f"s{j}") for j in range(self.dims)]
