@@ -126,13 +126,15 @@ class LinguisticEnrichment(Stage):
         return out
 
     def _with_vectors(self, df: DataFrame, c: str, parts: Parts, id_col: str | None) -> DataFrame:
-        vec = f"{c}_vec"
+        vec, filled = f"{c}_vec", f"_{c}_filled"
+        # Kept by itself, so that a join need not carry the tokens.
+        df = df.withColumn(filled, F.size(parts.texts) > 0)
         if self.word_vectors is not None:
             lowered = F.transform(F.col(parts.texts), lambda t: F.lower(t))
             df = self.word_vectors.add_document_vector(df, lowered, vec, id_col)
         else:
             df = df.withColumn(vec, F.col(parts.vector).cast("array<double>"))
-        df = df.withColumn(vec, F.when(F.size(parts.texts) > 0, F.col(vec)))
+        df = df.withColumn(vec, F.when(F.col(filled), F.col(vec))).drop(filled)
         if self.unit_vec:
             df = df.withColumn(f"{c}_vec_normalized", arrays.unit(F.col(vec)))
         return df if self.raw_vec else df.drop(vec)
@@ -189,4 +191,7 @@ def widen(df: DataFrame, map_col: str, prefix: str, labels: Sequence[str] | None
 
 def pos_value_counts(df: DataFrame, doc_col: str) -> DataFrame:
     """Tokens of the whole corpus by part of speech."""
-    return df.select(F.explode(F.col(doc_col)["tokens"]["pos"]).alias("pos")).groupBy("pos").agg(F.count("*").alias("n"))
+    # explode() would have the optimizer test the array for emptiness below the columns it is made of, with their
+    # expressions written out inside its lambdas. Texts without a token give one row without a place.
+    tokens = df.select(F.posexplode_outer(F.col(doc_col)["tokens"]["pos"]).alias("place", "pos")).where("place IS NOT NULL")
+    return tokens.groupBy("pos").agg(F.count("*").alias("n"))

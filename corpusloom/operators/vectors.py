@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.batches import in_pieces
 from ..functions.dictionary import salted
 
 # Sides sent whole to every task may not exceed this.
@@ -372,21 +373,19 @@ class WordVectors:
     def _joined(self, df: DataFrame, words: Column, out_col: str) -> DataFrame:
         """Join the distinct words of each text with their vectors, and add up.
 
-        Rows are met by a hash of their words, so no id is needed and equal
-        texts are worked on once. The join key is spread over ``salts`` values
-        since common words occur in most texts. Each task adds up the vectors
-        it has for a text before they are shuffled again.
+        Rows are met by a hash of their words, so no id is needed. Each text's
+        words are counted before anything is shuffled. Equal texts add to the
+        same sums, which leaves their mean as it is. The join key is spread
+        over ``salts`` values since common words occur in most texts. Each task
+        adds up the vectors it has for a text before they are shuffled again.
         """
         h1, h2, held = (f"_{out_col}_{x}" for x in ("h1", "h2", "words"))
         df = df.withColumn(held, words)
         df = df.withColumns({h1: F.xxhash64(held), h2: F.xxhash64(F.lit("second"), held)})
-        # A word's places number its occurrences: equal texts have equal ones, and count once.
-        places = df.select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.posexplode(held).alias("place", "term")).distinct()
-        counted = (
-            places.groupBy("_h1", "_h2", "term")
-            .agg(F.count("*").alias("n"))
-            .withColumn("salt", salted("_h2", self.salts))
-        )
+        # Not explode(), see TableDictionary.bind; a null term meets nothing.
+        each = F.explode_outer(_counted_words(F.col(held)))
+        pairs = df.select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), each.alias("w"))
+        counted = pairs.select("_h1", "_h2", "w.term", "w.n", salted("_h2", self.salts).alias("salt"))
         spread = self.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         sums = [F.sum(F.col("n") * F.get("vec", F.lit(j)).cast("double")).alias(f"s{j}") for j in range(self.dims)]
         means = (
@@ -400,6 +399,28 @@ class WordVectors:
         return joined.drop("_h1", "_h2", h1, h2, held).withColumn(out_col, F.coalesce(F.col(out_col), zero))
 
 
+def _counted_words(words: Column) -> Column:
+    """The distinct words of a list, each with how often it is there."""
+
+    def count(arrays: pa.Array) -> pa.Array:
+        coded = arrays.flatten().dictionary_encode()
+        lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+        known = len(coded.dictionary) + 1
+        codes = pc.fill_null(coded.indices, known - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found, numbers = np.unique(np.repeat(np.arange(len(arrays)), lengths) * known + codes, return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(arrays) + 1) * known).astype(np.int32)
+        place = found % known
+        terms = pc.take(coded.dictionary, pa.array(place, pa.int64(), mask=place == known - 1))
+        pairs = pa.StructArray.from_arrays([terms, pa.array(numbers.astype(np.int64))], names=["term", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+    @F.arrow_udf("array<struct<term:string,n:bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_pieces(batches, count)
+
+    return run(words)
+
+
 def _mean_vector(shared, dims: int):
     @F.arrow_udf("array<double>")
     def mean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

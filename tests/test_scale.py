@@ -1,8 +1,14 @@
 """What keeps queries from growing faster than their input."""
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpusloom as cl
+from corpusloom.functions.batches import in_pieces, pieces
 from corpusloom.functions.dictionary import TableDictionary, dictionary
-from pyspark.sql import functions as F
+from corpusloom.functions.stemming import stemmed_by_key
+from corpusloom.operators.linguistics import pos_value_counts
 
 
 def plan_of(df) -> list[str]:
@@ -26,3 +32,43 @@ def test_joined_dictionary_sends_only_words_it_may_hold(spark):
     assert {"red", "blue sky"} <= held and len(held) < 20
     opening = {r["w"] for r in spark.sql("SELECT explode(array('red', 'blue', 'sky')) AS w").where(table.may_open(F.col("w"))).collect()}
     assert opening == {"red", "blue"}
+
+
+def test_word_classes_of_a_corpus_are_counted_once_a_token(spark):
+    docs = spark.createDataFrame([(1, "the cat. 7"), (2, ""), (3, None)], "id long, text string")
+    out = cl.LinguisticEnrichment(None, "text", tags=[], pos_stats=False, return_doc=True).transform(docs)
+    counts = pos_value_counts(out, "text_doc")
+    assert not [line for line in plan_of(counts) if "Filter" in line and "regexp_extract_all" in line]
+    assert {r["pos"]: r["n"] for r in counts.collect()} == {"X": 2, "PUNCT": 1, "NUM": 1, "SPACE": 1}
+
+
+def test_joined_word_vectors_shuffle_counted_words_once(spark):
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 4.0])], "term string, vec array<float>")
+    vectors = cl.WordVectors(table, max_broadcast_bytes=0)
+    docs = spark.createDataFrame([(1, "a a b x"), (2, "a a b x"), (3, ""), (4, None)], "id long, t string")
+    out = vectors.add_document_vector(docs, F.split("t", " "), "v")
+    assert not [line for line in plan_of(out) if "Aggregate" in line and "term" in line and "count" in line]
+    found = {r["id"]: r["v"] for r in out.collect()}
+    assert found[1] == found[2] == pytest.approx([2 / 3, 4 / 3]) and found[3] == found[4] == [0.0, 0.0]
+
+
+def test_pages_and_lists_are_worked_on_in_pieces():
+    texts = pa.array(["x" * 10, None, "", "y" * 30, "z" * 5])
+    assert list(pieces(texts, 20)) == [(0, 3), (3, 4), (4, 5)]
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"]])
+    assert list(pieces(lists, 4)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(pieces(texts.slice(0, 0))) == []
+    seen = []
+    big = pa.array(["p" * (1 << 18)] * 10)
+    got = list(in_pieces([big], lambda a: seen.append(len(a)) or a))
+    assert max(seen) <= 4 and sum(len(a) for a in got) == 10
+
+
+def test_stemming_by_language_is_one_python_step(spark):
+    docs = spark.createDataFrame([(1, "en", ["cats"]), (2, "de", ["katzen"]), (3, None, ["cats"]), (4, "xx", ["cats"]), (5, "EN", [])],
+                                 "id long, lang string, w array<string>")
+    out = docs.select("id", stemmed_by_key(F.col("w"), F.upper("lang"), {"EN": lambda w: w[:-1], "DE": lambda w: w.upper()}).alias("w"))
+    assert {r["id"]: r["w"] for r in out.collect()} == {1: ["cat"], 2: ["KATZEN"], 3: ["cats"], 4: ["cats"], 5: []}
+    stage = cl.AnalyzeText("text", "t", cl.Analyzer(lang_col="lang", stop=False, stem=True))
+    plan = plan_of(stage.transform(spark.createDataFrame([("a", "en")], "text string, lang string")))
+    assert sum("ArrowEvalPython" in line for line in plan) == 1
