@@ -8,13 +8,14 @@ encoded first and only its distinct words are stemmed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from .batches import in_pieces
 from .suffixes import LIGHT
 
 # The suffix tables of the paper, steps 2, 3 and 4.
@@ -124,13 +125,42 @@ def stemmed(terms: Column, stemmer: Callable[[str], str] = porter) -> Column:
 
     @F.arrow_udf("array<string>")
     def stem_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        stem = lru_cache(maxsize=MEMO)(stemmer)
-        for arrays in batches:
-            flat = arrays.flatten().dictionary_encode()
-            stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string())
-            values = pc.take(stems, flat.indices)
-            lengths = pc.fill_null(pc.list_value_length(arrays), 0)
-            offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths.cast(pa.int64()))])
-            yield pa.ListArray.from_arrays(offsets.cast(pa.int32()), values, mask=arrays.is_null())
+        yield from in_pieces(batches, _stem_of(stemmer))
 
     return stem_batch(terms)
+
+
+def stemmed_by_key(terms: Column, key: Column, stemmers: Mapping[str, Callable[[str], str]]) -> Column:
+    """The same with a stemmer for each key; words of a row with another key stay. One worker does it for all keys."""
+
+    @F.arrow_udf("array<string>")
+    def stem_batch(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        stem = {k: _stem_of(s) for k, s in stemmers.items()}
+
+        def work(arrays: pa.Array, keys: pa.Array) -> pa.Array:
+            coded = keys.dictionary_encode()
+            out, places = [], []
+            for n, k in enumerate([*coded.dictionary.to_pylist(), None]):
+                own = pc.is_null(coded.indices) if k is None else pc.fill_null(pc.equal(coded.indices, n), False)
+                rows = arrays.filter(own)
+                out.append(stem[k](rows) if k in stem and len(rows) else rows)
+                places.append(pc.indices_nonzero(own))
+            return pa.concat_arrays(out).take(pc.sort_indices(pa.concat_arrays(places)))
+
+        yield from in_pieces(batches, work)
+
+    return stem_batch(terms, key)
+
+
+def _stem_of(stemmer: Callable[[str], str]) -> Callable[[pa.Array], pa.Array]:
+    stem = lru_cache(maxsize=MEMO)(stemmer)
+
+    def work(arrays: pa.Array) -> pa.Array:
+        flat = arrays.flatten().dictionary_encode()
+        stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+        values = pc.take(stems, flat.indices)
+        lengths = pc.fill_null(pc.list_value_length(arrays), 0)
+        offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths.cast(pa.int64()))])
+        return pa.ListArray.from_arrays(offsets.cast(pa.int32()), values, mask=arrays.is_null())
+
+    return work

@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions.dictionary import Dictionary, dictionary
 from ..functions.languages import ANALYZER_OF_CODE, stop_words
 from ..functions.phrases import Phrases, synonym_rules
-from ..functions.stemming import STEMMERS, stemmed
+from ..functions.stemming import STEMMERS, stemmed, stemmed_by_key
 from .stages import Stage
 
 
@@ -98,10 +98,9 @@ class Analyzer:
         if self.stemmer is not None:
             terms = stemmed(terms, self.stemmer)
         df = df.withColumn(out_col, terms).drop(raw)
-        for code, analyzer in ANALYZER_OF_CODE.items():
-            if analyzer in self.stemmers:
-                own = F.when(F.upper(F.col(self.lang_col)) == code, F.col(out_col))
-                df = df.withColumn(out_col, F.coalesce(stemmed(own, self.stemmers[analyzer]), F.col(out_col)))
+        own = {code: self.stemmers[analyzer] for code, analyzer in ANALYZER_OF_CODE.items() if analyzer in self.stemmers}
+        if own:
+            df = df.withColumn(out_col, stemmed_by_key(F.col(out_col), F.upper(F.col(self.lang_col)), own))
         if isinstance(self.synonyms, Phrases):
             df = df.withColumn(out_col, self.synonyms.replaced(F.col(out_col)))
         elif self.synonyms is not None:

@@ -9,12 +9,13 @@ aggregations over the parsed rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.batches import in_pieces
 from ..session import cut_lineage
 from ..sources.tables import first_paths, html_files
 
@@ -163,11 +164,14 @@ def parsed(html: Column, select: Mapping[str, str], tags: Sequence[str]) -> Colu
     ddl += ["_meta:map<string,array<string>>", "_body:string", "_links:array<string>"]
     selectors = {k: [selector_steps(part) for part in css.split(",")] for k, css in wanted.items()}
 
-    @F.arrow_udf(f"struct<{','.join(ddl)}>")
-    def parse_batch(pages: pa.Array) -> pa.Array:
+    def parse_some(pages: pa.Array) -> pa.Array:
         rows = [None if p is None else parse_page(p, selectors) for p in pages.to_pylist()]
         return pa.array(rows, pa.struct(kinds))
 
+    @F.arrow_udf(f"struct<{','.join(ddl)}>")
+    def parse_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_pieces(batches, parse_some)
+
     return parse_batch(html)
 
 
