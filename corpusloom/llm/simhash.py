@@ -37,10 +37,13 @@ HASHES_AT_ONCE = 1 << 16
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """The fingerprint of one text as an unsigned number."""
+    # On bytes, both touch ASCII only: A-Z, and the blanks 09-0D and 20.
+    return _fingerprint((text or "").encode("utf-8", "surrogatepass").lower().split(), size, seed)
+
+
+def _fingerprint(words: list[bytes], size: int = 3, seed: int = 42) -> int:
     from xxhash import xxh64_intdigest
 
-    # On bytes, both touch ASCII only: A-Z, and the blanks 09-0D and 20.
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     count = max(1, len(words) - size + 1)
@@ -212,20 +215,21 @@ def first_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], si
 
 
 def _described(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``id, th, c1, c2`` (hashes of the words in order), ``n`` (the number of shingles), ``firsts`` and ``signature``, of
-    keyed documents."""
+    """``id, th, c1, c2`` (hashes of the words in order), ``fp`` (the fingerprint), ``n`` (the number of shingles),
+    ``firsts`` and ``signature``, of keyed documents."""
     common = _common(docs, size)
 
-    @F.arrow_udf("struct<c1:long,c2:long,n:int,firsts:array<long>,signature:array<long>>")
+    @F.arrow_udf("struct<c1:long,c2:long,fp:long,n:int,firsts:array<long>,signature:array<long>>")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(words):
             hashes = _set_hashes(words, size)
             c1, c2 = _class_of(words)
             firsts = first_shingles(hashes, common.value, similarity).view(np.int64)
-            return {"c1": c1, "c2": c2, "n": len(hashes), "firsts": firsts, "signature": _signature(hashes)}
+            fp = int(np.uint64(_fingerprint(words)).view(np.int64))
+            return {"c1": c1, "c2": c2, "fp": fp, "n": len(hashes), "firsts": firsts, "signature": _signature(hashes)}
 
         lists = [(name, pa.list_(pa.int64())) for name in ("firsts", "signature")]
-        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), *lists])
+        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), *lists])
         yield from in_blocks(batches, lambda texts: [one(_words(t)) for t in texts], kind)
 
     return docs.select("id", "th", describe("text").alias("d")).select("id", "th", "d.*")
@@ -269,10 +273,25 @@ def _stars(shared: DataFrame, signatures: DataFrame, similarity: float) -> DataF
     centres = shared.withColumn("usual", usual).groupBy("bucket").agg(F.max(F.struct("usual", F.col("cid").alias("c"), F.col("n").alias("m"))).alias("centre"))
     met = shared.join(written(centres.select("bucket", "centre.c", "centre.m"), "centres"), "bucket").where("cid != c")
     met = met.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-6)).select(*_ordered("cid", "c")).distinct()
+    return _possible(met, signatures, similarity)
+
+
+def _possible(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose signatures leave room for a similarity."""
     for side in ("a", "b"):
         of_side = signatures.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
-        met = met.join(of_side, side)
-    return met.where(_may_be_similar("s_a", "s_b", "n_a", "n_b", similarity)).select("a", "b")
+        pairs = pairs.join(of_side, side)
+    return pairs.where(_may_be_similar("s_a", "s_b", "n_a", "n_b", similarity)).select("a", "b")
+
+
+def _balls(classes: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a > b`` of classes by ball hashing: the least of each fingerprint with the others of it, and with the least
+    ones of the fingerprints it links to."""
+    prints = written(classes.groupBy("fp").agg(F.min("cid").alias("least")), "prints")
+    same = classes.select("fp", "cid").join(prints, "fp").where("cid != least").select(*_ordered("cid", "least"))
+    first, second = (prints.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")) for x in ("a", "b"))
+    near = links(prints.select("fp")).join(first, "a").join(second, "b").select(*_ordered("least_a", "least_b"))
+    return _possible(same.union(near), signatures, similarity)
 
 
 def _rest(shared: DataFrame, linked: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
@@ -336,13 +355,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _groups(docs: DataFrame, described: DataFrame, classes: DataFrame, ambiguous: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``node, component`` of the classes (``cid, n, firsts, signature``) that are similar to another."""
+    """``node, component`` of the classes (``cid, fp, n, firsts, signature``) that are similar to another."""
     shared, signatures = _shared(classes), classes.select("cid", "n", "signature")
 
     def similar(pairs: DataFrame) -> DataFrame:
         return _similar(pairs, _sets(docs, described, pairs, ambiguous, size), similarity)
 
-    stars = written(_stars(shared, signatures, similarity), "stars")
+    balls = _balls(classes, signatures, similarity)
+    stars = written(_stars(shared, signatures, similarity).union(balls).distinct(), "stars")
     near = similar(stars)
     rest = written(_rest(shared, components(near), signatures, similarity).join(stars, ["a", "b"], "left_anti"), "rest")
     return components(near.union(similar(rest)))
@@ -356,9 +376,10 @@ def one_of_each(
 
     Groups are the components of the links between texts whose sets of shingles
     of ``size`` words have a Jaccard similarity of ``similarity`` or more.
-    No link is missed: candidates share one of their first shingles in an order
-    of all. Stars around the most usual texts come first, then all pairs that
-    these leave unconnected. Texts with the same words in order, by 128 bits of
+    No link is missed: candidates are what ball hashing of the fingerprints
+    links, and what shares one of its first shingles in an order of all. The
+    former and stars around the most usual texts come first, then all pairs
+    that these leave unconnected. Texts with the same words in order, by 128 bits of
     hash, are one class. Sets are compared by 32 bits of each shingle's hash:
     of 10,000 shingles two in a hundred pairs of sets have one that agrees by
     chance, which can only matter to a pair that is one shingle short. All
@@ -369,7 +390,7 @@ def one_of_each(
     ambiguous = _ambiguous(described)
     described = _named_classes(described, ambiguous)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    same = [F.any_value(c).alias(c) for c in ("n", "firsts", "signature")]
+    same = [F.any_value(c).alias(c) for c in ("fp", "n", "firsts", "signature")]
     classes = described.groupBy("cid").agg(F.min(place).alias("first"), *same)
     classes = written(classes, "classes")
     linked = _groups(base, described.select("cid", "th"), classes, ambiguous, size, similarity)
