@@ -10,6 +10,7 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,9 @@ DECAY = (1.0, 0.95, 0.9)
 NEGATION = -0.74
 ALPHA = 15.0
 
+# Decimal places of the unit in which a word's value is added up, and the bounds within which that is exact.
+UNIT_DIGITS, MOST_DIGITS, MOST_VALENCE = 6, 9, 1000.0
+
 # A small lexicon of our own: word -> valence between -4 and 4.
 LEXICON: dict[str, float] = {
     **dict.fromkeys("excellent outstanding superb wonderful love loved loves amazing brilliant".split(), 3.1),
@@ -54,7 +58,8 @@ class LexiconSentiment(Stage):
     A lexicon word counts its valence ``v``. Each of the three words before it
     that is a booster adds ``sign(v) * weight`` decayed by distance; a negation
     among them multiplies by ``negation``. The sum ``s`` is squashed to
-    ``s / sqrt(s*s + alpha)``.
+    ``s / sqrt(s*s + alpha)``. A word's value is the double nearest to its
+    decimal value: it is added up in whole units and divided once.
 
     Parameters
     ----------
@@ -101,6 +106,25 @@ class LexiconSentiment(Stage):
         self.capitals, self.exclamation, self.but = capitals, exclamation, but
         self.decay, self.negation, self.alpha = decay, negation, alpha
         self.id_col = id_col
+        self._in_units()
+
+    def _in_units(self) -> None:
+        """Weights and the negation as whole numbers of a power of ten; none if they are too fine for exact sums of them."""
+        exact = lambda x: Decimal(repr(float(x)))
+        decays, weights = [exact(d) for d in self.decay], {w: exact(x) for w, x in self.boosters.entries.items()}
+        numbers = [d * x for d in decays for x in weights.values()] + [exact(self.CAPITALS)]
+        factor = exact(self.negation)
+        places = lambda x: max(0, -x.normalize().as_tuple().exponent) if x.is_finite() else MOST_DIGITS + 1
+        digits, of_factor = max(UNIT_DIGITS, *map(places, numbers)), places(factor)
+        most = max([*map(abs, numbers), Decimal(0)])
+        self.unit = None
+        if digits > MOST_DIGITS or of_factor > 3 or most > 100 or abs(factor) > 10:
+            return
+        self.unit, self.parts = 10.0**digits, 10.0**of_factor
+        self.factor = float(factor * 10**of_factor)
+        in_units = lambda x: float(x * 10**digits)
+        self.steps = [InlineDictionary({w: in_units(d * x) for w, x in weights.items()}, "double") for d in decays]
+        self.louder = in_units(exact(self.CAPITALS))
 
     def output_roles(self):
         extra = [f"{self.out_col}_{s}" for s in ("pos", "neu", "neg")] if self.shares else []
@@ -108,21 +132,32 @@ class LexiconSentiment(Stage):
 
     def _adjusted(self, tokens: Column, i: Column, valence: Column, mixed: Column | None, cased: Column | None) -> Column:
         sign = F.signum(valence)
-        v = valence
+        loud = None
         if cased is not None:
             word = F.get(cased, i)
             loud = mixed & (F.upper(word) == word) & (F.lower(word) != word)
-            v = v + F.when(loud, sign * self.CAPITALS).otherwise(0.0)
         before = [F.get(tokens, i - d) for d in (1, 2, 3)]
-        if self.boosters.entries:
-            for word, weight in zip(before, self.decay):
-                v = v + F.coalesce(sign * self.boosters.get(word) * weight, F.lit(0.0))
+        negated = F.lit(False)
+        for word in before if self.negations else ():
+            negated = negated | F.coalesce(word.isin(self.negations), F.lit(False))
+
+        def summed(value: Column, louder: float, boosts: list[Column]) -> Column:
+            if loud is not None:
+                value = value + F.when(loud, sign * louder).otherwise(0.0)
+            for boost in boosts if self.boosters.entries else ():
+                value = value + F.coalesce(sign * boost, F.lit(0.0))
+            return value
+
+        plain = summed(valence, self.CAPITALS, [self.boosters.get(w) * d for w, d in zip(before, self.decay)])
+        plain = plain * F.when(negated, self.negation).otherwise(1.0) if self.negations else plain
+        if self.unit is None:
+            return plain
+        whole = F.rint(valence * self.unit)
+        units = summed(whole, self.louder, [step.get(w) for step, w in zip(self.steps, before)])
+        exact = units / self.unit
         if self.negations:
-            negated = F.lit(False)
-            for word in before:
-                negated = negated | F.coalesce(word.isin(self.negations), F.lit(False))
-            v = v * F.when(negated, self.negation).otherwise(1.0)
-        return v
+            exact = F.when(negated, units * self.factor / (self.unit * self.parts)).otherwise(exact)
+        return F.when((whole / self.unit == valence) & (F.abs(valence) <= MOST_VALENCE), exact).otherwise(plain)
 
     def transform(self, df, roles=None):
         out, text = self.out_col, F.coalesce(F.col(f"`{self.col}`").cast("string"), F.lit(""))

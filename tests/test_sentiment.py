@@ -83,3 +83,13 @@ def test_default_lexicon_and_no_shuffle(edge_texts):
     plan = stage.transform(edge_texts)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in text and "Python" not in text
+
+
+def test_a_word_counts_the_nearest_double_of_its_decimal_value(spark):
+    rows = [(1, "and the"), (2, "and the x x x of"), (3, "und x x not the"), (4, "odd"), (5, "und odd")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    lex = {"the": 1.2, "of": -1.493, "odd": 1 / 3}
+    stage = cl.LexiconSentiment("text", "s", lex, {"and": 0.293, "und": 0.293}, ["not"])
+    out = rows_by_id(stage.transform(df), "s")
+    # What cancels out is neutral.
+    assert out == {1: squash(1.493), 2: 0.0, 3: squash(-0.888), 4: squash(1 / 3), 5: squash(1 / 3 + 0.293)}
