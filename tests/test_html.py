@@ -3,6 +3,7 @@ import pytest
 import corpusloom as cl
 from conftest import rows_by_id
 from corpusloom.operators.html import parse_page, selector_steps, unbox
+from corpusloom.sources import tables
 
 PAGES = [
     """<!DOCTYPE html><html><head><title>One &amp; only</title><meta name="k" content="a"><meta name="k" content="b">
@@ -61,6 +62,25 @@ def test_files_and_limit(spark, tmp_path):
         cl.parse_html(cl.html_files(spark, f"{tmp_path}/*.html"), limit=1)
 
 
+def test_first_files_of_a_glob_are_found_folder_by_folder(spark, tmp_path, monkeypatch):
+    for name in ("a/p-1", "a/p-0", "a-b/p-1", "a!/.p", "a!/_p-1", "aa/p-2", "b/q-1", "_c/p-9", "é/p-1", "a/p-1x/in", "a/p-1x/_out"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "a0").write_text("a file")
+    for pattern in ("*/*p-*", "a*/p-*", "*/p-?", "[ab]*/*"):
+        want = tables._listed(spark, f"{tmp_path}/{pattern}", 100)
+        for n in range(1, len(want) + 2):
+            assert tables.first_paths(spark, f"{tmp_path}/{pattern}", n) == want[:n], (pattern, n)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.first_paths(spark, f"{tmp_path}/none*/p", 1)
+
+    def whole_listing(*_):
+        raise AssertionError("all files were listed")
+
+    monkeypatch.setattr(tables, "_listed", whole_listing)
+    assert [x.rsplit("/", 2)[1:] for x in tables.first_paths(spark, f"{tmp_path}/*/p-?", 3)] == [["_c", "p-9"], ["a-b", "p-1"], ["a", "p-0"]]
+
+
 def test_selector_syntax():
     assert selector_steps("div.a#b > p") == [("div", [("class", "a"), ("id", "b")], False), ("p", [], True)]
     assert selector_steps("a[href][rel='x']")[0][1] == [("href", None), ("rel", "x")]
