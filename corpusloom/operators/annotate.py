@@ -128,7 +128,15 @@ class DictionaryAnnotator(Annotator):
         # Parallel arrays meet in zip_with, never through a lambda that refers
         # to another column: the optimizer may put that column's whole
         # expression into the lambda, to be computed for every token.
-        if self.words is not None:
+        if isinstance(self.words, InlineDictionary):
+            # Each part by itself: entries of all parts would be copied for each of them.
+            given = {k: InlineDictionary(_parts_named(self.words.entries, k), "string").get for k in ("lemma", "pos", "dep")}
+            merged = {
+                parts.lemmas: F.transform(low, lambda w: F.coalesce(given["lemma"](w), w)),
+                parts.pos: F.transform(low, lambda w: F.coalesce(given["pos"](w), _shape(w))),
+                parts.deps: F.transform(low, lambda w: given["dep"](w)),
+            }
+        elif self.words is not None:
             df, entry, extra = self.words.bind(df, F.col(low), id_col)
             df = df.withColumn(entries, F.transform(F.col(low), lambda w: entry(w)))
             helpers += [entries, *extra]
@@ -160,26 +168,41 @@ class DictionaryAnnotator(Annotator):
         phrase = lambda i, n: F.array_join(F.slice(F.col(low), i + 1, F.lit(n)), " ")
         start = F.sequence(F.lit(0), F.size(low) - 1)
         starts = F.when(F.size(low) > 0, start).otherwise(F.array().cast("array<int>"))
-        label = None
+        label, fits = None, lambda i, n: i + n <= F.size(low)
+        word = lambda i: F.get(F.col(low), i)
         if isinstance(self.phrases, InlineDictionary):
-            first = sorted({p.split(" ")[0] for p in self.phrases.entries})
-            opens = lambda i: F.get(F.col(low), i).isin(first)
+            ends, first = _phrase_ends(self.phrases.entries, self.max_phrase), set()
+            for firsts, _ in ends.values():
+                first |= firsts
+            sizes = [n for n in sizes if ends[n][0]]
+            opens = lambda i: word(i).isin(sorted(first))
             label = self.phrases.get
+
+            def fits(i: Column, n: int) -> Column:
+                # Its first and last word decide for most runs; only the others are joined and looked up.
+                firsts, lasts = ends[n]
+                may = (i + n <= F.size(low)) & word(i).isin(sorted(firsts))
+                return may & word(i + (n - 1)).isin(sorted(lasts)) if n > 1 and lasts is not None else may
+
         elif self.phrases is not None:
             grams = _grams(low, self.max_phrase, self.phrases.may_open)
             df, label, extra = self.phrases.bind(df, grams, id_col, bare)
             helpers += extra
             heads = F.col(extra[1])
-            opens = lambda i: F.array_contains(heads, F.get(F.col(low), i))
+            opens = lambda i: F.array_contains(heads, word(i))
 
         def entity(i: Column) -> Column:
             def labelled(n: int) -> Column:
-                here = F.when(i + n <= F.size(low), label(phrase(i, n)))
-                return _let(here, lambda x: F.when(x.isNotNull(), _entity(texts, i, n, x)))
+                # As lists of one they are joined and looked up once; what does not fit is not even that.
+                value = _let(phrase(i, n), label) if n > 1 else label(word(i))
+                found = _let(value, lambda x: F.when(x.isNotNull(), _entity(texts, i, n, x)))
+                return F.when(fits(i, n), found)
 
             longest = [labelled(n) for n in sizes]
-            found = F.when(opens(i), F.coalesce(*longest)) if longest else F.lit(None).cast(ENTITY)
-            return F.coalesce(found, self._by_pattern(texts, i)) if self.patterns else found
+            found = F.coalesce(*longest) if longest else F.lit(None).cast(ENTITY)
+            if not self.patterns:
+                return found
+            return F.coalesce(F.when(opens(i), found) if longest else found, self._by_pattern(texts, i))
 
         if label is not None and not self.patterns:
             starts = F.filter(starts, opens)
@@ -206,6 +229,28 @@ class DictionaryAnnotator(Annotator):
         return found.otherwise(F.lit(None).cast(ENTITY))
 
 
+def _parts_named(words: Mapping[str, Mapping[str, Any] | None], part: str) -> dict[str, Any]:
+    """One part of the entries of words; only of those that have it."""
+    found = {word: (entry or {}).get(part) for word, entry in words.items()}
+    return {word: value for word, value in found.items() if value is not None}
+
+
+def _phrase_ends(phrases: Iterable[str], longest: int) -> dict[int, tuple[set[str], set[str] | None]]:
+    """For each number of tokens the words with which a phrase of so many may begin and end; None where any may end it.
+
+    A phrase with white space beside its blanks may have fewer tokens than words, as a token may hold blanks.
+    """
+    ends: dict[int, tuple[set[str], set[str] | None]] = {n: (set(), set()) for n in range(1, longest + 1)}
+    for phrase in phrases:
+        words = phrase.split(" ")
+        plain = all(w.strip(" \t\r\n\f") for w in words)
+        for n in (len(words),) if plain else range(1, len(words) + 1):
+            firsts, lasts = ends[n]
+            firsts.add(words[0])
+            ends[n] = firsts, lasts | {words[-1]} if plain and lasts is not None else None
+    return ends
+
+
 def _let(value: Column, make: Callable[[Column], Column]) -> Column:
     """What ``make`` makes of a value that is computed once."""
     return F.get(F.transform(F.array(value), make), F.lit(0))
@@ -227,7 +272,8 @@ def _grams(words: str, longest: int, may_open: Callable[[Column], Column]) -> Co
 def _shape(word: Column) -> Column:
     """The class of a word no dictionary knows."""
     return (
-        F.when(word.rlike(r"^\p{L}"), "X")
+        F.when((word >= "a") & (word < "{"), "X")  # what begins with a to z, without a pattern
+        .when(word.rlike(r"^\p{L}"), "X")
         .when(word.rlike(r"^\p{N}+$"), "NUM")
         .when(word.rlike(r"^\p{N}"), "X")
         .when(F.substring(word, 1, 1).isin(" ", "\t", "\r", "\n", "\f"), "SPACE")
@@ -245,17 +291,16 @@ def _entity(texts: str, i: Column, n: int | Column, label: Column) -> Column:
 
 
 def _leftmost(candidates: Column) -> Column:
-    """Drop candidates that begin inside an entity already taken."""
-    nothing = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{ENTITY}>").alias("kept"))
-    taken = F.aggregate(
-        candidates,
-        nothing,
-        lambda acc, e: F.when(
-            e["start"] >= acc["end"],
-            F.struct(e["end"].alias("end"), F.concat(acc["kept"], F.array(e)).alias("kept")),
-        ).otherwise(acc),
-    )
-    return taken["kept"]
+    """Drop candidates that begin inside an entity already taken.
+
+    A list of the entities would be copied with all they hold at every step; one sign for each candidate is little to copy.
+    """
+    state = lambda end, taken: F.struct(end.alias("end"), taken.alias("taken"))
+    step = lambda acc, e: F.when(
+        e["start"] >= acc["end"], state(e["end"], F.concat(acc["taken"], F.lit("1")))
+    ).otherwise(state(acc["end"], F.concat(acc["taken"], F.lit("0"))))
+    signs = F.split(F.aggregate(candidates, state(F.lit(0), F.lit("")), step)["taken"], "")
+    return F.filter(F.zip_with(candidates, signs, lambda e, sign: F.when(sign == "1", e)), lambda e: e.isNotNull())
 
 
 # Models of this Python process, by the key of their annotator: loaded once, used by all tasks a worker runs.

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays
+from ..session import cut_lineage
 from .annotate import Annotator, Parts, annotator
 from .stages import Stage, as_list
 from .vectors import WordVectors
@@ -180,10 +181,14 @@ def labels_seen(df: DataFrame, map_col: str) -> list[str]:
 
 
 def widen(df: DataFrame, map_col: str, prefix: str, labels: Sequence[str] | None = None) -> DataFrame:
-    """Spread a map column over one column per key; ``labels=None`` finds the keys first."""
+    """Spread a map column over one column per key; ``labels=None`` finds the keys first.
+
+    The look for the keys and the result then both read the rows as they were made once.
+    """
     if labels is None:
         if df.isStreaming:
             raise ValueError("on a stream the keys must be declared")
+        df = cut_lineage(df)
         labels = labels_seen(df, map_col)
     added = {f"{prefix}{label}": F.try_element_at(F.col(map_col), F.lit(label)) for label in labels}
     return df.withColumns(added).drop(map_col)

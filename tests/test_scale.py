@@ -8,7 +8,8 @@ import corpusloom as cl
 from corpusloom.functions.batches import in_pieces, pieces
 from corpusloom.functions.dictionary import TableDictionary, dictionary
 from corpusloom.functions.stemming import stemmed_by_key
-from corpusloom.operators.linguistics import pos_value_counts
+from corpusloom.operators.annotate import _phrase_ends
+from corpusloom.operators.linguistics import pos_value_counts, widen
 
 
 def plan_of(df) -> list[str]:
@@ -72,3 +73,34 @@ def test_stemming_by_language_is_one_python_step(spark):
     stage = cl.AnalyzeText("text", "t", cl.Analyzer(lang_col="lang", stop=False, stem=True))
     plan = plan_of(stage.transform(spark.createDataFrame([("a", "en")], "text string, lang string")))
     assert sum("ArrowEvalPython" in line for line in plan) == 1
+
+
+def test_open_labels_are_read_off_rows_made_once(spark):
+    docs = spark.createDataFrame([(1, "the cat of the house"), (2, "a dog"), (3, None)], "id long, text string")
+    annotator = cl.DictionaryAnnotator(phrases={"the cat": "ANIMAL", "dog": "ANIMAL", "the house": "PLACE"})
+    out = cl.LinguisticEnrichment(annotator, "text", tags=["ents"], pos_stats=False).transform(docs)
+    wide = widen(out.select("id", "text_entities"), "text_entities", "e_")
+    assert not [line for line in plan_of(wide) if "regexp_extract_all" in line]
+    assert {r["id"]: (r["e_ANIMAL"], r["e_PLACE"]) for r in wide.collect()} == {1: (["the cat"], ["the house"]), 2: (["dog"], None), 3: (None, None)}
+
+
+def test_phrases_are_joined_and_looked_up_only_where_their_ends_fit():
+    ends = _phrase_ends(["the cat", "the", "a b c", "the \n cat"], 3)
+    assert ends[2] == ({"the", "a"} - {"a"}, None) and ends[3] == ({"a", "the"}, None) and ends[1][0] == {"the"}
+    assert _phrase_ends(["the cat", "a dog"], 2) == {1: (set(), set()), 2: ({"the", "a"}, {"cat", "dog"})}
+
+
+def test_entities_of_inline_dictionaries(spark):
+    phrases = {"the cat": "A", "cat sat on": "B", "on": "C", "the cat sat": "D", "x \n y": "E", "on the  mat": "F", "sat on the cat": "G"}
+    texts = ["the cat sat on the cat sat", "The cat. sat on, on the  mat on", "x \n y x\ny", "the", "", " ", None, "cat sat on the cat sat on on " * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {}
+    for form in ("inline", "broadcast"):
+        annotator = cl.DictionaryAnnotator(words={"cat": {"pos": "NOUN"}, "sat": {"lemma": "sit"}}, phrases=phrases, form=form)
+        out = cl.LinguisticEnrichment(annotator, "text", ents_exclude=(), return_doc=True).transform(docs)
+        found[form] = {r["id"]: r for r in out.drop("text").collect()}
+    assert found["inline"] == found["broadcast"]
+    assert found["inline"][0]["text_ents"] == ["the cat sat", "on", "the cat sat"] and len(found["inline"][7]["text_ents"]) > 150
+    # The list of entities is not carried from candidate to candidate.
+    carried = [line for line in plan_of(out) if "aggregate(" in line]
+    assert carried and not [line for line in carried if "kept" in line]
