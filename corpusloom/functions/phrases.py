@@ -13,7 +13,9 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .dictionary import BroadcastDictionary, mapping_table
@@ -33,6 +35,7 @@ class _Automaton:
         for k, phrase in enumerate(phrases):
             words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split(" "))
             self.found.add_word(words, (len(words), k))
+        self.words = pa.array(list(self.numbers), pa.string())
         if len(phrases):
             self.found.make_automaton()
 
@@ -49,6 +52,27 @@ class _Automaton:
                 end = start + n
         return out
 
+    def in_lists(self, lists: pa.Array) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+        """``(list, start, words, phrase)`` of the longest phrase from each word on, for many lists of words in order.
+
+        Words become numbers in Arrow; Python meets only those that some phrase has, a gap between them as one 0.
+        """
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.words, skip_nulls=True), -1)
+        numbers = at.to_numpy(zero_copy_only=False) + 1
+        known = np.flatnonzero(numbers)
+        row, begins = np.repeat(np.arange(len(sizes)), sizes)[known], np.cumsum(sizes) - sizes
+        gaps = np.flatnonzero((np.diff(known) > 1) | (np.diff(row) > 0)) + 1
+        places = np.insert(known, gaps, -1)
+        longest: dict[int, tuple[int, int]] = {}
+        if len(known):
+            for last, (n, k) in self.found.iter(tuple(np.insert(numbers[known], gaps, 0).tolist())):
+                longest[last - n + 1] = (n, k)  # later ones from the same start are longer
+        starts = sorted(longest)
+        first = places[np.array(starts, np.int64)]
+        rows = np.searchsorted(np.cumsum(sizes), first, side="right")
+        return rows, (first - begins[rows]).tolist(), [longest[x][0] for x in starts], [longest[x][1] for x in starts]
+
     def _longest(self, words) -> dict[int, tuple[int, int]]:
         longest: dict[int, tuple[int, int]] = {}
         if self.numbers and any(w in self.numbers for w in words):
@@ -70,7 +94,7 @@ class Phrases:
         self.table, self.value_type, self._sent, self.key = held.table, value_type, held._sent, uuid.uuid4().hex
         self.longest_key = held.longest_key
 
-    def _mapped(self, kind: str, make: Callable[[_Automaton, pa.Array, list], pa.Array]) -> Callable:
+    def _mapped(self, kind: str, make: Callable[[_Automaton, pa.Array, pa.Array], pa.Array]) -> Callable:
         """An Arrow function of a column of words."""
         sent, key, name, schema = self._sent, self.key, _AUTOMATA, T.DataType.fromDDL(kind)
 
@@ -81,9 +105,9 @@ class Phrases:
                 made[key] = _Automaton(sent.value.column("term").to_pylist())
             values = sent.value.column("value").combine_chunks()
             for words in batches:
-                # Some rows at a time are Python words.
+                # Some rows at a time.
                 for first in range(0, len(words), 256):
-                    yield make(made[key], values, words.slice(first, 256).to_pylist())
+                    yield make(made[key], values, words.slice(first, 256))
 
         return run
 
@@ -92,14 +116,19 @@ class Phrases:
         one from every word on. A null list has none."""
 
         def make(automaton: _Automaton, values, lists):
-            find = automaton.at_each_start if overlapping else automaton.leftmost_longest
-            found = [find(row or ()) for row in lists]
-            flat = [m for row in found for m in row]
-            ends = [0]
-            for row in found:
-                ends.append(ends[-1] + len(row))
-            columns = [pa.array([m[0] for m in flat], pa.int32()), pa.array([m[1] for m in flat], pa.int32())]
-            columns.append(values.take(pa.array([m[2] for m in flat], pa.int64())))
+            rows, starts, sizes, phrases = automaton.in_lists(lists)
+            if not overlapping:
+                free, kept, row = 0, [], -1
+                for at, (r, start, n) in enumerate(zip(rows.tolist(), starts, sizes)):
+                    free, row = (free if r == row else 0), r
+                    if start >= free:
+                        kept.append(at)
+                        free = start + n
+                rows = rows[np.array(kept, np.int64)]
+                starts, sizes, phrases = ([x[at] for at in kept] for x in (starts, sizes, phrases))
+            ends = np.searchsorted(rows, np.arange(len(lists) + 1))
+            columns = [pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())]
+            columns.append(values.take(pa.array(phrases, pa.int64())))
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["start", "n", "value"]))
 
         return self._mapped(f"array<struct<start:int,n:int,value:{self.value_type}>>", make)(words)
@@ -118,7 +147,7 @@ class Phrases:
                     at = start + n
                 return out + row[at:]
 
-            return pa.array([None if row is None else one(row) for row in lists], pa.list_(pa.string()))
+            return pa.array([None if row is None else one(row) for row in lists.to_pylist()], pa.list_(pa.string()))
 
         return self._mapped("array<string>", make)(words)
 

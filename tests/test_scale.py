@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpusloom as cl
 from corpusloom.functions.batches import in_pieces, pieces
 from corpusloom.functions.dictionary import TableDictionary, dictionary
+from corpusloom.functions.phrases import _Automaton
 from corpusloom.functions.stemming import stemmed_by_key
 from corpusloom.operators.annotate import _phrase_ends
 from corpusloom.operators.linguistics import pos_value_counts, widen
@@ -104,3 +105,15 @@ def test_entities_of_inline_dictionaries(spark):
     # The list of entities is not carried from candidate to candidate.
     carried = [line for line in plan_of(out) if "aggregate(" in line]
     assert carried and not [line for line in carried if "kept" in line]
+
+
+def test_phrases_in_many_lists_are_those_of_each_list():
+    automaton = _Automaton(["a b", "a", "b c a", "c", "a b c a b"])
+    lists = [["a", "b", "c", "a", "b", "x"], None, [], ["a"], ["b", None, "a", "b"], ["x", "y"], ["c", "a", "b", "c", "a", "b", "c"]]
+    rows, starts, sizes, phrases = automaton.in_lists(pa.array([["a"], *lists], pa.list_(pa.string())).slice(1))
+    found = [[] for _ in lists]
+    for row, *match in zip(rows.tolist(), starts, sizes, phrases):
+        found[row].append(tuple(match))
+    assert found == [automaton.at_each_start(words or ()) for words in lists]
+    assert [len(x) for x in automaton.in_lists(pa.array([["x"], None], pa.list_(pa.string())))] == [0] * 4
+    assert [len(x) for x in _Automaton([]).in_lists(pa.array([["x"]], pa.list_(pa.string())))] == [0] * 4
