@@ -8,10 +8,11 @@ from pyspark.sql import Column, functions as F
 
 SPACE = r" \t\r\n\f"
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-# Words, single other signs, and runs of white space.
-TOKEN = WORD + rf"|[^{SPACE}\p{{L}}\p{{N}}]|[{SPACE}]+"
-# Up to closing punctuation followed by white space, or to the end of the text.
-SENTENCE = rf"(?s).+?(?:[.!?]+(?:[{SPACE}]+|\z)|\z)"
+# Words, single other signs, and runs of white space; a single blank at the very start only.
+TOKEN = WORD + rf"|[^{SPACE}\p{{L}}\p{{N}}]|[\t\r\n\f][{SPACE}]*| [{SPACE}]+|\A "
+# Up to closing punctuation followed by white space, or to the end of the text: other signs, and punctuation that
+# something else follows, are passed over a run at a time.
+SENTENCE = rf"(?s).(?:[^.!?]+|[.!?]++(?![{SPACE}]|\z))*+(?:[.!?]+[{SPACE}]*|\z)"
 
 
 def extract_all(text: Column, regex: str, group: int = 0) -> Column:
@@ -31,9 +32,10 @@ def tokens(text: Column) -> Column:
     """Words, punctuation signs and notable white space, in order.
 
     A single blank only separates tokens; any other white space, and a blank
-    at the very start, is a token of its own.
+    at the very start, is a token of its own. Sentences end behind white space,
+    so those of a text are those of its sentences one after another.
     """
-    return F.filter(extract_all(text, TOKEN), lambda t, i: (t != " ") | (i == 0))
+    return extract_all(text, TOKEN)
 
 
 def group_count(regex: str) -> int:

@@ -33,7 +33,8 @@ WORD_ENTRY = "struct<lemma:string,pos:string,dep:string>"
 @dataclass(frozen=True)
 class Parts:
     """Names of the columns an annotation is made of: parallel arrays of the
-    tokens' texts, sentence numbers, lemmas, classes and roles; entities; vector.
+    tokens' texts, sentence numbers, lemmas, classes and roles; entities; vector;
+    the number of sentences, which an annotator may leave out.
 
     Features read these rather than an array of structs: what no feature asks
     for is then never computed.
@@ -46,6 +47,7 @@ class Parts:
     deps: str
     ents: str
     vector: str
+    n_sents: str = ""
 
     @classmethod
     def named(cls, prefix: str) -> "Parts":
@@ -73,9 +75,13 @@ class Annotator:
     def add_parts(self, df: DataFrame, text: Column, parts: Parts, id_col: str | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def add_all_parts(self, df: DataFrame, text: Column, parts: Parts, id_col: str | None = None) -> DataFrame:
+        """The same where sentence numbers will be asked for."""
+        return self.add_parts(df, text, parts, id_col)
+
     def annotate(self, df: DataFrame, text: Column, out_col: str, id_col: str | None = None) -> DataFrame:
         parts = Parts.named(f"_{out_col}")
-        df = self.add_parts(df, text, parts, id_col)
+        df = self.add_all_parts(df, text, parts, id_col)
         return df.withColumn(out_col, parts.annotation()).drop(*parts.columns())
 
 
@@ -118,13 +124,23 @@ class DictionaryAnnotator(Annotator):
         # In words, the longest phrase there is.
         self.max_phrase = self.phrases.longest_key() if self.phrases is not None else 0
 
-    def add_parts(self, df, text, parts, id_col=None):
-        nested, low, entries, cand = (f"{parts.texts}_{x}" for x in ("nested", "low", "entries", "candidates"))
+    def add_all_parts(self, df, text, parts, id_col=None):
+        nested = f"{parts.texts}_nested"
         df = df.withColumn(nested, F.transform(tx.sentences(text), lambda s: tx.tokens(s)))
         numbered = F.transform(F.col(nested), lambda s, k: F.array_repeat(k, F.size(s)))
-        df = df.withColumns({parts.texts: F.flatten(nested), parts.sents: F.flatten(numbered)})
+        df = df.withColumns({parts.texts: F.flatten(nested), parts.sents: F.flatten(numbered), parts.n_sents: F.size(nested)})
+        return self._with_words(df.drop(nested), parts, id_col)
+
+    def add_parts(self, df, text, parts, id_col=None):
+        # Tokens and sentences are each found in one pass; numbers of sentences are another one, for those who ask.
+        numbered = F.transform(tx.sentences(text), lambda s, k: F.array_repeat(k, F.size(tx.tokens(s))))
+        sents = {parts.sents: F.flatten(numbered), parts.n_sents: F.size(tx.sentences(text))}
+        return self._with_words(df.withColumns({parts.texts: tx.tokens(text), **sents}), parts, id_col)
+
+    def _with_words(self, df: DataFrame, parts: Parts, id_col: str | None) -> DataFrame:
+        low, entries, cand = (f"{parts.texts}_{x}" for x in ("low", "entries", "candidates"))
         df = df.withColumn(low, F.transform(F.col(parts.texts), lambda t: F.lower(t)))
-        helpers, bare = [nested, low], df
+        helpers, bare = [low], df
         # Parallel arrays meet in zip_with, never through a lambda that refers
         # to another column: the optimizer may put that column's whole
         # expression into the lambda, to be computed for every token.
@@ -165,7 +181,7 @@ class DictionaryAnnotator(Annotator):
             return self._with_matches(df, texts, low, cand)
         helpers = [cand]
         sizes = range(self.max_phrase, 0, -1) if self.phrases is not None else []
-        phrase = lambda i, n: F.array_join(F.slice(F.col(low), i + 1, F.lit(n)), " ")
+        phrase = lambda i, n: _run(low, i, n)
         start = F.sequence(F.lit(0), F.size(low) - 1)
         starts = F.when(F.size(low) > 0, start).otherwise(F.array().cast("array<int>"))
         label, fits = None, lambda i, n: i + n <= F.size(low)
@@ -262,7 +278,7 @@ def _grams(words: str, longest: int, may_open: Callable[[Column], Column]) -> Co
     size = F.size(words)
 
     def runs(i: Column) -> Column:
-        return F.array(*[F.when(i + n <= size, F.array_join(F.slice(words, i + 1, F.lit(n)), " ")) for n in range(1, longest + 1)])
+        return F.array(*[F.when(i + n <= size, _run(words, i, n)) for n in range(1, longest + 1)])
 
     found = F.flatten(F.transform(F.filter(opening, lambda i: i.isNotNull()), runs))
     # The size test also keeps the words a column of their own (see add_parts).
@@ -281,9 +297,20 @@ def _shape(word: Column) -> Column:
     )
 
 
+# Runs of up to so many words are written out word by word.
+SHORT_RUN = 8
+
+
+def _run(words: str, i: Column, n: int | Column) -> Column:
+    """``n`` words from place ``i`` on, with blanks between them. Not by slice(), which copies the whole list each time."""
+    if isinstance(n, int) and n <= SHORT_RUN:
+        return F.concat_ws(" ", *[F.get(F.col(words), i + k) for k in range(n)])
+    return F.array_join(F.transform(F.sequence(i, i + n - 1), lambda j: F.get(F.col(words), j)), " ")
+
+
 def _entity(texts: str, i: Column, n: int | Column, label: Column) -> Column:
     return F.struct(
-        F.array_join(F.slice(F.col(texts), i + 1, F.lit(n) if isinstance(n, int) else n), " ").alias("text"),
+        _run(texts, i, n).alias("text"),
         label.cast("string").alias("label"),
         i.alias("start"),
         (i + n).alias("end"),

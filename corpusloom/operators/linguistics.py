@@ -20,6 +20,8 @@ SUBJECT_DEPS = ["nsubj", "sb"]
 POS_TAGS = (
     "ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X SPACE"
 ).split()
+# What most tokens are where word classes come from a dictionary.
+USUAL_TAGS = ("X", "PUNCT")
 
 
 class LinguisticEnrichment(Stage):
@@ -86,20 +88,26 @@ class LinguisticEnrichment(Stage):
         for c in self.cols:
             text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" "))
             parts = Parts.named(f"_{c}")
-            df = self.annotator.add_parts(df, text, parts, id_col)
-            counts = f"_{c}_counts"
+            add_parts = self.annotator.add_all_parts if self.return_doc else self.annotator.add_parts
+            df = add_parts(df, text, parts, id_col)
+            if parts.n_sents not in df.columns:
+                df = df.withColumn(parts.n_sents, F.array_max(parts.sents) + 1)
+            counts, rest = f"_{c}_counts", [parts.pos, *(f"_{c}_but_{p}" for p in USUAL_TAGS)]
             if self.pos:
+                # What most tokens are is taken away first, so that the others are looked for among few.
+                for all_tags, others, p in zip(rest, rest[1:], USUAL_TAGS):
+                    df = df.withColumn(others, F.array_remove(F.col(all_tags), p))
                 # Counted once per text and then only picked from; a lambda,
                 # since the optimizer would repeat an array of expressions.
                 wanted = F.array(*[F.lit(p) for p in self.pos])
-                df = df.withColumn(counts, F.transform(wanted, _occurrences_in(parts.pos)))
+                df = df.withColumn(counts, F.transform(wanted, _occurrences_in(rest)))
             features = self.features(parts, F.col(counts))
             df = df.withColumns({f"{c}_{k}": v for k, v in features.items()})
             if self.raw_vec or self.unit_vec:
                 df = self._with_vectors(df, c, parts, id_col)
             if self.return_doc:
                 df = df.withColumn(f"{c}_doc", parts.annotation())
-            df = df.drop(counts, *parts.columns())
+            df = df.drop(counts, *rest, *parts.columns())
         return df
 
     def features(self, parts: Parts, counts: Column) -> dict[str, Column]:
@@ -107,7 +115,7 @@ class LinguisticEnrichment(Stage):
         known = lambda value: F.when(filled, value)
         out = {
             "wc": F.size(parts.texts),
-            "sentence_count": F.when(filled, F.array_max(parts.sents) + 1).otherwise(0),
+            "sentence_count": F.when(filled, F.col(parts.n_sents)).otherwise(0),
         }
         if "ents" in self.tags:
             if self.entity_labels is None:
@@ -141,9 +149,16 @@ class LinguisticEnrichment(Stage):
         return df if self.raw_vec else df.drop(vec)
 
 
-def _occurrences_in(values: str) -> Callable[[Column], Column]:
-    """How often a value is in an array column."""
-    return lambda value: F.size(values) - F.size(F.array_remove(F.col(values), value))
+def _occurrences_in(rest: Sequence[str]) -> Callable[[Column], Column]:
+    """How often a tag is in the first of these array columns; each has the tags before but one of the usual ones."""
+
+    def occurrences(tag: Column) -> Column:
+        n = F.size(rest[-1]) - F.size(F.array_remove(F.col(rest[-1]), tag))
+        for values, others, p in zip(rest, rest[1:], USUAL_TAGS):
+            n = F.when(tag == p, F.size(values) - F.size(others)).otherwise(n)
+        return n
+
+    return occurrences
 
 
 def entity_texts(ents: Column, keep: Callable[[Column], Column]) -> Column:

@@ -122,3 +122,30 @@ def test_output_roles():
     assert roles["num"] == ["c_wc", "c_sentence_count", "c_num_X"]
     assert roles["tag"] == ["c_ents", "c_subj", "c_verb", "c_entity_GPE"]
     assert roles["transient"] == ["c_doc", "c_vec", "c_vec_normalized"]
+
+
+def test_runs_of_tokens_are_not_cut_from_a_copy_of_the_list(spark):
+    """slice() copies all tokens of a text for each run, which is the square of the text's length."""
+    text = "New York, x. " * 30 + "the end of new york times square"
+    long = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, text), (2, f"a {long} b"), (3, " new york"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "id long, c string")
+    nlp = cl.DictionaryAnnotator(WORDS, PHRASES | {long: "LONG"})
+    out = cl.LinguisticEnrichment(nlp, "c", entity_labels=["GPE", "LONG"]).transform(df)
+    assert "slice(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert got[1]["c_ents"] == ["New York"] * 30 + ["new york times"] and got[1]["c_sentence_count"] == 31
+    assert got[1]["c_num_PUNCT"] == 60 and got[1]["c_num_X"] == 30 * 3 + 7 and got[1]["c_wc"] == 157
+    assert got[2]["c_entity_LONG"] == [long] and got[2]["c_num_X"] == 14 and got[2]["c_num_PUNCT"] is None
+    assert got[3]["c_wc"] == 3 and got[3]["c_num_SPACE"] == 1 and got[3]["c_entity_GPE"] == ["new york"]
+    assert (got[4]["c_wc"], got[4]["c_sentence_count"], got[5]["c_wc"], got[5]["c_sentence_count"]) == (1, 1, 0, 0)
+
+
+def test_tokens_of_a_text_are_those_of_its_sentences(spark):
+    texts = ["", " ", "  ", " a", "a ", "a  b", "\n a", ". a", ".. a. ", "a!? b", "a!?b .c", "..", "x.\n\ny", ".a ..", "a. b.  c"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, c string")
+    plain = cl.LinguisticEnrichment(None, "c", tags=[]).transform(df).drop("c")
+    whole = cl.LinguisticEnrichment(None, "c", tags=[], return_doc=True).transform(df).drop("c")
+    assert sorted(plain.collect()) == sorted(whole.drop("c_doc").collect())
+    for row in whole.collect():
+        assert row["c_sentence_count"] == max([t["sent"] for t in row["c_doc"]["tokens"]], default=-1) + 1
