@@ -89,8 +89,11 @@ FILTER_BITS = 21
 def _may_hold(table: DataFrame, key: Column) -> Lookup:
     """Whether a word may be among the keys of a table: true for all that are, and for few others unless they are very many.
 
-    One aggregation now; what comes to the driver is bounded by the bits.
+    One or two aggregations now; what comes to the driver is bounded by the size of a set and the bits.
     """
+    few = table.select(key.alias("key")).where("key IS NOT NULL").distinct().limit(MAX_SET_ENTRIES + 1).collect()
+    if len(few) <= MAX_SET_ENTRIES:
+        return lambda word: word.isin([row["key"] for row in few])
     slot = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - FILTER_BITS)
     place = lambda k: slot(k).bitwiseAND(63).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place(key))
@@ -212,17 +215,20 @@ class TableDictionary:
             self._filters["head"] = _may_hold(self.table, F.get(F.split("term", " "), F.lit(0)))
         return self._filters["head"](word)
 
-    def bind(self, df: DataFrame, keys: Column, id_col: str | None = None, source: DataFrame | None = None):
+    def bind(
+        self, df: DataFrame, keys: Column, id_col: str | None = None, source: DataFrame | None = None, held: bool = False
+    ):
         """``(df with helper columns, lookup, helper columns to drop)``; the second helper has the hits' first words.
 
         ``source``: the same texts to collect the keys from, before they were joined with anything else.
+        ``held``: all keys have passed :meth:`may_hold`.
         """
         n = next(_names)
         helper, heads, h1, h2, words = (f"_dictionary_{n}{x}" for x in ("", "_heads", "_h1", "_h2", "_words"))
 
         def hashed(rows: DataFrame) -> DataFrame:
             # In order, so that texts with the same hits are one.
-            rows = rows.withColumn(words, F.array_sort(F.array_distinct(F.filter(keys, self.may_hold))))
+            rows = rows.withColumn(words, F.array_sort(F.array_distinct(keys if held else F.filter(keys, self.may_hold))))
             return rows.withColumns({h1: F.xxhash64(words), h2: F.xxhash64(F.lit("second"), words)})
 
         df = hashed(df)

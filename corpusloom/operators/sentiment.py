@@ -15,7 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.dictionary import Dictionary, InlineDictionary, dictionary
+from ..functions.dictionary import Dictionary, InlineDictionary, TableDictionary, dictionary
 from .stages import Stage, as_list
 
 # Fixed values of the paper.
@@ -130,13 +130,11 @@ class LexiconSentiment(Stage):
         extra = [f"{self.out_col}_{s}" for s in ("pos", "neu", "neg")] if self.shares else []
         return {"num": [self.out_col, *extra]}
 
-    def _adjusted(self, tokens: Column, i: Column, valence: Column, mixed: Column | None, cased: Column | None) -> Column:
+    def _adjusted(self, hit: Column) -> Column:
+        valence = hit["v"]
         sign = F.signum(valence)
-        loud = None
-        if cased is not None:
-            word = F.get(cased, i)
-            loud = mixed & (F.upper(word) == word) & (F.lower(word) != word)
-        before = [F.get(tokens, i - d) for d in (1, 2, 3)]
+        loud = hit["loud"] if self.capitals else None
+        before = [hit[f"before{d}"] for d in (1, 2, 3)]
         negated = F.lit(False)
         for word in before if self.negations else ():
             negated = negated | F.coalesce(word.isin(self.negations), F.lit(False))
@@ -172,30 +170,53 @@ class LexiconSentiment(Stage):
             df = df.withColumn(mixed_name, (F.size(loud) > 0) & (F.size(loud) < F.size(cased_name)))
             cased, mixed = F.col(cased_name), F.col(mixed_name)
             helpers += [cased_name, mixed_name]
-        df, valence, joined = self.lexicon.bind(df, F.col(tok), self.id_col or (roles.id if roles else None))
+        size, last_but, total = f"_{out}_size", f"_{out}_last_but", f"_{out}_total"
+        helpers += [size, last_but, total]
+
+        def placed(word: Column, i: Column) -> list[Column]:
+            """All that counts with a word but its valence."""
+            fields = [word.alias("word"), i.alias("i"), *[F.get(F.col(tok), i - d).alias(f"before{d}") for d in (1, 2, 3)]]
+            if cased is not None:
+                shown = F.get(cased, i)
+                fields.append((mixed & (F.upper(shown) == shown) & (F.lower(shown) != shown)).alias("loud"))
+            return fields
+
+        # The few words that are in the lexicon, each with what stands before it. A join meets these, not the texts' words.
+        id_col, there = self.id_col or (roles.id if roles else None), lambda x: x.isNotNull()
+        where_but = F.when(F.array_contains(F.col(tok), "but"), F.size(tok) - F.array_position(F.reverse(F.col(tok)), "but"))
+        of_text = {size: F.size(tok), last_but: where_but}
+        if isinstance(self.lexicon, TableDictionary):
+            may = self.lexicon.may_hold
+            maybe = F.filter(F.transform(F.col(tok), lambda w, i: F.when(may(w), F.struct(*placed(w, i)))), there)
+            df = df.withColumns({hit: maybe, **of_text})
+            df, valence, joined = self.lexicon.bind(df, F.transform(F.col(hit), lambda x: x["word"]), id_col, held=True)
+            found = F.transform(F.col(hit), lambda x: F.when(valence(x["word"]).isNotNull(), x.withField("v", valence(x["word"]))))
+            df = df.withColumn(hit, F.filter(found, there))
+        else:
+            df, valence, joined = self.lexicon.bind(df, F.col(tok), id_col)
+            found = F.transform(
+                F.col(tok), lambda w, i: F.when(valence(w).isNotNull(), F.struct(*placed(w, i), valence(w).alias("v")))
+            )
+            df = df.withColumns({hit: F.filter(found, there), **of_text})
         helpers += joined
-        # Positions and valences of the few words that are in the lexicon.
-        valences = F.transform(F.col(tok), lambda t: valence(t))
-        found = F.transform(valences, lambda v, i: F.when(v.isNotNull(), F.struct(i.alias("i"), v.alias("v"))))
-        df = df.withColumn(hit, F.filter(found, lambda x: x.isNotNull()))
-        last_but = F.size(tok) - F.array_position(F.reverse(F.col(tok)), "but")
 
         def adjusted(x: Column) -> Column:
-            v = self._adjusted(F.col(tok), x["i"], x["v"], mixed, cased)
+            v = self._adjusted(x)
             if self.but:
-                weight = F.when(x["i"] < last_but, self.BUT[0]).when(x["i"] > last_but, self.BUT[1]).otherwise(1.0)
-                v = v * F.when(F.array_contains(F.col(tok), "but"), weight).otherwise(1.0)
+                at = F.col(last_but)
+                v = v * F.when(x["i"] < at, self.BUT[0]).when(x["i"] > at, self.BUT[1]).otherwise(1.0)
             return v
 
         df = df.withColumn(val, F.transform(F.col(hit), adjusted))
-        total = F.aggregate(F.col(val), F.lit(0.0), lambda s, v: s + v)
+        df = df.withColumn(total, F.aggregate(F.col(val), F.lit(0.0), lambda s, v: s + v))
+        total = F.col(total)
         bang = F.lit(0.0)
         if self.exclamation:
             bang = self.EXCLAMATION * F.least(F.lit(4), F.length(text) - F.length(F.replace(text, F.lit("!"))))
             total = total + F.signum(total) * bang
         added = {out: F.when(F.size(hit) > 0, total / F.sqrt(total * total + F.lit(self.alpha))).otherwise(0.0)}
         if self.shares:
-            added.update(self._shares(F.col(val), F.size(tok) - F.size(hit), bang))
+            added.update(self._shares(F.col(val), F.col(size) - F.size(hit), bang))
         return df.withColumns(added).drop(*helpers)
 
     def _shares(self, values: Column, neutral: Column, bang: Column) -> dict[str, Column]:

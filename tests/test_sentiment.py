@@ -93,3 +93,15 @@ def test_a_word_counts_the_nearest_double_of_its_decimal_value(spark):
     out = rows_by_id(stage.transform(df), "s")
     # What cancels out is neutral.
     assert out == {1: squash(1.493), 2: 0.0, 3: squash(-0.888), 4: squash(1 / 3), 5: squash(1 / 3 + 0.293)}
+
+
+def test_a_joined_lexicon_meets_its_words_only(spark):
+    """Rows go to the join with the words that may be in the lexicon and what stands before them, not with all their words."""
+    texts = ["very x y Good, not bad", "good but BAD!", None, "", "nothing here", "meh good meh"] * 2
+    options = {"shares": True, "capitals": True, "but": True, "exclamation": True}
+    lexicon = cl.dictionary(LEX, value_type="double", form="joined")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = cl.LexiconSentiment("text", "s", lexicon, {"very": 0.3, "barely": -0.3}, ["not"], **options).transform(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "_s_tokens" not in plan[: plan.index("Join")]
+    assert sorted(out.collect()) == sorted(scores(spark, texts, **options).collect())
